@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tidemark.plans import archive, desk
+
+QUERIES = archive.QUERIES | desk.QUERIES
+SQL = archive.SQL | desk.SQL
