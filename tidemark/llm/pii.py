@@ -46,6 +46,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@]|[\(\[][aA][tT][\)\]]")
 _DIGIT = re.compile(r"[0-9]")
+_BARE_AT = frozenset(["@", "(at)", "[at]"])
 
 
 def luhn(digits: str) -> bool:
@@ -110,6 +111,20 @@ def islands(text: str) -> Iterator[list[tuple[int, int, bool]]]:
         b, n = m.end(), len(text)
         while b < n and not text[b].isspace():
             b += 1
+        if text[a:b].lower() in _BARE_AT:
+            # An at sign on its own belongs with the words on either side.
+            while a > last and text[a - 1].isspace():
+                a -= 1
+            while a > last and not text[a - 1].isspace():
+                a -= 1
+            while b < n and text[b].isspace():
+                b += 1
+            while b < n and not text[b].isspace():
+                b += 1
+            while a < b and text[a].isspace():
+                a += 1
+            while a < b and text[b - 1].isspace():
+                b -= 1
         if run and not text[run[-1][1] : a].isspace():
             yield run
             run = []

@@ -136,7 +136,7 @@ class Machine:
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
     """Adagrad on the logistic loss."""
-    stats = np.array([r[2] for r in rows], float).reshape(len(rows), -1)
+    stats = np.array([r[2] for r in rows], float).reshape(len(rows), len(rows[0][2]) if rows else 0)
     k = stats.shape[1]
     slots, rng = (1 << WORD_BITS) + k * (1 + RANGES), np.random.default_rng(seed)
     if len(set(labels.tolist())) < 2:
