@@ -3,7 +3,7 @@
 Native: DataFrame functions only.
 
 1. Classifier.  A labelled table gives some documents a domain.  On at most ``TRAIN_ROWS`` of
-   them, the documents of each domain that show a word, a word ending or a rate of repetition are counted;
+   them, the documents of each domain that show a word, a rate of repetition or of odd endings are counted;
    evidence that tells the domains apart enters a naive Bayes table of at most ``SLOTS`` hashes.  Every document
    gets a posterior over domains from all its words.
 2. Rates.  Nonnegative rates r_d are fitted so that the expected tokens of each domain,
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, Workspace, fresh, lower_ascii
+from tidemark.llm.common import SPACE, Workspace, fresh
 
 SLOTS = 1 << 14
 TRAIN_ROWS = 8_000
@@ -39,7 +39,24 @@ CLOSE = 1e-6
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), f"{SPACE}+"), lambda w: w != "")
+    """Words in lower case, an empty string at either end perhaps."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), f"{SPACE}+")
+
+
+def with_evidence(docs: DataFrame, tokens: str, evidence: str) -> DataFrame:
+    """The docs with the number of their words, and what their text shows as distinct hashes.
+
+    Evidence: the words, how much they repeat, and how many end in two signs.
+    Words and hashes have columns of their own on the way, so that each is made once.
+    """
+    words, signs = fresh(docs, "mixing_words", "mixing_signs")
+    odd = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[!-/:-@\[-`{-~]{2}(?=\s|$)"))
+    out = docs.withColumn(words, F.array_remove(words_of(F.col("text")), "")).withColumn(tokens, F.size(words).cast("bigint")).withColumn(signs, odd)
+    out = out.withColumn(evidence, F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    most = F.greatest(F.col(tokens), F.lit(1))
+    share = F.floor(F.size(evidence) * 10 / most).cast("int")
+    ends = F.least(F.lit(10), F.ceil(F.col(signs) * 10 / most)).cast("int")
+    return out.drop(words).withColumn(evidence, F.concat(evidence, F.array(F.xxhash64(share, F.lit("distinct")), F.xxhash64(ends, F.lit("signs"))))).drop(signs)
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -48,21 +65,12 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return known.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("good").alias("domain"))
 
 
-def evidence_of(text: Column) -> Column:
-    """What a text shows, as distinct hashes: its words, its words' last two characters, how much it repeats."""
-    words = words_of(text)
-    own = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    ends = F.array_distinct(F.transform(words, lambda w: F.xxhash64(F.substring(w, -2, 2), F.lit("end"))))
-    share = F.floor(F.size(own) * 10 / F.greatest(F.size(words), F.lit(1))).cast("int")
-    return F.concat(own, ends, F.array(F.xxhash64(share, F.lit("distinct"))))
-
-
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log priors, the hash in each slot (or 0), and log-likelihood ratios (domains, slots), from the labelled documents with the smallest hashed ids."""
     k = len(domains)
     chosen = labelled.where(F.col("domain").isin(domains)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("labelled_id"), "domain")
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
-    shown = known.select("domain", F.explode(evidence_of(F.col("text"))).alias("hash"))
+    shown = with_evidence(known.select("domain", "text"), "n", "shown").select("domain", F.explode("shown").alias("hash"))
     counted = shown.groupBy("hash").agg(*(F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).collect()
     sizes = np.zeros(k)
     for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect():
@@ -100,11 +108,11 @@ def with_posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.nda
     slots, logits = fresh(docs, "mixing_slots", "mixing_logits")
     place = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
     hashes = _literal(held, "bigint")
-    told = F.transform(F.filter(evidence_of(F.col("text")), lambda h: F.get(hashes, place(h)) == h), place)
+    told = F.transform(F.filter(slots, lambda h: F.get(hashes, place(h)) == h), place)
     # All domains' evidence against that of the last one.
     sums = [_sum_of(slots, _literal(ratios[i] - ratios[-1], "double")) for i in range(len(priors) - 1)]
     logs = F.array(*(F.lit(float(priors[i] - priors[-1])) + s for i, s in enumerate(sums)), F.lit(0.0))
-    counted = docs.withColumn(slots, told).withColumn(logits, logs).withColumn(tokens, F.size(words_of(F.col("text"))).cast("bigint")).drop(slots)
+    counted = with_evidence(docs, tokens, slots).withColumn(slots, told).withColumn(logits, logs).drop(slots)
     top = F.array_max(logits)
     powers = F.transform(logits, lambda x: F.exp(x - top))
     total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
