@@ -38,7 +38,7 @@ from tidemark.llm.common import ship
 KINDS = ("email", "ip", "card", "phone")
 MOST_WORDS = 6
 TRAIN_DOCS = 2_000
-SURE = 0.95
+SURE = 0.9
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -253,7 +253,7 @@ class Field:
         fore, back = self.sums(n, by_start)
         return [(s, e, kind, math.exp(min(0.0, fore[i] + x + back[j] - fore[n]))) for i, (j, s, e, kind, _, x) in reversed(chosen)]
 
-    def learn(self, examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 4, rate: float = 0.3, decay: float = 1e-3, seed: int = 1) -> None:
+    def learn(self, examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-3, seed: int = 1) -> None:
         """Likelihood by stochastic gradients (Adagrad); examples are texts with their true spans."""
         rng, squares, data = random.Random(seed), defaultdict(lambda: 0.1), []
         for text, spans in examples:
