@@ -17,6 +17,16 @@ def test_fnv_vectors(spark):
     assert (r.a, r.b, r.c, r.d) == (0x811C9DC5, 0xE40C292C, 0xBF9CF968, 2)
 
 
+def test_fnv_of_long_and_odd_texts(spark):
+    texts = ["é" * 3000 + "x", "a😀b" * 500, " ", "\u2028", "😀", "a\x00b"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.fnv1a(F.col("t")).alias("h"))
+    for r in d.collect():
+        h, raw = 0x811C9DC5, r.t.encode("utf-16-be")
+        for k in range(0, len(raw), 2):
+            h = ((h ^ int.from_bytes(raw[k : k + 2], "big")) * 0x01000193) & 0xFFFFFFFF
+        assert r.h == h, r.t[:10]
+
+
 def mulberry(seed):
     while True:
         seed = (seed + 0x6D2B79F5) & 0xFFFFFFFF

@@ -19,3 +19,9 @@ COUNT_WORDS = ["No", "One", "Two", "Three", "Four", "Five"]
 FNV_OFFSET, FNV_PRIME, MASK = 2166136261, 16777619, 4294967295
 STEP = 1831565813
 DRIFT, LOW, HIGH = 0.55, 0.12, 1.0
+# A recording: its seconds, samples and flagged spans (ref, start, end) as fractions.
+RECORDING_SECONDS, SAMPLES = 168, 160
+FLAGGED_SPANS = [(1, 0.52, 0.63), (2, 0.78, 0.86)]
+# Footage: its seconds, frames and flagged frames by index.
+FOOTAGE_SECONDS, FRAMES = 105, 12
+FLAGGED_FRAMES = {6: 1, 9: 2}

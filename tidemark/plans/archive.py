@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.functions.fixed import FLAGGED_SPANS
 from tidemark.functions.seeded import clamped, half_up
 from tidemark.operators import adjudication, archive
 from tidemark.sources.tables import records, table
@@ -101,6 +102,17 @@ def shares_with_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("o_custkey", "seq", "weight", F.round(F.col("share") * 100).cast("bigint").alias("share_hundredths"))
 
 
+@query(_FILINGS + """, s AS (SELECT *, floor(weight / sum(weight) OVER (PARTITION BY o_custkey) * 100 + 0.5) / 100 AS rough FROM f),
+ d AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY rough DESC, seq) = 1 AS first, floor((1 - sum(rough) OVER (PARTITION BY o_custkey)) * 100 + 0.5) / 100 AS drift FROM s),
+ w AS (SELECT o_custkey, seq, CAST(round((CASE WHEN first THEN rough + drift ELSE rough END) * 100) AS BIGINT) AS width FROM d)
+ SELECT o_custkey, seq, CAST(coalesce(sum(width) OVER (PARTITION BY o_custkey ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS left_edge, width FROM w""")
+def contribution_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares laid side by side from 0 to 100; all windows use the one shuffle by customer."""
+    s = adjudication.shares(_filings(spark, sf_dir), "o_custkey", "weight", "seq").withColumn("width", F.round(F.col("share") * 100).cast("bigint"))
+    before = Window.partitionBy("o_custkey").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return s.select("o_custkey", "seq", F.coalesce(F.sum("width").over(before), F.lit(0)).alias("left_edge"), "width")
+
+
 _RANKED = """, x AS (SELECT o_custkey, list_value('CONTRADICTED','SYNTHETIC','ANOMALOUS','REQUIRES VERIFICATION','CLEAR')[seq] AS det FROM f),
  k AS (SELECT *, list_position(['CONTRADICTED','SYNTHETIC','ANOMALOUS','CONTESTED','REQUIRES VERIFICATION','INSUFFICIENT','CONSISTENT','SUPPORTED','CLEAR'], det) AS rank FROM x) """
 
@@ -169,7 +181,7 @@ def series_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT event_id, event_type, (frac >= 0.52 AND frac <= 0.63) OR (frac >= 0.78 AND frac <= 0.86) AS flagged FROM h""")
 def flagged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events at a fraction of their hour, flagged if that is in a span, both ends included."""
-    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0.52, 0.63), (0.78, 0.86))))
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for _, a, b in FLAGGED_SPANS))
     at = (F.unix_micros(F.col("ts").cast("timestamp")) % 3_600_000_000) / 3_600_000_000.0
     return table(spark, sf_dir, "events").withColumn("at", at).select("event_id", "event_type", F.exists(spans, lambda s: (F.col("at") >= s["start"]) & (F.col("at") <= s["end"])).alias("flagged"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import seeded as S
 from tidemark.functions import text as X
-from tidemark.functions.fixed import DESKS, NOTE_DETERMINATIONS, ROSTER
+from tidemark.functions.fixed import DESKS, FLAGGED_FRAMES, FLAGGED_SPANS, FOOTAGE_SECONDS, FRAMES, NOTE_DETERMINATIONS, RECORDING_SECONDS, ROSTER, SAMPLES
 from tidemark.sources.tables import table
 
 QUERIES: dict = {}
@@ -96,7 +96,7 @@ def galley_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.size(F.filter("cut", lambda p: p["nth"].isNotNull())).alias("marked"), F.size("cut").alias("pieces"), joined.alias("whole"))
 
 
-_SEED = _FNV.format(x="(CASE WHEN left(b, 64) = '' THEN 'empty' ELSE left(b, 64) END)")
+_SEED = _FNV.format(x="(CASE WHEN b = '' THEN 'empty' ELSE b END)")
 
 
 @query(rf"""WITH e AS (SELECT doc_id, {_TRIM} AS b, {_SENTENCES}[1:4] AS s, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS words FROM documents),
@@ -104,9 +104,9 @@ _SEED = _FNV.format(x="(CASE WHEN left(b, 64) = '' THEN 'empty' ELSE left(b, 64)
  SELECT doc_id, words, CAST(len(s) AS INTEGER) AS claims, round(0.35 + d1.u * 0.5, 9) AS emotive, CASE WHEN 0.35 + d1.u * 0.5 > 0.65 THEN 'HIGH' WHEN 0.35 + d1.u * 0.5 > 0.45 THEN 'ELEVATED' ELSE 'LOW' END AS reading,
  CAST(greatest(1, floor(d2.u * 3 + 0.5)) AS BIGINT) AS shift, least(1.0, len(s) / 4.0) AS unsourced FROM d1 JOIN d2 ON doc_id = id2""")
 def text_examination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reading of every document, seeded by the start of its text."""
-    head = F.left(X.trimmed(F.col("text")), F.lit(64))
-    d = _docs(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("words"), F.size(F.slice(X.sentences(F.col("text")), 1, 4)).alias("claims"), S.fnv1a(F.when(head == "", "empty").otherwise(head)).alias("seed"))
+    """A reading of every document, seeded by its whole text."""
+    body = X.trimmed(F.col("text"))
+    d = _docs(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("words"), F.size(F.slice(X.sentences(F.col("text")), 1, 4)).alias("claims"), S.fnv1a(F.when(body == "", "empty").otherwise(body)).alias("seed"))
     emotive = F.lit(0.35) + S.draw(F.col("seed"), 1) * 0.5
     return d.select(
         "doc_id", "words", "claims", F.round(emotive, 9).alias("emotive"), F.when(emotive > 0.65, "HIGH").when(emotive > 0.45, "ELEVATED").otherwise("LOW").alias("reading"),
@@ -138,11 +138,55 @@ def metadata_coin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.when(S.draw(S.fnv1a(F.col("url")), 1) > 0.5, "Present").otherwise("Stripped").alias("metadata"))
 
 
-@query(f"""WITH RECURSIVE z AS ({_PART_SEED}), d AS (SELECT p_partkey, i, u FROM ({_draws("SELECT p_partkey, seed, unnest(range(1, 9)) AS i FROM z", "i")})),
- l(p_partkey, i, level) AS (SELECT p_partkey, 0::BIGINT, 0.5::DOUBLE FROM z UNION ALL SELECT l.p_partkey, d.i, least(1.0, greatest(0.0, level + (u - 0.5) * 0.55)) FROM l JOIN d ON d.p_partkey = l.p_partkey AND d.i = l.i + 1)
- SELECT p_partkey, CAST(i - 1 AS INTEGER) AS pos, round(0.12 + 0.88 * level * (0.35 + 0.65 * sin(pi() * (i - 0.5) / 8)), 6) AS sample FROM l WHERE i > 0""")
+def _samples(seed: str, key: str) -> str:
+    """SQL tables up to e (key, pos, sample): the envelopes of rows with a key and a seed."""
+    return f"""z AS ({seed}), d AS (SELECT {key}, i, u FROM ({_draws(f"SELECT {key}, seed, unnest(range(1, {SAMPLES + 1})) AS i FROM z", "i")})),
+ l({key}, i, level) AS (SELECT {key}, 0::BIGINT, 0.5::DOUBLE FROM z UNION ALL SELECT l.{key}, d.i, least(1.0, greatest(0.0, level + (u - 0.5) * 0.55)) FROM l JOIN d ON d.{key} = l.{key} AND d.i = l.i + 1),
+ e AS (SELECT {key}, CAST(i - 1 AS INTEGER) AS pos, round(0.12 + 0.88 * level * (0.35 + 0.65 * sin(pi() * (i - 0.5) / {SAMPLES})), 6) AS sample FROM l WHERE i > 0)"""
+
+
+@query(f"WITH RECURSIVE {_samples(_PART_SEED, 'p_partkey')} SELECT * FROM e")
 def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).select("p_partkey", F.posexplode(S.envelope(F.col("seed"), 8)).alias("pos", "sample")).withColumn("sample", F.round("sample", 6))
+    return _parts(spark, sf_dir).select("p_partkey", F.posexplode(S.envelope(F.col("seed"), SAMPLES)).alias("pos", "sample")).withColumn("sample", F.round("sample", 6))
+
+
+_FILE = "CASE WHEN length(url) > 22 THEN left(url, 20) || '…' ELSE url END"
+_CODE = "printf('%02d:%02d', CAST(floor({x} / 60) AS BIGINT), CAST(floor({x} % 60) AS BIGINT))"
+_SPAN_ROWS = ", ".join(map(str, FLAGGED_SPANS))
+
+
+@query(f"""WITH RECURSIVE {_samples("SELECT page_id, " + _FNV.format(x="url") + " AS seed FROM pages", "page_id")}, s(ref, a, b) AS (VALUES {_SPAN_ROWS})
+ SELECT page_id, any_value({_FILE}) AS file, '02:48' AS duration, ref, any_value({_CODE.format(x=f"(a * {RECORDING_SECONDS})")} || ' – ' || {_CODE.format(x=f"(b * {RECORDING_SECONDS})")}) AS span, CAST(count(*) AS INTEGER) AS samples, max(sample) AS loudest
+ FROM e JOIN s ON pos / {SAMPLES} >= a AND pos / {SAMPLES} <= b JOIN pages USING (page_id) GROUP BY page_id, ref""")
+def audio_examination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording for every page's address: its length, and what its envelope holds within each flagged span."""
+    d = table(spark, sf_dir, "pages").select("page_id", X.shortened(F.col("url")).alias("file"), S.fnv1a(F.col("url")).alias("seed"))
+    spans = F.array(*(F.struct(F.lit(r).alias("ref"), F.lit(a).alias("a"), F.lit(b).alias("b")) for r, a, b in FLAGGED_SPANS))
+    d = d.select("page_id", "file", S.envelope(F.col("seed"), SAMPLES).alias("envelope")).select("*", F.inline(spans))
+    inside = F.filter("envelope", lambda v, i: (i / SAMPLES >= F.col("a")) & (i / SAMPLES <= F.col("b")))
+    codes = F.concat(X.timecode(F.col("a") * RECORDING_SECONDS), F.lit(" – "), X.timecode(F.col("b") * RECORDING_SECONDS))
+    return d.select("page_id", "file", X.timecode(F.lit(RECORDING_SECONDS)).alias("duration"), "ref", codes.alias("span"), F.size(inside).alias("samples"), F.round(F.array_max(inside), 6).alias("loudest"))
+
+
+@query(f"""SELECT page_id, {_FILE} AS file, '01:45' AS runtime, i AS index, printf('%02d', i + 1) AS number, {_CODE.format(x=f"({FOOTAGE_SECONDS} / {FRAMES} * i)")} AS timecode,
+ CASE i WHEN 6 THEN 1 WHEN 9 THEN 2 END AS ref FROM (SELECT page_id, url, CAST(unnest(range(0, {FRAMES})) AS INTEGER) AS i FROM pages)""")
+def video_examination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footage for every page's address: evenly spaced frames, some of them flagged."""
+    d = table(spark, sf_dir, "pages").select("page_id", X.shortened(F.col("url")).alias("file"), F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("index"))
+    flags = F.create_map(*(F.lit(x) for kv in FLAGGED_FRAMES.items() for x in kv))
+    code = X.timecode(F.lit(FOOTAGE_SECONDS / FRAMES) * F.col("index"))
+    return d.select("page_id", "file", X.timecode(F.lit(FOOTAGE_SECONDS)).alias("runtime"), "index", X.padded(F.col("index") + 1).alias("number"), code.alias("timecode"), F.try_element_at(flags, F.col("index")).alias("ref"))
+
+
+@query(r"""SELECT * FROM (SELECT conv_id, regexp_replace(arg_min(text, row(turn, text)), '^\s+|\s+$', '', 'g') AS claim, printf('%02d', count(*)) AS exhibits, printf('%02d', count(*) FILTER (WHERE role = 'system')) AS supporting,
+ printf('%02d', count(*) FILTER (WHERE role = 'user')) AS contradicting FROM conversations GROUP BY conv_id) WHERE length(claim) >= 24""")
+def claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's first turn as the claim, if long enough to check, and its turns as exhibits; one aggregate with map-side parts."""
+    got = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        X.trimmed(F.min_by("text", F.struct("turn", "text"))).alias("claim"), X.padded(F.count("*")).alias("exhibits"),
+        X.padded(F.count_if(F.col("role") == "system")).alias("supporting"), X.padded(F.count_if(F.col("role") == "user")).alias("contradicting"),
+    )
+    return got.where(F.length("claim") >= 24)
 
 
 @query(f"SELECT doc_id, determination, CASE WHEN determination IN ('SUPPORTED','CONSISTENT','CLEAR') THEN 'clear' WHEN determination IN ('REQUIRES VERIFICATION','INSUFFICIENT') THEN 'open' ELSE 'adverse' END AS tone FROM ({_TONED})")
@@ -198,10 +242,10 @@ def commission_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT conv_id, ref, role, left(text, 20) AS quote FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS ref FROM conversations) WHERE ref <= 3")
+@query("SELECT conv_id, ref, role, text AS quote FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS ref FROM conversations) WHERE ref <= 3")
 def exhibit_narrowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").withColumn("ref", F.row_number().over(w)).where("ref <= 3").select("conv_id", "ref", "role", F.left("text", F.lit(20)).alias("quote"))
+    return table(spark, sf_dir, "conversations").withColumn("ref", F.row_number().over(w)).where("ref <= 3").select("conv_id", "ref", "role", F.col("text").alias("quote"))
 
 
 @query("SELECT conv_id, turn, printf('%02d', turn + 1) AS two, printf('%03d', turn + 1) AS three, CASE WHEN turn = 0 THEN '01 record' ELSE printf('%02d', turn + 1) || ' records' END AS label, upper(left(role, 1)) || lower(substring(role, 2)) AS speaker FROM conversations")
