@@ -32,13 +32,31 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(utf16_units(text), F.lit(FNV_OFFSET), lambda h, u: (h.bitwiseXOR(u) * FNV_PRIME).bitwiseAND(F.lit(MASK)))
 
 
+def _stirred(a: Column) -> Column:
+    return _multiplied(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
+
+
+def _mixed(t: Column) -> Column:
+    return t.bitwiseXOR((t + _multiplied(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)))
+
+
+def _counter(seed: Column, nth: Column) -> Column:
+    return (seed + nth * F.lit(STEP).cast("bigint")).bitwiseAND(F.lit(MASK))
+
+
+def _fraction(u: Column) -> Column:
+    return u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(4294967296.0)
+
+
 def draw(seed: Column, nth: Column | int) -> Column:
     """The nth uniform draw (from 1) in [0, 1) of a seed: a counter, so draws are independent of each other."""
-    nth = F.lit(nth) if isinstance(nth, int) else nth
-    a = (seed + nth * F.lit(STEP).cast("bigint")).bitwiseAND(F.lit(MASK))
-    t = _multiplied(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
-    u = t.bitwiseXOR((t + _multiplied(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)))
-    return u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(4294967296.0)
+    return _fraction(_mixed(_stirred(_counter(seed, F.lit(nth) if isinstance(nth, int) else nth))))
+
+
+def draws(seed: Column, count: int) -> Column:
+    """The first ``count`` draws as an array; one step at a time, as a lambda computes its argument once but its body in full."""
+    counters = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: _counter(seed, i.cast("bigint")))
+    return F.transform(F.transform(F.transform(counters, _stirred), _mixed), _fraction)
 
 
 def clamped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -54,12 +72,6 @@ def envelope(seed: Column, count: int, low: float = LOW, high: float = HIGH) ->
 
     Give the seed as a column of its own: lambdas compute what they hold for every element.
     """
-    draws = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: draw(seed, i.cast("bigint")))
-    start = F.struct(F.lit(0.5).alias("level"), F.array().cast("array<double>").alias("out"))
-
-    def step(s: Column, u: Column) -> Column:
-        level = clamped(s["level"] + (u - 0.5) * DRIFT)
-        return F.struct(level.alias("level"), F.concat(s["out"], F.array(level)).alias("out"))
-
-    levels = F.aggregate(draws, start, step, lambda s: s["out"])
+    walk = F.aggregate(draws(seed, count), F.array(F.lit(0.5)), lambda out, u: F.concat(out, F.array(clamped(F.element_at(out, -1) + (u - 0.5) * DRIFT))))
+    levels = F.slice(walk, 2, count)
     return F.transform(levels, lambda v, i: F.lit(low) + F.lit(high - low) * v * (F.lit(0.35) + F.lit(0.65) * F.sin(F.lit(math.pi) * (i + 0.5) / count)))
