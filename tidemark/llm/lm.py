@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, crc_remainder, ship
 
-TOP, SHARED, WIDTH = 1024, 256, 16
+TOP, SHARED, WIDTH = 1024, 1024, 16
 #: Words whose counts executors hold in memory, at most.
 HEAD = 1 << 18
 #: Documents of the sample that the start is fitted to, at most.
@@ -52,7 +52,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def shared_class(word: bytes) -> int:
-    return TOP + zlib.crc32(word[-3:]) % SHARED
+    return TOP + zlib.crc32(word[-2:]) % SHARED
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
