@@ -451,3 +451,20 @@ def test_pipeline(spark, sf_dir, docs):
     assert sizes[0] <= 200 and sizes[1] == sizes[0] and sizes[2] <= sizes[1]
     check_packing(rows(df), [(r.doc_id, r.text) for r in before.collect()])
     assert corpus_pipeline.run(spark, sf_dir).count() == sizes[-1]
+
+
+# --- queries with SQL ---
+
+
+@pytest.mark.parametrize("name", list(queries.SQL))
+def test_same_as_sql(spark, sf_dir, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf_dir).toArrow(), duck.sql(queries.SQL[name]).to_arrow_table()
+    names = sorted(got.column_names)
+    assert names == sorted(want.column_names)
+    put = lambda t: sorted(tuple(map(repr, r)) for r in zip(*(t[n].to_pylist() for n in names)))
+    assert put(got) == put(want)

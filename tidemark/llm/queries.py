@@ -96,3 +96,56 @@ SELECT query_id, rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """,
 }
+
+
+def _license_sql() -> str:
+    """The scan of ``op9_license_scan`` for DuckDB: templates and patterns are the operator's, the steps its own."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, b) in enumerate(licenses.TEMPLATES))
+    terms = r"unnest(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+(?:\.[0-9]+)*'))"
+    return rf"""
+WITH templates(template, license, body) AS (VALUES {rows}), files AS (
+    SELECT row_number() OVER () AS nr, doc_id, text, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path FROM documents
+), named AS (
+    SELECT *, regexp_matches(path, {quoted(licenses.FILE_NAMES)}) AS is_file FROM files
+), passages AS (
+    SELECT nr, nth, passage FROM (SELECT nr, unnest(string_split(text, chr(10))) AS passage, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM named)
+    WHERE regexp_matches(passage, {quoted(licenses.MARKERS)})
+    UNION ALL SELECT nr, 0, text FROM named WHERE is_file AND text IS NOT NULL
+), counts AS (
+    SELECT nr, nth, term, count(*) AS tf FROM (SELECT nr, nth, {terms.format(x="passage")} AS term FROM passages) GROUP BY ALL
+), own AS (
+    SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, {terms.format(x="body")} AS term FROM templates) GROUP BY ALL
+), size AS (
+    SELECT (SELECT count(*) FROM passages) + {len(licenses.TEMPLATES)} AS n
+), idf AS (
+    SELECT term, ln((1.0 + n) / (1 + count(c.term))) + 1 AS idf FROM (SELECT DISTINCT term FROM own) LEFT JOIN counts c USING (term), size GROUP BY term, n
+), weights AS (
+    SELECT template, license, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm FROM own JOIN idf USING (term)
+), mine AS (
+    SELECT nr, nth, term, tf * coalesce(idf, 1.0 + ln(1.0 + n)) AS w FROM size, counts LEFT JOIN idf USING (term)
+), lengths AS (
+    SELECT nr, nth, sqrt(sum(w * w)) AS norm FROM mine GROUP BY ALL
+), dots AS (
+    SELECT nr, nth, template, license, sum(m.w * t.w / t.norm) AS dot FROM mine m JOIN weights t USING (term) GROUP BY ALL
+), scored AS (
+    SELECT nr, template, license, round(dot / norm, 9) AS similarity FROM dots JOIN lengths USING (nr, nth)
+), best AS (
+    SELECT nr, license, similarity FROM (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY similarity DESC, template) AS place FROM scored WHERE similarity >= {licenses.THRESHOLD}) WHERE place = 1
+), found AS (
+    SELECT named.*, license, similarity FROM named LEFT JOIN best USING (nr)
+), ups AS (
+    SELECT nr, far, array_to_string(parts[1:len(parts) - far], '/') AS up FROM (SELECT nr, parts, unnest(range(1, len(parts) + 1)) AS far FROM (SELECT nr, string_split(path, '/') AS parts FROM found))
+), given AS (
+    SELECT up, arg_max(row(license, similarity), row(similarity, path)) AS lic FROM found JOIN ups USING (nr) WHERE is_file AND license IS NOT NULL AND far = 1 GROUP BY up
+), near AS (
+    SELECT nr, arg_min(row(up, lic[1], lic[2]), far) AS near FROM ups JOIN given USING (up) GROUP BY nr
+)
+SELECT doc_id, path AS license_path, coalesce(license, near[2]) AS license, coalesce(similarity, near[3]) AS similarity,
+       CASE WHEN license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN near IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN license IS NULL THEN near[1] END AS license_dir
+FROM found LEFT JOIN near USING (nr)
+"""
+
+
+SQL["op9_license_scan"] = _license_sql()
