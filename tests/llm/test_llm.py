@@ -256,6 +256,40 @@ def test_ann(spark, measure):
     assert ann.search(v.limit(0), v, 5).count() == 0
 
 
+def block_search(x, cid, asked, k=20):
+    rng = np.random.default_rng(5)
+    left, books = x[rng.choice(len(x), min(len(x), 2000), replace=False)], []
+    for _ in range(ann.BOOKS):
+        c = ann.kmeans(left, 64, 4, rng)
+        books.append(np.concatenate([c, np.zeros((64 - len(c), x.shape[1]))]))
+        left = left - c[(left @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)]
+    model, got = ann.Codebooks(np.array(books)), defaultdict(list)
+    codes, norms = (np.concatenate(p) for p in zip(*(model.encode(x[i : i + 512]) for i in range(0, len(x), 512))))
+    for a, b, s in ann.search_block(model, cid[asked], x[asked], cid, x, codes, norms, k, ann.SHORT):
+        for i, j in zip(a, b):
+            got[i].append(int(cid[j]))
+    return got
+
+
+def test_ann_recall_in_a_large_block():
+    x = np.random.default_rng(6).normal(size=(12_000, 64))
+    got = block_search(x, np.arange(len(x)), np.arange(0, len(x), 300))
+    hit = 0
+    for n, i in enumerate(range(0, len(x), 300)):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(got[n]))
+    assert hit / 800 >= 0.9
+
+
+def test_ann_many_equal_candidates():
+    x = np.random.default_rng(7).normal(size=(3000, 16))
+    x[1000:] = 3 * x[0]
+    cid = np.random.default_rng(8).permutation(3000)
+    got = block_search(x, cid, np.array([0]))
+    assert got[0] == sorted(cid[1000:].tolist())[:20]
+
+
 # --- simhash ---
 
 

@@ -5,7 +5,9 @@ codebooks, fitted one after the other to what the earlier ones leave (k-means on
 sample).  Encoding keeps the ``BEAM`` best partial sums at each book.  A query's inner
 products with all entries form a lookup table; a candidate's approximate score is the sum
 of its codes' places there, with its stored norm where the measure needs it (l2, cosine).
-Each block's best ``SHORT`` candidates are then scored exactly on the original vectors.
+Each block's best ``SHARE`` of its candidates by that score (``SHORT`` at least), and all that equal
+the last of them, are then scored exactly on the original vectors.  A share, as the true neighbours' places
+by approximate score spread with the number of candidates: a fixed list loses recall as tables grow.
 
 Every row is encoded and searched.  Candidates and queries meet in a grid of hashed blocks
 of bounded size, so neither is broadcast; a block sends at most k rows for each query.
@@ -18,6 +20,7 @@ smaller vec_id first.  Empty tables give no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,13 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, ship
-from tidemark.llm.vectors import BLOCK_ROWS, BLOCKS, QUERY_ROWS, block_of, blocks_for, matrix, usable
+from tidemark.llm.vectors import BLOCK_ROWS, BLOCKS, QUERY_ROWS, best, block_of, blocks_for, matrix, usable
 
 BOOKS, ENTRIES, BEAM = 8, 128, 4
 #: Vectors that codebooks are fitted to, at most.
 SAMPLE = 4_096
-#: Candidates of a block scored exactly for each query.
-SHORT = 160
+#: Candidates of a block scored exactly for each query: this share of them, and so many at least.
+SHARE, SHORT = 3 / 16, 160
+#: Query-candidate pairs in memory at once, about: all of a block's, and those scored exactly.
+PAIRS, EXACT_PAIRS = 1 << 22, 1 << 16
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -71,7 +76,7 @@ class Codebooks:
             at = b * k + np.arange(k)
             cross = np.zeros((n, codes.shape[1], k))
             for a in range(b):
-                cross += self.products[a * k + codes[:, :, a]][:, :, at]
+                cross += self.products[a * k : (a + 1) * k, at][codes[:, :, a]]
             grown = norms[:, :, None] + 2 * cross + self.products[at, at]
             tried = errors[:, :, None] - 2 * own[:, None, at] + 2 * cross + self.products[at, at]
             flat = tried.reshape(n, -1)
@@ -114,13 +119,13 @@ def encoded(vectors: DataFrame, model: Codebooks) -> DataFrame:
 
 
 def measured(q: np.ndarray, x: np.ndarray, measure: str) -> np.ndarray:
-    """Exact scores of query rows with their own candidates x[row], higher is nearer."""
-    dot = np.einsum("qd,qcd->qc", q, x)
+    """Exact scores of query rows with the candidates in the same rows of x, higher is nearer."""
+    dot = np.einsum("nd,nd->n", q, x)
     if measure == "ip":
         return dot
     if measure == "l2":
-        return -((q * q).sum(axis=1)[:, None] - 2 * dot + (x * x).sum(axis=2))
-    return dot / np.sqrt((q * q).sum(axis=1)[:, None] * (x * x).sum(axis=2))
+        return -((q * q).sum(axis=1) - 2 * dot + (x * x).sum(axis=1))
+    return dot / np.sqrt((q * q).sum(axis=1) * (x * x).sum(axis=1))
 
 
 def search_block(model: Codebooks, qid, q, cid, x, codes, norms, k: int, short: int, measure: str = "ip"):
@@ -129,8 +134,10 @@ def search_block(model: Codebooks, qid, q, cid, x, codes, norms, k: int, short:
     flat = model.books.reshape(m * entries, -1).astype(np.float32)
     order = np.argsort(cid, kind="stable")
     cid, x, codes, norms = cid[order], x[order], codes[order], norms[order]
-    for at in range(0, len(q), 256):
-        some = q[at : at + 256]
+    n = max(short, math.ceil(SHARE * len(cid)))
+    step = max(8, min(256, PAIRS // len(cid)))
+    for at in range(0, len(q), step):
+        some = q[at : at + step]
         # Lookup tables with entries as rows: a candidate's score adds a row for each of its codes.
         look = flat @ some.T.astype(np.float32)
         rough = look[codes[:, 0]]
@@ -140,18 +147,20 @@ def search_block(model: Codebooks, qid, q, cid, x, codes, norms, k: int, short:
             rough = 2 * rough - norms[:, None].astype(np.float32)
         elif measure == "cosine":
             rough = rough / np.sqrt(np.maximum(norms, 1e-12))[:, None].astype(np.float32)
-        rough[cid[:, None] == qid[None, at : at + 256]] = -np.inf
-        rough = rough.T
-        n = min(short, rough.shape[1])
-        listed = np.sort(np.argpartition(-rough, n - 1, axis=1)[:, :n], axis=1) if n < rough.shape[1] else np.broadcast_to(np.arange(n), (len(some), n))
-        exact = np.empty(listed.shape)
-        for r in range(0, len(some), 32):
-            exact[r : r + 32] = measured(some[r : r + 32], x[listed[r : r + 32]], measure)
-        exact[np.isneginf(np.take_along_axis(rough, listed, axis=1))] = -np.inf
-        top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+        rough[cid[:, None] == qid[None, at : at + step]] = -np.inf
+        rough = np.ascontiguousarray(rough.T)
+        listed = ~np.isneginf(rough)
+        if n < len(cid):
+            listed &= rough >= np.partition(rough, len(cid) - n, axis=1)[:, len(cid) - n, None]
+        rows, cols = np.nonzero(listed)
+        exact = np.full(rough.shape, -np.inf)
+        for r in range(0, len(rows), EXACT_PAIRS):
+            i, j = rows[r : r + EXACT_PAIRS], cols[r : r + EXACT_PAIRS]
+            exact[i, j] = measured(some[i], x[j], measure)
+        top = best(exact, cid, k)
         score = np.take_along_axis(exact, top, axis=1)
         rows, cols = np.nonzero(~np.isneginf(score))
-        yield at + rows, order[np.take_along_axis(listed, top, axis=1)[rows, cols]], score[rows, cols]
+        yield at + rows, order[top[rows, cols]], score[rows, cols]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, measure: str = "ip", column: str = "embedding", short: int = SHORT) -> DataFrame:
