@@ -436,6 +436,17 @@ def test_license_query(spark, sf_dir, docs):
         assert got[r.doc_id] in own if own else got[r.doc_id] is None
 
 
+@pytest.mark.parametrize("copies", [20, 2_000])
+def test_license_header_with_a_name_at_any_size(spark, copies):
+    from pyspark.sql import functions as F
+
+    bodies = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(licenses.TEMPLATES)], "nth int, text string")
+    corpus = bodies.crossJoin(spark.range(copies)).select((F.col("id") * 100 + F.col("nth")).alias("doc_id"), "text")
+    own = spark.createDataFrame([(-1, "Licensed under the Apache License, Version 2.0. Acme"), (-2, "Acme 2024. Released under the MIT License."), (-3, "no licence for prose, not even with many rights")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["license"] for r in rows(licenses.scan(corpus.unionByName(own), F.lit("a/b").alias("p")).where("doc_id < 0"))}
+    assert got == {-1: "Apache-2.0", -2: "MIT", -3: None}
+
+
 # --- mixing ---
 
 

@@ -4,9 +4,10 @@ Native: DataFrame functions only.
 
 Every line of a file that holds a marker word is a header candidate, and the whole of a
 licence file (named LICENSE, COPYING, NOTICE and the like) is one more.  Both are compared
-with short license texts as sparse TF-IDF vectors: document frequencies are counted over
-all candidates of the corpus, for the templates' terms; any other term weighs as one that no
-candidate has, so it lengthens a candidate's vector and lowers its cosine.  A file takes the template
+with short license texts as sparse TF-IDF vectors: document frequencies of all terms are counted over
+all candidates of the corpus.  A term that no template has weighs by its own frequency too, but at most as a
+term that none of the templates has among the templates alone (``UNKNOWN``): names and years are
+rarer the larger the corpus is, and must not lose a header for that.  A file takes the template
 with the highest cosine, if that is at least ``THRESHOLD``.  A file without one inherits from the nearest
 directory above it that holds a licence file: directories and their ancestors are joined by path.
 
@@ -20,6 +21,8 @@ files of their own.  Empty tables give no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +52,8 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 ]
+#: The most that a term outside the templates weighs.
+UNKNOWN = 1.0 + math.log(1.0 + len(TEMPLATES))
 
 
 def terms(text: Column) -> Column:
@@ -82,13 +87,17 @@ def scan(files: DataFrame, path: Column, threshold: float = THRESHOLD) -> DataFr
     own = templates.select("template", "license", F.explode(terms(F.col("body"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("t_tf"))
     vocabulary = own.select("term").distinct()
     n = passages.count() + len(TEMPLATES)
-    held = counts.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
-    idf = vocabulary.join(F.broadcast(held), "term", "left").select("term", (F.log(F.lit(1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
-    rare = F.lit(1.0) + F.log(F.lit(1.0 + n))
+    weight = lambda df: F.log(F.lit(1.0 + n) / (1 + df)) + 1
+    seen = work.stage(counts.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    held = seen.join(F.broadcast(vocabulary), "term")
+    idf = vocabulary.join(F.broadcast(held), "term", "left").select("term", weight(F.coalesce("df", F.lit(0))).alias("idf"))
     weighted = own.join(idf, "term").withColumn("w", F.col("t_tf") * F.col("idf"))
     norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     weighted = weighted.join(norms, "template").select("term", "template", "license", (F.col("w") / F.col("t_norm")).alias("t_w"))
-    mine = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
+    # Terms outside the templates grow with the corpus, so only those that weigh less than UNKNOWN are joined, by hash.
+    common = seen.where(weight(F.col("df")) < UNKNOWN).join(F.broadcast(vocabulary), "term", "left_anti").select("term", weight(F.col("df")).alias("idf"))
+    weights = idf.unionByName(common)
+    mine = counts.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(UNKNOWN)))
     lengths = mine.groupBy(key, "nth").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = mine.join(F.broadcast(weighted), "term").groupBy(key, "nth", "template", "license").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
     scored = dots.join(lengths, [key, "nth"]).select(key, "license", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity")).where(F.col("similarity") >= threshold)
