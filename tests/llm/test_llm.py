@@ -447,6 +447,35 @@ def test_license_header_with_a_name_at_any_size(spark, copies):
     assert got == {-1: "Apache-2.0", -2: "MIT", -3: None}
 
 
+def test_license_markers_hold_for_every_template():
+    import re
+
+    assert all(re.search(licenses.WRAPPED, body) for _, body in licenses.TEMPLATES)
+
+
+def test_license_headers_over_lines(spark):
+    from pyspark.sql import functions as F
+
+    mit = """MIT License
+
+Copyright (c) 2024 Acme
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+    files = [
+        ("a/x.py", "\n".join(f"# {line}" for line in mit.split("\n")[4:])), ("b/LICENSE", mit), ("b/y.py", "code"),
+        ("c/x.c", "/*\n * Redistribution and use in source and binary forms,\n * with or without modification, are permitted.\n */\nint x;"),
+        ("d/x.c", "// This work is licensed under the\n// GNU General Public License,\n// version 3."), ("e/x", "All\nrights\nreserved."),
+        ("f/x", licenses.TEMPLATES[14][1]), ("g/x", "a person is free\nof charge\nto walk in a park that is hereby granted to the town"),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id int, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in rows(licenses.scan(df, F.col("path")))}
+    assert got == {0: ("MIT", "header"), 1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("BSD-3-Clause", "header"), 4: ("GPL-3.0", "header"), 5: ("Proprietary", "header"), 6: ("MIT", "header"), 7: (None, None)}
+
+
 # --- mixing ---
 
 

@@ -2,10 +2,11 @@
 
 Native: DataFrame functions only.
 
-Every line of a file that holds a marker word is a header candidate, and the whole of a
-licence file (named LICENSE, COPYING, NOTICE and the like) is one more.  Both are compared
+Every line of a file that holds a marker is a header candidate, and so is every run of up to ``WINDOW``
+adjacent lines that holds one, as headers are wrapped (lines without letters or digits don't count).  The whole
+of a licence file (named LICENSE, COPYING, NOTICE and the like) is one more.  All are compared
 with short license texts as sparse TF-IDF vectors: document frequencies of all terms are counted over
-all candidates of the corpus.  A term that no template has weighs by its own frequency too, but at most as a
+all candidates of the corpus but runs of several lines, which would count a line more than once.  A term that no template has weighs by its own frequency too, but at most as a
 term that none of the templates has among the templates alone (``UNKNOWN``): names and years are
 rarer the larger the corpus is, and must not lose a header for that.  A file takes the template
 with the highest cosine, if that is at least ``THRESHOLD``.  A file without one inherits from the nearest
@@ -31,6 +32,11 @@ from tidemark.llm.common import Workspace, fresh
 THRESHOLD = 0.6
 #: What a line must hold to be a header candidate, and licence files' names.
 MARKERS = "(?i)licen[sc]e|copyright|all rights reserved|spdx|public domain|redistribution"
+#: Markers that hold for a text of several lines too: the wording of grants, and markers that a line break may part.
+GRANTS = r"permission\W+is\W+hereby\W+granted|free\W+of\W+charge\W+to\W+any\W+person"
+WRAPPED = rf"{MARKERS}|{GRANTS}|all\W+rights\W+reserved|public\W+domain"
+#: Lines in a run at most; the longest template has 17 words.
+WINDOW = 4
 FILE_NAMES = "(?i)(^|/)(licen[sc]e|copying|copyright|notice|unlicense)([.-][a-z0-9]+)*$"
 #: License ids and the short texts by which files declare them.
 TEMPLATES = [
@@ -67,6 +73,16 @@ def _parents(path: Column) -> Column:
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).otherwise(F.array(F.lit("")))
 
 
+def _runs(text: Column) -> Column:
+    """Runs of two to ``WINDOW`` adjacent lines that hold a marker."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+
+    def of(k: int) -> Column:
+        return F.transform(lines, lambda _, i: F.when(i + k <= F.size(lines), F.array_join(F.slice(lines, i + 1, k), "\n")))
+
+    return F.filter(F.concat(*(of(k) for k in range(2, WINDOW + 1))), lambda x: x.isNotNull() & x.rlike(WRAPPED))
+
+
 def scan(files: DataFrame, path: Column, threshold: float = THRESHOLD) -> DataFrame:
     """The files with license_path, license, similarity, origin (file, header, inherited or null) and license_dir."""
     spark = files.sparkSession
@@ -76,19 +92,28 @@ def scan(files: DataFrame, path: Column, threshold: float = THRESHOLD) -> DataFr
     marked = files.withColumn(where, path).withColumn(named, F.coalesce(F.col(where).rlike(FILE_NAMES), F.lit(False)))
     marked = marked.withColumn(key, F.monotonically_increasing_id())
     out = [c for c in files.columns if c != "text"]
-    has = F.coalesce(F.col("text").rlike(MARKERS), F.lit(False))
-    lines = F.when(has, F.filter(F.split("text", "\n"), lambda x: x.rlike(MARKERS))).otherwise(F.array().cast("array<string>"))
-    found = work.stage(marked.select(*out, key, where, named, lines.alias("lines"), F.when(F.col(named), F.col("text")).alias("whole")), "files")
-
-    passages = found.select(key, F.posexplode(F.concat("lines", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(F.array().cast("array<string>")))).alias("nth", "passage"))
-    counts = passages.select(key, "nth", F.explode(terms(F.col("passage"))).alias("term")).groupBy(key, "nth", "term").agg(F.count("*").alias("tf"))
+    has = F.coalesce(F.col("text").rlike(WRAPPED), F.lit(False))
+    none = F.array().cast("array<struct<alone: boolean, passage: string>>")
+    passage = lambda alone, x: F.struct(F.lit(alone).alias("alone"), x.alias("passage"))
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(WRAPPED)), lambda x: passage(True, x))
+    found = work.stage(
+        marked.select(
+            *out, key, where, named,
+            F.when(has, F.concat(lines, F.transform(_runs(F.col("text")), lambda x: passage(False, x)))).otherwise(none).alias("lines"),
+            F.when(F.col(named) & F.col("text").isNotNull(), F.array(passage(True, F.col("text")))).otherwise(none).alias("whole"),
+        ),
+        "files",
+    )
+
+    passages = found.select(key, F.posexplode(F.concat("lines", "whole")).alias("nth", "p")).select(key, "nth", "p.alone", "p.passage")
+    counts = passages.select(key, "nth", "alone", F.explode(terms(F.col("passage"))).alias("term")).groupBy(key, "nth", "alone", "term").agg(F.count("*").alias("tf"))
     counts = work.stage(counts, "terms")
     templates = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEMPLATES)], "template int, license string, body string")
     own = templates.select("template", "license", F.explode(terms(F.col("body"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("t_tf"))
     vocabulary = own.select("term").distinct()
-    n = passages.count() + len(TEMPLATES)
+    n = passages.where("alone").count() + len(TEMPLATES)
     weight = lambda df: F.log(F.lit(1.0 + n) / (1 + df)) + 1
-    seen = work.stage(counts.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    seen = work.stage(counts.where("alone").groupBy("term").agg(F.count("*").alias("df")), "frequencies")
     held = seen.join(F.broadcast(vocabulary), "term")
     idf = vocabulary.join(F.broadcast(held), "term", "left").select("term", weight(F.coalesce("df", F.lit(0))).alias("idf"))
     weighted = own.join(idf, "term").withColumn("w", F.col("t_tf") * F.col("idf"))
