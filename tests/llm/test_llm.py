@@ -400,6 +400,14 @@ def test_field_adds_what_patterns_miss(spark, docs):
     assert clean <= 3
 
 
+def test_long_list_of_numbers():
+    f = pii.Field()
+    f.learn(pii.examples([]))
+    text = "Phones:\n" + "\n".join(f"(212) 555-{n:04d}" for n in range(187, 387))
+    want = [(8 + 15 * n, 22 + 15 * n, "phone") for n in range(200)]
+    assert pii.find(text, f) == ([], want)
+
+
 def test_pii_odd(spark, odd, docs):
     f = pii.Field()
     long = docs_of(spark, [(1, "1" * 100_000), (2, "a" * 50_000 + "@"), (3, "1." * 30_000), (4, "+1" + " " * 50_000), (5, "😀 mail a@b.co")])

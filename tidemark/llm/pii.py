@@ -4,7 +4,8 @@ Base patterns (email, ip, card, phone) are found exactly as stated in ``base_spa
 random field adds what they miss, such as phone numbers without a plus sign or addresses
 with "(at)".  It reads *islands*: runs of words that hold a digit, an at sign or a spelt
 one, with a word of context on either side.  Elsewhere no candidate segment can be personal data,
-so the field's best labelling there is empty and nothing is skipped.
+so the field's best labelling there is empty and nothing is skipped.  A run is read whole, however
+long it is: time and memory are linear in its words.
 
 Within an island every segment of up to ``MOST_WORDS`` words is a candidate of every type, scored
 by features of the whole span (digit count, groups, checksum, address form, the word
@@ -139,9 +140,6 @@ def islands(text: str) -> Iterator[list[tuple[int, int, bool]]]:
                 run.append((s, e, False))
         run.append((a, b, True))
         last = b
-        if len(run) >= 64:
-            yield run
-            run = [run[-1][:2] + (False,)]
     if run:
         yield run
 
@@ -210,11 +208,12 @@ class Field:
                 if e - s >= 5 and e - s <= 120:
                     yield i, j + 1, s, e, features(text[s:e], before, j - i + 1)
 
-    def lattice(self, text: str, run):
+    def lattice(self, text: str, run, kept: bool = True):
+        """Segments by their first word; features are kept for learning only."""
         by_start = defaultdict(list)
         for i, j, s, e, f in self.candidates(text, run):
             for kind in KINDS:
-                by_start[i].append((j, s, e, kind, f, sum(self.w.get((kind, x), 0.0) for x in f)))
+                by_start[i].append((j, s, e, kind, f if kept else None, sum(self.w.get((kind, x), 0.0) for x in f)))
         return by_start
 
     @staticmethod
@@ -235,7 +234,7 @@ class Field:
 
     def decode(self, text: str, run) -> list[tuple[int, int, str, float]]:
         """The best labelling's entities, with their marginal probabilities."""
-        n, by_start = len(run), self.lattice(text, run)
+        n, by_start = len(run), self.lattice(text, run, False)
         best, how = [0.0] + [-1e301] * n, [None] * (n + 1)
         for i in range(n):
             if best[i] > best[i + 1]:
