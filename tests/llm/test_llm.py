@@ -50,7 +50,6 @@ def check_packing(found, texts, capacity=2048):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = Counter()
     for i, text in texts:
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
@@ -83,6 +82,17 @@ def test_tokenizer_on_odd_space(spark):
     check_packing(rows(packing.pack(docs_of(spark, texts))), texts)
 
 
+def test_added_token_is_one_id(spark):
+    got = rows(packing.pack(docs_of(spark, [(1, "hello <|endoftext|> world"), (2, "<|endoftext|")]), keep_ids=True))
+    assert {r["doc_id"]: r["ids"] for r in got}[1] == [31373, 220, 50256, 995, 0]
+
+
+def test_one_common_length_in_many_groups(spark):
+    texts = [(i, "the same words") for i in range(300)]
+    n, total = check_packing(rows(packing.pack(docs_of(spark, texts), group_rows=7)), texts)
+    assert n == 1
+
+
 def test_kept_ids(spark):
     got = rows(packing.pack(docs_of(spark, [(1, "hello world"), (2, None)]), keep_ids=True))
     assert {r["doc_id"]: len(r["ids"]) for r in got} == {1: 3, 2: 1}
