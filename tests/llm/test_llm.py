@@ -250,54 +250,96 @@ def test_topk(spark):
     assert topk.search(few, few, 5).count() == 6
 
 
+def brute_top(ids, score, k):
+    return [(n + 1, j, s) for n, (s, j) in enumerate(sorted(((s, j) for j, s in zip(ids, score)), key=lambda x: (-x[0], x[1]))[:k])]
+
+
+def test_topk_of_large_and_common_vectors(spark):
+    """Components beyond what doubles hold exactly, a third of all rows equal, repeated ids, clashing columns."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 6)).round(2)
+    x[:40] = x[0]
+    x[50], x[51], x[52] = x[50] * 1e6, x[51] * 1e9 + 0.25, -x[52] * 1e12
+    x[60, 2] = 1e300
+    ids = [*range(119), 118]
+    v = spark.createDataFrame([(i, [float(y) for y in r], 1, 2) for i, r in zip(ids, x)], "vec_id bigint, embedding array<double>, row int, vec int")
+    w = [[int(np.floor(y * 256)) if abs(y) < 1e15 else int(y * 256) for y in r] for r in x]
+    cap = lambda s: max(-topk.MOST, min(topk.MOST, s))
+    got = defaultdict(list)
+    for r in rows(topk.search(v, v.where("vec_id % 10 = 0"), 5)):
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for i in range(0, 119, 10):
+        other = [j for j in range(120) if ids[j] != i]
+        want = brute_top([ids[j] for j in other], [cap(sum(a * b for a, b in zip(w[i], w[j]))) for j in other], 5)
+        assert sorted(got[i]) == want, i
+
+
+def near_of(x, i, measure):
+    s = x @ x[i] if measure == "ip" else -((x - x[i]) ** 2).sum(axis=1) if measure == "l2" else x @ x[i] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[i])
+    s[i] = -np.inf
+    return s
+
+
 @pytest.mark.parametrize("measure", ["ip", "l2", "cosine"])
 def test_ann(spark, measure):
     x, v = vectors_of(spark, 3000)
-    got = defaultdict(set)
-    for r in rows(ann.search(v, v.where("vec_id % 100 = 0"), 10, measure, short=60)):
+    got = defaultdict(list)
+    for r in rows(ann.search(v, v.where("vec_id % 100 = 0"), 10, measure)):
         assert r["query_id"] != r["vec_id"]
-        got[r["query_id"]].add(r["vec_id"])
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     hit = 0
     for i in range(0, 3000, 100):
-        s = x @ x[i] if measure == "ip" else -((x - x[i]) ** 2).sum(axis=1) if measure == "l2" else x @ x[i] / np.linalg.norm(x, axis=1)
-        s[i] = -np.inf
-        hit += len(set(np.argsort(-s)[:10].tolist()) & got[i])
+        s, found = near_of(x, i, measure), sorted(got[i])
+        hit += len(set(np.argsort(-s, kind="stable")[:10].tolist()) & {j for _, j, _ in found})
+        # Ranks, scores and ties of what is found are exact.
+        assert [n for n, _, _ in found] == list(range(1, 11)) and [p for _, _, p in found] == pytest.approx([s[j] for _, j, _ in found])
+        assert [(j, p) for _, j, p in found] == sorted(((j, p) for _, j, p in found), key=lambda y: (-y[1], y[0]))
     assert hit / 300 >= 0.9
     assert ann.search(v.limit(0), v, 5).count() == 0
 
 
-def block_search(x, cid, asked, k=20):
-    rng = np.random.default_rng(5)
-    left, books = x[rng.choice(len(x), min(len(x), 2000), replace=False)], []
-    for _ in range(ann.BOOKS):
-        c = ann.kmeans(left, 64, 4, rng)
-        books.append(np.concatenate([c, np.zeros((64 - len(c), x.shape[1]))]))
-        left = left - c[(left @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)]
-    model, got = ann.Codebooks(np.array(books)), defaultdict(list)
+def test_ann_of_a_small_table_is_brute_force(spark):
+    """Fewer rows than a list holds: all are scored exactly; equal rows, repeated ids, huge norms, clashing columns."""
+    x = np.random.default_rng(9).normal(size=(90, 5)).round(1)
+    x[10:30] = x[10]
+    x[40] *= 1e30
+    ids = [*range(89), 88]
+    v = spark.createDataFrame([(i, [float(y) for y in r], "a", 1) for i, r in zip(ids, x)], "vec_id bigint, embedding array<double>, row string, codes int")
+    got = defaultdict(list)
+    for r in rows(ann.search(v, v.where("vec_id % 20 = 0"), 20)):
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for i in range(0, 89, 20):
+        other = [j for j in range(90) if ids[j] != i]
+        want = brute_top([ids[j] for j in other], [float(np.einsum("nd,nd->n", x[i : i + 1], x[j : j + 1])[0]) for j in other], 20)
+        assert [(n, j) for n, j, _ in sorted(got[i])] == [(n, j) for n, j, _ in want]
+
+
+def lists_of(x, asked, k=20):
+    """The lists as the query makes them, in one block, and their length."""
+    model = ann.Codebooks.fitted(x[np.random.default_rng(5).choice(len(x), min(len(x), ann.SAMPLE), replace=False)])
     codes, norms = (np.concatenate(p) for p in zip(*(model.encode(x[i : i + 512]) for i in range(0, len(x), 512))))
-    for a, b, s in ann.search_block(model, cid[asked], x[asked], cid, x, codes, norms, k, ann.SHORT):
-        for i, j in zip(a, b):
-            got[i].append(int(cid[j]))
-    return got
+    n, got = ann.list_length(k, len(x)), []
+    for at, rough in ann.rough_scores(model, x[asked], codes, norms):
+        rough[np.arange(len(rough)), asked[at : at + len(rough)]] = -np.inf
+        a, b = ann.best_pairs(rough, n)
+        got += [b[a == i] for i in range(len(rough))]
+    return got, n
 
 
-def test_ann_recall_in_a_large_block():
-    x = np.random.default_rng(6).normal(size=(12_000, 64))
-    got = block_search(x, np.arange(len(x)), np.arange(0, len(x), 300))
-    hit = 0
-    for n, i in enumerate(range(0, len(x), 300)):
-        s = x @ x[i]
-        s[i] = -np.inf
-        hit += len(set(np.argsort(-s)[:20].tolist()) & set(got[n]))
-    assert hit / 800 >= 0.9
+@pytest.mark.parametrize("rows_of", [12_000, 60_000])
+def test_ann_recall_with_few_scored_exactly(rows_of):
+    x = np.random.default_rng(6).normal(size=(rows_of, 64))
+    asked = np.arange(0, len(x), len(x) // 50)
+    got, n = lists_of(x, asked)
+    assert n < 0.05 * len(x)
+    assert np.mean([len(set(np.argsort(-near_of(x, i, "ip"))[:20]) & set(l)) / 20 for i, l in zip(asked, got)]) >= 0.9
 
 
 def test_ann_many_equal_candidates():
     x = np.random.default_rng(7).normal(size=(3000, 16))
     x[1000:] = 3 * x[0]
-    cid = np.random.default_rng(8).permutation(3000)
-    got = block_search(x, cid, np.array([0]))
-    assert got[0] == sorted(cid[1000:].tolist())[:20]
+    got, n = lists_of(x, np.array([0]))
+    assert got[0].tolist() == list(range(1000, 1000 + n))
 
 
 # --- simhash ---

@@ -1,21 +1,23 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is approximated by a sum of one entry from each of ``BOOKS`` full-dimensional
-codebooks, fitted one after the other to what the earlier ones leave (k-means on a bounded
-sample).  Encoding keeps the ``BEAM`` best partial sums at each book.  A query's inner
-products with all entries form a lookup table; a candidate's approximate score is the sum
-of its codes' places there, with its stored norm where the measure needs it (l2, cosine).
-Each block's best ``SHARE`` of its candidates by that score (``SHORT`` at least), and all that equal
-the last of them, are then scored exactly on the original vectors.  A share, as the true neighbours' places
-by approximate score spread with the number of candidates: a fixed list loses recall as tables grow.
-
-Every row is encoded and searched.  Candidates and queries meet in a grid of hashed blocks
-of bounded size, so neither is broadcast; a block sends at most k rows for each query.
+A vector's direction is approximated by a sum of one entry from each of several full-dimensional
+codebooks (one for about two dimensions), fitted one after the other to what the earlier
+ones leave (k-means on a bounded sample); its norm is stored.  Encoding keeps the ``BEAM`` best partial
+sums at each book.  A query's inner products with all entries form a lookup table; a candidate's approximate
+score is the sum of its codes' places there, with its stored norm as the measure has it.
+
+1. Codes meet queries in a grid of hashed blocks.  Codes and norms travel, about 40 bytes a candidate; vectors don't.
+   Each block gives each query its share of the list, with room for chance.
+2. A query's list is the best over all blocks: k log2(n) candidates for n in the table, as the true
+   neighbours' places by approximate score spread with its logarithm.
+3. Vectors are fetched for listed candidates only, once for each block of queries that wants them, and scored exactly.
+
+Every row is encoded and searched, and neither candidates nor queries are broadcast.
 
 Defined results: rows with null ids and vectors that are null, empty, zero or hold null or
 non-finite components take no part; vectors of another length than most are left out too.
-Rows with the same vec_id are all candidates, but not for a query with that id.  Equal scores rank the
-smaller vec_id first.  Empty tables give no rows.
+Rows with the same vec_id are all candidates, but not for a query with that id; queries with the same vec_id are
+each answered.  Equal scores rank the smaller vec_id first.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,83 +32,90 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, ship
-from tidemark.llm.vectors import BLOCK_ROWS, BLOCKS, QUERY_ROWS, best, block_of, blocks_for, matrix, usable
+from tidemark.llm.vectors import BLOCKS, CELL_PAIRS, best_pairs, block_of, blocks_for, every, matrix, resolved, usable
+
+ENTRIES, BEAM = 256, 3
+#: Codebooks for each dimension, and how many at least and at most.
+BOOKS_EACH, BOOKS_LEAST, BOOKS_MOST = 7 / 16, 8, 64
+#: Vectors that codebooks are fitted to, at most, and rounds of k-means.
+SAMPLE, ROUNDS = 8_192, 5
+#: Codes and queries in a block, about, and query-candidate pairs in memory at once.
+CODE_ROWS, QUERY_ROWS, PAIRS = 1 << 18, 4_096, 1 << 22
+BIG = float(np.finfo(np.float32).max)
+
 
-BOOKS, ENTRIES, BEAM = 8, 128, 4
-#: Vectors that codebooks are fitted to, at most.
-SAMPLE = 4_096
-#: Candidates of a block scored exactly for each query: this share of them, and so many at least.
-SHARE, SHORT = 3 / 16, 160
-#: Query-candidate pairs in memory at once, about: all of a block's, and those scored exactly.
-PAIRS, EXACT_PAIRS = 1 << 22, 1 << 16
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors as floats, and the norms; scaled by the largest component, so that no square overflows."""
+    most = np.abs(x).max(axis=1, keepdims=True, initial=0)
+    scaled = x / np.where(most > 0, most, 1)
+    size = np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+    with np.errstate(over="ignore"):
+        return (scaled / np.where(size > 0, size, 1)).astype(np.float32), np.minimum((size * most)[:, 0], np.finfo(float).max)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = (x @ centres.T - (centres * centres).sum(axis=1) / 2).argmax(axis=1)
+        near = nearest(x, centres)
         n = np.bincount(near, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+        member = np.zeros((len(x), k), np.float32)
+        member[np.arange(len(x)), near] = 1
+        centres[n > 0] = (member.T @ x)[n > 0] / n[n > 0, None]
     return centres
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x @ centres.T - (centres * centres).sum(axis=1) / 2).argmax(axis=1)
+
+
 @dataclass
 class Codebooks:
-    """books: (BOOKS, entries, dimensions); products: inner products of all entries with all."""
+    """books: (books, entries, dimensions)."""
 
     books: np.ndarray
 
-    def __post_init__(self):
-        flat = self.books.reshape(-1, self.books.shape[2])
-        self.products = flat @ flat.T
+    @staticmethod
+    def fitted(x: np.ndarray, books: int | None = None, entries: int = ENTRIES, seed: int = 3) -> Codebooks:
+        left, _ = directions(x)
+        rng, out = np.random.default_rng(seed), []
+        for _ in range(books or min(BOOKS_MOST, max(BOOKS_LEAST, round(BOOKS_EACH * x.shape[1])))):
+            c = kmeans(left, entries, ROUNDS, rng)
+            left = left - c[nearest(left, c)]
+            out.append(np.concatenate([c, np.zeros((entries - len(c), c.shape[1]), np.float32)]))
+        return Codebooks(np.array(out, np.float32))
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and squared norms of the approximations, by beam search."""
-        m, k, _ = self.books.shape
-        own = x @ self.books.reshape(m * k, -1).T
-        n = len(x)
-        codes = np.zeros((n, 1, 0), np.int64)
-        # |x - sum|^2 without |x|^2, and the squared norm of the sum.
-        norms = np.zeros((n, 1))
-        errors = np.zeros((n, 1))
-        for b in range(m):
-            at = b * k + np.arange(k)
-            cross = np.zeros((n, codes.shape[1], k))
-            for a in range(b):
-                cross += self.products[a * k : (a + 1) * k, at][codes[:, :, a]]
-            grown = norms[:, :, None] + 2 * cross + self.products[at, at]
-            tried = errors[:, :, None] - 2 * own[:, None, at] + 2 * cross + self.products[at, at]
-            flat = tried.reshape(n, -1)
-            keep = min(beam, flat.shape[1])
-            chosen = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
-            parent, entry = chosen // k, chosen % k
-            codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], axis=1) if b else np.zeros((n, keep, 0), np.int64), entry[:, :, None]], axis=2)
-            errors = np.take_along_axis(flat, chosen, axis=1)
-            norms = np.take_along_axis(grown.reshape(n, -1), chosen, axis=1)
-        first = errors.argmin(axis=1)
+        """Codes of the directions by beam search, and the norms."""
+        unit, norms = directions(x)
+        (m, k, d), n = self.books.shape, len(x)
+        left, codes, errors = unit[:, None, :], np.zeros((n, 1, 0), np.uint8), (unit * unit).sum(axis=1)[:, None]
         rows = np.arange(n)
-        return codes[rows, first].astype(np.uint8), norms[rows, first]
+        for c in self.books:
+            # |left - entry|^2 of all partial sums with all entries; the smallest few one after the other.
+            tried = (errors[:, :, None] - 2 * (left.reshape(-1, d) @ c.T).reshape(n, -1, k) + (c * c).sum(axis=1)).reshape(n, -1)
+            chosen = np.empty((n, min(beam, tried.shape[1])), np.int64)
+            errors = np.empty(chosen.shape, np.float32)
+            for j in range(chosen.shape[1]):
+                chosen[:, j] = tried.argmin(axis=1)
+                errors[:, j] = tried[rows, chosen[:, j]]
+                tried[rows, chosen[:, j]] = np.inf
+            parent, entry = chosen // k, chosen % k
+            left = left[rows[:, None], parent] - c[entry]
+            codes = np.concatenate([codes[rows[:, None], parent], entry[:, :, None].astype(np.uint8)], axis=2)
+        return codes[rows, errors.argmin(axis=1)], norms
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE, books: int = BOOKS, entries: int = ENTRIES, seed: int = 3) -> Codebooks | None:
+def fit(vectors: DataFrame, sample: int = SAMPLE) -> Codebooks | None:
     """Codebooks for the sample of vectors with the smallest hashed ids."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow()["vec"].combine_chunks()
-    if not len(rows):
-        return None
-    left, rng, out = matrix(rows), np.random.default_rng(seed), []
-    for _ in range(books):
-        c = kmeans(left, entries, 8, rng)
-        out.append(np.concatenate([c, np.zeros((entries - len(c), c.shape[1]))]))
-        left = left - c[(left @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)]
-    return Codebooks(np.array(out))
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow()["vec"]
+    return Codebooks.fitted(matrix(rows)) if len(rows) else None
 
 
 def encoded(vectors: DataFrame, model: Codebooks) -> DataFrame:
     """vec_id, vec, codes, norm of every vector."""
     shared = vectors.sparkSession.sparkContext.broadcast(model)
+    kind = vectors.schema["vec"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +124,7 @@ def encoded(vectors: DataFrame, model: Codebooks) -> DataFrame:
                 codes, norms = shared.value.encode(matrix(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "vec", "codes", "norm"])
 
-    return vectors.select("vec_id", "vec").mapInArrow(run, "vec_id bigint, vec array<double>, codes binary, norm double")
+    return vectors.select("vec_id", "vec").mapInArrow(run, f"vec_id bigint, vec {kind}, codes binary, norm double")
 
 
 def measured(q: np.ndarray, x: np.ndarray, measure: str) -> np.ndarray:
@@ -124,78 +133,84 @@ def measured(q: np.ndarray, x: np.ndarray, measure: str) -> np.ndarray:
     if measure == "ip":
         return dot
     if measure == "l2":
-        return -((q * q).sum(axis=1) - 2 * dot + (x * x).sum(axis=1))
+        return -((q - x) ** 2).sum(axis=1)
     return dot / np.sqrt((q * q).sum(axis=1) * (x * x).sum(axis=1))
 
 
-def search_block(model: Codebooks, qid, q, cid, x, codes, norms, k: int, short: int, measure: str = "ip"):
-    """(query place, candidate place, exact score) of each query's k best of a block, by its short list."""
-    m, entries, _ = model.books.shape
-    flat = model.books.reshape(m * entries, -1).astype(np.float32)
-    order = np.argsort(cid, kind="stable")
-    cid, x, codes, norms = cid[order], x[order], codes[order], norms[order]
-    n = max(short, math.ceil(SHARE * len(cid)))
-    step = max(8, min(256, PAIRS // len(cid)))
+def list_length(k: int, n: int) -> int:
+    """Candidates scored exactly for each query, of n in the table."""
+    return k * max(8, math.ceil(math.log2(max(2, n))))
+
+
+def block_share(length: int, blocks: int) -> int:
+    """What a block gives to a list: its share, and three standard deviations of it, as candidates are dealt by hash."""
+    mean = length / blocks
+    return min(length, math.ceil(mean + 3 * math.sqrt(mean) + 3))
+
+
+def rough_scores(model: Codebooks, q: np.ndarray, codes: np.ndarray, norms: np.ndarray, measure: str = "ip") -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, scores by query and candidate) by lookup tables, some queries at a time."""
+    m, entries, d = model.books.shape
+    flat = model.books.reshape(m * entries, d)
+    unit, sizes = directions(q)
+    step = max(8, min(256, PAIRS // max(1, len(codes))))
     for at in range(0, len(q), step):
-        some = q[at : at + step]
         # Lookup tables with entries as rows: a candidate's score adds a row for each of its codes.
-        look = flat @ some.T.astype(np.float32)
+        look = flat @ unit[at : at + step].T
         rough = look[codes[:, 0]]
         for b in range(1, m):
             rough += look[b * entries + codes[:, b].astype(np.int64)]
-        if measure == "l2":
-            rough = 2 * rough - norms[:, None].astype(np.float32)
-        elif measure == "cosine":
-            rough = rough / np.sqrt(np.maximum(norms, 1e-12))[:, None].astype(np.float32)
-        rough[cid[:, None] == qid[None, at : at + step]] = -np.inf
-        rough = np.ascontiguousarray(rough.T)
-        listed = ~np.isneginf(rough)
-        if n < len(cid):
-            listed &= rough >= np.partition(rough, len(cid) - n, axis=1)[:, len(cid) - n, None]
-        rows, cols = np.nonzero(listed)
-        exact = np.full(rough.shape, -np.inf)
-        for r in range(0, len(rows), EXACT_PAIRS):
-            i, j = rows[r : r + EXACT_PAIRS], cols[r : r + EXACT_PAIRS]
-            exact[i, j] = measured(some[i], x[j], measure)
-        top = best(exact, cid, k)
-        score = np.take_along_axis(exact, top, axis=1)
-        rows, cols = np.nonzero(~np.isneginf(score))
-        yield at + rows, order[top[rows, cols]], score[rows, cols]
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, measure: str = "ip", column: str = "embedding", short: int = SHORT) -> DataFrame:
+        with np.errstate(over="ignore"):
+            if measure == "ip":
+                rough *= np.minimum(norms, BIG)[:, None].astype(np.float32)
+            elif measure == "l2":
+                rough = (2 * rough * norms[:, None] * sizes[None, at : at + step] - (norms * norms)[:, None]).astype(np.float32)
+        yield at, np.ascontiguousarray(np.nan_to_num(np.clip(rough, -BIG, BIG, out=rough), copy=False, nan=-BIG).T)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, measure: str = "ip", column: str = "embedding", length: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, from all vectors."""
     spark = vectors.sparkSession
     ship(spark)
     work = Workspace(spark, "ann")
-    zero = False
-    base = usable(vectors, column, zero)
+    base = usable(vectors, column, False)
     wide = base.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    none = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if wide is None:
-        return none
-    fit_in = F.size("vec") == wide["d"]
-    base = base.where(fit_in)
-    asked = usable(queries, column, zero).where(fit_in).select(F.col("vec_id").cast("bigint").alias("vec_id"), "vec")
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    # Floats stay floats, which halves what travels and loses nothing.
+    kind = "array<float>" if vectors.schema[column].dataType.simpleString() == queries.schema[column].dataType.simpleString() == "array<float>" else "array<double>"
+    ready = lambda df: df.where(F.size("vec") == wide["d"]).select("vec_id", F.col("vec").cast(kind).alias("vec"))
+    base, asked = ready(base), ready(usable(queries, column, False))
     model = fit(base)
-    index = work.stage(encoded(base.select(F.col("vec_id").cast("bigint").alias("vec_id"), "vec"), model), "index")
-    n_queries = asked.count()
-    blocks, asks = blocks_for(wide["n"], BLOCK_ROWS, BLOCKS), blocks_for(n_queries, QUERY_ROWS, 1)
+    index = work.stage(encoded(base, model).withColumn("row", F.monotonically_increasing_id()), "index")
+    asked = work.stage(asked.withColumn("row", F.monotonically_increasing_id()), "asked")
+    n_queries, length = asked.count(), length or list_length(k, wide["n"])
+    blocks, asks = blocks_for(wide["n"], CODE_ROWS, BLOCKS), blocks_for(n_queries, QUERY_ROWS, 1)
+    share = block_share(length, blocks)
     shared = spark.sparkContext.broadcast(model)
-    left = asked.select("vec_id", "vec", block_of(asks, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
-    right = index.select("vec_id", "vec", "codes", "norm", block_of(blocks, 2).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("qb"))
+    left = asked.select("vec_id", "row", "vec", block_of(asks, 1).alias("qb"), every(blocks).alias("cb"))
+    right = index.select("vec_id", "row", "codes", "norm", block_of(blocks, 2).alias("cb"), every(asks).alias("qb"))
 
     def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
-        if not q.num_rows or not c.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        q, c = q.combine_chunks(), c.combine_chunks()
-        qid, cid = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
-        codes = np.frombuffer(b"".join(c["codes"].to_pylist()), np.uint8).reshape(len(cid), -1)
-        found = list(search_block(shared.value, qid, matrix(q["vec"].combine_chunks()), cid, matrix(c["vec"].combine_chunks()), codes, c["norm"].to_numpy(), k, short, measure))
-        a, b, s = (np.concatenate(x) for x in zip(*found))
-        return pa.table([pa.array(qid[a]), pa.array(cid[b]), pa.array(s)], names=names)
-
-    local = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(cell, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        kinds = {"query_row": pa.int64(), "row": pa.int64(), "vec_id": pa.int64(), "rough": pa.float32()}
+        found = []
+        if q.num_rows and c.num_rows:
+            order = np.lexsort((c["row"].to_numpy(), c["vec_id"].to_numpy()))
+            cid, crow, norms = (c[x].to_numpy()[order] for x in ("vec_id", "row", "norm"))
+            codes = np.frombuffer(b"".join(c["codes"].to_pylist()), np.uint8).reshape(len(cid), -1)[order]
+            qid, qrow = q["vec_id"].to_numpy(), q["row"].to_numpy()
+            for at, rough in rough_scores(shared.value, matrix(q["vec"]), codes, norms, measure):
+                rough[qid[at : at + len(rough), None] == cid[None]] = -np.inf
+                a, b = best_pairs(rough, share)
+                found.append((qrow[at + a], crow[b], cid[b], rough[a, b]))
+        cols = [np.concatenate(x) for x in zip(*found)] or [[]] * 4
+        return pa.table([pa.array(x, t) for x, t in zip(cols, kinds.values())], names=list(kinds))
+
+    local = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(cell, "query_row bigint, row bigint, vec_id bigint, rough float")
+    nth = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("rough"), "vec_id", "row"))
+    lists = work.stage(local.withColumn("nth", nth).where(F.col("nth") <= length).select("query_row", "row", "vec_id"), "lists")
+    cells = max(1, -(-n_queries * length // (asks * CELL_PAIRS)))
+    scored = resolved(lists, asked, index, asks, cells, lambda q, x: measured(q, x, measure), "double")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
+    top = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return top.join(asked.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id")), "query_row").select("query_id", "rank", "vec_id", "score")

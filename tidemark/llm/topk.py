@@ -4,20 +4,24 @@ A score is a sum over ``PARTS`` nodes, each of which holds one range of a vector
 components and can list its candidates by their local share of the score (nodes are split
 further into blocks of candidates).
 
-1. Every node gives each query the k candidates with its highest local shares.  Their exact
+1. Every node gives each query the candidates with its highest local shares.  Their exact
    scores are resolved; the k-th highest is a score that k candidates reach: the cutoff.
 2. The cutoff goes to all nodes.  Each gives every candidate whose local share is at least
    cutoff / PARTS.  A candidate that no node gives has a score below the cutoff.
 3. Candidates given by all nodes have their score by addition; the others are resolved
    on their vectors.  The k highest are exact.
 
-Scores are integer inner products of floor(256 x).  They are computed in doubles, exact up to
-2**53: components up to 2**23 in size for 64 of them; larger ones raise an error.
+Candidates are the distinct vectors, so that copies of one vector are compared once; a vector found brings in the
+rows with the smallest ids that hold it.  A query's own id leaves at the end, so k above is the number of places asked
+for and as many more as rows share an id (mostly one).
+
+Scores are integer inner products of floor(256 x), whatever the components: in doubles where these are exact, else in
+Python's integers.  Scores beyond 62 bits are given as the nearest long that is not (both ways).
 
 Defined results: null ids and vectors that are null, empty or hold null or non-finite
 components take no part, nor do vectors of another length than most.  Rows with the same
-vec_id are all candidates, but not for a query with that id.  Equal scores rank the smaller
-vec_id first.  Empty tables give no rows.
+vec_id are all candidates, but not for a query with that id; queries with the same vec_id are each answered.
+Equal scores rank the smaller vec_id first.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,20 +32,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, ship
-from tidemark.llm.vectors import BLOCK_ROWS, BLOCKS, QUERY_ROWS, best, block_of, blocks_for, matrix, usable
+from tidemark.llm.vectors import BLOCKS, CELL_PAIRS, best_pairs, block_of, blocks_for, every, matrix, resolved, usable
 
 PARTS = 2
 SCALE = 256
+#: Candidates and queries in a block, about, and query-candidate pairs in memory at once.
+BLOCK_ROWS, QUERY_ROWS, PAIRS = 65_536, 8_192, 1 << 23
+#: Doubles are exact below this; scores and shares end at ``MOST``.
+EXACT, MOST = 2.0**53, 2**62 - 1
+
+
+def whole_numbers(vec: str = "vec"):
+    """floor(256 x) of every component as doubles: from 2**53 on they are whole already."""
+    big = F.lit(float(np.finfo(float).max))
+    return F.transform(vec, lambda x: F.when(F.abs(x) < EXACT / SCALE, F.floor(x * SCALE).cast("double")).otherwise(F.least(big, F.greatest(-big, x * SCALE))))
+
+
+def _python_dot(a: np.ndarray, b: np.ndarray) -> int:
+    return max(-MOST, min(MOST, sum(int(x) * int(y) for x, y in zip(a, b))))
 
 
-def _empty(names: list[str]) -> pa.Table:
-    return pa.table([pa.array([], pa.int64())] * len(names), names=names)
+def sizes(x: np.ndarray) -> np.ndarray:
+    return np.abs(x).max(axis=1, initial=0)
 
 
-def _shares(q: np.ndarray, c: np.ndarray, qid: np.ndarray, cid: np.ndarray) -> np.ndarray:
-    s = q @ c.T
-    s[qid[:, None] == cid[None, :]] = -np.inf
-    return s
+def inner(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of q with all of c, as longs."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        s, bound = q @ c.T, sizes(q)[:, None] * sizes(c)[None] * q.shape[1]
+    loose = bound >= EXACT
+    out = np.where(loose, 0, s).astype(np.int64)
+    for i, j in zip(*np.nonzero(loose)):
+        out[i, j] = _python_dot(q[i], c[j])
+    return out
+
+
+def dots(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of rows side by side, as longs."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        s, loose = np.einsum("nd,nd->n", q, c), sizes(q) * sizes(c) * q.shape[1] >= EXACT
+    out = np.where(loose, 0, s).astype(np.int64)
+    for i in np.flatnonzero(loose):
+        out[i] = _python_dot(q[i], c[i])
+    return out
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, column: str = "embedding", parts: int = PARTS) -> DataFrame:
@@ -49,83 +82,72 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, column: str = "em
     spark = vectors.sparkSession
     ship(spark)
     work = Workspace(spark, "topk")
-    names = ["query_id", "vec_id", "row", "part", "share"]
     clean = usable(vectors, column)
-    wide = clean.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    wide = clean.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vec", F.abs))).alias("most")).orderBy(F.desc("n"), "d").first()
     if wide is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    d = wide["d"]
-    whole = F.transform("vec", lambda x: F.floor(x * SCALE).cast("double"))
-    limit = float(2**53) / d
-    bound = F.forall("vec", lambda x: x * x < limit)
-    ready = lambda df: usable(df, column).where(F.size("vec") == d).select(F.col("vec_id").cast("bigint").alias("vec_id"), whole.alias("vec")).withColumn("vec", F.when(bound, F.col("vec")).otherwise(F.raise_error(F.lit("a component is too large for exact scores"))))
-    # A row number by id and content keeps rows with the same vec_id apart.
-    base, asked = work.stage(ready(vectors).withColumn("row", F.monotonically_increasing_id()), "base"), work.stage(ready(queries).withColumn("row", F.monotonically_increasing_id()), "asked")
-    blocks, asks = blocks_for(wide["n"], BLOCK_ROWS, BLOCKS), blocks_for(asked.count(), QUERY_ROWS, 1)
+    d, own = wide["d"], usable(queries, column).where(F.size("vec") == wide["d"])
+    most = max(wide["most"], own.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 0.0)
+    # The narrowest numbers that hold all components: they travel once for each block of queries.
+    kind = "array<smallint>" if most < 100 else "array<int>" if most < 2**22 else "array<double>"
+    ready = lambda df: df.select("vec_id", whole_numbers().cast(kind).alias("vec")).withColumn("row", F.monotonically_increasing_id())
+    base, asked = work.stage(ready(clean.where(F.size("vec") == d)), "base"), work.stage(ready(own), "asked")
+    # A query's own id can hold so many of the places, and no more.
+    same = base.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0
+    places = k + same
+    copies = Window.partitionBy("vec").orderBy("vec_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    members = base.select("vec", "vec_id", "row", F.row_number().over(copies).alias("nth"), F.first("row").over(copies).alias("class")).where(F.col("nth") <= places)
+    members = work.stage(members, "members")
+    index = members.where("nth = 1").drop("nth", "class")
+    blocks, asks = blocks_for(index.count(), BLOCK_ROWS, BLOCKS), blocks_for(asked.count(), QUERY_ROWS, 1)
     edges = [round(d * i / parts) for i in range(parts + 1)]
     split = F.array(*(F.struct(F.lit(i).alias("part"), F.slice("vec", a + 1, b - a).alias("vec")) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
-    cut = lambda df: df.select("vec_id", "row", *(c for c in df.columns if c in ("qb", "cb", "cutoff")), F.explode(split).alias("x")).select("*", "x.part", "x.vec").drop("x")
-    candidates = base.withColumn("cb", block_of(blocks, 2)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
-    asking = asked.withColumn("qb", block_of(asks, 1)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    nodes = cut(candidates)
-
-    def arrays(t: pa.Table):
-        t = t.combine_chunks()
-        return t, t["vec_id"].to_numpy(), matrix(t["vec"].combine_chunks())
+    cut = lambda df: df.withColumn("x", F.explode(split)).withColumn("part", F.col("x.part")).withColumn("vec", F.col("x.vec")).drop("x")
+    nodes = cut(index.withColumn("cb", block_of(blocks, 2)).withColumn("qb", every(asks)))
+    asking = asked.drop("vec_id").withColumn("qb", block_of(asks, 1)).withColumn("cb", every(blocks))
+    names, shape = ["query_row", "row", "vec_id", "share"], "query_row bigint, row bigint, vec_id bigint, share bigint"
 
     def shares(ask: bool):
         def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-            if not q.num_rows or not c.num_rows:
-                return _empty(names)
-            (q, qid, qv), (c, cid, cv) = arrays(q), arrays(c)
-            part, qrow, crow, out = c["part"][0].as_py(), q["row"].to_numpy(), c["row"].to_numpy(), []
-            cutoff = q["cutoff"].to_numpy(zero_copy_only=False).astype(float) if ask else None
-            for at in range(0, len(qid), 256):
-                s = _shares(qv[at : at + 256], cv, qid[at : at + 256], cid)
-                if ask:
-                    low = np.where(np.isnan(cutoff[at : at + 256]), -np.finfo(float).max, cutoff[at : at + 256])
-                    a, b = np.nonzero(s >= (low / parts)[:, None])
-                else:
-                    b = best(s, cid, k)
-                    a = np.repeat(np.arange(len(b)), b.shape[1])
-                    b = b.ravel()
-                    some = ~np.isneginf(s[a, b])
-                    a, b = a[some], b[some]
-                out.append((qrow[at + a], cid[b], crow[b], np.full(len(a), part), s[a, b].astype(np.int64)))
-            return pa.table([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=names)
+            found = []
+            if q.num_rows and c.num_rows:
+                order = np.lexsort((c["row"].to_numpy(), c["vec_id"].to_numpy()))
+                cid, crow, cv = c["vec_id"].to_numpy()[order], c["row"].to_numpy()[order], matrix(c["vec"])[order]
+                qrow, qv = q["row"].to_numpy(), matrix(q["vec"])
+                step = max(8, PAIRS // len(cid))
+                for at in range(0, len(qrow), step):
+                    s = inner(qv[at : at + step], cv)
+                    if ask:
+                        low = q["cutoff"].slice(at, step).fill_null(-(2**63)).to_numpy()
+                        a, b = np.nonzero(s >= (low // parts + (low % parts > 0))[:, None])
+                    else:
+                        a, b = best_pairs(s.astype(float), places)
+                    found.append((qrow[at + a], crow[b], cid[b], s[a, b]))
+            cols = [np.concatenate(x) for x in zip(*found)] or [[]] * 4
+            # A share at the end of the range may be cut off there: no addition is right with it.
+            share = pa.array(cols[3], pa.int64(), mask=np.abs(np.asarray(cols[3], np.int64)) >= MOST)
+            return pa.table([*(pa.array(x, pa.int64()) for x in cols[:3]), share], names=names)
 
         return cell
 
-    def resolve(pairs: DataFrame) -> DataFrame:
-        """query row, vec_id, row, score of (query_id, vec_id, row), on the vectors."""
-        put = pairs.join(asked.select(F.col("row").alias("query_id"), F.col("vec").alias("q")), "query_id")
-
-        def cell(key, p: pa.Table, c: pa.Table) -> pa.Table:
-            if not p.num_rows:
-                return _empty(["query_id", "vec_id", "row", "score"])
-            p, c = p.combine_chunks(), c.combine_chunks()
-            rows = c["row"].to_numpy()
-            order = np.argsort(rows)
-            place = order[np.searchsorted(rows, p["row"].to_numpy(), sorter=order)]
-            cv, out = matrix(c["vec"].combine_chunks()), np.empty(p.num_rows)
-            qv = p["q"].combine_chunks()
-            for at in range(0, p.num_rows, 8192):
-                out[at : at + 8192] = np.einsum("pd,pd->p", matrix(qv.slice(at, 8192)), cv[place[at : at + 8192]])
-            return pa.table([p["query_id"], p["vec_id"], p["row"], pa.array(out.astype(np.int64))], names=["query_id", "vec_id", "row", "score"])
-
-        left = put.withColumn("cb", block_of(blocks * 4, 3, "row")).groupBy("cb")
-        return left.cogroup(base.withColumn("cb", block_of(blocks * 4, 3, "row")).groupBy("cb")).applyInArrow(cell, "query_id bigint, vec_id bigint, row bigint, score bigint")
-
-    keys, kind = ["qb", "cb", "part"], "query_id bigint, vec_id bigint, row bigint, part bigint, share bigint"
-    first = cut(asking).groupBy(*keys).cogroup(nodes.groupBy(*keys)).applyInArrow(shares(False), kind)
-    known = resolve(work.stage(first.select("query_id", "vec_id", "row").distinct(), "first"))
-    high = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    cutoffs = work.stage(known.withColumn("nth", F.row_number().over(high)).where(F.col("nth") == k).select(F.col("query_id").alias("row"), F.col("score").alias("cutoff")), "cutoffs")
+    def exactly(pairs: DataFrame) -> DataFrame:
+        pairs = work.stage(pairs, "pairs")
+        cells = max(1, -(-pairs.count() // (asks * CELL_PAIRS)))
+        return resolved(pairs, asked, index, asks, cells, dots, "bigint")
+
+    keys = ["qb", "cb", "part"]
+    first = cut(asking).groupBy(*keys).cogroup(nodes.groupBy(*keys)).applyInArrow(shares(False), shape)
+    known = exactly(first.select("query_row", "row", "vec_id").distinct())
+    nth = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "row"))
+    cutoffs = work.stage(known.withColumn("nth", nth).where(F.col("nth") == places).select(F.col("query_row").alias("row"), F.col("score").alias("cutoff")), "cutoffs")
     told = cut(asking.join(cutoffs, "row", "left"))
-    given = work.stage(told.groupBy(*keys).cogroup(nodes.groupBy(*keys)).applyInArrow(shares(True), kind), "given")
-    seen = given.groupBy("query_id", "vec_id", "row").agg(F.sum("share").alias("score"), F.count("*").alias("n"))
+    given = told.groupBy(*keys).cogroup(nodes.groupBy(*keys)).applyInArrow(shares(True), shape)
+    seen = given.groupBy("query_row", "row", "vec_id").agg(F.sum("share").alias("score"), F.count("share").alias("n"))
     seen = work.stage(seen, "seen")
-    scored = seen.where(F.col("n") == parts).select("query_id", "vec_id", "row", "score").unionByName(resolve(seen.where(F.col("n") < parts).select("query_id", "vec_id", "row")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row")
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return top.join(asked.select(F.col("row").alias("query_id"), F.col("vec_id").alias("asked_id")), "query_id").select(F.col("asked_id").alias("query_id"), "rank", "vec_id", "score")
+    pair = ["query_row", "row", "vec_id"]
+    scored = seen.where(F.col("n") == parts).select(*pair, "score").unionByName(exactly(seen.where(F.col("n") < parts).select(*pair)))
+    high = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    found = scored.withColumn("nth", F.row_number().over(high)).where(F.col("nth") <= places).select("query_row", F.col("row").alias("class"), "score")
+    whose = asked.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    rows = found.join(members.select("class", "vec_id", "row"), "class").join(whose, "query_row").where("vec_id <> query_id")
+    return rows.withColumn("rank", F.row_number().over(high)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
