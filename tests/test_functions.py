@@ -1,10 +1,15 @@
 """Functions against known values and small rules."""
 
+import itertools
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import seeded as S
 from tidemark.functions import text as X
 from tidemark.operators import adjudication, archive
+from tidemark.sources import tables
 from tidemark.streaming import rollup
 
 
@@ -13,13 +18,14 @@ def one(spark, **columns):
 
 
 def test_fnv_vectors(spark):
-    r = one(spark, a=S.fnv1a(F.lit("")), b=S.fnv1a(F.lit("a")), c=S.fnv1a(F.lit("foobar")), d=F.size(S.utf16_units(F.lit("😀"))))
-    assert (r.a, r.b, r.c, r.d) == (0x811C9DC5, 0xE40C292C, 0xBF9CF968, 2)
+    r = one(spark, a=S.fnv1a(F.lit("")), b=S.fnv1a(F.lit("a")), c=S.fnv1a(F.lit("foobar")), d=S.fnv1a(F.lit(None).cast("string")), e=S.name_seed(F.lit(None).cast("string")), f=S.fnv1a(F.lit("untitled")), g=S.text_seed(F.lit("")), h=S.fnv1a(F.lit("empty")))
+    assert (r.a, r.b, r.c, r.d) == (0x811C9DC5, 0xE40C292C, 0xBF9CF968, None)
+    assert r.e == r.f and r.g == r.h
 
 
 def test_fnv_of_long_and_odd_texts(spark):
-    texts = ["é" * 3000 + "x", "a😀b" * 500, " ", "\u2028", "😀", "a\x00b"]
-    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.fnv1a(F.col("t")).alias("h"))
+    texts = ["é" * 3000 + "x", "a😀b" * 500, " ", "\u2028", "😀", "a\x00b", "", *("x" * (n % 37) for n in range(600))]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", S.fnv1a(F.col("t")).alias("h"))
     for r in d.collect():
         h, raw = 0x811C9DC5, r.t.encode("utf-16-be")
         for k in range(0, len(raw), 2):
@@ -41,6 +47,20 @@ def test_draws(spark):
     assert list(r) == [next(g) for _ in range(5)]
 
 
+def test_envelope(spark):
+    seeds = [1, 12345, None, 4294967295]
+    d = spark.createDataFrame([(x,) for x in seeds], "seed bigint").select("seed", S.envelope(F.col("seed"), 40).alias("e"))
+    for r in d.collect():
+        if r.seed is None:
+            assert r.e is None
+            continue
+        g, level, want = mulberry(r.seed), 0.5, []
+        for i in range(40):
+            level = min(1, max(0, level + (next(g) - 0.5) * 0.55))
+            want.append(0.12 + 0.88 * level * (0.35 + 0.65 * math.sin(math.pi * (i + 0.5) / 40)))
+        assert r.e == pytest.approx(want, abs=1e-12)
+
+
 def test_text(spark):
     t = F.lit("A first sentence that is long enough. Short. Is this one also long enough to stay? A first sentence that is long enough.")
     q = F.slice(X.sentences(t), 1, 4)
@@ -50,17 +70,95 @@ def test_text(spark):
     assert (r.n, r.b, r.k, r.c, r.z, r.f) == ("112", "review", "2 KB", "01:27", [], "x" * 20 + "…")
 
 
-def test_shares_and_rulings(spark):
-    from tidemark.functions.fixed import DESKS, FILED
+#: The filings, written out: id, label, weight, determination.
+FILINGS = [("text", "Text", 24, "REQUIRES VERIFICATION"), ("image", "Image", 16, "SYNTHETIC"), ("audio", "Audio", 18, "SYNTHETIC"), ("video", "Video", 21, "SYNTHETIC"), ("fact-check", "Fact-check", 21, "CONTRADICTED")]
+
 
-    rows = [(c, i, w, FILED[d]) for c, some in (("all", "text image audio video fact-check"), ("some", "image audio video fact-check"), ("one", "audio")) for i, (d, _, w) in enumerate(DESKS) if d in some.split()]
-    f = spark.createDataFrame(rows, "case_id string, seq int, weight int, det string")
+def decided(roster):
+    """Contributions in hundredths, ruling and confidence, step by step."""
+    filed = [f for f in FILINGS if f[0] in roster] or FILINGS
+    total = sum(f[2] for f in filed)
+    parts = [math.floor(f[2] / total * 100 + 0.5) for f in filed]
+    parts[parts.index(max(parts))] += 100 - sum(parts)
+    ruling = next(d for d in ("CONTRADICTED", "SYNTHETIC", "REQUIRES VERIFICATION") if any(f[3] == d for f in filed))
+    return [(f[1], p, f[3]) for f, p in zip(filed, parts)], ruling, f"{89 + len(filed)}%"
+
+
+def test_decision_of_every_roster(spark):
+    """All 31 sets of desks, in any order, the empty list and an unknown desk."""
+    ids = [f[0] for f in FILINGS]
+    rosters = [list(reversed(c)) for n in range(1, 6) for c in itertools.combinations(ids, n)] + [[], ["weather"], ["weather", "audio"]]
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(rosters)], "i int, roster array<string>")
+    for r in d.select("i", adjudication.decision(F.col("roster")).alias("d")).collect():
+        contributions, ruling, sure = decided(rosters[r.i])
+        assert [(c.desk, round(c.share * 100), c.determination) for c in r.d.contributions] == contributions
+        assert (r.d.verdict.determination, r.d.verdict.confidence) == (ruling, sure)
+        n, synthetic = len(contributions), sum(c[2] == "SYNTHETIC" for c in contributions)
+        assert ("found synthetic media" in r.d.verdict.rationale) == (synthetic >= 2)
+        assert ("contradict the claim" in r.d.verdict.rationale) == any(c[0] == "Fact-check" for c in contributions)
+        assert ("alone" in r.d.verdict.rationale) == (n == 1) and [a.ref for a in r.d.annotations] == list(range(1, n + 1))
+        assert {e.key: e.value for e in r.d.ledger}["Desks reporting"] == f"0{n}"
+
+
+def test_shares_and_rulings(spark):
+    """The same as rows: rosters, the fallback, shares and rulings."""
+    cases = {"all": "text image audio video fact-check", "some": "image audio video fact-check", "one": "audio", "none": "weather"}
+    filings = spark.createDataFrame([(c, i, f[0], f[2], f[3]) for c in [*cases, "unasked"] for i, f in enumerate(FILINGS)], "case_id string, seq int, desk string, weight int, det string")
+    rosters = spark.createDataFrame([(c, d) for c, ds in cases.items() for d in ds.split()], "case_id string, desk string")
+    f = adjudication.reporting(filings, rosters, "case_id", "desk")
     got = {(r.case_id, r.seq): r.share for r in adjudication.shares(f, "case_id", "weight", "seq").collect()}
-    assert [got["all", i] for i in range(5)] == [0.24, 0.16, 0.18, 0.21, 0.21]
-    assert [got["some", i] for i in range(1, 5)] == [0.21, 0.24, 0.27, 0.28]
+    for c in ("all", "none", "unasked"):
+        assert [got[c, i] for i in range(5)] == [0.24, 0.16, 0.18, 0.21, 0.21]
+    assert [got["some", i] for i in range(1, 5)] == [0.21, 0.24, 0.27, 0.28] and ("some", 0) not in got
     assert got["one", 2] == 1.0
     rule = {r.case_id: (r.ruling, r.confidence) for r in adjudication.rulings(f, "case_id", "det").collect()}
-    assert rule == {"all": ("CONTRADICTED", "94%"), "some": ("CONTRADICTED", "93%"), "one": ("SYNTHETIC", "90%")}
+    assert rule["all"] == rule["none"] == ("CONTRADICTED", "94%") and rule["some"] == ("CONTRADICTED", "93%") and rule["one"] == ("SYNTHETIC", "90%")
+
+
+def test_unknown_determinations_never_win(spark):
+    f = spark.createDataFrame([("a", "CLEAR"), ("a", "MADE UP"), ("b", "MADE UP"), ("b", None)], "case_id string, det string")
+    assert {r.case_id: r.ruling for r in adjudication.rulings(f, "case_id", "det").collect()} == {"a": "CLEAR", "b": "INSUFFICIENT"}
+
+
+def test_order_of_results(spark, sf_dir):
+    from tidemark.plans import registry
+
+    got = [(r.n, r.region) for r in registry.QUERIES["region_rollup"](spark, sf_dir).collect()]
+    assert got == sorted(got, key=lambda x: (-x[0], x[1]))
+    facets = registry.QUERIES["archive_facets"](spark, sf_dir).collect()
+    of = lambda name: [r for r in facets if r.facet == name]
+    assert [r.value for r in of("year")] == sorted((r.value for r in of("year")), reverse=True)
+    assert [r.first_seq for r in of("desk")] == sorted(r.first_seq for r in of("desk"))
+    assert [r.value for r in of("determination")] == sorted(r.value for r in of("determination"))
+    page = registry.QUERIES["archive_page"](spark, sf_dir).collect()
+    assert [r.place for r in page] == list(range(1, len(page) + 1)) and sum(r.n for r in page) == page[0].shown < page[0].total
+
+
+def test_facets_reach_the_scan(spark, sf_dir, capsys):
+    from tidemark.plans import registry
+
+    registry.QUERIES["archive_facet_filter"](spark, sf_dir).explain("formatted")
+    pushed = next(x for x in capsys.readouterr().out.split("\n") if "PushedFilters" in x)
+    assert "GreaterThanOrEqual(o_orderdate,1998" in pushed and "LessThan(o_orderdate,1999" in pushed and "EqualTo(o_orderpriority,2-HIGH)" in pushed
+
+
+@pytest.mark.parametrize("rows_each", [7, 1000])
+def test_neighbours_across_parts(spark, rows_each):
+    rows = [(i * 7 % 101, i % 3) for i in range(100)] + [(500, 9)]
+    d = spark.createDataFrame(rows, "k bigint, g int")
+    got = {r.k: (r.previous, r.next) for r in archive.neighbours(d, "k", "k", "g", rows_each).collect()}
+    for g in {x[1] for x in rows}:
+        keys = sorted(k for k, h in rows if h == g)
+        for a, k, b in zip([None, *keys], keys, [*keys[1:], None]):
+            assert got[k] == (a, b)
+
+
+def test_media_files(spark, tmp_path):
+    for name, size in (("a.jpg", 10), ("b.PDF", 5), ("deep/c.webp", 7), ("d.mp3", 3)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    got = {m: {(r.file_name, r.bytes) for r in tables.media_files(spark, str(tmp_path), m).collect()} for m in ("image", "audio")}
+    assert got == {"image": {("a.jpg", 10), ("c.webp", 7)}, "audio": {("d.mp3", 3)}}
 
 
 def test_search_is_literal(spark):
@@ -71,8 +169,25 @@ def test_search_is_literal(spark):
 
 
 def test_stream(spark, sf_dir, tmp_path):
-    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(str(tmp_path / "in"))
-    q = rollup.windowed(rollup.read_events(spark, str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("rolled").start()
-    q.processAllAvailable()
+    """The stream's windows are the batch's; a row later than the watermark allows is left out."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).repartition(3).write.parquet(str(tmp_path / "in"))
+    events = rollup.read_events(spark, str(tmp_path / "in"))
+
+    def run(name, mode):
+        q = rollup.windowed(events, late="3650 days" if mode == "complete" else "2 hours").writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / f"ck-{name}")).format("memory").queryName(name).start()
+        q.processAllAvailable()
+        return q
+
+    run("rolled", "complete").stop()
+    batch = spark.read.parquet(str(tmp_path / "in")).groupBy(F.window("ts", "1 hour").start.alias("start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    put = lambda d: sorted((r.start, r.event_type, r.n, round(r.total, 6)) for r in d.collect())
+    assert put(spark.table("rolled")) == put(batch)
+    q = run("late", "append")
+    before = spark.table("late").count()
+    old = spark.read.parquet(str(tmp_path / "in")).orderBy("ts").limit(1).withColumn("event_type", F.lit("too late"))
+    new = old.withColumn("ts", F.timestamp_add("DAY", F.lit(400), F.lit("2030-01-01").cast("timestamp"))).withColumn("event_type", F.lit("new"))
+    for d in (new, old):
+        d.write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
     q.stop()
-    assert spark.sql("SELECT * FROM rolled").count() > 0
+    assert before > 0 and spark.table("late").where("event_type = 'too late'").count() == 0

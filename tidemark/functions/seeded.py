@@ -1,24 +1,63 @@
 """Reproducible hashes, draws and envelopes: the same seed gives the same numbers everywhere.
 
-32-bit unsigned arithmetic on longs: products are split so that none passes 63 bits.
+Single draws are Spark expressions on longs: products are split so that none passes 63 bits.  Hashes of whole texts and
+envelopes go step by step, which Spark's own folds do an element at a time; here a step is taken
+for many rows of an Arrow batch at once.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.fixed import DRIFT, FNV_OFFSET, FNV_PRIME, HIGH, LOW, MASK, STEP
+from tidemark.functions.fixed import DRIFT, FNV_OFFSET, FNV_PRIME, HIGH, LOW, MASK, MIDDLE, STEP, TAPER
+
+#: Texts hashed side by side.
+TEXTS = 256
 
 
-def utf16_units(text: Column) -> Column:
-    """UTF-16 code units as longs; texts within the basic plane are read sign by sign, which is far quicker."""
-    quads = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("([0-9A-F]{4})"), F.lit(1))
-    coded = F.transform(quads, lambda x: F.conv(x, 16, 10).cast("bigint"))
-    plain = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
-    return F.when((text == "") | text.rlike(r"[\x{10000}-\x{10FFFF}]"), coded).otherwise(plain)
+def fnv1a(text: Column) -> Column:
+    """FNV-1a over UTF-16 code units, as a long; null for null."""
+    offset, prime, side = FNV_OFFSET, FNV_PRIME, TEXTS
+
+    @F.arrow_udf("bigint")
+    def hashed(texts: pa.Array) -> pa.Array:
+        found = texts.drop_null().to_pylist()
+        units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") for t in found]
+        sizes = np.array([len(u) for u in units], np.int64)
+        out = np.empty(len(found), np.uint32)
+        order = np.argsort(-sizes, kind="stable")
+        for at in range(0, len(order), side):
+            # Texts of like length, the longest first: step k takes those that have a kth unit.
+            some = order[at : at + side]
+            h = np.full(len(some), offset, np.uint32)
+            table = np.zeros((int(sizes[some[0]]), len(some)), np.uint32)
+            for column, i in enumerate(some):
+                table[: sizes[i], column] = units[i]
+            live = np.searchsorted(-sizes[some], -np.arange(len(table)), side="left")
+            for row, n in zip(table, live):
+                part = h[:n]
+                part ^= row[:n]
+                part *= np.uint32(prime)
+            out[some] = h
+        whole = np.zeros(len(texts), np.int64)
+        there = texts.is_valid().to_numpy(zero_copy_only=False)
+        whole[there] = out
+        return pa.array(whole, pa.int64(), mask=~there)
+
+    return hashed(text)
+
+
+def text_seed(copy: Column) -> Column:
+    """The seed of a trimmed text; nothing at all hashes as 'empty'."""
+    return fnv1a(F.coalesce(F.nullif(copy, F.lit("")), F.lit("empty")))
+
+
+def name_seed(name: Column) -> Column:
+    """The seed of a file's name; a missing one hashes as 'untitled'."""
+    return fnv1a(F.coalesce(name, F.lit("untitled")))
 
 
 def _multiplied(a: Column, b: Column) -> Column:
@@ -27,36 +66,12 @@ def _multiplied(a: Column, b: Column) -> Column:
     return (low + high).bitwiseAND(F.lit(MASK))
 
 
-def fnv1a(text: Column) -> Column:
-    """FNV-1a over UTF-16 code units."""
-    return F.aggregate(utf16_units(text), F.lit(FNV_OFFSET), lambda h, u: (h.bitwiseXOR(u) * FNV_PRIME).bitwiseAND(F.lit(MASK)))
-
-
-def _stirred(a: Column) -> Column:
-    return _multiplied(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
-
-
-def _mixed(t: Column) -> Column:
-    return t.bitwiseXOR((t + _multiplied(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)))
-
-
-def _counter(seed: Column, nth: Column) -> Column:
-    return (seed + nth * F.lit(STEP).cast("bigint")).bitwiseAND(F.lit(MASK))
-
-
-def _fraction(u: Column) -> Column:
-    return u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(4294967296.0)
-
-
 def draw(seed: Column, nth: Column | int) -> Column:
     """The nth uniform draw (from 1) in [0, 1) of a seed: a counter, so draws are independent of each other."""
-    return _fraction(_mixed(_stirred(_counter(seed, F.lit(nth) if isinstance(nth, int) else nth))))
-
-
-def draws(seed: Column, count: int) -> Column:
-    """The first ``count`` draws as an array; one step at a time, as a lambda computes its argument once but its body in full."""
-    counters = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: _counter(seed, i.cast("bigint")))
-    return F.transform(F.transform(F.transform(counters, _stirred), _mixed), _fraction)
+    a = (seed + (F.lit(nth) if isinstance(nth, int) else nth) * F.lit(STEP).cast("bigint")).bitwiseAND(F.lit(MASK))
+    t = _multiplied(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
+    u = t.bitwiseXOR((t + _multiplied(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)))
+    return u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(4294967296.0)
 
 
 def clamped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -68,10 +83,26 @@ def half_up(x: Column, places: int = 0) -> Column:
 
 
 def envelope(seed: Column, count: int, low: float = LOW, high: float = HIGH) -> Column:
-    """``count`` samples: a clamped walk from one half, tapered at both ends.
-
-    Give the seed as a column of its own: lambdas compute what they hold for every element.
-    """
-    walk = F.aggregate(draws(seed, count), F.array(F.lit(0.5)), lambda out, u: F.concat(out, F.array(clamped(F.element_at(out, -1) + (u - 0.5) * DRIFT))))
-    levels = F.slice(walk, 2, count)
-    return F.transform(levels, lambda v, i: F.lit(low) + F.lit(high - low) * v * (F.lit(0.35) + F.lit(0.65) * F.sin(F.lit(math.pi) * (i + 0.5) / count)))
+    """``count`` samples: a clamped walk from one half, tapered at both ends; null for a null seed."""
+    step, mask, drift, middle, taper = STEP, MASK, DRIFT, MIDDLE, TAPER
+
+    @F.arrow_udf("array<double>")
+    def walked(seeds: pa.Array) -> pa.Array:
+        there = seeds.is_valid().to_numpy(zero_copy_only=False)
+        start = seeds.fill_null(0).to_numpy().astype(np.uint64)
+        cut = np.uint64(mask)
+        a = (start[:, None] + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(step)) & cut
+        t = ((a ^ (a >> np.uint64(15))) * (a | np.uint64(1))) & cut
+        u = t ^ ((t + (((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & cut)) & cut)
+        moves = ((u ^ (u >> np.uint64(14))) / 4294967296.0 - 0.5) * drift
+        level, levels = np.full(len(start), middle), np.empty(moves.shape)
+        for k in range(count):
+            level = np.clip(level + moves[:, k], 0.0, 1.0)
+            levels[:, k] = level
+        bow = taper + (1 - taper) * np.sin(np.pi * (np.arange(count) + 0.5) / count)
+        samples = low + (high - low) * levels * bow
+        sizes = np.concatenate(([0], np.cumsum(np.where(there, count, 0)))).astype(np.int32)
+        offsets = pa.array(sizes, pa.int32(), mask=np.append(~there, False))
+        return pa.ListArray.from_arrays(offsets, pa.array(samples[there].ravel()))
+
+    return walked(seed)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import contains_any_case
 
 ALL = "all"
+#: Rows between two edges of ``neighbours``, about.
+NEIGHBOUR_ROWS = 500_000
 
 
 def search(records: DataFrame, fields: list[str], query: str) -> DataFrame:
@@ -21,26 +23,75 @@ def search(records: DataFrame, fields: list[str], query: str) -> DataFrame:
     return records.where(reduce(Column.__or__, hits))
 
 
-def facet_filter(records: DataFrame, **facets: str) -> DataFrame:
-    """Records that equal every facet that isn't ``ALL``; the filters reach the scan."""
+def facet_filter(records: DataFrame, year: str = ALL, date: str = "filed", **facets: str) -> DataFrame:
+    """Records that equal every facet that isn't ``ALL``; a year is a range of the date column, so that all filters reach the scan."""
+    if year != ALL:
+        records = records.where((F.col(date) >= F.lit(f"{int(year):04d}-01-01").cast(records.schema[date].dataType)) & (F.col(date) < F.lit(f"{int(year) + 1:04d}-01-01").cast(records.schema[date].dataType)))
     for column, value in facets.items():
         if value != ALL:
             records = records.where(F.col(column) == value)
     return records
 
 
-def facet_values(records: DataFrame, column: str, seq: str) -> DataFrame:
-    """(facet, value, n, first_seq): distinct values with their first appearance."""
-    return records.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"), F.min(seq).alias("first_seq")).select(F.lit(column).alias("facet"), "value", "n", "first_seq")
+def is_filtered(query: str, *facets: str) -> bool:
+    return query.strip() != "" or any(f != ALL for f in facets)
+
+
+def facet_values(records: DataFrame, columns: list[str], seq: str) -> DataFrame:
+    """(facet, value, n, first_seq): distinct values with their first appearance; all facets in one scan and one aggregate."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns))
+    return records.select(F.inline(pairs), F.col(seq)).groupBy("facet", "value").agg(F.count("*").alias("n"), F.min(seq).alias("first_seq"))
+
+
+def ordered_facets(facets: DataFrame, orders: dict[str, tuple[str, str]]) -> DataFrame:
+    """Facet values with their place: each facet by (column, asc or desc).  Distinct values are few, as people choose among them."""
+    place = F.lit(None).cast("int")
+    for facet, (column, way) in orders.items():
+        w = Window.partitionBy("facet").orderBy(F.desc(column) if way == "desc" else F.asc(column))
+        place = F.when(F.col("facet") == facet, F.row_number().over(w)).otherwise(place)
+    return facets.withColumn("place", place).orderBy("facet", "place")
 
 
 def rollup_latest(records: DataFrame, by: str, newest: list[str], keep: list[str]) -> DataFrame:
-    """Count and the newest record of each group in one aggregate with map-side parts; no window, no sort."""
+    """Count and the newest record of each group in one aggregate with map-side parts, the largest groups first; no window."""
     latest = F.max_by(F.struct(*keep), F.struct(*newest)).alias("latest")
-    return records.groupBy(by).agg(F.count("*").alias("n"), latest).select(by, "n", *(F.col(f"latest.{k}").alias(f"latest_{k}") for k in keep))
+    counted = records.groupBy(by).agg(F.count("*").alias("n"), latest)
+    return counted.select(by, "n", *(F.col(f"latest.{k}").alias(f"latest_{k}") for k in keep)).orderBy(F.desc("n"), by)
+
+
+def group_pages(records: DataFrame, by: str, newest: list[str], key: str, page: int) -> DataFrame:
+    """Groups in the order of their newest record: (group, place, n, the keys of its first ``page`` records in filing order).
+
+    Lists are a page long, whatever the group's size: Spark keeps the first ``page`` of each task before it shuffles.
+    Counts come from an aggregate with map-side parts.
+    """
+    w = Window.partitionBy(by).orderBy(*(F.desc(c) for c in newest))
+    first = records.select(by, *dict.fromkeys([*newest, key])).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= page)
+    lists = first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", key))), lambda x: x[key]).alias("keys"))
+    counts = records.groupBy(by).agg(F.count("*").alias("n"), F.max(F.struct(*newest)).alias("newest"))
+    # The groups are years or the like: few, so one window may put them in order.
+    placed = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("newest")))).drop("newest")
+    return placed.join(lists, by).select(by, "place", "n", "keys").orderBy("place")
+
 
+def neighbours(rows: DataFrame, key: str, order: str, within: str, rows_each: int = NEIGHBOUR_ROWS) -> DataFrame:
+    """The keys before and after in order (a number), null at the ends.
 
-def neighbours(rows: DataFrame, key: str, order: str, within: str) -> DataFrame:
-    """The keys before and after in order, null at the ends."""
-    w = Window.partitionBy(within).orderBy(order)
-    return rows.withColumn("previous", F.lag(key).over(w)).withColumn("next", F.lead(key).over(w))
+    Each group is cut at edges of the order column, so that a large group is sorted by many tasks; what
+    lies across an edge comes from a table of one row for each group and part.
+    """
+    n = rows.count()
+    edges = sorted(set(rows.approxQuantile(order, [k / parts for k in range(1, parts)], 0.001))) if (parts := max(1, -(-n // rows_each))) > 1 else []
+    part = F.lit(0)
+    for e in edges:
+        part = part + (F.col(order) > e).cast("int")
+    cut = rows.withColumn("part", part)
+    w = Window.partitionBy(within, "part").orderBy(order)
+    inside = cut.withColumn("previous", F.lag(key).over(w)).withColumn("next", F.lead(key).over(w))
+    if not edges:
+        return inside.drop("part")
+    ends = cut.groupBy(within, "part").agg(F.min_by(key, order).alias("first_key"), F.max_by(key, order).alias("last_key"))
+    across = Window.partitionBy(within).orderBy("part")
+    ends = ends.select(F.col(within).alias("end_of"), F.col("part").alias("end_part"), F.lag("last_key").over(across).alias("before"), F.lead("first_key").over(across).alias("after"))
+    met = inside.join(ends, F.col(within).eqNullSafe(F.col("end_of")) & (F.col("part") == F.col("end_part")))
+    return met.withColumn("previous", F.coalesce("previous", "before")).withColumn("next", F.coalesce("next", "after")).drop("part", "end_of", "end_part", "before", "after")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.functions.fixed import FLAGGED_SPANS
+from tidemark.functions.fixed import DESKS, FLAGGED_SPANS
 from tidemark.functions.seeded import clamped, half_up
 from tidemark.operators import adjudication, archive
 from tidemark.sources.tables import records, table
@@ -37,24 +37,50 @@ def _determination(col: str = "status"):
 _DET = "CASE {c} WHEN 'F' THEN 'SUPPORTED' WHEN 'O' THEN 'REQUIRES VERIFICATION' WHEN 'P' THEN 'CONTESTED' ELSE 'INSUFFICIENT' END"
 
 
-@query(R + "SELECT id, filed, region, desk FROM r WHERE contains(lower(desk), 'urgent') OR contains(lower(nation), 'urgent') OR contains(lower(region), 'urgent') OR contains(lower(artifact), 'urgent')")
+_FIELDS = ["id", "nation", "source", "region", "determination", "artifact", "desk"]
+_HIT = "(" + " OR ".join(f"contains(lower(CAST({f} AS VARCHAR)), 'urgent')" for f in ("id", "nation", "source", "region", "determination", "artifact", "desk")) + ")"
+_RD = R.rstrip() + f", x AS (SELECT *, {_DET.format(c='status')} AS determination, CAST(year(filed) AS VARCHAR) AS year FROM r) "
+
+
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).withColumn("determination", _determination())
+
+
+@query(_RD + f"SELECT id, filed, region, desk FROM x WHERE {_HIT}")
 def archive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.search(records(spark, sf_dir), ["desk", "nation", "region", "artifact"], " URGENT ").select("id", "filed", "region", "desk")
+    """Free text in any of the fields that records have."""
+    return archive.search(_signed(spark, sf_dir), _FIELDS, " URGENT ").select("id", "filed", "region", "desk")
 
 
-@query(R + "SELECT id, filed, desk, status FROM r WHERE year(filed) = 1998 AND desk = '2-HIGH'")
+@query("SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS filed, o_orderpriority AS desk, o_orderstatus AS status FROM orders WHERE year(o_orderdate) = 1998 AND o_orderpriority = '2-HIGH'")
 def archive_facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir).withColumn("year", F.year("filed").cast("string"))
-    return archive.facet_filter(r, year="1998", desk="2-HIGH", status=archive.ALL).select("id", "filed", "desk", "status")
+    """Both facets are filters of the scan."""
+    found = archive.facet_filter(table(spark, sf_dir, "orders"), year="1998", date="o_orderdate", o_orderpriority="2-HIGH", o_orderstatus=archive.ALL)
+    return found.select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("filed"), F.col("o_orderpriority").alias("desk"), F.col("o_orderstatus").alias("status"))
 
 
-@query("""SELECT facet, value, count(*) AS n, min(o_orderkey) AS first_seq FROM (
+@query("""WITH f AS (SELECT facet, value, count(*) AS n, min(o_orderkey) AS first_seq FROM (
  SELECT 'year' AS facet, CAST(year(o_orderdate) AS VARCHAR) AS value, o_orderkey FROM orders UNION ALL
- SELECT 'o_orderpriority', o_orderpriority, o_orderkey FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus, o_orderkey FROM orders) GROUP BY 1, 2""")
+ SELECT 'desk', o_orderpriority, o_orderkey FROM orders UNION ALL SELECT 'determination', o_orderstatus, o_orderkey FROM orders) GROUP BY 1, 2)
+ SELECT *, CAST(CASE facet WHEN 'year' THEN row_number() OVER (PARTITION BY facet ORDER BY value DESC) WHEN 'desk' THEN row_number() OVER (PARTITION BY facet ORDER BY first_seq)
+ ELSE row_number() OVER (PARTITION BY facet ORDER BY value) END AS INTEGER) AS place FROM f""")
 def archive_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", F.year("o_orderdate").alias("year"))
-    years, desks, statuses = (archive.facet_values(o, c, "o_orderkey") for c in ("year", "o_orderpriority", "o_orderstatus"))
-    return years.unionByName(desks).unionByName(statuses)
+    """Years falling, desks as they first appear, determinations rising."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("desk"), F.col("o_orderstatus").alias("determination"))
+    return archive.ordered_facets(archive.facet_values(o, ["year", "desk", "determination"], "o_orderkey"), {"year": ("value", "desc"), "desk": ("first_seq", "asc"), "determination": ("value", "asc")})
+
+
+@query(_RD + f""", hit AS (SELECT * FROM x WHERE {_HIT} AND determination = 'SUPPORTED'), k AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY filed DESC, id DESC) AS nth FROM hit),
+ g AS (SELECT year, count(*) AS n, max(row(filed, id)) AS newest, string_agg(CAST(id AS VARCHAR), ',' ORDER BY nth) FILTER (WHERE nth <= 20) AS ids FROM k GROUP BY year)
+ SELECT year, CAST(row_number() OVER (ORDER BY newest DESC) AS INTEGER) AS place, n, ids, (SELECT count(*) FROM hit) AS shown, (SELECT count(*) FROM orders) AS total, true AS filtered FROM g""")
+def archive_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index page: search and facets together, grouped by year in filing order, a page of ids each, and how many of all are shown."""
+    query, facets = " URGENT ", {"determination": "SUPPORTED"}
+    hits = archive.facet_filter(archive.search(_signed(spark, sf_dir), _FIELDS, query), **facets).withColumn("year", F.year("filed").cast("string"))
+    groups = archive.group_pages(hits, "year", ["filed", "id"], "id", 20)
+    total = table(spark, sf_dir, "orders").agg(F.count("*").alias("total"))
+    shown = hits.agg(F.count("*").alias("shown"))
+    return groups.join(F.broadcast(shown)).join(F.broadcast(total)).select("year", "place", "n", F.array_join(F.col("keys").cast("array<string>"), ",").alias("ids"), "shown", "total", F.lit(archive.is_filtered(query, *facets.values())).alias("filtered")).orderBy("place")
 
 
 @query("SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, count(*) AS n, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders GROUP BY 1")
@@ -126,18 +152,47 @@ def ruling_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjudication.rulings(_determined(spark, sf_dir), "o_custkey", "det").select("o_custkey", "n", "ruling")
 
 
-@query(_FILINGS + _RANKED + """, g AS (SELECT o_custkey, count(*) AS n, arg_min(det, rank) AS ruling, count(*) FILTER (WHERE det = 'SYNTHETIC') AS synthetic FROM k GROUP BY 1)
- SELECT o_custkey, ruling, (89 + n) || '%' AS confidence, concat_ws(' ', CASE WHEN n = 1 THEN 'One desk could read this, and the ruling rests on it.' ELSE list_value('No','One','Two','Three','Four','Five')[n + 1] || ' desks reported.' END,
- CASE WHEN synthetic >= 1 THEN list_value('No','One','Two','Three','Four','Five')[synthetic + 1] || ' found synthetic media.' END,
- CASE WHEN ruling = 'REQUIRES VERIFICATION' THEN 'Hold it until sources are produced.' ELSE 'Publish it only as ruled.' END) AS rationale FROM g""")
+#: The filings as the reference has them, written out for the other engine.
+_FIVE = """f(seq, id, label, weight, det) AS (VALUES (1, 'text', 'Text', 24, 'REQUIRES VERIFICATION'), (2, 'image', 'Image', 16, 'SYNTHETIC'), (3, 'audio', 'Audio', 18, 'SYNTHETIC'),
+ (4, 'video', 'Video', 21, 'SYNTHETIC'), (5, 'fact-check', 'Fact-check', 21, 'CONTRADICTED'))"""
+
+
+def adjudicated(rosters: str) -> str:
+    """SQL tables up to ``decided``: (case_id, n, contributions, ruling, headline, rationale, confidence, ledger) for rosters (case_id, ids)."""
+    return f"""rosters AS ({rosters}), {_FIVE}, named AS (SELECT case_id, f.* FROM rosters JOIN f ON list_contains(ids, f.id)),
+ filed AS (SELECT * FROM named UNION ALL SELECT case_id, f.* FROM rosters CROSS JOIN f WHERE case_id NOT IN (SELECT case_id FROM named)),
+ rough AS (SELECT *, floor(weight / sum(weight) OVER (PARTITION BY case_id) * 100 + 0.5) / 100 AS s FROM filed),
+ fixed AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY case_id ORDER BY s DESC, seq) = 1 THEN s + floor((1 - sum(s) OVER (PARTITION BY case_id)) * 100 + 0.5) / 100 ELSE s END AS share FROM rough),
+ ruled AS (SELECT case_id, count(*) AS n, string_agg(label || ' ' || printf('%.2f', round(share, 2)) || ' ' || det, '; ' ORDER BY seq) AS contributions, count(*) FILTER (WHERE det = 'SYNTHETIC') AS synthetic, bool_or(id = 'fact-check') AS checked, min(label) AS label,
+  CASE WHEN bool_or(det = 'CONTRADICTED') THEN 'CONTRADICTED' WHEN bool_or(det = 'SYNTHETIC') THEN 'SYNTHETIC' ELSE 'REQUIRES VERIFICATION' END AS ruling FROM fixed GROUP BY case_id),
+ decided AS (SELECT case_id, n, contributions, ruling, CASE ruling WHEN 'CONTRADICTED' THEN 'Fabricated, and assembled deliberately' WHEN 'SYNTHETIC' THEN 'Machine-made, and presented as a record' ELSE 'Unsupported, and not yet publishable' END AS headline,
+  concat_ws(' ', CASE WHEN n = 1 THEN label || ' alone could read this, and the ruling rests on it.' ELSE list_value('No','One','Two','Three','Four','Five')[n + 1] || ' desks reported, none against.' END,
+   CASE WHEN synthetic >= 2 THEN list_value('No','One','Two','Three','Four','Five')[synthetic + 1] || ' found synthetic media, each in its own medium.' END,
+   CASE WHEN checked THEN 'Records on file contradict the claim.' END, CASE WHEN ruling = 'REQUIRES VERIFICATION' THEN 'Hold it until sources are produced.' ELSE 'Publish it only as ruled.' END) AS rationale,
+  (89 + n) || '%' AS confidence,
+  'Desks reporting: 0' || n || '; Dissenting desks: 00; Findings weighed: 0' || n || '; Evidence strength: 91%; Signal consistency: 89%; Confidence: ' || (89 + n) || '%' AS ledger FROM ruled)"""
+
+
+@query(f"""WITH {adjudicated("SELECT c_custkey AS case_id, list(DISTINCT list_value('text','image','audio','video','fact-check')[CAST(left(o_orderpriority, 1) AS INTEGER)]) AS ids FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")}
+ SELECT case_id AS c_custkey, contributions, ruling, headline, rationale, confidence, ledger FROM decided""")
 def decision_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = adjudication.rulings(_determined(spark, sf_dir), "o_custkey", "det")
-    parts = [
-        F.when(F.col("n") == 1, "One desk could read this, and the ruling rests on it.").otherwise(F.concat(X.count_word(F.col("n")), F.lit(" desks reported."))),
-        F.when(F.col("synthetic") >= 1, F.concat(X.count_word(F.col("synthetic")), F.lit(" found synthetic media."))),
-        F.when(F.col("ruling") == "REQUIRES VERIFICATION", "Hold it until sources are produced.").otherwise("Publish it only as ruled."),
-    ]
-    return g.select("o_custkey", "ruling", "confidence", F.concat_ws(" ", *parts).alias("rationale"))
+    """The core's record for every customer: the desks of its orders report; all five where there are none."""
+    desks = F.array(*(F.lit(i) for i, _, _ in DESKS))
+    desk = F.get(desks, F.left("o_orderpriority", F.lit(1)).cast("int") - 1)
+    of = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(desk).alias("roster"))
+    d = table(spark, sf_dir, "customer").select("c_custkey").join(of, F.col("c_custkey") == F.col("o_custkey"), "left")
+    d = d.select("c_custkey", adjudication.decision(F.coalesce("roster", F.array().cast("array<string>"))).alias("d"))
+    return d.select("c_custkey", adjudication.printed_contributions(F.col("d.contributions")).alias("contributions"), F.col("d.verdict.determination").alias("ruling"), "d.verdict.headline", "d.verdict.rationale", "d.verdict.confidence", adjudication.printed_ledger(F.col("d.ledger")).alias("ledger"))
+
+
+@query(f"""WITH o AS (SELECT o_custkey AS case_id, CAST(left(o_orderpriority, 1) AS INTEGER) AS seq, count(*) AS weight FROM orders GROUP BY 1, 2),
+ roster AS (SELECT DISTINCT o_custkey AS case_id, CAST(left(o_orderpriority, 1) AS INTEGER) AS seq FROM orders WHERE o_orderstatus = 'P'),
+ named AS (SELECT o.* FROM o JOIN roster USING (case_id, seq)), kept AS (SELECT * FROM named UNION ALL SELECT * FROM o WHERE case_id NOT IN (SELECT case_id FROM named)) SELECT case_id AS o_custkey, seq, weight FROM kept""")
+def reporting_desks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's filings by the desks with a contested order; all of them where there is none."""
+    filings = _filings(spark, sf_dir)
+    rosters = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey", F.left("o_orderpriority", F.lit(1)).cast("int").alias("seq"))
+    return adjudication.reporting(filings, rosters, "o_custkey", "seq").select("o_custkey", "seq", "weight")
 
 
 @query("""SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_discount > 0.05) AS contradicting, count(*) FILTER (WHERE l_discount <= 0.02) AS supporting,
@@ -177,6 +232,17 @@ def series_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_type", "day", F.concat(F.format_string("%.2f", x), F.lit(","), F.format_string("%.2f", y)).alias("point"))
 
 
+@query(_DAYS + """, p AS (SELECT event_type, day, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, CAST(value AS DOUBLE) / max(value) OVER (PARTITION BY event_type) AS part FROM d),
+ q AS (SELECT event_type, day, printf('%.2f', floor((100.0 / n * (i + 0.5)) * 100 + 0.5) / 100) AS x, printf('%.2f', floor((100 - part * 100) * 100 + 0.5) / 100) AS y FROM p)
+ SELECT event_type, string_agg(x || ',' || y, ' ' ORDER BY day) AS line, arg_min(x, day) || ',100 ' || string_agg(x || ',' || y, ' ' ORDER BY day) || ' ' || arg_max(x, day) || ',100' AS area FROM q GROUP BY 1""")
+def series_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series as a polyline, and the area under it down to the baseline; a line has one point a day."""
+    points = series_plot(spark, sf_dir).groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("day", "point"))).alias("p"))
+    line = F.array_join(F.transform("p", lambda x: x["point"]), " ")
+    x_of = lambda at: F.split_part(F.element_at("p", at)["point"], F.lit(","), F.lit(1))
+    return points.select("event_type", line.alias("line"), F.concat(x_of(1), F.lit(",100 "), line, F.lit(" "), x_of(-1), F.lit(",100")).alias("area"))
+
+
 @query("""WITH h AS (SELECT event_id, user_id, event_type, date_diff('microsecond', date_trunc('hour', ts), ts) / 3600000000.0 AS frac FROM events)
  SELECT event_id, event_type, (frac >= 0.52 AND frac <= 0.63) OR (frac >= 0.78 AND frac <= 0.86) AS flagged FROM h""")
 def flagged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

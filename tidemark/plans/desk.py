@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import seeded as S
 from tidemark.functions import text as X
-from tidemark.functions.fixed import DESKS, FLAGGED_FRAMES, FLAGGED_SPANS, FOOTAGE_SECONDS, FRAMES, NOTE_DETERMINATIONS, RECORDING_SECONDS, ROSTER, SAMPLES
-from tidemark.sources.tables import table
+from tidemark.functions.fixed import (
+    CONFIDENCE, FLAGGED_FRAMES, FLAGGED_SPANS, FOOTAGE_SECONDS, FRAMES, ISSUE, KIND_LABELS, MARKED, NOTE_DETERMINATIONS,
+    RECORDING_SECONDS, REGIONS, ROSTER, SAMPLES, SCENES, TONE_TOKENS, TRANSCRIPT,
+)
+from tidemark.operators import adjudication
+from tidemark.operators.adjudication import entries, printed_ledger
+from tidemark.plans.archive import adjudicated
+from tidemark.sources.tables import desks, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -67,7 +73,7 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("words"), (F.length(X.trimmed(F.col("text"))) >= 80).alias("long_enough"))
 
 
-_NOTES = "list_value('REQUIRES VERIFICATION','SUPPORTED','INSUFFICIENT','CONTESTED')"
+_NOTES = "list_value('REQUIRES VERIFICATION','SUPPORTED','CONTESTED','CONTRADICTED')"
 
 
 def _annotations(text: Column) -> Column:
@@ -100,17 +106,22 @@ _SEED = _FNV.format(x="(CASE WHEN b = '' THEN 'empty' ELSE b END)")
 
 
 @query(rf"""WITH e AS (SELECT doc_id, {_TRIM} AS b, {_SENTENCES}[1:4] AS s, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS words FROM documents),
- z AS (SELECT *, {_SEED} AS seed FROM e), d1 AS ({_draws("SELECT * FROM z")}), d2 AS ({_draws("SELECT doc_id AS id2, seed FROM z", "2")})
- SELECT doc_id, words, CAST(len(s) AS INTEGER) AS claims, round(0.35 + d1.u * 0.5, 9) AS emotive, CASE WHEN 0.35 + d1.u * 0.5 > 0.65 THEN 'HIGH' WHEN 0.35 + d1.u * 0.5 > 0.45 THEN 'ELEVATED' ELSE 'LOW' END AS reading,
- CAST(greatest(1, floor(d2.u * 3 + 0.5)) AS BIGINT) AS shift, least(1.0, len(s) / 4.0) AS unsourced FROM d1 JOIN d2 ON doc_id = id2""")
+ z AS (SELECT *, {_SEED} AS seed FROM e), d1 AS ({_draws("SELECT * FROM z")}), d2 AS ({_draws("SELECT doc_id AS id2, seed FROM z", "2")}),
+ q AS (SELECT doc_id, words, CAST(len(s) AS INTEGER) AS claims, 0.35 + d1.u * 0.5 AS emotive, CAST(greatest(1, floor(d2.u * 3 + 0.5)) AS BIGINT) AS shift FROM d1 JOIN d2 ON doc_id = id2)
+ SELECT doc_id, words, claims, round(emotive, 9) AS emotive, CASE WHEN emotive > 0.65 THEN 'HIGH' WHEN emotive > 0.45 THEN 'ELEVATED' ELSE 'LOW' END AS reading,
+ printf('%02d', claims - CASE WHEN claims >= 2 THEN 1 ELSE 0 END) AS unsourced, least(1.0, claims / 4.0) AS unsourced_weight, printf('%02d', shift) AS shift,
+ 'Language: English; Words: ' || words || '; Claims: ' || printf('%02d', claims) || '; Entities: 12; Signals: 05; Confidence: 92%' AS ledger, 'REQUIRES VERIFICATION' AS determination FROM q""")
 def text_examination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reading of every document, seeded by its whole text."""
-    body = X.trimmed(F.col("text"))
-    d = _docs(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("words"), F.size(F.slice(X.sentences(F.col("text")), 1, 4)).alias("claims"), S.fnv1a(F.when(body == "", "empty").otherwise(body)).alias("seed"))
-    emotive = F.lit(0.35) + S.draw(F.col("seed"), 1) * 0.5
+    """The text desk's record of every document, seeded by its whole text."""
+    body = X.trimmed(F.coalesce("text", F.lit("")))
+    d = _docs(spark, sf_dir).select("doc_id", X.word_count(body).alias("words"), _annotations(body).alias("notes"), S.text_seed(body).alias("seed"))
+    emotive, claims = F.lit(0.35) + S.draw(F.col("seed"), 1) * 0.5, F.size("notes")
     return d.select(
-        "doc_id", "words", "claims", F.round(emotive, 9).alias("emotive"), F.when(emotive > 0.65, "HIGH").when(emotive > 0.45, "ELEVATED").otherwise("LOW").alias("reading"),
-        F.greatest(F.lit(1), F.floor(S.draw(F.col("seed"), 2) * 3 + 0.5)).cast("bigint").alias("shift"), F.least(F.lit(1.0), F.col("claims") / 4.0).alias("unsourced"),
+        "doc_id", "words", claims.alias("claims"), F.round(emotive, 9).alias("emotive"), F.when(emotive > 0.65, "HIGH").when(emotive > 0.45, "ELEVATED").otherwise("LOW").alias("reading"),
+        X.padded(F.size(F.filter("notes", lambda n: n["determination"] != "SUPPORTED"))).alias("unsourced"), F.least(F.lit(1.0), claims / 4.0).alias("unsourced_weight"),
+        X.padded(F.greatest(F.lit(1), F.floor(S.draw(F.col("seed"), 2) * 3 + 0.5)).cast("bigint")).alias("shift"),
+        printed_ledger(entries(language=F.lit("English"), words=F.col("words"), claims=X.padded(claims), entities=F.lit("12"), signals=F.lit("05"), confidence=F.lit(CONFIDENCE["text"]))).alias("ledger"),
+        F.lit("REQUIRES VERIFICATION").alias("determination"),
     )
 
 
@@ -135,7 +146,32 @@ def mulberry_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, CASE WHEN u > 0.5 THEN 'Present' ELSE 'Stripped' END AS metadata FROM ({_draws('SELECT page_id, ' + _FNV.format(x='url') + ' AS seed FROM pages')})")
 def metadata_coin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.when(S.draw(S.fnv1a(F.col("url")), 1) > 0.5, "Present").otherwise("Stripped").alias("metadata"))
+    return table(spark, sf_dir, "pages").select("page_id", _coin(F.col("url")).alias("metadata"))
+
+
+def _coin(name: Column) -> Column:
+    return F.when(S.draw(S.name_seed(name), 1) > 0.5, "Present").otherwise("Stripped")
+
+
+_LABEL = "CASE WHEN length(url) > 22 THEN left(url, 20) || '…' ELSE url END"
+
+
+@query(f"""WITH m AS (SELECT page_id, url, CASE WHEN u > 0.5 THEN 'Present' ELSE 'Stripped' END AS metadata FROM ({_draws('SELECT page_id, url, ' + _FNV.format(x='url') + ' AS seed FROM pages')})),
+ r(ref, x, y, w, h, mark) AS (VALUES (1, 18, 22, 26, 30, 'adverse'), (2, 58, 14, 22, 22, 'adverse'), (3, 40, 62, 34, 24, 'adverse'))
+ SELECT page_id, ref, x, y, w, h, mark, 'File: ' || {_LABEL} || '; Generative signal: 87%; Regions flagged: 03; Text recovered: 14 lines; Metadata: ' || metadata || '; Confidence: 87%' AS ledger FROM m, r""")
+def image_examination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame for every page's address: its flagged regions, each with the tone of its annotation, and the ledger."""
+    d = table(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("untitled")).alias("name"), _coin(F.col("url")).alias("metadata"))
+    ledger = entries(file=X.shortened(F.col("name")), generative_signal=F.lit("87%"), regions_flagged=X.padded(F.lit(len(REGIONS))), text_recovered=F.lit("14 lines"), metadata=F.col("metadata"), confidence=F.lit(CONFIDENCE["image"]))
+    notes = _marks("image")
+    regions = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("ref", "x", "y", "w", "h"), r))) for r in REGIONS))
+    mark = F.coalesce(X.tone(F.get(F.filter(notes, lambda a: a["ref"] == F.col("ref")), F.lit(0))["determination"]), F.lit("adverse"))
+    return d.select("page_id", printed_ledger(ledger).alias("ledger"), F.inline(regions)).select("page_id", "ref", "x", "y", "w", "h", mark.alias("mark"), "ledger")
+
+
+def _marks(desk: str) -> Column:
+    """The annotations of a desk whose marks don't depend on the artifact."""
+    return F.array(*(F.struct(F.lit(i).alias("ref"), F.lit(d).alias("determination")) for i, d in enumerate(MARKED[desk], 1)))
 
 
 def _samples(seed: str, key: str) -> str:
@@ -156,16 +192,39 @@ _SPAN_ROWS = ", ".join(map(str, FLAGGED_SPANS))
 
 
 @query(f"""WITH RECURSIVE {_samples("SELECT page_id, " + _FNV.format(x="url") + " AS seed FROM pages", "page_id")}, s(ref, a, b) AS (VALUES {_SPAN_ROWS})
- SELECT page_id, any_value({_FILE}) AS file, '02:48' AS duration, ref, any_value({_CODE.format(x=f"(a * {RECORDING_SECONDS})")} || ' – ' || {_CODE.format(x=f"(b * {RECORDING_SECONDS})")}) AS span, CAST(count(*) AS INTEGER) AS samples, max(sample) AS loudest
+ SELECT page_id, any_value({_FILE}) AS file, '02:48' AS duration, ref, any_value({_CODE.format(x=f"(a * {RECORDING_SECONDS})")} || ' – ' || {_CODE.format(x=f"(b * {RECORDING_SECONDS})")}) AS span, round(CAST(any_value(a) AS DOUBLE) * 100, 6) AS box_left, round(CAST(any_value(b - a) AS DOUBLE) * 100, 6) AS box_width, CAST(count(*) AS INTEGER) AS samples, max(sample) AS loudest
  FROM e JOIN s ON pos / {SAMPLES} >= a AND pos / {SAMPLES} <= b JOIN pages USING (page_id) GROUP BY page_id, ref""")
 def audio_examination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recording for every page's address: its length, and what its envelope holds within each flagged span."""
-    d = table(spark, sf_dir, "pages").select("page_id", X.shortened(F.col("url")).alias("file"), S.fnv1a(F.col("url")).alias("seed"))
+    d = table(spark, sf_dir, "pages").select("page_id", X.shortened(F.col("url")).alias("file"), S.name_seed(F.col("url")).alias("seed"))
     spans = F.array(*(F.struct(F.lit(r).alias("ref"), F.lit(a).alias("a"), F.lit(b).alias("b")) for r, a, b in FLAGGED_SPANS))
     d = d.select("page_id", "file", S.envelope(F.col("seed"), SAMPLES).alias("envelope")).select("*", F.inline(spans))
     inside = F.filter("envelope", lambda v, i: (i / SAMPLES >= F.col("a")) & (i / SAMPLES <= F.col("b")))
     codes = F.concat(X.timecode(F.col("a") * RECORDING_SECONDS), F.lit(" – "), X.timecode(F.col("b") * RECORDING_SECONDS))
-    return d.select("page_id", "file", X.timecode(F.lit(RECORDING_SECONDS)).alias("duration"), "ref", codes.alias("span"), F.size(inside).alias("samples"), F.round(F.array_max(inside), 6).alias("loudest"))
+    return d.select("page_id", "file", X.timecode(F.lit(RECORDING_SECONDS)).alias("duration"), "ref", codes.alias("span"), F.round(F.col("a") * 100, 6).alias("box_left"), F.round((F.col("b") - F.col("a")) * 100, 6).alias("box_width"), F.size(inside).alias("samples"), F.round(F.array_max(inside), 6).alias("loudest"))
+
+
+@query(f"""WITH t(i, speaker, ref) AS (VALUES (0, 'Speaker 01', NULL), (1, 'Speaker 02', NULL), (2, 'Speaker 01', 1), (3, 'Speaker 01', 2))
+ SELECT page_id, i AS pos, printf('%02d:%02d', 42 * i // 60, 42 * i % 60) AS timecode, speaker, ref, ref IS NOT NULL AS flagged,
+ 'File: ' || {_FILE} || '; Duration: 02:48; Words: 421; Speakers: 02; Spans flagged: 02; Confidence: 91%' AS ledger FROM pages, t""")
+def audio_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transcript of every recording with its evenly spaced time codes, and the ledger."""
+    each = RECORDING_SECONDS / len(TRANSCRIPT)
+    ledger = entries(file=X.shortened(F.coalesce("url", F.lit("untitled"))), duration=X.timecode(F.lit(RECORDING_SECONDS)), words=F.lit("421"), speakers=X.padded(F.lit(len({s for s, _ in TRANSCRIPT}))), spans_flagged=X.padded(F.lit(len(FLAGGED_SPANS))), confidence=F.lit(CONFIDENCE["audio"]))
+    lines = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(s).alias("speaker"), F.lit(r).cast("int").alias("ref")) for i, (s, r) in enumerate(TRANSCRIPT)))
+    d = table(spark, sf_dir, "pages").select("page_id", printed_ledger(ledger).alias("ledger")).select("*", F.inline(lines))
+    return d.select("page_id", "pos", X.timecode(F.lit(each) * F.col("pos")).alias("timecode"), "speaker", "ref", F.col("ref").isNotNull().alias("flagged"), "ledger")
+
+
+@query(f"""WITH t(pos, span, det, box) AS (VALUES (0, 0.34, 'CONSISTENT', 0.0), (1, 0.22, 'CONSISTENT', 0.34), (2, 0.29, 'ANOMALOUS', 0.56), (3, 0.15, 'CONSISTENT', 0.85))
+ SELECT page_id, pos, round(CAST(box AS DOUBLE) * 100, 6) AS box_left, round(CAST(span AS DOUBLE) * 100, 6) AS box_width, det AS determination,
+ 'File: ' || {_FILE} || '; Runtime: 01:45; Frames read: 128; Scenes: 04; Frames flagged: 02; Confidence: 88%' AS ledger FROM pages, t""")
+def video_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scenes of every piece of footage, laid side by side by their spans, and the ledger."""
+    ledger = entries(file=X.shortened(F.coalesce("url", F.lit("untitled"))), runtime=X.timecode(F.lit(FOOTAGE_SECONDS)), frames_read=F.lit("128"), scenes=X.padded(F.lit(len(SCENES))), frames_flagged=X.padded(F.lit(len(FLAGGED_FRAMES))), confidence=F.lit(CONFIDENCE["video"]))
+    scenes = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(sum(x for x, _ in SCENES[:i])).cast("double").alias("start"), F.lit(x).alias("span"), F.lit(d).alias("determination")) for i, (x, d) in enumerate(SCENES)))
+    d = table(spark, sf_dir, "pages").select("page_id", printed_ledger(ledger).alias("ledger")).select("*", F.inline(scenes))
+    return d.select("page_id", "pos", F.round(F.col("start") * 100, 6).alias("box_left"), F.round(F.col("span") * 100, 6).alias("box_width"), "determination", "ledger")
 
 
 @query(f"""SELECT page_id, {_FILE} AS file, '01:45' AS runtime, i AS index, printf('%02d', i + 1) AS number, {_CODE.format(x=f"({FOOTAGE_SECONDS} / {FRAMES} * i)")} AS timecode,
@@ -179,14 +238,17 @@ def video_examination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT * FROM (SELECT conv_id, regexp_replace(arg_min(text, row(turn, text)), '^\s+|\s+$', '', 'g') AS claim, printf('%02d', count(*)) AS exhibits, printf('%02d', count(*) FILTER (WHERE role = 'system')) AS supporting,
- printf('%02d', count(*) FILTER (WHERE role = 'user')) AS contradicting FROM conversations GROUP BY conv_id) WHERE length(claim) >= 24""")
+ printf('%02d', count(*) FILTER (WHERE role = 'user')) AS contradicting,
+ 'Sources searched: 17; Exhibits returned: ' || printf('%02d', count(*)) || '; Supporting: ' || printf('%02d', count(*) FILTER (WHERE role = 'system')) || '; Contradicting: ' || printf('%02d', count(*) FILTER (WHERE role = 'user')) || '; Strongest reliability: Verified; Evidence strength: 94%' AS ledger
+ FROM conversations GROUP BY conv_id) WHERE length(claim) >= 24""")
 def claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's first turn as the claim, if long enough to check, and its turns as exhibits; one aggregate with map-side parts."""
     got = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
         X.trimmed(F.min_by("text", F.struct("turn", "text"))).alias("claim"), X.padded(F.count("*")).alias("exhibits"),
         X.padded(F.count_if(F.col("role") == "system")).alias("supporting"), X.padded(F.count_if(F.col("role") == "user")).alias("contradicting"),
     )
-    return got.where(F.length("claim") >= 24)
+    ledger = entries(sources_searched=F.lit("17"), exhibits_returned=F.col("exhibits"), supporting=F.col("supporting"), contradicting=F.col("contradicting"), strongest_reliability=F.lit("Verified"), evidence_strength=F.lit(CONFIDENCE["fact-check"]))
+    return got.where(F.length("claim") >= 24).withColumn("ledger", printed_ledger(ledger))
 
 
 @query(f"SELECT doc_id, determination, CASE WHEN determination IN ('SUPPORTED','CONSISTENT','CLEAR') THEN 'clear' WHEN determination IN ('REQUIRES VERIFICATION','INSUFFICIENT') THEN 'open' ELSE 'adverse' END AS tone FROM ({_TONED})")
@@ -194,6 +256,14 @@ def tone_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toned(spark, sf_dir).select("doc_id", "determination", X.tone(F.col("determination")).alias("tone"))
 
 
+@query(f"""SELECT doc_id, 'text-' || c AS text_token, 'bg-' || CASE c WHEN 'gold-ink' THEN 'gold-foil' ELSE c END AS rule_token, 'border-' || CASE c WHEN 'gold-ink' THEN 'gold-foil' ELSE c END AS border_token
+ FROM (SELECT doc_id, CASE determination WHEN 'SUPPORTED' THEN 'trust-green' WHEN 'REQUIRES VERIFICATION' THEN 'gold-ink' ELSE 'secondary' END AS c FROM ({_TONED}))""")
+def tone_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tone of every document is set."""
+    named = F.create_map(*(x for tone, (a, b, c) in TONE_TOKENS.items() for x in (F.lit(tone), F.struct(F.lit(a).alias("text_token"), F.lit(b).alias("rule_token"), F.lit(c).alias("border_token")))))
+    return _toned(spark, sf_dir).select("doc_id", F.try_element_at(named, X.tone(F.col("determination"))).alias("t")).select("doc_id", "t.*")
+
+
 @query("SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), '') AS name, coalesce(CAST(l.quality AS VARCHAR), d.source) AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
 def desk_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _docs(spark, sf_dir).select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("q")), "doc_id", "left")
@@ -230,15 +300,52 @@ def roster_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "kind", F.size(stages).alias("stages"), F.posexplode("r").alias("pos", "desk"))
 
 
-@query(f"""WITH x AS (SELECT doc_id, source, kind, {_ROSTERS} AS r, CAST(least(4, len(s)) AS INTEGER) AS marks FROM (SELECT doc_id, source, {_KIND} AS kind, {_SENTENCES} AS s FROM documents))
- SELECT source, kind, count(*) AS submissions, CAST(sum(len(r)) AS BIGINT) AS desks_opened, CAST(sum(marks) AS BIGINT) AS findings, CAST(sum(CASE WHEN marks > 3 THEN 1 ELSE 0 END) AS BIGINT) AS adverse,
- (89 + max(len(r))) || '%' AS confidence FROM x GROUP BY 1, 2""")
+@query(f"""WITH dim(id, number, name, reads, second, stages) AS (VALUES ('text', '01', 'Text', 'articles and statements', 'claims without sources', 3), ('image', '02', 'Image', 'photographs and stills', 'joins and repeats', 3),
+  ('audio', '03', 'Audio', 'speech and calls', 'cuts and splices', 2), ('video', '04', 'Video', 'footage and its sound', 'rebuilt scenes', 3), ('fact-check', '05', 'Fact-check', 'single claims', 'records for and against', 2)),
+ r AS (SELECT doc_id, CAST(unnest(range(0, len(r))) AS INTEGER) AS pos, unnest(r) AS desk FROM (SELECT doc_id, {_ROSTERS} AS r FROM (SELECT doc_id, {_KIND} AS kind FROM documents)))
+ SELECT doc_id, pos, number, name, name || ' desk is reading it' AS stage, reads, second, '' AS absent, stages FROM r JOIN dim ON desk = id""")
+def roster_desks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The desks of every document's roster in order, from the dimension: a value by its key, by its place, and a key that isn't there."""
+    value = lambda key: F.coalesce(F.get(F.filter("method", lambda m: m["key"] == key), F.lit(0))["value"], F.lit(""))
+    d = _docs(spark, sf_dir).select("doc_id", F.posexplode(_roster(_kind())).alias("pos", "desk")).join(F.broadcast(desks(spark)), F.col("desk") == F.col("id"))
+    return d.select("doc_id", "pos", "number", "name", F.concat("name", F.lit(" desk is reading it")).alias("stage"), value("Reads").alias("reads"), F.get("method", F.lit(1))["value"].alias("second"), value("Nothing").alias("absent"), F.size("stages").alias("stages"))
+
+
+_COMMISSION = f"""c AS (SELECT doc_id, source, kind, {_ROSTERS} AS r, CAST(least(4, len(s)) AS INTEGER) AS marks FROM (SELECT doc_id, source, {_KIND} AS kind, {_SENTENCES} AS s FROM documents)),
+ one AS (SELECT doc_id, pos, desk, CASE desk WHEN 'text' THEN marks ELSE 3 END AS findings, CASE desk WHEN 'text' THEN CASE WHEN marks >= 4 THEN 2 WHEN marks >= 3 THEN 1 ELSE 0 END WHEN 'image' THEN 3 ELSE 2 END AS adverse,
+  CASE desk WHEN 'text' THEN 'REQUIRES VERIFICATION' WHEN 'fact-check' THEN 'CONTRADICTED' ELSE 'SYNTHETIC' END AS det FROM (SELECT doc_id, marks, unnest(range(0, len(r))) AS pos, unnest(r) AS desk FROM c)),
+ read AS (SELECT doc_id, string_agg(desk || ' ' || findings || '/' || adverse || ' ' || det, '; ' ORDER BY pos) AS filings, CAST(sum(findings) AS INTEGER) AS findings, CAST(sum(adverse) AS INTEGER) AS adverse FROM one GROUP BY doc_id),
+ {adjudicated("SELECT doc_id AS case_id, r AS ids FROM c")}"""
+
+
+def _commission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document on the bench: its kind opens desks, each desk's reading goes with the desk by place, the core decides on that roster."""
+    d = _docs(spark, sf_dir).select("doc_id", "source", _kind().alias("kind"), _annotations(F.coalesce("text", F.lit(""))).alias("notes")).withColumn("roster", _roster(F.col("kind")))
+    of = lambda det, marks: F.struct(F.size(marks).alias("findings"), F.size(F.filter(marks, lambda n: X.tone(n["determination"]) == "adverse")).alias("adverse"), F.lit(det).alias("determination"))
+    readings = {"text": of("REQUIRES VERIFICATION", F.col("notes")), "fact-check": of("CONTRADICTED", _marks("fact-check"))} | {k: of("SYNTHETIC", _marks(k)) for k in ("image", "audio", "video")}
+    read = F.create_map(*(x for k, r in readings.items() for x in (F.lit(k), r)))
+    return d.withColumn("read", read).withColumn("records", F.transform("roster", lambda i: F.try_element_at("read", i))).withColumn("filings", F.arrays_zip("roster", "records")).withColumn("d", adjudication.decision(F.col("roster"))).drop("read", "notes")
+
+
+@query(f"""WITH {_COMMISSION} SELECT doc_id, c.kind, filings, contributions, ruling, headline, confidence,
+ 'Artifact: ' || upper(left(c.kind, 1)) || substring(c.kind, 2) || '; Desks opened: ' || printf('%02d', len(r)) || '; Findings marked: ' || printf('%02d', findings) || '; Adverse findings: ' || printf('%02d', adverse) || '; Filed: 22 Aug 2026; Confidence: ' || confidence AS ledger
+ FROM c JOIN read USING (doc_id) JOIN decided ON doc_id = case_id""")
+def commission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole commission of every document, with no shuffle."""
+    c, labels = _commission(spark, sf_dir), F.create_map(*(F.lit(x) for kv in KIND_LABELS.items() for x in kv))
+    count = lambda what: F.aggregate("records", F.lit(0), lambda a, r: a + r[what])
+    ledger = entries(artifact=F.try_element_at(labels, F.col("kind")), desks_opened=X.padded(F.size("filings")), findings_marked=X.padded(count("findings")), adverse_findings=X.padded(count("adverse")), filed=F.lit(ISSUE), confidence=F.col("d.verdict.confidence"))
+    filings = F.array_join(F.transform("filings", lambda f: F.concat_ws(" ", f["roster"], F.concat_ws("/", f["records"]["findings"], f["records"]["adverse"]), f["records"]["determination"])), "; ")
+    return c.select("doc_id", "kind", filings.alias("filings"), adjudication.printed_contributions(F.col("d.contributions")).alias("contributions"), F.col("d.verdict.determination").alias("ruling"), "d.verdict.headline", "d.verdict.confidence", printed_ledger(ledger).alias("ledger"))
+
+
+@query(f"""WITH {_COMMISSION} SELECT source, c.kind, count(*) AS submissions, CAST(sum(len(r)) AS BIGINT) AS desks_opened, CAST(sum(findings) AS BIGINT) AS findings, CAST(sum(adverse) AS BIGINT) AS adverse, max(confidence) AS confidence
+ FROM c JOIN read USING (doc_id) JOIN decided ON doc_id = case_id GROUP BY 1, 2""")
 def commission_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).select("source", _kind().alias("kind"), _annotations(F.col("text")).alias("notes")).withColumn("desks", F.size(_roster(F.col("kind"))))
-    adverse = F.size(F.filter("notes", lambda n: X.tone(n["determination"]) == "adverse"))
-    return d.groupBy("source", "kind").agg(
-        F.count("*").alias("submissions"), F.sum("desks").alias("desks_opened"), F.sum(F.size("notes")).alias("findings"), F.sum(adverse).alias("adverse"),
-        F.concat((F.lit(89) + F.max("desks")).cast("string"), F.lit("%")).alias("confidence"),
+    """Commissions summed by source and kind."""
+    return _commission(spark, sf_dir).groupBy("source", "kind").agg(
+        F.count("*").alias("submissions"), F.sum(F.size("roster")).alias("desks_opened"), F.sum(F.aggregate("records", F.lit(0), lambda a, r: a + r["findings"])).alias("findings"),
+        F.sum(F.aggregate("records", F.lit(0), lambda a, r: a + r["adverse"])).alias("adverse"), F.max("d.verdict.confidence").alias("confidence"),
     )
 
 
@@ -277,6 +384,8 @@ def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORY = "lang || CASE WHEN source IS NULL OR source = '' THEN '' ELSE ' — ' || source END"
 
 
-@query(f"SELECT doc_id, {_STORY} AS heading, {len(DESKS)} AS desks FROM documents")
+@query(f"SELECT doc_id, {_STORY} AS heading, CASE lang WHEN 'en' THEN 'Text' WHEN 'de' THEN 'Image' END AS desk FROM documents")
 def story_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.concat("lang", F.when(F.col("source") != "", F.concat(F.lit(" — "), "source")).otherwise("")).alias("heading"), F.lit(len(DESKS)).alias("desks"))
+    """A story's heading, and its desk where it has one."""
+    story = _docs(spark, sf_dir).select("doc_id", F.concat("lang", F.when(F.col("source") != "", F.concat(F.lit(" — "), "source")).otherwise("")).alias("heading"), F.when(F.col("lang") == "en", "text").when(F.col("lang") == "de", "image").alias("of"))
+    return story.join(F.broadcast(desks(spark).select("id", F.col("name").alias("desk"))), F.col("of") == F.col("id"), "left").select("doc_id", "heading", "desk")
