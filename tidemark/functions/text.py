@@ -9,12 +9,13 @@ from tidemark.functions.fixed import BADGES, CLEAR, COUNT_WORDS, OPEN
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space (blank, tab, line feed, vertical tab, form feed, return) at either end."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def sentences(text: Column, longer_than: int = 24) -> Column:
-    """Pieces after ., ! or ? and white space, trimmed, of more than so many characters."""
-    return F.filter(F.transform(F.split(trimmed(text), r"(?<=[.!?])\s+"), trimmed), lambda s: F.length(s) > longer_than)
+    """Pieces after ., ! or ? and white space, of more than so many characters; a trimmed text's pieces are trimmed."""
+    return F.filter(F.split(trimmed(text), r"(?<=[.!?])\s+"), lambda s: F.length(s) > longer_than)
 
 
 def word_count(text: Column) -> Column:

@@ -6,6 +6,8 @@ on an array of desk ids in a row, with no shuffle at all: the desks that can fil
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,20 +56,28 @@ def confidence(n: Column) -> Column:
     return F.concat((F.lit(89) + n).cast("string"), F.lit("%"))
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of x, with x computed once: a lambda's argument is a value, where a column used twice is computed twice."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def filed(roster: Column) -> Column:
     """The filings (id, label, weight, determination) of the desks on a roster, in filing order; all if the roster names none of them."""
     all_filings = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(w).alias("weight"), F.lit(FILED[i]).alias("determination")) for i, label, w in DESKS))
     named = F.filter(all_filings, lambda f: F.coalesce(F.array_contains(roster, f["id"]), F.lit(False)))
-    return F.when(F.size(named) > 0, named).otherwise(all_filings)
+    return once(named, lambda n: F.when(F.size(n) > 0, n).otherwise(all_filings))
 
 
 def shares_of(filings: Column) -> Column:
     """Shares of an array of filings, as ``shares`` gives them."""
+
+    def settled(rough: Column) -> Column:
+        drift = half_up(F.lit(1.0) - F.aggregate(rough, F.lit(0.0), lambda a, s: a + s), 2)
+        at = F.struct((F.array_position(rough, F.array_max(rough)) - 1).alias("first"), drift.alias("drift"))
+        return once(at, lambda x: F.transform(rough, lambda s, i: F.when(i == x["first"], half_up(s + x["drift"], 2)).otherwise(s)))
+
     total = F.aggregate(filings, F.lit(0), lambda a, f: a + f["weight"])
-    rough = F.transform(filings, lambda f: half_up(f["weight"] / total, 2))
-    drift = half_up(F.lit(1.0) - F.aggregate(rough, F.lit(0.0), lambda a, s: a + s), 2)
-    first = F.array_position(rough, F.array_max(rough)) - 1
-    return F.transform(rough, lambda s, i: F.when(i == first, half_up(s + drift, 2)).otherwise(s))
+    return once(once(total, lambda t: F.transform(filings, lambda f: half_up(f["weight"] / t, 2))), settled)
 
 
 def ruling_of(determinations: Column) -> Column:
@@ -96,14 +106,21 @@ def entries(**values: Column) -> Column:
 
 def decision(roster: Column) -> Column:
     """The record on the desks of a roster: contributions, annotations, ledger and verdict."""
-    f = filed(roster)
-    n, ruling, sure = F.size(f), ruling_of(F.transform(f, lambda x: x["determination"])), confidence(F.size(f))
     headlines = F.create_map(*(F.lit(x) for kv in HEADLINES.items() for x in kv))
-    contributions = F.transform(F.arrays_zip(f.alias("f"), shares_of(f).alias("s")), lambda z: F.struct(z["f"]["label"].alias("desk"), z["s"].alias("share"), z["f"]["determination"].alias("determination")))
-    annotations = F.transform(f, lambda x, i: F.struct((i + 1).alias("ref"), x["label"].alias("quote"), x["determination"].alias("determination")))
-    ledger = entries(desks_reporting=padded(n), dissenting_desks=F.lit("00"), findings_weighed=padded(n), evidence_strength=F.lit("91%"), signal_consistency=F.lit("89%"), confidence=sure)
-    verdict = F.struct(ruling.alias("determination"), F.coalesce(F.try_element_at(headlines, ruling), F.lit(HEADLINE)).alias("headline"), rationale(f, ruling).alias("rationale"), sure.alias("confidence"))
-    return F.struct(contributions.alias("contributions"), annotations.alias("annotations"), ledger.alias("ledger"), verdict.alias("verdict"))
+
+    def record(f: Column, shares: Column, ruling: Column) -> Column:
+        n, sure = F.size(f), confidence(F.size(f))
+        contributions = F.zip_with(f, shares, lambda x, s: F.struct(x["label"].alias("desk"), s.alias("share"), x["determination"].alias("determination")))
+        annotations = F.transform(f, lambda x, i: F.struct((i + 1).alias("ref"), x["label"].alias("quote"), x["determination"].alias("determination")))
+        ledger = entries(desks_reporting=padded(n), dissenting_desks=F.lit("00"), findings_weighed=padded(n), evidence_strength=F.lit("91%"), signal_consistency=F.lit("89%"), confidence=sure)
+        verdict = F.struct(ruling.alias("determination"), F.coalesce(F.try_element_at(headlines, ruling), F.lit(HEADLINE)).alias("headline"), rationale(f, ruling).alias("rationale"), sure.alias("confidence"))
+        return F.struct(contributions.alias("contributions"), annotations.alias("annotations"), ledger.alias("ledger"), verdict.alias("verdict"))
+
+    def of(f: Column) -> Column:
+        weighed = F.struct(shares_of(f).alias("shares"), ruling_of(F.transform(f, lambda x: x["determination"])).alias("ruling"))
+        return once(weighed, lambda w: record(f, w["shares"], w["ruling"]))
+
+    return once(filed(roster), of)
 
 
 def printed_ledger(ledger: Column) -> Column:

@@ -113,8 +113,8 @@ _SEED = _FNV.format(x="(CASE WHEN b = '' THEN 'empty' ELSE b END)")
  'Language: English; Words: ' || words || '; Claims: ' || printf('%02d', claims) || '; Entities: 12; Signals: 05; Confidence: 92%' AS ledger, 'REQUIRES VERIFICATION' AS determination FROM q""")
 def text_examination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text desk's record of every document, seeded by its whole text."""
-    body = X.trimmed(F.coalesce("text", F.lit("")))
-    d = _docs(spark, sf_dir).select("doc_id", X.word_count(body).alias("words"), _annotations(body).alias("notes"), S.text_seed(body).alias("seed"))
+    body = _docs(spark, sf_dir).select("doc_id", X.trimmed(F.coalesce("text", F.lit(""))).alias("body"))
+    d = body.select("doc_id", X.word_count(F.col("body")).alias("words"), _annotations(F.col("body")).alias("notes"), S.text_seed(F.col("body")).alias("seed"))
     emotive, claims = F.lit(0.35) + S.draw(F.col("seed"), 1) * 0.5, F.size("notes")
     return d.select(
         "doc_id", "words", claims.alias("claims"), F.round(emotive, 9).alias("emotive"), F.when(emotive > 0.65, "HIGH").when(emotive > 0.45, "ELEVATED").otherwise("LOW").alias("reading"),
