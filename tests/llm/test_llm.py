@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import ann, licenses, line_dedup, lm, mixing, packing, pii, quality, queries, simhash, topk
 from tidemark.llm.common import Workspace
@@ -31,8 +32,6 @@ def odd(spark):
     df = docs_of(spark, texts)
     # Columns whose names the operators use themselves.
     for c in ("kept", "score", "rate", "fp", "piece", "length", "n_lines", "quality_score", "mixing_words", "tokens", "line_hash"):
-        from pyspark.sql import functions as F
-
         df = df.withColumn(c, F.lit("own"))
     return df
 
@@ -212,16 +211,31 @@ def brute_lines(texts):
 @pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2), (4, 3)])
 def test_line_dedup(spark, docs, odd, batches, fanout):
     for df in (docs, odd):
-        got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in rows(line_dedup.dedup_lines(df, batches=batches, fanout=fanout)))
+        got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in rows(line_dedup.dedup_lines(df.drop("n_lines"), batches=batches, fanout=fanout)))
         assert got == brute_lines([(r.doc_id, r.text) for r in df.collect()])
 
 
 def test_line_stage(spark, odd):
     out = line_dedup.line_dedup_stage(odd)
-    assert out.columns == odd.columns and all(r.n_chars == len(r.text) for r in out.collect())
+    assert out.columns == odd.columns and out.schema["n_lines"].dataType == odd.schema["n_lines"].dataType
+    want, got = brute_lines([(r.doc_id, r.text) for r in odd.collect()]), out.collect()
+    assert Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in got) == Counter((i, sha) for i, _, _, sha in want.elements())
+    for r in got:
+        # Columns named like ours keep what they held.
+        assert r.n_chars == len(r.text) and {r[c] for c in ("kept", "score", "n_lines", "tokens", "line_hash")} == {"own"}
+    named = line_dedup.dedup_lines(odd)
+    assert {r.n_lines for r in named.collect()} == {"own"} and min(r._n_lines for r in named.collect()) == 1
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_runs_are_merged_without_a_shuffle(spark, docs, capsys):
+    work = Workspace(spark, "test-runs")
+    a, b = (work.bucketed(docs.select(F.xxhash64("doc_id", F.lit(k)).alias("line_hash"), "doc_id"), "t", "line_hash") for k in (1, 2))
+    a.join(b.select("line_hash"), "line_hash", "left_anti").explain()
+    assert "SortMergeJoin" in (plan := capsys.readouterr().out) and "Exchange" not in plan or "Broadcast" in plan
+    work.drop(a, b)
+
+
 # --- vectors ---
 
 
@@ -478,8 +492,6 @@ def test_licenses(spark):
         ("a/b2/z.txt", "A licence is a long matter that has been talked over many times and without end in many places."),
     ]
     df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id int, path string, text string")
-    from pyspark.sql import functions as F
-
     got = {r["doc_id"]: (r["license"], r["origin"], r["license_dir"]) for r in rows(licenses.scan(df, F.col("path")))}
     assert got == {
         0: ("MIT", "file", None), 1: ("MIT", "inherited", "a"), 2: ("GPL-3.0", "file", None), 3: ("GPL-3.0", "inherited", "a/b/c"), 4: ("Apache-2.0", "header", None),
@@ -498,8 +510,6 @@ def test_license_query(spark, sf_dir, docs):
 
 @pytest.mark.parametrize("copies", [20, 2_000])
 def test_license_header_with_a_name_at_any_size(spark, copies):
-    from pyspark.sql import functions as F
-
     bodies = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(licenses.TEMPLATES)], "nth int, text string")
     corpus = bodies.crossJoin(spark.range(copies)).select((F.col("id") * 100 + F.col("nth")).alias("doc_id"), "text")
     own = spark.createDataFrame([(-1, "Licensed under the Apache License, Version 2.0. Acme"), (-2, "Acme 2024. Released under the MIT License."), (-3, "no licence for prose, not even with many rights")], "doc_id bigint, text string")
@@ -514,8 +524,6 @@ def test_license_markers_hold_for_every_template():
 
 
 def test_license_headers_over_lines(spark):
-    from pyspark.sql import functions as F
-
     mit = """MIT License
 
 Copyright (c) 2024 Acme

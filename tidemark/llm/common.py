@@ -42,10 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only in local mode, where all of Spark is this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if not getattr(sc, "_tidemark_folder", None):
             sc._tidemark_folder = tempfile.mkdtemp(prefix="spark-tidemark-")
         base = sc._tidemark_folder
@@ -77,8 +79,21 @@ class Workspace:
         out._tidemark_path = path
         return out
 
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """``stage`` as a table bucketed and sorted by a key: tables that meet by the key need no shuffle.
+
+        What is grouped or joined by the key already is written as it lies, one file a bucket; ``repartition`` the rest by it.
+        """
+        path, n, name = self.path(name), int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"tidemark_{uuid.uuid4().hex}"
+        df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out._tidemark_path, out._tidemark_table = path, name
+        return out
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
+            if getattr(df, "_tidemark_table", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {df._tidemark_table}")
             p = self.spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 

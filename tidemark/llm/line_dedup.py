@@ -1,21 +1,24 @@
 """Line deduplication against levelled, sorted runs of line hashes.
 
-The index is a set of *runs*: written tables of (line hash, first document), sorted by hash,
+The index is a set of *runs*: tables of (line hash, first document), bucketed and sorted by hash,
 no hash in two of them.  Documents come in batches of ascending doc_id.  A batch first
-groups its own hashes, then merge-anti-joins every run, and what is new becomes a run of
+groups its own hashes, in the runs' buckets, and merge-joins every run: what none of them has (the anti-join) becomes a run of
 level 0.  When a level holds ``fanout`` runs they are merged into one of the next level, so
-there are O(log batches) runs to join at any time.  A line goes if the runs give an earlier
-document for its hash.  Only 16-byte hashes and ids are shuffled for this; each text
+there are O(log batches) runs to join at any time.  As buckets meet buckets, no run is ever shuffled again.
+Hashes that two documents have, in a batch or across runs, become *repeats* with their first document; only they are
+joined with all occurrences, and a line goes if its document comes after the first.
+Only 16-byte hashes and ids are shuffled for this; each text
 is shuffled once, to meet its document's list of lines to drop.
 
 One hash may stand in a third of all documents.  First documents are found by a partial
-aggregate, one row for each task and hash; the join of all occurrences with the runs is a
+aggregate, one row for each task and hash; the join of all occurrences with the repeats is a
 join of two scans, which Spark splits where a key is heavy.
 
 Defined results: null and empty texts are one empty line.  Rows of the same doc_id count as
 one document, and keep or lose a line together.  Rows with a null doc_id neither give nor
 lose lines.  Lines with keys under ``min_points`` code points stay.  An empty table gives
-no rows.
+no rows.  Columns of the documents keep their names and values, whatever they are called; ours get
+another name where it is taken.
 """
 
 from __future__ import annotations
@@ -69,33 +72,41 @@ def line_hashes(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled runs; ``add`` takes the next batch, whose doc_ids follow all earlier ones."""
+    """The levelled runs; ``add`` takes the next batch, whose doc_ids follow all earlier ones, and returns its repeats."""
 
     def __init__(self, work: Workspace, fanout: int = FANOUT):
         self.work, self.fanout = work, fanout
         self.levels: list[list[DataFrame]] = []
+        self.tables: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def add(self, pairs: DataFrame) -> None:
-        new = pairs.groupBy("line_hash").agg(F.min("doc_id").alias("first_doc"), (F.min("doc_id") < F.max("doc_id")).alias("again"))
-        for run in self.runs():
-            new = new.join(run.select("line_hash"), "line_hash", "left_anti")
-        self._put(0, new)
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(self.work.bucketed(df, name, "line_hash"))
+        return self.tables[-1]
+
+    def add(self, pairs: DataFrame) -> DataFrame:
+        """(line_hash, first_doc) of the batch's hashes that two documents have, counting the earlier batches."""
+        own = pairs.groupBy("line_hash").agg(F.min("doc_id").alias("first_doc"), (F.min("doc_id") < F.max("doc_id")).alias("again"))
+        known = [F.lit(None)]
+        for k, run in enumerate(self.runs()):
+            own = own.join(run.select("line_hash", F.col("first_doc").alias(f"known_{k}")), "line_hash", "left")
+            known.append(F.col(f"known_{k}"))
+        batch = self._write(own.select("line_hash", "first_doc", "again", F.coalesce(*known).cast(pairs.schema["doc_id"].dataType).alias("known")), "batch")
+        self._put(0, batch.where("known IS NULL").select("line_hash", "first_doc"))
+        return batch.where("again OR known IS NOT NULL").select("line_hash", F.coalesce("known", "first_doc").alias("first_doc"))
 
     def _put(self, level: int, run: DataFrame) -> None:
         if len(self.levels) == level:
             self.levels.append([])
-        self.levels[level].append(self.work.stage(run.sortWithinPartitions("line_hash"), f"run-{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             full, self.levels[level] = self.levels[level], []
             merged = full[0]
             for other in full[1:]:
                 merged = merged.unionByName(other)
-            # Hash ranges, so that the merged run is sorted as a whole.
-            self._put(level + 1, merged.repartitionByRange("line_hash"))
-            self.work.drop(*full)
+            self._put(level + 1, self._write(merged.repartition("line_hash"), f"run-{level + 1}"))
 
 
 def dropped_lines(docs: DataFrame, work: Workspace, min_points: int = MIN_POINTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -107,17 +118,15 @@ def dropped_lines(docs: DataFrame, work: Workspace, min_points: int = MIN_POINTS
     for e in edges:
         nth = nth + (F.col("doc_id") > e).cast("int")
     pairs = work.stage(pairs.withColumn("batch", nth), "pairs", ["batch"])
-    index = LineRuns(work, fanout)
+    index, repeats = LineRuns(work, fanout), None
     for k in range(len(edges) + 1):
-        index.add(pairs.where(F.col("batch") == k).select("doc_id", "line_hash"))
-    runs = index.runs()
-    gone = None
-    for run in runs:
-        # A hash of one document drops nothing unless it came again in a later batch, so all runs meet all pairs.
-        part = pairs.select("doc_id", "line_hash").join(run.select("line_hash", "first_doc"), "line_hash").where("first_doc < doc_id").select("doc_id", "line_hash")
-        gone = part if gone is None else gone.unionByName(part)
+        found = index.add(pairs.where(F.col("batch") == k).select("doc_id", "line_hash"))
+        repeats = found if repeats is None else repeats.unionByName(found)
+    # A hash that came again in several batches has the same first document each time.
+    repeats = repeats.groupBy("line_hash").agg(F.min("first_doc").alias("first_doc"))
+    gone = pairs.select("doc_id", "line_hash").join(repeats, "line_hash").where("first_doc < doc_id")
     out = work.stage(gone.groupBy("doc_id").agg(F.collect_set("line_hash").alias("lines")), "drops")
-    work.drop(pairs, *runs)
+    work.drop(pairs, *index.tables)
     return out
 
 
@@ -126,13 +135,12 @@ def _lines_kept(text: bytes | None, gone: set[bytes], min_points: int) -> tuple[
     return len(lines), [x for x in lines if line_hash(x, min_points) not in gone] if gone else lines
 
 
-def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """All columns of ``docs`` with the kept lines as text, plus n_lines, n_dropped and kept_sha256."""
+def _with_kept(docs: DataFrame, name: str, min_points: int, batches: int, fanout: int) -> DataFrame:
+    """The docs with a column of (text, n_lines, n_dropped, kept_sha256)."""
     spark = docs.sparkSession
     ship(spark)
-    work = Workspace(spark, "lines")
-    drops = dropped_lines(docs, work, min_points, batches, fanout)
-    key, lines, new = fresh(docs, "drop_doc_id", "drop_lines", "kept")
+    drops = dropped_lines(docs.select("doc_id", "text"), Workspace(spark, "lines"), min_points, batches, fanout)
+    key, lines = fresh(docs, "drop_doc_id", "drop_lines")
 
     @F.arrow_udf("struct<text: string, n_lines: bigint, n_dropped: bigint, kept_sha256: string>")
     def keep(texts: pa.Array, gone: pa.Array) -> pa.Array:
@@ -145,16 +153,22 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, batches: int = BA
         return pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["text", "n_lines", "n_dropped", "kept_sha256"])
 
     joined = docs.join(drops.select(F.col("doc_id").alias(key), F.col("lines").alias(lines)), F.col("doc_id") == F.col(key), "left")
-    done = joined.withColumn(new, keep(F.col("text"), F.col(lines)))
-    stats = [c for c in ("n_lines", "n_dropped", "kept_sha256")]
-    return done.select(*[F.col(f"{new}.text").alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in stats], *(F.col(f"{new}.{c}").alias(c) for c in stats))
+    return joined.withColumn(name, keep(F.col("text"), F.col(lines))).drop(key, lines)
+
+
+def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """All columns of ``docs`` with the kept lines as text, plus n_lines, n_dropped and kept_sha256."""
+    (new,) = fresh(docs, "kept")
+    done = _with_kept(docs, new, min_points, batches, fanout)
+    stats = ("n_lines", "n_dropped", "kept_sha256")
+    return done.select(*[F.col(f"{new}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *(F.col(f"{new}.{c}").alias(a) for c, a in zip(stats, fresh(docs, *stats))))
 
 
-def line_dedup_stage(docs: DataFrame, **options) -> DataFrame:
+def line_dedup_stage(docs: DataFrame, min_points: int = MIN_POINTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """The columns of ``docs``, with duplicate lines gone from text and n_chars brought up to date."""
-    done = dedup_lines(docs, **options)
-    out = [F.col(c) for c in docs.columns if c not in ("n_chars",)]
+    (new,) = fresh(docs, "kept")
+    done = _with_kept(docs, new, min_points, batches, fanout)
+    ours = {"text": F.col(f"{new}.text")}
     if "n_chars" in docs.columns:
-        at = docs.columns.index("n_chars")
-        out.insert(at, F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-    return done.select(*out)
+        ours["n_chars"] = F.length(f"{new}.text").cast(docs.schema["n_chars"].dataType)
+    return done.select(*(ours[c].alias(c) if c in ours else F.col(f"`{c}`") for c in docs.columns))
