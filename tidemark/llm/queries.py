@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import ann, licenses, line_dedup, lm, mixing, packing, pii, quality, simhash, topk
 from tidemark.llm.common import crc_remainder, table
 
+#: Characters of a document that is a folder's licence file, at most.
+NOTICE = 1_000
 #: Shares of the expected tokens by domain; the good keep what they have.
 MIX_WEIGHTS = {"good": 0.98, "low": 0.01, "toxic": 0.01}
 
@@ -53,9 +55,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files ``source/lang/doc_id``."""
+    """Documents as files ``source/lang/n/doc_id``; those of at most ``NOTICE`` characters that end in a marked line are their folder's licence files ``source/lang/LICENSE-doc_id``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return licenses.scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))).select("doc_id", "license_path", "license", "similarity", "origin", "license_dir")
+    is_notice = (F.length("text") <= NOTICE) & F.element_at(F.split("text", "\n"), -1).rlike(licenses.MARKERS)
+    name = F.when(is_notice, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat((F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id")))
+    return licenses.scan(docs, F.concat_ws("/", "source", "lang", name)).select("doc_id", "license_path", "license", "similarity", "origin", "license_dir")
 
 
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,37 +105,50 @@ SELECT query_id, rank, vec_id, score FROM (
 def _license_sql() -> str:
     """The scan of ``op9_license_scan`` for DuckDB: templates and patterns are the operator's, the steps its own."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, b) in enumerate(licenses.TEMPLATES))
+    rows = ", ".join(f"({i}, {quoted(a)}, {level}, {quoted(b)})" for i, ((a, b), level) in enumerate(zip(licenses.TEMPLATES, licenses.LEVELS)))
     terms = r"unnest(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+(?:\.[0-9]+)*'))"
+    wrapped = quoted(licenses.WRAPPED)
     return rf"""
-WITH templates(template, license, body) AS (VALUES {rows}), files AS (
-    SELECT row_number() OVER () AS nr, doc_id, text, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path FROM documents
+WITH templates(template, license, level, body) AS (VALUES {rows}), files AS (
+    SELECT row_number() OVER () AS nr, doc_id, text, concat_ws('/', source, lang, CASE WHEN length(text) <= {NOTICE} AND regexp_matches(string_split(text, chr(10))[-1], {quoted(licenses.MARKERS)})
+        THEN 'LICENSE-' || doc_id ELSE doc_id % 10 || '/' || doc_id END) AS path FROM documents
 ), named AS (
     SELECT *, regexp_matches(path, {quoted(licenses.FILE_NAMES)}) AS is_file FROM files
+), lines AS (
+    SELECT nr, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM named WHERE regexp_matches(text, {wrapped})
+), solid AS (
+    SELECT nr, line, row_number() OVER (PARTITION BY nr ORDER BY nth) AS pos FROM lines WHERE regexp_matches(line, '[\p{{L}}\p{{N}}]')
+), runs AS (
+    SELECT a.nr, k, a.pos, string_agg(b.line, chr(10) ORDER BY b.pos) AS passage FROM solid a, (SELECT unnest(range(2, {licenses.WINDOW} + 1)) AS k), solid b
+    WHERE b.nr = a.nr AND b.pos >= a.pos AND b.pos < a.pos + k GROUP BY a.nr, k, a.pos HAVING count(*) = k
 ), passages AS (
-    SELECT nr, nth, passage FROM (SELECT nr, unnest(string_split(text, chr(10))) AS passage, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM named)
-    WHERE regexp_matches(passage, {quoted(licenses.MARKERS)})
-    UNION ALL SELECT nr, 0, text FROM named WHERE is_file AND text IS NOT NULL
+    SELECT row_number() OVER () AS p, * FROM (
+        SELECT nr, true AS alone, line AS passage FROM lines WHERE regexp_matches(line, {wrapped})
+        UNION ALL SELECT nr, false, passage FROM runs WHERE regexp_matches(passage, {wrapped})
+        UNION ALL SELECT nr, true, text FROM named WHERE is_file AND text IS NOT NULL)
 ), counts AS (
-    SELECT nr, nth, term, count(*) AS tf FROM (SELECT nr, nth, {terms.format(x="passage")} AS term FROM passages) GROUP BY ALL
+    SELECT nr, p, alone, term, count(*) AS tf FROM (SELECT nr, p, alone, {terms.format(x="passage")} AS term FROM passages) GROUP BY ALL
 ), own AS (
-    SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, {terms.format(x="body")} AS term FROM templates) GROUP BY ALL
+    SELECT template, license, level, term, count(*) AS tf FROM (SELECT template, license, level, {terms.format(x="body")} AS term FROM templates) GROUP BY ALL
 ), size AS (
-    SELECT (SELECT count(*) FROM passages) + {len(licenses.TEMPLATES)} AS n
+    SELECT (SELECT count(*) FROM passages WHERE alone) + {len(licenses.TEMPLATES)} AS n
+), frequency AS (
+    SELECT term, count(*) FILTER (WHERE alone) AS df, 0 AS t_df FROM counts GROUP BY term UNION ALL SELECT term, 0, count(*) FROM own GROUP BY term
 ), idf AS (
-    SELECT term, ln((1.0 + n) / (1 + count(c.term))) + 1 AS idf FROM (SELECT DISTINCT term FROM own) LEFT JOIN counts c USING (term), size GROUP BY term, n
+    SELECT term, CASE WHEN sum(t_df) > 0 THEN ln((1.0 + any_value(n)) / (1 + sum(df) + sum(t_df))) + 1
+        ELSE least({licenses.UNKNOWN!r}, ln((1.0 + any_value(n)) / (1 + sum(df))) + 1) END AS idf FROM frequency, size GROUP BY term
 ), weights AS (
-    SELECT template, license, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm FROM own JOIN idf USING (term)
+    SELECT template, license, level, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm FROM own JOIN idf USING (term)
 ), mine AS (
-    SELECT nr, nth, term, tf * coalesce(idf, 1.0 + ln(1.0 + n)) AS w FROM size, counts LEFT JOIN idf USING (term)
+    SELECT nr, p, term, tf * idf AS w FROM counts JOIN idf USING (term)
 ), lengths AS (
-    SELECT nr, nth, sqrt(sum(w * w)) AS norm FROM mine GROUP BY ALL
+    SELECT p, sqrt(sum(w * w)) AS norm FROM mine GROUP BY ALL
 ), dots AS (
-    SELECT nr, nth, template, license, sum(m.w * t.w / t.norm) AS dot FROM mine m JOIN weights t USING (term) GROUP BY ALL
+    SELECT nr, p, template, license, level, sum(m.w * t.w / t.norm) AS dot FROM mine m JOIN weights t USING (term) GROUP BY ALL
 ), scored AS (
-    SELECT nr, template, license, round(dot / norm, 9) AS similarity FROM dots JOIN lengths USING (nr, nth)
+    SELECT nr, template, license, level, round(dot / norm, 9) AS similarity FROM dots JOIN lengths USING (p)
 ), best AS (
-    SELECT nr, license, similarity FROM (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY similarity DESC, template) AS place FROM scored WHERE similarity >= {licenses.THRESHOLD}) WHERE place = 1
+    SELECT nr, license, similarity FROM (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY level, similarity DESC, template) AS place FROM scored WHERE similarity >= {licenses.THRESHOLD}) WHERE place = 1
 ), found AS (
     SELECT named.*, license, similarity FROM named LEFT JOIN best USING (nr)
 ), ups AS (
