@@ -399,6 +399,13 @@ def test_simhash(spark, docs, odd):
     assert stage.columns == odd.columns and stage.where("doc_id = 3").count() == 1 and stage.where("doc_id IS NULL").count() == 1
 
 
+def test_stage_keeps_unrelated_texts_of_one_id(spark):
+    a, b, c = ("".join(random.Random(k).choice("abcdefgh ") for _ in range(900)) for k in (1, 2, 3))
+    df = docs_of(spark, [(7, a), (7, b), (7, b), (8, a), (9, c), (9, a), (None, a), (None, a)]).withColumn("fp", F.lit("own")).withColumn("stage_fp", F.lit("own"))
+    got = Counter((r.doc_id, r.text, r.fp, r.stage_fp) for r in simhash.simhash_stage(df).collect())
+    assert got == Counter({(7, a, "own", "own"): 1, (7, b, "own", "own"): 1, (9, c, "own", "own"): 1, (None, a, "own", "own"): 2})
+
+
 def test_link_cell_finds_all():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)

@@ -13,9 +13,11 @@ tables, O(log n) rounds.  Fingerprints, links and components stay in Spark; the
 sees 65 counts.
 
 Defined results: null and empty texts, and texts without words, have fingerprint zero and are
-linked like any other.  Rows with the same doc_id each have their fingerprint, and link
-what they share.  Rows with a null doc_id are returned with a null component and link
-nothing.  An empty table gives no rows.
+linked like any other.  Rows with the same doc_id each have their fingerprint and the component of that
+fingerprint: rows of one doc_id whose fingerprints aren't linked are in different components, though both
+may be called by that id.  Rows with a null doc_id are returned with a null component and link
+nothing.  Of each component the stage keeps the row with the smallest doc_id, then fingerprint, then hash of its text.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,17 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, ship
+from tidemark.llm.common import Workspace, fresh, ship
 
 RADIUS = 3
 WORDS = 3
 SEED = 42
 #: Fingerprints in a block at most (about; blocks are dealt by hash).
-BLOCK = 1 << 17
+BLOCK = 1 << 15
 TILE = 512
+#: Fingerprints that a task compares with others, about.
+TASK_PRINTS = 1 << 15
 
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
@@ -160,6 +164,10 @@ def links(prints: DataFrame, work: Workspace, radius: int = RADIUS, block: int =
         )
     )
 
+    # So many tasks as the comparisons need; Spark would judge by their few bytes.
+    dealt_rows = sum(counts[p] * sum(blocks[q] for q in range(p - radius, p + radius + 1) if q in blocks) for p in counts)
+    dealt = dealt.repartition(max(1, -(-dealt_rows // TASK_PRINTS)), "p", "q", "s", "t")
+
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: tuple[list, list] = ([], [])
         same = False
@@ -201,18 +209,18 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp (signed 64-bit), component_id: the smallest doc_id reachable by links."""
+    """doc_id, fp (signed 64-bit), root_fp (the component's smallest fingerprint), component_id: the smallest doc_id reachable by links."""
     work = Workspace(docs.sparkSession, "simhash")
     prints = work.stage(with_fingerprint(docs.select("doc_id", "text"), "fp", words).select("doc_id", "fp"), "prints")
     known = prints.where("doc_id IS NOT NULL")
     firsts = work.stage(known.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "firsts")
     roots = components(links(firsts.select("fp"), work, radius, block), work)
     rooted = work.stage(firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_doc"), "rooted")
-    # Documents of one fingerprint may differ in doc_id only; rows of one doc_id may differ in fingerprint, and then link these.
     smallest = work.stage(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "smallest")
-    classes = work.stage(rooted.select("fp", "root").join(smallest, "root").select(F.col("fp").alias("class_fp"), "component_id"), "classes")
+    classes = work.stage(rooted.select("fp", "root").join(smallest, "root").select(F.col("fp").alias("class_fp"), F.col("root").alias("root_fp"), "component_id"), "classes")
     found = prints.join(classes, F.col("fp") == F.col("class_fp"), "left")
-    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    known_id = F.col("doc_id").isNotNull()
+    return found.select("doc_id", "fp", F.when(known_id, F.col("root_fp")).alias("root_fp"), F.when(known_id, F.col("component_id")).alias("component_id"))
 
 
 def hex_fingerprint(fp: str = "fp"):
@@ -220,10 +228,20 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def simhash_stage(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; rows without a doc_id stay."""
+    """One document of each group stays, as the module says; rows without a doc_id stay.
+
+    Ids mostly have one row, and are kept by id.  Only rows of repeated ids are told apart by fingerprint and text.
+    """
     spark = docs.sparkSession
     work = Workspace(spark, "simhash-keep")
-    groups = near_duplicates(docs, **options)
-    keep = work.stage(groups.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct(), "keep")
-    stay = docs.where("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("keep_id"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id IS NULL"))
+    groups = work.stage(near_duplicates(docs, **options).where("doc_id IS NOT NULL").select("doc_id", "fp", "root_fp"), "groups")
+    keep = work.stage(groups.groupBy("root_fp").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("keep_id"), F.col("k.fp").alias("keep_fp")), "keep")
+    repeated = work.stage(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("repeated_id")), "repeated")
+    once = keep.join(repeated, F.col("keep_id") == F.col("repeated_id"), "left_anti")
+    stay = docs.join(once, F.col("doc_id") == F.col("keep_id"), "left_semi")
+    fp, nth = fresh(docs, "stage_fp", "stage_nth")
+    several = with_fingerprint(docs.join(repeated, F.col("doc_id") == F.col("repeated_id"), "left_semi"), fp)
+    several = several.join(keep, (F.col("doc_id") == F.col("keep_id")) & (F.col(fp) == F.col("keep_fp")), "left_semi")
+    alike = Window.partitionBy("doc_id", fp).orderBy(F.xxhash64("text"), "text")
+    several = several.withColumn(nth, F.row_number().over(alike)).where(F.col(nth) == 1).drop(fp, nth)
+    return stay.unionByName(several).unionByName(docs.where("doc_id IS NULL"))
