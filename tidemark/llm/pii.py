@@ -12,9 +12,12 @@ by features of the whole span (digit count, groups, checksum, address form, the
 before); dynamic programming over segments chooses boundaries and types jointly, and a span is added
 if its marginal probability is at least ``SURE`` and no base span overlaps it.
 
+The field has a fifth kind that no pattern finds: secrets (keys and tokens of letters and digits).  They are given on their
+own, as ``secrets``, not among the spans.
+
 The field is trained without labels at hand: base spans of at most ``TRAIN_DOCS`` documents and
-altered copies of them (plus sign or at sign replaced, groups respaced) are positive, other
-numbers (dates, versions, amounts, failed checksums, keys) negative, by likelihood with
+altered copies of them (plus sign or at sign replaced, groups respaced) are positive, as are invented keys and tokens;
+other numbers (dates, versions, amounts, failed checksums) negative, by likelihood with
 forward-backward sums.
 
 Defined results: null and empty texts have no spans.  Rows with repeated or null doc_ids are
@@ -23,12 +26,14 @@ read like any other.  An empty table gives no rows.  Positions are code points.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +42,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ship
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
+FIELD_KINDS = (*KINDS, SECRET)
 MOST_WORDS = 6
 TRAIN_DOCS = 2_000
 SURE = 0.9
@@ -159,6 +166,7 @@ def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
 
 _AT = r"\s?(?:@|\(at\)|\[at\])\s?"
 _SPELT = re.compile(rf"[a-z0-9._%+-]+{_AT}[a-z0-9-]+(?:(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?)[a-z0-9-]+)+", re.I)
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _CALL = frozenset(["tel", "tel.", "tel:", "phone", "phone:", "call", "mobile", "mobile:", "fax", "fax:", "cell", "cell:"])
 
 
@@ -178,6 +186,12 @@ def features(span: str, before: str, words: int) -> list[str]:
     ]
     if "=" in span or '"' in span:
         out.append("assigned")
+    if words == 1 and letters and n:
+        # Keys: one word of letters and digits that change about often, of so many signs.
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:]))
+        out.append(f"key{min(5, len(span) // 8)}-{min(3, 10 * turns // len(span))}" if span.replace("_", "").replace("-", "").isalnum() else "unkey")
+        if _HEX.fullmatch(span):
+            out.append(f"hex{min(5, len(span) // 8)}")
     if letters == 0 and 14 <= n <= 19:
         out.append("luhn" if luhn(d) else "unluhn")
     if _SPELT.fullmatch(span):
@@ -188,6 +202,8 @@ def features(span: str, before: str, words: int) -> list[str]:
         out.append("dial")
     if before.lower() in _CALL:
         out.append("called")
+    if before[-1:] in "=:" and before:
+        out.append("set")
     return out
 
 
@@ -205,14 +221,14 @@ class Field:
                 if not anchor or not run[j][2]:
                     break
                 s, e = trimmed(text, a, run[j][1])
-                if e - s >= 5 and e - s <= 120:
+                if e - s >= 5:
                     yield i, j + 1, s, e, features(text[s:e], before, j - i + 1)
 
     def lattice(self, text: str, run, kept: bool = True):
         """Segments by their first word; features are kept for learning only."""
         by_start = defaultdict(list)
         for i, j, s, e, f in self.candidates(text, run):
-            for kind in KINDS:
+            for kind in FIELD_KINDS:
                 by_start[i].append((j, s, e, kind, f if kept else None, sum(self.w.get((kind, x), 0.0) for x in f)))
         return by_start
 
@@ -308,8 +324,8 @@ def altered(kind: str, span: str, rng: random.Random) -> str:
 
 
 def ordinary(rng: random.Random) -> str:
-    """A number, date, version, amount or key that is no personal data."""
-    pick = rng.randrange(14)
+    """A number, date, version or amount that is no personal data."""
+    pick = rng.choice([0, 1, 2, 3, 5, 8, 9, 10, 11, 12, 13])
     if pick == 0:
         return f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}"
     if pick == 1:
@@ -318,14 +334,8 @@ def ordinary(rng: random.Random) -> str:
         return f"{rng.randrange(1000)},{_digits(rng, 3)}.{_digits(rng, 2)}"
     if pick == 3:
         return _card(rng, False)
-    if pick == 4:
-        return "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([18, 32, 40])))
     if pick == 5:
         return f"{rng.randrange(256, 999)}.{rng.randrange(999)}.{rng.randrange(999)}.{rng.randrange(999)}"
-    if pick == 6:
-        return f"password={''.join(rng.choice('0123456789abcdef') for _ in range(18))}"
-    if pick == 7:
-        return f"AKIA{''.join(rng.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') for _ in range(16))}"
     if pick == 8:
         return _digits(rng, rng.randrange(1, 14))
     if pick == 9:
@@ -339,6 +349,17 @@ def ordinary(rng: random.Random) -> str:
     return f"{''.join(rng.choice('abcdefghij') for _ in range(4))}{_digits(rng, rng.randrange(1, 5))}"
 
 
+def secret(rng: random.Random) -> tuple[str, str, str]:
+    """(before, key, after) as keys are written."""
+    of = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    base36 = "abcdefghijklmnopqrstuvwxyz0123456789"
+    key = rng.choice([lambda: of("0123456789abcdef", rng.choice([24, 32, 40, 64])), lambda: of("0123456789ABCDEF", rng.choice([32, 40])), lambda: "AKIA" + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + of(base36, 36), lambda: "sk-" + of(base36, 40)])()
+    if not _DIGIT.search(key):
+        key += "7"
+    before, after = rng.choice([('token = "', '"'), ("key: ", ""), ('secret = "', '"'), ("api_key = '", "'"), ("with ", ""), ('TOKEN = "', '"')])
+    return before, key, after
+
+
 def examples(contexts: list[tuple[str, str, str, str]], seed: int = 2, invented: int = 400) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Training texts from (before, span, after, kind) of base spans, and ordinary numbers in the same surroundings."""
     rng = random.Random(seed)
@@ -347,13 +368,18 @@ def examples(contexts: list[tuple[str, str, str, str]], seed: int = 2, invented:
     for _ in range(invented):
         a, c = rng.choice(around)
         letters = "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
-        rows.append((a, f"{letters}.{rng.randrange(99)}@{letters[:4]}{rng.randrange(9)}.example.org", c, "email"))
+        user = rng.choice([f"{letters}.{rng.randrange(99)}", f"{letters[:3]}.{letters[3:]}", letters])
+        host = rng.choice([f"{letters[:4]}{rng.randrange(9)}.example.org", f"{letters[2:]}.org", "example.com"])
+        rows.append((a, f"{user}@{host}", c, "email"))
         a, c = rng.choice(around)
         rows.append((a, f"+{rng.randrange(1, 99)} {_digits(rng, 3)} {_digits(rng, 3)} {_digits(rng, 4)}", c, "phone"))
         a, c = rng.choice(around)
         rows.append((a, ".".join(str(rng.randrange(256)) for _ in range(4)), c, "ip"))
         a, c = rng.choice(around)
         rows.append((a, _card(rng, True), c, "card"))
+        a, c = rng.choice(around)
+        before, key, after = secret(rng)
+        rows.append((a + before, key, after + c, SECRET))
     out = []
     for a, s, c, k in rows:
         s = altered(k, s, rng)
@@ -389,19 +415,23 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> Field:
     return field
 
 
-def find(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and all spans: base ones and what the field adds."""
+def find(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Base spans; all spans, base ones and what the field adds; and secrets."""
     base = base_spans(text)
-    added = []
+    # Base spans by start, and how far those up to each reach: one that meets a span starts before its end and reaches past its start.
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+    added: list[tuple[int, int, str]] = []
     for run in islands(text):
         for s, e, kind, p in field.decode(text, run):
-            if p >= SURE and not any(a < e and s < b for a, b, _ in base):
+            before = bisect.bisect_left(starts, e)
+            if p >= SURE and not (before and reach[before - 1] > s):
                 added.append((s, e, kind))
-    return base, sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+    spans = base + [x for x in added if x[2] != SECRET]
+    return base, sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])), [x for x in added if x[2] == SECRET]
 
 
 def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id with base and spans, both arrays of (kind, start, end), for every row."""
+    """doc_id with base, spans and secrets, all arrays of (kind, start, end), for every row."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dict((field or fit(docs)).w))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -415,17 +445,17 @@ def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found = [find(t.as_py() or "", f) for t in part.column(1)]
-                cols = [pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in x[i]] for x in found], arrow) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "base", "spans"])
+                cols = [pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in x[i]] for x in found], arrow) for i in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "base", "spans", "secrets"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {span}, spans {span}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {span}, spans {span}, secrets {span}")
 
 
 def joined(column: str):
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def count_of(kind: str, column: str = "base"):
+def count_of(kind: str, column: str = "base"):  # of base spans, or of another column's
     return F.size(F.filter(column, lambda s: s["kind"] == kind)).cast("bigint")
 
 

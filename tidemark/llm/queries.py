@@ -51,7 +51,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+    return found.select("doc_id", *(pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), F.size("secrets").cast("bigint").alias("n_secret"), (F.size("spans") + F.size("secrets")).cast("bigint").alias("n_found"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
