@@ -150,10 +150,90 @@ def test_lm_against_brute_force(spark, docs):
     assert all(again[r["doc_id"]] == pytest.approx(r["base_score"], rel=1e-9) for r in got)
 
 
-def test_lm_normalises():
-    t = np.arange(1.0, lm.TOP + lm.SHARED + 1)
-    a, b, z = lm.LogBilinear.start(t).tables()
-    assert np.exp(a[5] + b[7] - z[5, 7]).sum() == pytest.approx(1, abs=1e-4)
+def small_model(docs):
+    """A vocabulary of some texts, counted here, and a model with random parameters."""
+    counts = Counter(w for r in docs.collect() for w in lm.tokens(r.text.encode()) * 3)
+    pairs = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    t, k = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
+    for i, (w, n) in enumerate(pairs):
+        c = i if i < lm.TOP else lm.shared_class(w)
+        t[c], k[c] = t[c] + n, k[c] + (i >= lm.TOP)
+    v = lm.Vocabulary([w for w, _ in pairs], np.array([n for _, n in pairs], float), sum(counts.values()), len(counts), t, k)
+    model = lm.LogBilinear.start(v)
+    model.rows += np.random.default_rng(1).normal(0, 0.3, model.rows.shape).astype(np.float32)
+    return v, model
+
+
+def test_lm_words_add_up_to_one(docs):
+    """All words of the vocabulary, and an unseen one of each class, after two words; each against a plain softmax."""
+    v, model = small_model(docs)
+    assert v.members > lm.SHARED
+    tables, n = (model.classes(), model.members(v)), len(v.words)
+    last = np.concatenate([np.arange(n), -1 - np.arange(lm.TOP, lm.CLASSES)]).astype(np.int32)
+    for first in ([5, n - 1], [-1 - lm.TOP, 3], [n // 2, n - 7]):
+        ids = np.column_stack([np.full((len(last), 2), first, np.int32), last]).ravel()
+        logs = np.append(np.log10(v.counts + 1), 0.0)[np.where(ids >= 0, ids, n)]
+        p = 10 ** lm.log_probabilities(v, tables, model, ids, np.full(len(last), 3), logs)[2::3]
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+        h = [first[1], first[0]]
+        h = [v.cls[x] if x >= 0 else -1 - x for x in h]
+        r, pl, q = model.rows[lm.CONTEXT :][:lm.START], model.rows[lm.PLACE : lm.CLASS], model.rows[lm.CLASS : lm.BEFORE]
+        s = np.array([(r[h[0], :-1] * pl[0, :-1] + r[h[1], :-1] * pl[1, :-1]) @ q[c, :-1] + q[c, -1] for c in range(lm.CLASSES)], float)
+        of_class = np.exp(s) / np.exp(s).sum()
+        for i in random.Random(2).sample(range(len(last)), 40):
+            c = v.cls[i] if i < n else lm.TOP + i - n
+            want = of_class[c]
+            if c >= lm.TOP:
+                own = [j for j in range(lm.TOP, n) if v.cls[j] == c and v.counts[j] >= lm.OWN]
+                rare = [j for j in range(lm.TOP, n) if v.cls[j] == c and v.counts[j] < lm.OWN]
+                score = {j: model.rows[lm.BEFORE + h[0], :-1] @ model.rows[lm.MEMBER + v.member[j], :-1] + model.rows[lm.MEMBER + v.member[j], -1] for j in own}
+                m = v.first[c - lm.TOP]
+                score["rare"] = model.rows[lm.BEFORE + h[0], :-1] @ model.rows[lm.MEMBER + m, :-1] + model.rows[lm.MEMBER + m, -1]
+                total = sum(np.exp(x) for x in score.values())
+                count = v.counts[i] if i < n else 0
+                want *= np.exp(score[i]) / total if i in own else np.exp(score["rare"]) / total * (count + 1) / (sum(v.counts[j] for j in rare) + len(rare) + 1)
+            assert p[i] == pytest.approx(want, rel=2e-3)
+
+
+def test_lm_steps_go_down_the_gradient(docs):
+    """One training step moves parameters along the gradient of the noise-contrastive objective, taken numerically."""
+    v, model = small_model(docs)
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, len(v.words), 64).astype(np.int32)
+    cls, member = v.places_of(ids)
+    h1, h2 = lm.contexts(cls, np.array([40, 24]))
+
+    def objective(rows):
+        t = lm.Trainer(lm.LogBilinear(rows), v, 9)
+        x, up = t.x.astype(float), lambda z: -np.log1p(np.exp(-z))
+        p = x[lm.PLACE : lm.CLASS, :-1]
+        noise = np.minimum(np.searchsorted(t.cum, t.rng.random(lm.NOISE)), lm.CLASSES - 1)
+        h = x[h1, :-1] * p[0] + x[h2, :-1] * p[1]
+        q = lambda c: x[lm.CLASS + c]
+        total = up((h * q(cls)[:, :-1]).sum(axis=1) + q(cls)[:, -1] - t.log_noise[cls]).sum() + up(-(h @ q(noise)[:, :-1].T + q(noise)[:, -1] - t.log_noise[noise])).sum()
+        some = np.flatnonzero(member >= 0)
+        u, own, low = x[lm.BEFORE + h1[some], :-1], member[some], v.member_class[member[some]]
+        other = np.clip(np.searchsorted(t.member_cum, low[:, None] + t.rng.random((len(some), lm.MEMBER_NOISE))), v.first[low][:, None], t.ends[low][:, None])
+        m = lambda k: x[lm.MEMBER + k]
+        total += up((u * m(own)[:, :-1]).sum(axis=1) + m(own)[:, -1] - t.log_member[own]).sum()
+        return total + up(-(np.einsum("nd,nkd->nk", u, m(other)[:, :, :-1]) + m(other)[:, :, -1] - t.log_member[other])).sum()
+
+    t, start = lm.Trainer(model, v, 9), model.rows.copy()
+    t.squares[:] = 1  # so that a step is the gradient times a constant
+    t.step(h1, h2, cls, member)
+    moved = t.x.astype(float) - start
+    shared = np.flatnonzero(member >= 0)[0]
+    for row, col in ((lm.CLASS + cls[5], 3), (lm.CLASS + cls[9], lm.WIDTH), (lm.CONTEXT + h1[7], 2), (lm.PLACE, 1), (lm.BEFORE + h1[shared], 4), (lm.MEMBER + member[shared], 5), (lm.MEMBER + member[shared], lm.WIDTH)):
+        up, down = start.copy(), start.copy()
+        up[row, col] += 0.02
+        down[row, col] -= 0.02
+        slope = (objective(up) - objective(down)) / 0.04
+        assert moved[row, col] == pytest.approx(slope * lm.RATE / lm.BATCH, rel=0.05, abs=5e-7)
+
+
+def test_lm_is_the_same_on_any_tasks(spark, docs):
+    one, many = ({r["doc_id"]: r["score"] for r in rows(lm.score(docs.repartition(n)))} for n in (1, 9))
+    assert one.keys() == many.keys() and all(many[i] == pytest.approx(s, rel=1e-6) for i, s in one.items())
 
 
 def test_lm_odd(spark, odd):

@@ -1,20 +1,23 @@
 """Language-model scoring: a log-bilinear model trained in numpy by noise-contrastive estimation.
 
-Words are counted over all training documents.  The commonest ``TOP`` words are classes of
-their own, all others share ``SHARED`` classes by the hash of their endings.  The model
-predicts a token's class from the two before it:
+Words are counted over all training documents.  The model has two levels.  The commonest ``TOP`` words are classes of
+their own, all others share ``SHARED`` classes by the hash of their endings; the class of a token follows from the two before it:
 
-    s(w | h1, h2) = (r_h1 * c1 + r_h2 * c2) . q_w + b_w
+    s(c | h1, h2) = (r_h1 * p1 + r_h2 * p2) . q_c + b_c
 
-and a word within its class by its add-one share of the class's tokens, with one place for
-unseen words.  So the probabilities of a document's continuations add up to one.  All
-normalisers come from one matrix product, as exp(s) is a product of a row that depends
-on h1 and one that depends on h2.
+Within a shared class, every word seen ``OWN`` times or more is a member with a vector of its own, so their number grows with the
+corpus, and all rarer words are one member more; the member follows from the token before:
 
-Training runs over all training documents: every task goes through its own with stochastic
-gradients, from a start fitted to a small sample, and Spark averages the tasks' parameters by
-token count (their number is fixed by TOP, SHARED and WIDTH).  Counts of words beyond
-the ``HEAD`` commonest never leave the executors: scoring keeps them as
+    s(m | c, h1) = u_h1 . v_m + b_m
+
+A rare word has its add-one share of the rare words' tokens, with one place for unseen words.  So the probabilities of a
+document's continuations add up to one.  Normalisers come from matrix products over all contexts at once, as exp(s) of a class
+is a product of a row that depends on h1 and one that depends on h2.
+
+Texts become ids once.  The training documents' ids are dealt by hash to shards of about ``SHARD_TOKENS``, sorted within; a shard
+is one row.  In each of ``ROUNDS`` every shard trains on its own next part from the parameters all begin with, and Spark averages
+the shards' parameters, each row by its uses.  So scores depend on the documents alone, not on tasks.
+Counts of words beyond the ``HEAD`` commonest never leave the executors: scoring keeps them as
 (document, word, times) and joins them with the count table.
 
 Defined results: null and empty texts are one end token.  Null doc_ids count as
@@ -39,11 +42,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Workspace, crc_remainder, ship
 
 TOP, SHARED, WIDTH = 1024, 1024, 16
-#: Words whose counts executors hold in memory, at most.
-HEAD = 1 << 18
-#: Documents of the sample that the start is fitted to, at most.
-START_DOCS = 1_500
-NOISE, BATCH, RATE, FIRST_SQUARE = 32, 4096, 0.2, 1e-3
+CLASSES = TOP + SHARED
+#: Words whose counts executors hold in memory, at most; of them, those seen so often have vectors of their own.
+HEAD, OWN = 1 << 18, 8
+#: Tokens of a shard, about, and the parts of a shard's tokens that the rounds train on.
+SHARD_TOKENS, ROUNDS = 2_000_000, (0.25, 0.75)
+NOISE, MEMBER_NOISE, BATCH, RATE, FIRST_SQUARE = 32, 4, 4096, 0.2, 1e-3
 END = b""
 
 
@@ -52,7 +56,9 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def shared_class(word: bytes) -> int:
-    return TOP + zlib.crc32(word[-2:]) % SHARED
+    """By the last two code points."""
+    end = word[-2:] if word[-2:].isascii() else word.decode("utf-8", "replace")[-2:].encode()
+    return TOP + zlib.crc32(end) % SHARED
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -79,7 +85,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The commonest words with their counts, and what the rest of the count table adds up to."""
+    """The commonest words with their counts, what the count table adds up to, and the members of the shared classes.
+
+    Members are in order of class; the first of a class is its rare words.  ``member`` has the member of each word in the
+    list (-1 for the commonest, which are classes), ``rare`` the log10 of what a rare word's count plus one is a share of.
+    """
 
     words: list[bytes]
     counts: np.ndarray
@@ -89,12 +99,35 @@ class Vocabulary:
     class_words: np.ndarray
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
-
-    def classes(self) -> np.ndarray:
-        """Of each word: the commonest have their own."""
-        return np.array([i if i < TOP else shared_class(w) for i, w in enumerate(self.words)], np.int32)
+    def __post_init__(self):
+        n, top = len(self.words), min(TOP, len(self.words))
+        self.cls = np.array([i if i < top else shared_class(w) for i, w in enumerate(self.words)], np.int32)
+        own = np.flatnonzero((np.arange(n) >= top) & (self.counts >= OWN))
+        of = self.cls[own] - TOP
+        rare_tokens = self.class_tokens[TOP:] - np.bincount(of, self.counts[own], SHARED)
+        rare_words = self.class_words[TOP:] - np.bincount(of, minlength=SHARED)
+        self.rare = np.log10(rare_tokens + rare_words + 1)
+        by = np.argsort(of, kind="stable")
+        self.first = np.arange(SHARED) + np.concatenate(([0], np.cumsum(np.bincount(of, minlength=SHARED))[:-1]))
+        self.member = np.full(n, -1, np.int32)
+        shared = np.arange(n) >= top
+        self.member[shared] = self.first[self.cls[shared] - TOP]
+        self.member[own[by]] = np.arange(len(own)) + of[by] + 1
+        self.members = SHARED + len(own)
+        self.member_class = np.repeat(np.arange(SHARED), np.diff(np.append(self.first, self.members)))
+        weight = np.empty(self.members)
+        weight[self.first] = rare_tokens + 1
+        weight[self.member[own]] = self.counts[own]
+        self.member_share = weight / np.add.reduceat(weight, self.first)[self.member_class]
+
+    def places_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and member (-1 for the commonest) of encoded tokens."""
+        if not len(self.words):
+            cls = -1 - ids
+            return cls, self.first[cls - TOP].astype(np.int32)
+        known, at = ids >= 0, np.maximum(ids, 0)
+        cls = np.where(known, self.cls[at], -1 - ids)
+        return cls, np.where(known, self.member[at], self.first[np.maximum(cls - TOP, 0)]).astype(np.int32)
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
@@ -110,7 +143,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     rows = counts.where(step >= least).select("word", "n").toArrow() if least is not None else pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
     pairs = sorted(zip(map(bytes, rows["word"].to_pylist()), rows["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     in_class = {r["cls"]: (r["n"], r["v"]) for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    t, v = np.zeros(TOP + SHARED), np.zeros(TOP + SHARED)
+    t, v = np.zeros(CLASSES), np.zeros(CLASSES)
     for c, (a, b) in in_class.items():
         t[c], v[c] = a, b
     for i, (w, n) in enumerate(pairs[:TOP]):
@@ -120,212 +153,273 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary([w for w, _ in pairs], np.array([n for _, n in pairs], float), total["n"] or 0, total["v"] or 0, t, v)
 
 
+#: Parameter rows: contexts (the last is the text's start), positions, classes, contexts of the second level, members.
+CONTEXT, PLACE, CLASS, BEFORE, MEMBER = 0, CLASSES + 1, CLASSES + 3, 2 * CLASSES + 3, 3 * CLASSES + 4
+START = CLASSES
+
+
 @dataclass
 class LogBilinear:
-    """Parameters: context vectors (the last is the text's start), position weights, target vectors, biases."""
+    """All parameters as rows of one matrix, a bias last."""
 
-    context: np.ndarray
-    places: np.ndarray
-    target: np.ndarray
-    bias: np.ndarray
+    rows: np.ndarray
 
     @staticmethod
-    def start(class_tokens: np.ndarray, seed: int = 5) -> LogBilinear:
-        k, rng = len(class_tokens), np.random.default_rng(seed)
-        return LogBilinear(rng.normal(0, 0.1, (k + 1, WIDTH)), np.full((2, WIDTH), 1.0), rng.normal(0, 0.1, (k, WIDTH)), np.log((class_tokens + 0.5) / (class_tokens + 0.5).sum()))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.places, self.target, self.bias)])
-
-    def filled(self, flat: np.ndarray) -> LogBilinear:
-        out, at = [], 0
-        for x in (self.context, self.places, self.target, self.bias):
-            out.append(np.asarray(flat[at : at + x.size], float).reshape(x.shape))
-            at += x.size
-        return LogBilinear(*out)
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """a[h1, w], b[h2, w] and the log normaliser z[h1, h2]: log P(w | h1, h2) = a + b - z."""
-        a = (self.context * self.places[0]) @ self.target.T + self.bias
-        b = (self.context * self.places[1]) @ self.target.T
+    def start(v: Vocabulary, seed: int = 5) -> LogBilinear:
+        rng, rows = np.random.default_rng(seed), np.zeros((MEMBER + v.members, WIDTH + 1), np.float32)
+        rows[:, :WIDTH] = rng.normal(0, 0.1, (len(rows), WIDTH))
+        rows[PLACE:CLASS, :WIDTH] = 1.0
+        share = (v.class_tokens + 0.5) / (v.class_tokens + 0.5).sum()
+        rows[CLASS:BEFORE, WIDTH], rows[MEMBER:, WIDTH] = np.log(share), np.log(v.member_share)
+        return LogBilinear(rows)
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """a[h1, c], b[h2, c] and the log normaliser z[h1, h2]: log P(c | h1, h2) = a + b - z."""
+        r, p, q = self.rows[CONTEXT:PLACE, :WIDTH], self.rows[PLACE:CLASS, :WIDTH], self.rows[CLASS:BEFORE]
+        a, b = (r * p[0]) @ q[:, :WIDTH].T + q[:, WIDTH], (r * p[1]) @ q[:, :WIDTH].T
         top_a, top_b = a.max(axis=1, keepdims=True), b.max(axis=1, keepdims=True)
-        z = np.log(np.exp(a - top_a) @ np.exp(b - top_b).T) + top_a + top_b.T
-        return a.astype(np.float32), b.astype(np.float32), z.astype(np.float32)
+        return a, b, np.log(np.exp(a - top_a) @ np.exp(b - top_b).T) + top_a + top_b.T
 
+    def members(self, v: Vocabulary) -> np.ndarray:
+        """The log normaliser of the members of each shared class in each context."""
+        u, m = self.rows[BEFORE:MEMBER, :WIDTH], self.rows[MEMBER:]
+        out = np.empty((len(u), SHARED), np.float32)
+        edges = [*range(0, SHARED, 64), SHARED]
+        for a, b in zip(edges, edges[1:]):
+            lo, hi = v.first[a], v.first[b] if b < SHARED else v.members
+            out[:, a:b] = np.log(np.add.reduceat(np.exp(u @ m[lo:hi, :WIDTH].T + m[lo:hi, WIDTH]), v.first[a:b] - lo, axis=1))
+        return out
 
-class Trainer:
-    """Stochastic noise-contrastive training; one shared set of noise classes for each batch."""
-
-    def __init__(self, model: LogBilinear, class_tokens: np.ndarray, seed: int, rate: float = RATE):
-        self.m, self.rng, self.rate = LogBilinear(*(x.astype(np.float32).copy() for x in (model.context, model.places, model.target, model.bias))), np.random.default_rng(seed), rate
-        p = (class_tokens + 0.5) / (class_tokens + 0.5).sum()
-        self.log_noise = np.log(NOISE * p).astype(np.float32)
-        self.cum = np.cumsum(p)
-        self.squares = [np.full(x.shape, FIRST_SQUARE, np.float32) for x in (self.m.context, self.m.places, self.m.target, self.m.bias)]
-        self.seen = 0
 
-    def _rows(self, k: int, x: np.ndarray, ids: np.ndarray, grad: np.ndarray) -> None:
+class Trainer:
+    """Stochastic noise-contrastive training of both levels; a batch shares its noise classes, a token has noise members of its class."""
+
+    def __init__(self, model: LogBilinear, v: Vocabulary, seed: int, rate: float = RATE):
+        self.x, self.v, self.rng, self.rate = model.rows.astype(np.float32).copy(), v, np.random.default_rng(seed), rate
+        p = (v.class_tokens + 0.5) / (v.class_tokens + 0.5).sum()
+        self.log_noise, self.cum = np.log(NOISE * p).astype(np.float32), np.cumsum(p)
+        self.log_member, self.member_cum = np.log(MEMBER_NOISE * v.member_share).astype(np.float32), np.cumsum(v.member_share)
+        self.squares = np.full(self.x.shape, FIRST_SQUARE, np.float32)
+        self.uses = np.zeros(len(self.x))
+        self.scale = np.float32(1 / BATCH)
+
+    def _move(self, ids: np.ndarray, grad: np.ndarray) -> None:
         """Adagrad on the rows of ids."""
-        by = np.argsort(ids.astype(np.int16), kind="stable")  # there are few classes, and short integers sort by radix
+        by = np.argsort(ids, kind="stable")
         s = ids[by]
         start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        u, g = s[start], np.add.reduceat(grad[by], start)
-        self.squares[k][u] += g * g
-        x[u] += self.rate * g / np.sqrt(self.squares[k][u])
-
-    def step(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> None:
-        m = self.m
-        r1, r2, q = m.context[h1], m.context[h2], m.target[w]
-        h = r1 * m.places[0] + r2 * m.places[1]
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), len(self.cum) - 1)
-        qn = m.target[noise]
-        up = 1 / (1 + np.exp((h * q).sum(axis=1) + m.bias[w] - self.log_noise[w]))
-        down = 1 / (1 + np.exp(-(h @ qn.T + m.bias[noise] - self.log_noise[noise])))
-        dh = up[:, None] * q - down @ qn
-        scale = np.float32(1 / BATCH)
-        self._rows(2, m.target, np.concatenate([w, noise]), np.concatenate([up[:, None] * h, -(down.T @ h)]) * scale)
-        self._rows(3, m.bias, np.concatenate([w, noise]), np.concatenate([up, -down.sum(axis=0)]) * scale)
-        self._rows(0, m.context, np.concatenate([h1, h2]), np.concatenate([dh * m.places[0], dh * m.places[1]]) * scale)
-        g = np.stack([(dh * r1).sum(axis=0), (dh * r2).sum(axis=0)]) * scale
-        self.squares[1] += g * g
-        m.places += self.rate * g / np.sqrt(self.squares[1])
-        self.seen += len(w)
-
-    def run(self, stream: Iterator[np.ndarray], start: int) -> None:
-        """Over the class ids of texts."""
-        parts, held = [], 0
-        for ids in stream:
-            parts.append(context_of(ids, start))
-            held += len(ids)
-            if held >= 8 * BATCH:
-                self._chunk(parts)
-                parts, held = [], 0
-        if parts:
-            self._chunk(parts)
-
-    def _chunk(self, parts: list) -> None:
-        h1, h2, w = (np.concatenate(x) for x in zip(*parts))
-        order = self.rng.permutation(len(w))
-        h1, h2, w = h1[order], h2[order], w[order]
-        for at in range(0, len(w), BATCH):
-            self.step(h1[at : at + BATCH], h2[at : at + BATCH], w[at : at + BATCH])
-
-
-def context_of(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h1, h2 = np.full(len(ids), start, ids.dtype), np.full(len(ids), start, ids.dtype)
-    h1[1:] = ids[:-1]
-    h2[2:] = ids[:-2]
-    return h1, h2, ids
-
-
-class _Lookup:
-    """What a worker keeps of a vocabulary: word to place, class and log count of each place."""
-
-    kept: dict[str, _Lookup] = {}
-
-    def __init__(self, v: Vocabulary):
-        self.get = v.index().get
-        self.cls = np.append(v.classes(), -1).astype(np.int32)
-        self.logs = np.append(np.log10(v.counts + 1), 0.0)
-
-    @classmethod
-    def of(cls, v: Vocabulary) -> _Lookup:
-        if v.key not in cls.kept:
-            cls.kept.clear()
-            cls.kept[v.key] = cls(v)
-        return cls.kept[v.key]
+        u, g = s[start], np.add.reduceat(grad[by], start) * self.scale
+        squares = self.squares[u] + g * g
+        self.squares[u] = squares
+        self.x[u] += self.rate * g / np.sqrt(squares)
+        self.uses[u] += np.diff(np.append(start, len(s)))
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        get = self.get
-        return np.array([get(w, -1) for w in words], np.int64)
+    @staticmethod
+    def _rows(vectors: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
+        out = np.zeros((len(vectors), WIDTH + 1), np.float32)
+        out[:, :WIDTH] = vectors
+        if bias is not None:
+            out[:, WIDTH] = bias
+        return out
+
+    def step(self, h1: np.ndarray, h2: np.ndarray, c: np.ndarray, m: np.ndarray) -> None:
+        x, p = self.x, self.x[PLACE:CLASS, :WIDTH]
+        r1, r2, q = x[CONTEXT + h1, :WIDTH], x[CONTEXT + h2, :WIDTH], x[CLASS + c]
+        h = r1 * p[0] + r2 * p[1]
+        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), CLASSES - 1)
+        qn = x[CLASS + noise]
+        up = 1 / (1 + np.exp((h * q[:, :WIDTH]).sum(axis=1) + q[:, WIDTH] - self.log_noise[c]))
+        down = 1 / (1 + np.exp(-(h @ qn[:, :WIDTH].T + qn[:, WIDTH] - self.log_noise[noise])))
+        dh = up[:, None] * q[:, :WIDTH] - down @ qn[:, :WIDTH]
+        places = self._rows(np.stack([(dh * r1).sum(axis=0), (dh * r2).sum(axis=0)]))
+        ids, grads = [CLASS + c, CLASS + noise, CONTEXT + h1, CONTEXT + h2, np.array([PLACE, PLACE + 1])], [self._rows(up[:, None] * h, up), self._rows(-(down.T @ h), -down.sum(axis=0)), self._rows(dh * p[0]), self._rows(dh * p[1]), places]
+        some = np.flatnonzero(m >= 0)
+        if len(some):
+            g1, own = h1[some], m[some]
+            u, v = x[BEFORE + g1, :WIDTH], x[MEMBER + own]
+            low = self.v.member_class[own]
+            other = np.searchsorted(self.member_cum, low[:, None] + self.rng.random((len(some), MEMBER_NOISE)))
+            other = np.clip(other, self.v.first[low][:, None], self.ends[low][:, None])
+            vn = x[MEMBER + other]
+            up = 1 / (1 + np.exp((u * v[:, :WIDTH]).sum(axis=1) + v[:, WIDTH] - self.log_member[own]))
+            down = 1 / (1 + np.exp(-(np.einsum("nd,nkd->nk", u, vn[:, :, :WIDTH]) + vn[:, :, WIDTH] - self.log_member[other])))
+            du = up[:, None] * v[:, :WIDTH] - np.einsum("nk,nkd->nd", down, vn[:, :, :WIDTH])
+            ids += [BEFORE + g1, MEMBER + own, MEMBER + other.ravel()]
+            grads += [self._rows(du), self._rows(up[:, None] * u, up), self._rows(-(down[:, :, None] * u[:, None]).reshape(-1, WIDTH), -down.ravel())]
+        self._move(np.concatenate(ids), np.concatenate(grads))
+
+    @property
+    def ends(self) -> np.ndarray:
+        return np.append(self.v.first[1:], self.v.members) - 1
+
+    def run(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Over texts of so many tokens each, side by side in ids."""
+        cls, member = self.v.places_of(ids)
+        h1, h2 = contexts(cls, sizes)
+        order = self.rng.permutation(len(ids))
+        for at in range(0, len(ids), BATCH):
+            some = order[at : at + BATCH]
+            self.step(h1[some], h2[some], cls[some], member[some])
+
+
+def contexts(cls: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes one and two before each token; the start's where a text has none."""
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+    h1, h2 = np.empty_like(cls), np.empty_like(cls)
+    h1[1:], h2[2:] = cls[:-1], cls[:-2]
+    h1[first] = h2[first] = START
+    h2[first[sizes > 1] + 1] = START
+    return h1, h2
+
+
+class _Kept:
+    """What a worker keeps from task to task, of the latest vocabulary or model."""
+
+    held: dict[str, object] = {}
 
-    def class_ids(self, words: list[bytes], at: np.ndarray) -> np.ndarray:
-        ids = self.cls[at]
-        for i in np.flatnonzero(at < 0).tolist():
-            ids[i] = shared_class(words[i])
-        return ids
+    @classmethod
+    def of(cls, key: str, make):
+        if key not in cls.held:
+            cls.held.clear()
+            cls.held[key] = make()
+        return cls.held[key]
 
 
-def trained_parts(docs: DataFrame, shared, seed: int) -> DataFrame:
-    """(tokens, slot values) of each task: its parameters after going through its documents."""
+def encoded(docs: DataFrame, v: Vocabulary, extra: list[str]) -> DataFrame:
+    """A row for each doc: its tokens as places among the commonest words (or less than 0: the class of another), and the other words with their times."""
+    shared = docs.sparkSession.sparkContext.broadcast((v.key, v.words))
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in extra}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model, rate = shared.value
-        look = _Lookup.of(v)
-        trainer = Trainer(model, v.class_tokens, seed + TaskContext.get().partitionId(), rate)
-
-        def stream():
-            for batch in batches:
-                for text in batch.column(0).cast(pa.binary()):
-                    words = tokens(text.as_py())
-                    yield look.class_ids(words, look.places(words))
-
-        trainer.run(stream(), len(v.class_tokens))
-        if trainer.seen:
-            yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([trainer.m.flat().tolist()], pa.list_(pa.float32()))], names=["seen", "vals"])
+        key, words = shared.value
+        get = _Kept.of(key, lambda: {w: i for i, w in enumerate(words)}).get
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts = batch.column(len(extra)).cast(pa.binary())
+            for at in range(0, len(texts), 1000):
+                part, out = texts.slice(at, 1000), []
+                for text in part:
+                    split = tokens(text.as_py())
+                    ids = np.array([get(w, -1) for w in split], np.int32)
+                    tail = Counter([split[i] for i in np.flatnonzero(ids < 0).tolist()])
+                    if tail:
+                        cls = {w: -1 - shared_class(w) for w in tail}
+                        for i in np.flatnonzero(ids < 0).tolist():
+                            ids[i] = cls[split[i]]
+                    out.append((row, ids, list(tail), list(tail.values())))
+                    row += 1
+                sizes = np.concatenate(([0], np.cumsum([len(x[1]) for x in out]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([x[1] for x in out])))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, 1000) for k in range(len(extra))), pa.array([x[0] for x in out], pa.int64()), ids, pa.array([x[2] for x in out], pa.list_(pa.binary())), pa.array([x[3] for x in out], pa.list_(pa.int32()))], names=[*extra, "row", "ids", "words", "times"])
 
-    return docs.select("text").mapInArrow(run, "seen bigint, vals array<float>")
+    return docs.select(*extra, "text").mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "row bigint, ids array<int>, words array<binary>, times array<int>"]))
 
 
-def averaged(parts: DataFrame, model: LogBilinear) -> LogBilinear:
-    """The mean of the tasks' parameters by tokens, summed by Spark."""
-    rows = parts.select("seen", F.posexplode("vals").alias("slot", "value")).groupBy("slot").agg((F.sum(F.col("value").cast("double") * F.col("seen")) / F.sum("seen")).alias("value")).toArrow()
-    if not rows.num_rows:
-        return model
-    flat = np.empty(rows.num_rows)
-    flat[rows["slot"].to_numpy()] = rows["value"].to_numpy()
-    return model.filled(flat)
+def shards_of(rows: DataFrame, shards: int) -> DataFrame:
+    """(shard, ids, sizes): the tokens of the rows (key, ids) dealt by key, texts in order of key and ids."""
 
+    def pack(t: pa.Table) -> pa.Table:
+        ids = t["ids"].combine_chunks()
+        values, edges = ids.flatten().to_numpy(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))))
+        keys = t["key"].to_numpy()
+        order = sorted(range(len(ids)), key=lambda i: (keys[i], values[edges[i] : edges[i + 1]].tobytes()))
+        sizes = np.array([edges[i + 1] - edges[i] for i in order], np.int32)
+        whole = np.concatenate([values[edges[i] : edges[i + 1]] for i in order]).astype(np.int32)
+        return pa.table({"shard": pa.array([t["shard"][0].as_py()], pa.int32()), "ids": pa.array([whole.tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary())})
 
-def fit(docs: DataFrame, v: Vocabulary) -> LogBilinear:
-    """Train on the docs given, all of them."""
-    sc = docs.sparkSession.sparkContext
-    model = LogBilinear.start(v.class_tokens)
-    start = _start_sample(docs)
-    model = averaged(trained_parts(start, sc.broadcast((v, model, RATE)), 11), model)
-    return averaged(trained_parts(docs, sc.broadcast((v, model, RATE)), 23), model)
+    dealt = rows.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").applyInArrow(pack, "shard int, ids binary, sizes binary")
 
 
-def _start_sample(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest hashed ids, in one task: a bounded number of rows."""
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS)
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").repartition(1)
+def trained(shards: DataFrame, v: Vocabulary, model: LogBilinear, part: tuple[float, float], seed: int) -> LogBilinear:
+    """The mean of the parameters that the shards come to over a part of their texts, each row by its uses.
 
+    A task adds up its shards before anything is shuffled; rows travel in pieces, which are summed apart.
+    """
+    shared, piece = shards.sparkSession.sparkContext.broadcast((v, model)), 4096
 
-def score_table(docs: DataFrame, v: Vocabulary, model: LogBilinear, extra: list[str]) -> DataFrame:
-    """A row for each doc: what the commonest words and the classes give, and the other words with their times."""
-    shared = docs.sparkSession.sparkContext.broadcast((v, model))
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in extra}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, model = shared.value
+        total = None
+        for batch in batches:
+            for shard, ids, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, sizes = np.frombuffer(ids, np.int32), np.frombuffer(sizes, np.int32)
+                # Every text is in the part that its last token falls in.
+                ends = np.cumsum(sizes)
+                a, b = (np.searchsorted(ends, p * ends[-1], side="right") if p < 1 else len(sizes) for p in part)
+                if a == b:
+                    continue
+                trainer = Trainer(model, v, seed * 1_000_003 + shard)
+                trainer.run(ids[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b])
+                weight = trainer.uses[:, None]
+                total = (trainer.x * weight, trainer.uses) if total is None else (total[0] + trainer.x * weight, total[1] + trainer.uses)
+        if total is not None:
+            used = [(k, total[0][k : k + piece].tobytes(), total[1][k : k + piece].tobytes()) for k in range(0, len(total[1]), piece) if total[1][k : k + piece].any()]
+            for x in used:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int32()), pa.array([x[1]], pa.binary()), pa.array([x[2]], pa.binary())], names=["at", "sums", "uses"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = sums = uses = None
+        for batch in batches:
+            for k, s, u in zip(*(c.to_pylist() for c in batch.columns)):
+                s, u = np.frombuffer(s), np.frombuffer(u)
+                at, sums, uses = (k, s, u) if at is None else (at, sums + s, uses + u)
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sums.tobytes()], pa.binary()), pa.array([uses.tobytes()], pa.binary())], names=["at", "sums", "uses"])
+
+    shape = "at int, sums binary, uses binary"
+    parts = shards.select("shard", "ids", "sizes").mapInArrow(run, shape)
+    rows = model.rows.astype(float)
+    for r in parts.groupBy("at").applyInArrow(add, shape).collect():
+        uses = np.frombuffer(r["uses"])
+        some = np.flatnonzero(uses)
+        rows[r["at"] + some] = np.frombuffer(r["sums"]).reshape(-1, WIDTH + 1)[some] / uses[some, None]
+    return LogBilinear(rows.astype(np.float32))
+
+
+def fit(shards: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS) -> LogBilinear:
+    """Train on all texts of the shards, once."""
+    model, at = LogBilinear.start(v), 0.0
+    for k, share in enumerate(rounds):
+        model = trained(shards, v, model, (at, at + share), 11 + k)
+        at += share
+    return model
+
+
+def log_probabilities(v: Vocabulary, tables, model: LogBilinear, ids: np.ndarray, sizes: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """log10 P of every token given those before it in its text; rare words' own counts (log10 of count plus one) come from logs."""
+    (a, b, z), zm = tables
+    cls, member = v.places_of(ids)
+    h1, h2 = contexts(cls, sizes)
+    out = (a[h1, cls].astype(float) + b[h2, cls] - z[h1, h2]) / np.log(10)
+    some = np.flatnonzero(member >= 0)
+    m, before = member[some], h1[some]
+    low = v.member_class[m]
+    s = np.einsum("nd,nd->n", model.rows[BEFORE + before, :WIDTH], model.rows[MEMBER + m, :WIDTH]) + model.rows[MEMBER + m, WIDTH] - zm[before, low]
+    rare = m == v.first[low]
+    out[some] += s.astype(float) / np.log(10) + np.where(rare, logs[some] - v.rare[low], 0.0)
+    return out
+
+
+def scored(rows: DataFrame, v: Vocabulary, model: LogBilinear, extra: list[str]) -> DataFrame:
+    """The encoded rows with n_tokens, known, logs (of known words' counts) and lm, what the model gives but for the other words' counts."""
+    shared, key = rows.sparkSession.sparkContext.broadcast((v, model)), uuid.uuid4().hex
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in [*extra, "row"]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, model = shared.value
-        look, start = _Lookup.of(v), len(v.class_tokens)
-        a, b, z = model.tables()
-        # Of a class's words: log10 of the class's tokens plus words plus one.
-        rest = np.where(np.arange(start) < TOP, 0.0, np.log10(v.class_tokens + v.class_words + 1))
-        own = np.arange(start) < min(TOP, len(v.words))
-        row = TaskContext.get().partitionId() << 33
+        tables = _Kept.of(key, lambda: (model.classes(), model.members(v)))
+        counts = np.append(np.log10(v.counts + 1), 0.0)
         for batch in batches:
-            texts = batch.column(len(extra)).cast(pa.binary())
-            for at in range(0, len(texts), 1000):
-                out: list[tuple] = []
-                part = texts.slice(at, 1000)
-                for text in part:
-                    words = tokens(text.as_py())
-                    places = look.places(words)
-                    ids = look.class_ids(words, places)
-                    h1, h2, w = context_of(ids, start)
-                    lm = (a[h1, w].astype(float) + b[h2, w] - z[h1, h2]).sum() / np.log(10)
-                    unknown = places < 0
-                    logs = look.logs[places]
-                    within = np.where(own[ids], 0.0, logs - rest[ids])
-                    tail = Counter([words[i] for i in np.flatnonzero(unknown).tolist()])
-                    out.append((row, len(words), int((~unknown).sum()), float(logs.sum()), float(lm + within.sum()), list(tail), list(tail.values())))
-                    row += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, 1000) for k in range(len(extra))), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=[*extra, "row", "n_tokens", "known", "logs", "lm", "words", "times"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids = part.column(part.num_columns - 1)
+                sizes, flat = ids.value_lengths().to_numpy(zero_copy_only=False), ids.flatten().to_numpy()
+                logs, first = counts[np.where(flat >= 0, flat, len(counts) - 1)], np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                lm = log_probabilities(v, tables, model, flat, sizes, logs)
+                sums = [sizes.astype(np.int64), *(np.add.reduceat(x, first) for x in ((flat >= 0).astype(np.int64), logs, lm))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, sums)], names=[*kinds, "n_tokens", "known", "logs", "lm"])
 
-    return docs.select(*extra, "text").mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "row bigint, n_tokens bigint, known bigint, logs double, lm double, words array<binary>, times array<int>"]))
+    return rows.select(*kinds, "ids").mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "n_tokens bigint, known bigint, logs double, lm double"]))
 
 
 def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
@@ -333,17 +427,19 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     ship(docs.sparkSession)
     work = Workspace(docs.sparkSession, "lm")
     held = crc_remainder("doc_id", 7) == 2
-    own = docs.select("doc_id", "text", held.alias("held_out"))
+    own = docs.select("doc_id", "text", held.alias("held_out"), F.xxhash64("doc_id", "text").alias("key"))
     counts = work.stage(word_counts(own.where(~F.col("held_out"))), "counts")
     v = vocabulary(counts, head)
-    model = fit(own.where(~F.col("held_out")), v)
-    scored = work.stage(score_table(own, v, model, ["doc_id", "held_out"]), "scored")
+    rows = work.stage(encoded(own, v, ["doc_id", "held_out", "key"]), "encoded")
+    shards = work.stage(shards_of(rows.where(~F.col("held_out")).select("key", "ids"), max(1, round(v.total / SHARD_TOKENS))), "shards")
+    model = fit(shards, v)
+    found = scored(rows, v, model, ["doc_id", "held_out"])
     # Words beyond the head: all occurrences meet the count table by a shuffle.
-    pairs = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    pairs = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     met = pairs.join(counts.select("word", "n"), "word")
     tail = met.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more_logs"))
     whole = float(np.log10(v.total + v.distinct + 1))
-    found = scored.drop("words", "times").join(tail, "row", "left")
+    found = found.join(tail, "row", "left")
     logs = F.coalesce("more_logs", F.lit(0.0))
     return found.select(
         "doc_id", "held_out", "n_tokens",
