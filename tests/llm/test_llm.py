@@ -251,6 +251,31 @@ def test_quality_held_out(spark, sf_dir):
     assert np.mean([x.predicted == x.quality for x in r]) > 0.95
 
 
+def test_quality_score_against_brute_force(spark, sf_dir, docs):
+    """Scores of texts from the model's parameters: inputs made here, all pairs added up one by one."""
+    m = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    some = docs.where("doc_id < 12")
+    got = {r.doc_id: r.score for r in quality.with_score(some, m).collect()}
+    base = 1 << quality.WORD_BITS
+    for r in some.collect():
+        text = r.text.encode()
+        words = Counter(text.lower().split())
+        slots = Counter()
+        for w, n in words.items():
+            slots[zlib.crc32(w) % base] += n
+        length = np.sqrt(sum(np.log1p(n) ** 2 for n in slots.values()))
+        x = {k: np.log1p(n) / length for k, n in slots.items()}
+        stats = quality.structure(text, list(words.elements()), words) + [np.log1p(r.n_chars)]
+        for k, value in enumerate(stats):
+            x[base + k] = np.clip((value - m.mean[k]) / m.spread[k], -4, 4) / 4
+            x[base + len(stats) + k * quality.RANGES + sum(value > e for e in m.edges[k])] = 0.5
+        ids = list(x)
+        z = m.bias + sum(m.weights[i] * x[i] for i in ids)
+        vx = np.array([m.factors[i] * x[i] for i in ids])
+        z += sum(vx[a] @ vx[b] for a in range(len(ids)) for b in range(a)) if len(ids) < 400 else ((vx @ vx.T).sum() - (vx * vx).sum()) / 2
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4, abs=1e-7)
+
+
 def test_quality_odd(spark, odd, sf_dir):
     labels = spark.createDataFrame([(4, 1, 0), (6, 0, 0), (5, 1, None), (None, 1, 1), (7, None, 0)], "doc_id bigint, quality int, toxic int")
     m = quality.fit(odd, labels)
@@ -722,6 +747,43 @@ def test_rates_against_brute_force(spark):
     assert (r >= 0).all() and ((r * n) @ p) == pytest.approx(got) and got == pytest.approx(targets, rel=1e-4)
 
 
+def test_posteriors_against_brute_force(spark, sf_dir, docs):
+    """The classifier step by step over the labelled documents, and the posterior of every document."""
+    labelled = {r.doc_id: r.domain for r in mixing.domain_of(spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
+    domains = list(queries.MIX_WEIGHTS)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+
+    def shown(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+        n, kinds = max(1, len(words)), set(words)
+        ends = len(re.findall(r"[!-/:-@\[-`{-~]{2}(?=[ \t\n\x0b\f\r]|$)", text))
+        marks = ((len(kinds) * 10 // n, b"distinct"), (min(10, -(-ends * 10 // n)), b"signs"))
+        return {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in kinds} | {signed(xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42))) for k, b in marks}
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    seen = {i: shown(t) for i, t in texts.items()}
+    sizes = Counter(labelled[i] for i in texts if i in labelled)
+    total = sum(sizes.values())
+    counts = {d: Counter(h for i in texts if labelled.get(i) == d for h in seen[i]) for d in domains}
+    slots = {}
+    found = []
+    for h in {h for c in counts.values() for h in c}:
+        n = sum(c[h] for c in counts.values())
+        if n >= mixing.LEAST_DOCS:
+            r = np.array([np.log((counts[d][h] + n / total) / (sizes[d] + 1)) - np.log(n / total) for d in domains]) * n / (n + 2 * mixing.LEAST_DOCS)
+            if np.abs(r).max() >= mixing.LEAST_RATIO:
+                found.append((-np.abs(r).max() * np.sqrt(n), h, r))
+    for _, h, r in sorted(found, key=lambda x: x[:2]):
+        slots.setdefault(h % mixing.SLOTS, (h, r))
+    priors = np.log([(sizes[d] + 1) / (total + len(domains)) for d in domains])
+    got = mixing.mix(docs, mixing.domain_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), queries.MIX_WEIGHTS, "good")
+    for row in got.collect():
+        z = priors + sum((r for h in seen[row.doc_id] for held, r in [slots.get(h % mixing.SLOTS, (None, 0))] if held == h), np.zeros(len(domains)))
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert row.posterior == pytest.approx(want, rel=1e-3, abs=1e-6), row.doc_id
+        assert row.tokens == len([w for w in re.split(r"[\x20\x09-\x0D]+", texts[row.doc_id].lower()) if w])
+
+
 def test_mixing_query(spark, sf_dir):
     got = rows(queries.op10_soft_mixing(spark, sf_dir.replace("0.001", "0.01")))
     e = {d: sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in got) for d in queries.MIX_WEIGHTS}
@@ -732,7 +794,14 @@ def test_mixing_query(spark, sf_dir):
 def test_mixing_odd(spark, odd):
     labels = spark.createDataFrame([(4, "good"), (6, "low")], "doc_id bigint, domain string")
     out = mixing.mixing_stage(odd, labels, queries.MIX_WEIGHTS, "good")
-    assert out.columns == odd.columns and out.count() >= 0
+    assert out.columns == odd.columns
+    # As many copies as the rate says, and every row as it was.
+    rates = Counter()
+    for r in rows(mixing.mix(odd, labels, queries.MIX_WEIGHTS, "good", odd.columns, names=("m_tokens", "m_posterior", "m_rate"))):
+        rates[r["doc_id"], r["text"], r["rate"], r["tokens"]] += r["m_rate"]
+        rates["n", r["doc_id"], r["text"]] += 1
+    for k, n in Counter((r.doc_id, r.text, r.rate, r.tokens) for r in out.collect()).items():
+        assert k in rates and abs(n - rates[k]) < rates["n", k[0], k[1]] + 1e-9
     none = rows(mixing.mix(odd, labels.limit(0), {"good": 1, "low": 1}))
     assert all(r["posterior"] == [0.5, 0.5] for r in none) and len(none) == 12
     assert mixing.mix(odd.limit(0), labels, queries.MIX_WEIGHTS).count() == 0
@@ -742,19 +811,32 @@ def test_mixing_odd(spark, odd):
 
 
 def test_pipeline(spark, sf_dir, docs):
+    """Each stage against a plain version of it, on what the stage before it kept."""
     import corpus_pipeline
 
-    df, sizes, before = docs, [], docs
-    work = Workspace(spark, "test-pipeline")
+    df, work, kept = docs, Workspace(spark, "test-pipeline"), []
+    texts = lambda d: [(r.doc_id, r.text) for r in d.collect()]
     for name, stage in corpus_pipeline.STAGES:
-        df = work.stage(stage(spark, df, sf_dir), name)
-        if name != "packing":
-            assert df.columns == docs.columns
-            before = df
-        sizes.append(df.count())
-    assert sizes[0] <= 200 and sizes[1] == sizes[0] and sizes[2] <= sizes[1]
-    check_packing(rows(df), [(r.doc_id, r.text) for r in before.collect()])
-    assert corpus_pipeline.run(spark, sf_dir).count() == sizes[-1]
+        before, df = df, work.stage(stage(spark, df, sf_dir), name)
+        assert name == "packing" or df.columns == docs.columns
+        was, now = texts(before), texts(df) if name != "packing" else rows(df)
+        if name == "quality":
+            score = {r.doc_id: r.score for r in quality.with_score(before, quality.fit(before, spark.read.parquet(f"{sf_dir}/labels.parquet"))).collect()}
+            assert Counter(now) == Counter(x for x in was if score[x[0]] >= quality.THRESHOLD)
+        if name == "line_dedup":
+            assert Counter((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in now) == Counter((i, h) for i, _, _, h in brute_lines(was).elements())
+            assert all(r.n_chars == len(r.text) for r in df.collect())
+        if name == "simhash":
+            group = brute_components([(i, brute_fingerprint(t)) for i, t in was])
+            assert Counter(now) == Counter((i, t) for i, t in was if group[i, brute_fingerprint(t)] == i)
+        if name == "mixing":
+            rate = {r["doc_id"]: r["rate"] for r in rows(mixing.mix(before, mixing.domain_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), queries.MIX_WEIGHTS, "good"))}
+            times = Counter(now)
+            assert set(times) <= set(was) and all(int(rate[x[0]]) <= times[x] <= int(rate[x[0]]) + 1 for x in was)
+        if name == "packing":
+            check_packing(now, was)
+        kept.append(len(now))
+    assert corpus_pipeline.run(spark, sf_dir).count() == kept[-1]
 
 
 # --- queries with SQL ---
