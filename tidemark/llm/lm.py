@@ -46,7 +46,9 @@ CLASSES = TOP + SHARED
 #: Words whose counts executors hold in memory, at most; of them, those seen so often have vectors of their own.
 HEAD, OWN = 1 << 18, 8
 #: Tokens of a shard, about, and the parts of a shard's tokens that the rounds train on.
-SHARD_TOKENS, ROUNDS = 2_000_000, (0.25, 0.75)
+SHARD_TOKENS, ROUNDS = 8_000_000, (0.25, 0.75)
+#: Shards at least, so that a small corpus trains side by side, too.
+LEAST_SHARDS = 4
 NOISE, MEMBER_NOISE, BATCH, RATE, FIRST_SQUARE = 32, 4, 4096, 0.2, 1e-3
 END = b""
 
@@ -202,37 +204,31 @@ class Trainer:
         self.squares = np.full(self.x.shape, FIRST_SQUARE, np.float32)
         self.uses = np.zeros(len(self.x))
         self.scale = np.float32(1 / BATCH)
+        self.ends = np.append(v.first[1:], v.members) - 1
 
-    def _move(self, ids: np.ndarray, grad: np.ndarray) -> None:
-        """Adagrad on the rows of ids."""
-        by = np.argsort(ids, kind="stable")
+    def _move(self, base: int, ids: np.ndarray, vectors: np.ndarray, bias: np.ndarray | None = None) -> None:
+        """Adagrad on the rows of ids, counted from a base; where ids are few, they are short integers, which sort by radix."""
+        by = np.argsort(ids, kind="stable" if ids.dtype.itemsize == 2 else None)
         s = ids[by]
         start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        u, g = s[start], np.add.reduceat(grad[by], start) * self.scale
-        squares = self.squares[u] + g * g
-        self.squares[u] = squares
-        self.x[u] += self.rate * g / np.sqrt(squares)
+        u = base + s[start].astype(np.int64)
         self.uses[u] += np.diff(np.append(start, len(s)))
-
-    @staticmethod
-    def _rows(vectors: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
-        out = np.zeros((len(vectors), WIDTH + 1), np.float32)
-        out[:, :WIDTH] = vectors
-        if bias is not None:
-            out[:, WIDTH] = bias
-        return out
+        for g, at in ((vectors, slice(0, WIDTH)), (bias, slice(WIDTH, WIDTH + 1))):
+            if g is not None:
+                g = np.add.reduceat(g.reshape(len(ids), -1)[by], start) * self.scale
+                squares = self.squares[u, at] + g * g
+                self.squares[u, at] = squares
+                self.x[u, at] += self.rate * g / np.sqrt(squares)
 
     def step(self, h1: np.ndarray, h2: np.ndarray, c: np.ndarray, m: np.ndarray) -> None:
-        x, p = self.x, self.x[PLACE:CLASS, :WIDTH]
-        r1, r2, q = x[CONTEXT + h1, :WIDTH], x[CONTEXT + h2, :WIDTH], x[CLASS + c]
+        x, p, short = self.x, self.x[PLACE:CLASS, :WIDTH], np.uint16
+        r1, r2, q, qb = x[CONTEXT + h1, :WIDTH], x[CONTEXT + h2, :WIDTH], x[CLASS + c, :WIDTH], x[CLASS + c, WIDTH]
         h = r1 * p[0] + r2 * p[1]
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), CLASSES - 1)
-        qn = x[CLASS + noise]
-        up = 1 / (1 + np.exp((h * q[:, :WIDTH]).sum(axis=1) + q[:, WIDTH] - self.log_noise[c]))
-        down = 1 / (1 + np.exp(-(h @ qn[:, :WIDTH].T + qn[:, WIDTH] - self.log_noise[noise])))
-        dh = up[:, None] * q[:, :WIDTH] - down @ qn[:, :WIDTH]
-        places = self._rows(np.stack([(dh * r1).sum(axis=0), (dh * r2).sum(axis=0)]))
-        ids, grads = [CLASS + c, CLASS + noise, CONTEXT + h1, CONTEXT + h2, np.array([PLACE, PLACE + 1])], [self._rows(up[:, None] * h, up), self._rows(-(down.T @ h), -down.sum(axis=0)), self._rows(dh * p[0]), self._rows(dh * p[1]), places]
+        qn, qnb = x[CLASS + noise, :WIDTH], x[CLASS + noise, WIDTH]
+        up = 1 / (1 + np.exp((h * q).sum(axis=1) + qb - self.log_noise[c]))
+        down = 1 / (1 + np.exp(-(h @ qn.T + qnb - self.log_noise[noise])))
+        dh = up[:, None] * q - down @ qn
         some = np.flatnonzero(m >= 0)
         if len(some):
             g1, own = h1[some], m[some]
@@ -241,16 +237,16 @@ class Trainer:
             other = np.searchsorted(self.member_cum, low[:, None] + self.rng.random((len(some), MEMBER_NOISE)))
             other = np.clip(other, self.v.first[low][:, None], self.ends[low][:, None])
             vn = x[MEMBER + other]
-            up = 1 / (1 + np.exp((u * v[:, :WIDTH]).sum(axis=1) + v[:, WIDTH] - self.log_member[own]))
-            down = 1 / (1 + np.exp(-(np.einsum("nd,nkd->nk", u, vn[:, :, :WIDTH]) + vn[:, :, WIDTH] - self.log_member[other])))
-            du = up[:, None] * v[:, :WIDTH] - np.einsum("nk,nkd->nd", down, vn[:, :, :WIDTH])
-            ids += [BEFORE + g1, MEMBER + own, MEMBER + other.ravel()]
-            grads += [self._rows(du), self._rows(up[:, None] * u, up), self._rows(-(down[:, :, None] * u[:, None]).reshape(-1, WIDTH), -down.ravel())]
-        self._move(np.concatenate(ids), np.concatenate(grads))
-
-    @property
-    def ends(self) -> np.ndarray:
-        return np.append(self.v.first[1:], self.v.members) - 1
+            lift = 1 / (1 + np.exp((u * v[:, :WIDTH]).sum(axis=1) + v[:, WIDTH] - self.log_member[own]))
+            sink = 1 / (1 + np.exp(-(np.einsum("nd,nkd->nk", u, vn[:, :, :WIDTH]) + vn[:, :, WIDTH] - self.log_member[other])))
+            du = lift[:, None] * v[:, :WIDTH] - np.einsum("nk,nkd->nd", sink, vn[:, :, :WIDTH])
+            self._move(BEFORE, g1.astype(short), du)
+            self._move(MEMBER, np.concatenate([own, other.ravel()]).astype(np.int32), np.concatenate([lift[:, None] * u, -(sink[:, :, None] * u[:, None]).reshape(-1, WIDTH)]), np.concatenate([lift, -sink.ravel()]))
+        places = np.stack([(dh * r1).sum(axis=0), (dh * r2).sum(axis=0)])
+        first, second = dh * p[0], dh * p[1]
+        self._move(CLASS, np.concatenate([c, noise]).astype(short), np.concatenate([up[:, None] * h, -(down.T @ h)]), np.concatenate([up, -down.sum(axis=0)]))
+        self._move(CONTEXT, np.concatenate([h1, h2]).astype(short), np.concatenate([first, second]))
+        self._move(PLACE, np.array([0, 1], short), places)
 
     def run(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Over texts of so many tokens each, side by side in ids."""
@@ -353,27 +349,31 @@ def trained(shards: DataFrame, v: Vocabulary, model: LogBilinear, part: tuple[fl
                 trainer.run(ids[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b])
                 weight = trainer.uses[:, None]
                 total = (trainer.x * weight, trainer.uses) if total is None else (total[0] + trainer.x * weight, total[1] + trainer.uses)
-        if total is not None:
-            used = [(k, total[0][k : k + piece].tobytes(), total[1][k : k + piece].tobytes()) for k in range(0, len(total[1]), piece) if total[1][k : k + piece].any()]
-            for x in used:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int32()), pa.array([x[1]], pa.binary()), pa.array([x[2]], pa.binary())], names=["at", "sums", "uses"])
+        for k in range(0, len(model.rows), piece) if total is not None else ():
+            # How far the used rows moved, times their uses: floats will do for that.
+            some = np.flatnonzero(total[1][k : k + piece])
+            if len(some):
+                uses = total[1][k + some]
+                moved = total[0][k + some] - model.rows[k + some].astype(float) * uses[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([some.astype(np.uint16).tobytes()]), pa.array([moved.astype(np.float32).tobytes()]), pa.array([uses.astype(np.uint32).tobytes()])], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = sums = uses = None
+        at, sums, uses = 0, np.zeros((piece, WIDTH + 1)), np.zeros(piece, np.int64)
         for batch in batches:
-            for k, s, u in zip(*(c.to_pylist() for c in batch.columns)):
-                s, u = np.frombuffer(s), np.frombuffer(u)
-                at, sums, uses = (k, s, u) if at is None else (at, sums + s, uses + u)
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sums.tobytes()], pa.binary()), pa.array([uses.tobytes()], pa.binary())], names=["at", "sums", "uses"])
+            for at, some, moved, used in zip(*(c.to_pylist() for c in batch.columns)):
+                some = np.frombuffer(some, np.uint16)
+                sums[some] += np.frombuffer(moved, np.float32).reshape(-1, WIDTH + 1)
+                uses[some] += np.frombuffer(used, np.uint32)
+        some = np.flatnonzero(uses)
+        mean = (sums[some] / uses[some, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([some.astype(np.uint16).tobytes()]), pa.array([mean.tobytes()]), pa.array([b""])], names=names)
 
-    shape = "at int, sums binary, uses binary"
+    shape, names = "at int, some binary, moved binary, uses binary", ["at", "some", "moved", "uses"]
     parts = shards.select("shard", "ids", "sizes").mapInArrow(run, shape)
-    rows = model.rows.astype(float)
+    rows = model.rows.copy()
     for r in parts.groupBy("at").applyInArrow(add, shape).collect():
-        uses = np.frombuffer(r["uses"])
-        some = np.flatnonzero(uses)
-        rows[r["at"] + some] = np.frombuffer(r["sums"]).reshape(-1, WIDTH + 1)[some] / uses[some, None]
-    return LogBilinear(rows.astype(np.float32))
+        rows[r["at"] + np.frombuffer(r["some"], np.uint16).astype(int)] += np.frombuffer(r["moved"], np.float32).reshape(-1, WIDTH + 1)
+    return LogBilinear(rows)
 
 
 def fit(shards: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS) -> LogBilinear:
@@ -431,8 +431,9 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     counts = work.stage(word_counts(own.where(~F.col("held_out"))), "counts")
     v = vocabulary(counts, head)
     rows = work.stage(encoded(own, v, ["doc_id", "held_out", "key"]), "encoded")
-    shards = work.stage(shards_of(rows.where(~F.col("held_out")).select("key", "ids"), max(1, round(v.total / SHARD_TOKENS))), "shards")
+    shards = work.stage(shards_of(rows.where(~F.col("held_out")).select("key", "ids"), max(LEAST_SHARDS, round(v.total / SHARD_TOKENS))), "shards")
     model = fit(shards, v)
+    work.drop(shards)
     found = scored(rows, v, model, ["doc_id", "held_out"])
     # Words beyond the head: all occurrences meet the count table by a shuffle.
     pairs = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
