@@ -78,9 +78,9 @@ def archive_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     query, facets = " URGENT ", {"determination": "SUPPORTED"}
     hits = archive.facet_filter(archive.search(_signed(spark, sf_dir), _FIELDS, query), **facets).withColumn("year", F.year("filed").cast("string"))
     groups = archive.group_pages(hits, "year", ["filed", "id"], "id", 20)
-    total = table(spark, sf_dir, "orders").agg(F.count("*").alias("total"))
-    shown = hits.agg(F.count("*").alias("shown"))
-    return groups.join(F.broadcast(shown)).join(F.broadcast(total)).select("year", "place", "n", F.array_join(F.col("keys").cast("array<string>"), ",").alias("ids"), "shown", "total", F.lit(archive.is_filtered(query, *facets.values())).alias("filtered")).orderBy("place")
+    total = table(spark, sf_dir, "orders").agg(F.count("*")).scalar()
+    shown = hits.agg(F.count("*")).scalar()
+    return groups.select("year", "place", "n", F.array_join(F.col("keys").cast("array<string>"), ",").alias("ids"), shown.alias("shown"), total.alias("total"), F.lit(archive.is_filtered(query, *facets.values())).alias("filtered")).orderBy("place")
 
 
 @query("SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, count(*) AS n, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders GROUP BY 1")
