@@ -47,6 +47,7 @@ CLASSES = TOP + SHARED
 HEAD, OWN = 1 << 18, 8
 #: Tokens of a shard, about, and the parts of a shard's tokens that the rounds train on.
 SHARD_TOKENS, ROUNDS = 8_000_000, (0.25, 0.75)
+CHUNK = 1 << 19
 #: Shards at least, so that a small corpus trains side by side, too.
 LEAST_SHARDS = 4
 NOISE, MEMBER_NOISE, BATCH, RATE, FIRST_SQUARE = 32, 4, 4096, 0.2, 1e-3
@@ -249,7 +250,13 @@ class Trainer:
         self._move(PLACE, np.array([0, 1], short), places)
 
     def run(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Over texts of so many tokens each, side by side in ids."""
+        """Over texts of so many tokens each, side by side in ids; ``CHUNK`` tokens of them are in memory and shuffled at once, about."""
+        ends = np.cumsum(sizes, dtype=np.int64)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, len(ids), CHUNK), side="left")).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(sizes)]):
+            self._chunk(ids[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b])
+
+    def _chunk(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         cls, member = self.v.places_of(ids)
         h1, h2 = contexts(cls, sizes)
         order = self.rng.permutation(len(ids))
@@ -335,6 +342,7 @@ def trained(shards: DataFrame, v: Vocabulary, model: LogBilinear, part: tuple[fl
     shared, piece = shards.sparkSession.sparkContext.broadcast((v, model)), 4096
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _Kept.held.clear()
         v, model = shared.value
         total = None
         for batch in batches:
@@ -347,14 +355,15 @@ def trained(shards: DataFrame, v: Vocabulary, model: LogBilinear, part: tuple[fl
                     continue
                 trainer = Trainer(model, v, seed * 1_000_003 + shard)
                 trainer.run(ids[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b])
-                weight = trainer.uses[:, None]
-                total = (trainer.x * weight, trainer.uses) if total is None else (total[0] + trainer.x * weight, total[1] + trainer.uses)
+                trainer.squares = None
+                moved = (trainer.x - model.rows) * trainer.uses[:, None]
+                total = (moved, trainer.uses) if total is None else (total[0] + moved, total[1] + trainer.uses)
         for k in range(0, len(model.rows), piece) if total is not None else ():
             # How far the used rows moved, times their uses: floats will do for that.
             some = np.flatnonzero(total[1][k : k + piece])
             if len(some):
                 uses = total[1][k + some]
-                moved = total[0][k + some] - model.rows[k + some].astype(float) * uses[:, None]
+                moved = total[0][k + some]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([some.astype(np.uint16).tobytes()]), pa.array([moved.astype(np.float32).tobytes()]), pa.array([uses.astype(np.uint32).tobytes()])], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
