@@ -46,7 +46,7 @@ CLASSES = TOP + SHARED
 #: Words whose counts executors hold in memory, at most; of them, those seen so often have vectors of their own.
 HEAD, OWN = 1 << 18, 8
 #: Tokens of a shard, about, and the parts of a shard's tokens that the rounds train on.
-SHARD_TOKENS, ROUNDS = 8_000_000, (0.25, 0.75)
+SHARD_TOKENS, ROUNDS = 2_000_000, (0.25, 0.75)
 CHUNK = 1 << 19
 #: Shards at least, so that a small corpus trains side by side, too.
 LEAST_SHARDS = 4
@@ -346,8 +346,9 @@ def trained(shards: DataFrame, v: Vocabulary, model: LogBilinear, part: tuple[fl
         v, model = shared.value
         total = None
         for batch in batches:
-            for shard, ids, sizes in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, sizes = np.frombuffer(ids, np.int32), np.frombuffer(sizes, np.int32)
+            for i in range(batch.num_rows):
+                shard = batch.column(0)[i].as_py()
+                ids, sizes = (np.frombuffer(batch.column(k)[i].as_buffer(), np.int32) for k in (1, 2))
                 # Every text is in the part that its last token falls in.
                 ends = np.cumsum(sizes)
                 a, b = (np.searchsorted(ends, p * ends[-1], side="right") if p < 1 else len(sizes) for p in part)
