@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, licenses, line_dedup, lm, mixing, packing, pii, quality, simhash, topk
-from tidemark.llm.common import crc_remainder, table
+from tidemark.llm import ann, licenses, line_dedup, lm, mixing, packing, periodic, pii, quality, simhash, topk
+from tidemark.llm.common import SPACE, crc_remainder, table
 
 #: Characters of a document that is a folder's licence file, at most.
 NOTICE = 1_000
@@ -68,7 +68,27 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(MIX_WEIGHTS)), "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_lm_scoring, op3_quality_classifier, op4_line_dedup, op5_additive_quantisation, op6_exact_topk, op7_simhash, op8_pii, op9_license_scan, op10_soft_mixing)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a tenth of the documents, by hash of doc_id, the words from a on repeat their first p, as the contract has it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", f"{SPACE}+"), lambda x: x != "")))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    docs = docs.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, g % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    repeated = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    docs = docs.withColumn("text", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text"))).select("doc_id", "text")
+    found = periodic.with_runs(docs).select("doc_id", "periodic.runs", "periodic.collapsed")
+    # The greatest struct is the longest run, the first of these, and of these the one of the smallest period.
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    printed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.select("doc_id", "runs", "collapsed", top.alias("top"))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("top.start")).alias("start"), "top.length", (-F.col("top.period")).alias("period"),
+        F.expr("1000 * top.length div (-top.period)").alias("exponent_milli"), F.sha2(printed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_lm_scoring, op3_quality_classifier, op4_line_dedup, op5_additive_quantisation, op6_exact_topk, op7_simhash, op8_pii, op9_license_scan, op10_soft_mixing, op11_periodic_runs)}
 
 SQL = {
     "op4_line_dedup": r"""
