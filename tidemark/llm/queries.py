@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, licenses, line_dedup, lm, mixing, packing, periodic, pii, quality, simhash, topk
+from tidemark.llm import ann, digest, licenses, line_dedup, lm, mixing, packing, periodic, pii, quality, simhash, topk
 from tidemark.llm.common import SPACE, crc_remainder, table
 
 #: Characters of a document that is a folder's licence file, at most.
@@ -88,7 +88,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_lm_scoring, op3_quality_classifier, op4_line_dedup, op5_additive_quantisation, op6_exact_topk, op7_simhash, op8_pii, op9_license_scan, op10_soft_mixing, op11_periodic_runs)}
+def op13_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest.successor_digests(docs, digest.fit_rarity(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_lm_scoring, op3_quality_classifier, op4_line_dedup, op5_additive_quantisation, op6_exact_topk, op7_simhash, op8_pii, op9_license_scan, op10_soft_mixing, op11_periodic_runs, op13_improbable_features)}
 
 SQL = {
     "op4_line_dedup": r"""
