@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, digest, licenses, line_dedup, lm, mixing, packing, periodic, pii, quality, simhash, topk
+from tidemark.llm import ann, digest, licenses, line_dedup, lm, mixing, packing, periodic, pii, quality, simhash, topk, trie
 from tidemark.llm.common import SPACE, crc_remainder, table
 
 #: Characters of a document that is a folder's licence file, at most.
@@ -88,12 +88,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("k1", "k2")
+
+
 def op13_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digest.successor_digests(docs, digest.fit_rarity(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_lm_scoring, op3_quality_classifier, op4_line_dedup, op5_additive_quantisation, op6_exact_topk, op7_simhash, op8_pii, op9_license_scan, op10_soft_mixing, op11_periodic_runs, op13_improbable_features)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_lm_scoring, op3_quality_classifier, op4_line_dedup, op5_additive_quantisation, op6_exact_topk, op7_simhash, op8_pii, op9_license_scan, op10_soft_mixing, op11_periodic_runs, op12_prefix_trie, op13_improbable_features)}
 
 SQL = {
     "op4_line_dedup": r"""
@@ -111,6 +115,37 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE stays), '')) AS kept_sha256
 FROM kept GROUP BY doc_id
+""",
+    "op12_prefix_trie": """
+WITH RECURSIVE given AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+           length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said, length(coalesce(text, '')) AS chars
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS base, 4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)), lambda r, b:
+        list_reduce(list_prepend(xor(r, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+    FROM (SELECT DISTINCT conv_id FROM given)
+), rebuilt AS (
+    SELECT c.conv_id, g.pos, g.said, g.chars FROM convs c JOIN given g ON g.conv_id = c.base WHERE g.pos < c.crc % 6
+    UNION ALL SELECT c.conv_id, g.pos, g.said, g.chars FROM convs c JOIN given g USING (conv_id) WHERE g.pos >= c.crc % 6
+), placed AS (
+    SELECT conv_id, chars, said, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth FROM rebuilt
+), chains AS (
+    SELECT conv_id, 0::BIGINT AS depth, '' AS key, '' AS up, 0::BIGINT AS chars FROM convs
+    UNION ALL SELECT c.conv_id, p.depth, md5(c.key || '/' || md5(p.said)), c.key, p.chars FROM chains c JOIN placed p ON p.conv_id = c.conv_id AND p.depth = c.depth + 1
+), nodes AS (
+    SELECT key, any_value(up) AS up, any_value(depth) AS depth, any_value(chars) AS chars, count(*) AS n_convs, min(conv_id) AS conv_id FROM chains GROUP BY key
+), own AS (
+    SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.up = n.key AND c.depth > 0) AS n_children FROM nodes n
+), totals AS (
+    SELECT a.key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * o.chars)::BIGINT AS saved_tokens
+    FROM own o JOIN chains a ON a.conv_id = o.conv_id AND a.depth <= o.depth GROUP BY a.key
+), ends AS (
+    SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+    FROM chains JOIN (SELECT conv_id, max(depth) AS depth FROM chains GROUP BY conv_id) USING (conv_id, depth) GROUP BY key
+)
+SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM own o JOIN totals USING (key) LEFT JOIN ends USING (key) LEFT JOIN nodes p ON p.key = o.up AND o.depth > 0
 """,
     "op6_exact_topk": """
 WITH v AS (
