@@ -847,7 +847,7 @@ def test_same_as_sql(spark, sf_dir, name):
     import duckdb
 
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, sf_dir).toArrow(), duck.sql(queries.SQL[name]).to_arrow_table()
     names = sorted(got.column_names)

@@ -50,6 +50,8 @@ SHARD_TOKENS, ROUNDS = 2_000_000, (0.25, 0.75)
 CHUNK = 1 << 19
 #: Shards at least, so that a small corpus trains side by side, too.
 LEAST_SHARDS = 4
+#: Contexts whose normalisers are made at once, and groups of tasks whose sums are added before all are.
+TILE, LANES = 256, 32
 NOISE, MEMBER_NOISE, BATCH, RATE, FIRST_SQUARE = 32, 4, 4096, 0.2, 1e-3
 END = b""
 
@@ -181,17 +183,25 @@ class LogBilinear:
         r, p, q = self.rows[CONTEXT:PLACE, :WIDTH], self.rows[PLACE:CLASS, :WIDTH], self.rows[CLASS:BEFORE]
         a, b = (r * p[0]) @ q[:, :WIDTH].T + q[:, WIDTH], (r * p[1]) @ q[:, :WIDTH].T
         top_a, top_b = a.max(axis=1, keepdims=True), b.max(axis=1, keepdims=True)
-        return a, b, np.log(np.exp(a - top_a) @ np.exp(b - top_b).T) + top_a + top_b.T
+        z, right = np.empty((len(a), len(b)), np.float32), np.exp(b - top_b).T
+        for at in range(0, len(a), TILE):
+            z[at : at + TILE] = np.log(np.exp(a[at : at + TILE] - top_a[at : at + TILE]) @ right)
+        z += top_a
+        z += top_b.T
+        return a, b, z
 
     def members(self, v: Vocabulary) -> np.ndarray:
-        """The log normaliser of the members of each shared class in each context."""
+        """The log normaliser of the members of each shared class in each context, a tile of contexts and a few classes at a time."""
         u, m = self.rows[BEFORE:MEMBER, :WIDTH], self.rows[MEMBER:]
         out = np.empty((len(u), SHARED), np.float32)
-        edges = [*range(0, SHARED, 64), SHARED]
+        edges = [*range(0, SHARED, 8), SHARED]
         for a, b in zip(edges, edges[1:]):
             lo, hi = v.first[a], v.first[b] if b < SHARED else v.members
-            out[:, a:b] = np.log(np.add.reduceat(np.exp(u @ m[lo:hi, :WIDTH].T + m[lo:hi, WIDTH]), v.first[a:b] - lo, axis=1))
-        return out
+            for at in range(0, len(u), TILE):
+                s = u[at : at + TILE] @ m[lo:hi, :WIDTH].T
+                s += m[lo:hi, WIDTH]
+                out[at : at + TILE, a:b] = np.add.reduceat(np.exp(s, out=s), v.first[a:b] - lo, axis=1)
+        return np.log(out, out=out)
 
 
 class Trainer:
@@ -337,7 +347,8 @@ def shards_of(rows: DataFrame, shards: int) -> DataFrame:
 def trained(shards: DataFrame, v: Vocabulary, model: LogBilinear, part: tuple[float, float], seed: int) -> LogBilinear:
     """The mean of the parameters that the shards come to over a part of their texts, each row by its uses.
 
-    A task adds up its shards before anything is shuffled; rows travel in pieces, which are summed apart.
+    A task adds up its shards before anything is shuffled; rows travel in pieces, which are summed apart, first those of
+    some of the tasks and then all.
     """
     shared, piece = shards.sparkSession.sparkContext.broadcast((v, model)), 4096
 
@@ -365,23 +376,32 @@ def trained(shards: DataFrame, v: Vocabulary, model: LogBilinear, part: tuple[fl
             if len(some):
                 uses = total[1][k + some]
                 moved = total[0][k + some]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([some.astype(np.uint16).tobytes()]), pa.array([moved.astype(np.float32).tobytes()]), pa.array([uses.astype(np.uint32).tobytes()])], names=names)
+                yield piece_row(k, TaskContext.get().partitionId() % LANES, some, moved.astype(np.float32), uses)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sums, uses = 0, np.zeros((piece, WIDTH + 1)), np.zeros(piece, np.int64)
+    def piece_row(at: int, lane: int, some: np.ndarray, moved: np.ndarray, uses: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([lane], pa.int32()), *(pa.array([x.tobytes()]) for x in (some.astype(np.uint16), moved, uses.astype(np.int64)))], names=names)
+
+    def summed(batches: Iterator[pa.RecordBatch], kind: type) -> tuple:
+        at, lane, sums, uses = 0, 0, np.zeros((piece, WIDTH + 1)), np.zeros(piece, np.int64)
         for batch in batches:
-            for at, some, moved, used in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, lane, some, moved, used in zip(*(c.to_pylist() for c in batch.columns)):
                 some = np.frombuffer(some, np.uint16)
-                sums[some] += np.frombuffer(moved, np.float32).reshape(-1, WIDTH + 1)
-                uses[some] += np.frombuffer(used, np.uint32)
+                sums[some] += np.frombuffer(moved, kind).reshape(-1, WIDTH + 1)
+                uses[some] += np.frombuffer(used, np.int64)
         some = np.flatnonzero(uses)
-        mean = (sums[some] / uses[some, None]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([some.astype(np.uint16).tobytes()]), pa.array([mean.tobytes()]), pa.array([b""])], names=names)
+        return at, lane, some, sums[some], uses[some]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield piece_row(*summed(batches, np.float32))
 
-    shape, names = "at int, some binary, moved binary, uses binary", ["at", "some", "moved", "uses"]
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lane, some, sums, uses = summed(batches, np.float64)
+        yield piece_row(at, lane, some, (sums / uses[:, None]).astype(np.float32), uses)
+
+    shape, names = "at int, lane int, some binary, moved binary, uses binary", ["at", "lane", "some", "moved", "uses"]
     parts = shards.select("shard", "ids", "sizes").mapInArrow(run, shape)
     rows = model.rows.copy()
-    for r in parts.groupBy("at").applyInArrow(add, shape).collect():
+    for r in parts.groupBy("at", "lane").applyInArrow(add, shape).groupBy("at").applyInArrow(mean, shape).select("at", "some", "moved").collect():
         rows[r["at"] + np.frombuffer(r["some"], np.uint16).astype(int)] += np.frombuffer(r["moved"], np.float32).reshape(-1, WIDTH + 1)
     return LogBilinear(rows)
 
@@ -412,12 +432,13 @@ def log_probabilities(v: Vocabulary, tables, model: LogBilinear, ids: np.ndarray
 
 def scored(rows: DataFrame, v: Vocabulary, model: LogBilinear, extra: list[str]) -> DataFrame:
     """The encoded rows with n_tokens, known, logs (of known words' counts) and lm, what the model gives but for the other words' counts."""
-    shared, key = rows.sparkSession.sparkContext.broadcast((v, model)), uuid.uuid4().hex
+    # The normalisers are made once; their size is that of classes and contexts, whatever the corpus.
+    shared = rows.sparkSession.sparkContext.broadcast((v, model, (model.classes(), model.members(v))))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in [*extra, "row"]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model = shared.value
-        tables = _Kept.of(key, lambda: (model.classes(), model.members(v)))
+        _Kept.held.clear()
+        v, model, tables = shared.value
         counts = np.append(np.log10(v.counts + 1), 0.0)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
