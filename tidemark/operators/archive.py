@@ -1,4 +1,4 @@
-"""Operators over signed records: search, facets, grouping, rollups, neighbours."""
+"""Operators over signed records: search, facets, grouping, rollups."""
 
 from __future__ import annotations
 
@@ -8,19 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import contains_any_case
+from tidemark.operators.pages import with_page
 
 ALL = "all"
-#: Rows between two edges of ``neighbours``, about.
-NEIGHBOUR_ROWS = 500_000
 
 
-def search(records: DataFrame, fields: list[str], query: str) -> DataFrame:
-    """Records with the trimmed query in any field, whatever the case; an empty query keeps all."""
+def matches(fields: list[str], query: str) -> Column:
+    """Whether the trimmed query is in any field, whatever the case; an empty query is in all records."""
     needle = query.strip()
-    if not needle:
-        return records
     hits = [F.coalesce(contains_any_case(F.col(f).cast("string"), needle), F.lit(False)) for f in fields]
-    return records.where(reduce(Column.__or__, hits))
+    return reduce(Column.__or__, hits) if needle else F.lit(True)
+
+
+def search(records: DataFrame, fields: list[str], query: str) -> DataFrame:
+    """Records with the trimmed query in any field; an empty query keeps all."""
+    return records.where(matches(fields, query))
 
 
 def facet_filter(records: DataFrame, year: str = ALL, date: str = "filed", **facets: str) -> DataFrame:
@@ -38,9 +40,13 @@ def is_filtered(query: str, *facets: str) -> bool:
 
 
 def facet_values(records: DataFrame, columns: list[str], seq: str) -> DataFrame:
-    """(facet, value, n, first_seq): distinct values with their first appearance; all facets in one scan and one aggregate."""
+    """(facet, value, n, first_seq): distinct values with their first appearance; all facets in one scan.
+
+    Rows are counted by all the columns together first; only these few counts are taken apart.
+    """
+    together = records.groupBy(*columns).agg(F.count("*").alias("n"), F.min(seq).alias("first_seq"))
     pairs = F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns))
-    return records.select(F.inline(pairs), F.col(seq)).groupBy("facet", "value").agg(F.count("*").alias("n"), F.min(seq).alias("first_seq"))
+    return together.select(F.inline(pairs), "n", "first_seq").groupBy("facet", "value").agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
 
 
 def ordered_facets(facets: DataFrame, orders: dict[str, tuple[str, str]]) -> DataFrame:
@@ -59,39 +65,14 @@ def rollup_latest(records: DataFrame, by: str, newest: list[str], keep: list[str
     return counted.select(by, "n", *(F.col(f"latest.{k}").alias(f"latest_{k}") for k in keep)).orderBy(F.desc("n"), by)
 
 
-def group_pages(records: DataFrame, by: str, newest: list[str], key: str, page: int) -> DataFrame:
-    """Groups in the order of their newest record: (group, place, n, the keys of its first ``page`` records in filing order).
+def group_pages(records: DataFrame, by: str, newest: list[str], key: str, size: int) -> DataFrame:
+    """Groups in the order of their newest record, in pages: (group, place, n, page, keys), the keys of ``size`` records in filing order.
 
-    Lists are a page long, whatever the group's size: Spark keeps the first ``page`` of each task before it shuffles.
-    Counts come from an aggregate with map-side parts.
+    Every record is on a page.  A group of any size is cut into pages by its records' numbers, so no task has it whole.
     """
-    w = Window.partitionBy(by).orderBy(*(F.desc(c) for c in newest))
-    first = records.select(by, *dict.fromkeys([*newest, key])).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= page)
-    lists = first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", key))), lambda x: x[key]).alias("keys"))
-    counts = records.groupBy(by).agg(F.count("*").alias("n"), F.max(F.struct(*newest)).alias("newest"))
+    paged = with_page(records.select(by, *dict.fromkeys([*newest, key])), [by], newest, size)
+    lists = paged.groupBy(by, "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", key))), lambda x: x[key]).alias("keys"), F.max(F.struct(*newest)).alias("first"))
+    counts = lists.groupBy(by).agg(F.sum(F.size("keys")).alias("n"), F.max("first").alias("newest"))
     # The groups are years or the like: few, so one window may put them in order.
-    placed = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("newest")))).drop("newest")
-    return placed.join(lists, by).select(by, "place", "n", "keys").orderBy("place")
-
-
-def neighbours(rows: DataFrame, key: str, order: str, within: str, rows_each: int = NEIGHBOUR_ROWS) -> DataFrame:
-    """The keys before and after in order (a number), null at the ends.
-
-    Each group is cut at edges of the order column, so that a large group is sorted by many tasks; what
-    lies across an edge comes from a table of one row for each group and part.
-    """
-    n = rows.count()
-    edges = sorted(set(rows.approxQuantile(order, [k / parts for k in range(1, parts)], 0.001))) if (parts := max(1, -(-n // rows_each))) > 1 else []
-    part = F.lit(0)
-    for e in edges:
-        part = part + (F.col(order) > e).cast("int")
-    cut = rows.withColumn("part", part)
-    w = Window.partitionBy(within, "part").orderBy(order)
-    inside = cut.withColumn("previous", F.lag(key).over(w)).withColumn("next", F.lead(key).over(w))
-    if not edges:
-        return inside.drop("part")
-    ends = cut.groupBy(within, "part").agg(F.min_by(key, order).alias("first_key"), F.max_by(key, order).alias("last_key"))
-    across = Window.partitionBy(within).orderBy("part")
-    ends = ends.select(F.col(within).alias("end_of"), F.col("part").alias("end_part"), F.lag("last_key").over(across).alias("before"), F.lead("first_key").over(across).alias("after"))
-    met = inside.join(ends, F.col(within).eqNullSafe(F.col("end_of")) & (F.col("part") == F.col("end_part")))
-    return met.withColumn("previous", F.coalesce("previous", "before")).withColumn("next", F.coalesce("next", "after")).drop("part", "end_of", "end_part", "before", "after")
+    placed = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("newest")))).select(F.col(by).alias("of"), "place", "n")
+    return lists.join(placed, F.col(by).eqNullSafe(F.col("of"))).select(by, "place", "n", "page", "keys")

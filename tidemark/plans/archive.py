@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions.fixed import DESKS, FLAGGED_SPANS
 from tidemark.functions.seeded import clamped, half_up
-from tidemark.operators import adjudication, archive
+from tidemark.operators import adjudication, archive, gates, scan
 from tidemark.sources.tables import records, table
 
 QUERIES: dict = {}
@@ -71,16 +71,21 @@ def archive_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_RD + f""", hit AS (SELECT * FROM x WHERE {_HIT} AND determination = 'SUPPORTED'), k AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY filed DESC, id DESC) AS nth FROM hit),
- g AS (SELECT year, count(*) AS n, max(row(filed, id)) AS newest, string_agg(CAST(id AS VARCHAR), ',' ORDER BY nth) FILTER (WHERE nth <= 20) AS ids FROM k GROUP BY year)
- SELECT year, CAST(row_number() OVER (ORDER BY newest DESC) AS INTEGER) AS place, n, ids, (SELECT count(*) FROM hit) AS shown, (SELECT count(*) FROM orders) AS total, true AS filtered FROM g""")
+ g AS (SELECT year, count(*) AS n, CAST(row_number() OVER (ORDER BY max(row(filed, id)) DESC) AS INTEGER) AS place FROM k GROUP BY year),
+ p AS (SELECT year, (nth - 1) // 20 + 1 AS page, string_agg(CAST(id AS VARCHAR), ',' ORDER BY nth) AS ids FROM k GROUP BY 1, 2)
+ SELECT year, place, n, page, ids, (SELECT count(*) FROM hit) AS shown, (SELECT count(*) FROM orders) AS total, true AS filtered FROM p JOIN g USING (year)""")
 def archive_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index page: search and facets together, grouped by year in filing order, a page of ids each, and how many of all are shown."""
+    """The index: search and facets together, grouped by year in filing order, all pages of 20 ids, and how many of all records are shown.
+
+    Records are read once; what is shown and how many there are in all are counted in that pass.
+    """
     query, facets = " URGENT ", {"determination": "SUPPORTED"}
-    hits = archive.facet_filter(archive.search(_signed(spark, sf_dir), _FIELDS, query), **facets).withColumn("year", F.year("filed").cast("string"))
+    wanted = {"search": archive.matches(_FIELDS, query)} | {c: F.col(c) == v for c, v in facets.items()}
+    routed = gates.route(_signed(spark, sf_dir), wanted)
+    hits = routed.accepted.withColumn("year", F.year("filed").cast("string"))
     groups = archive.group_pages(hits, "year", ["filed", "id"], "id", 20)
-    total = table(spark, sf_dir, "orders").agg(F.count("*")).scalar()
-    shown = hits.agg(F.count("*")).scalar()
-    return groups.select("year", "place", "n", F.array_join(F.col("keys").cast("array<string>"), ",").alias("ids"), shown.alias("shown"), total.alias("total"), F.lit(archive.is_filtered(query, *facets.values())).alias("filtered")).orderBy("place")
+    ids = F.array_join(F.col("keys").cast("array<string>"), ",")
+    return groups.select("year", "place", "n", "page", ids.alias("ids"), F.lit(routed.passed).cast("bigint").alias("shown"), F.lit(routed.total).cast("bigint").alias("total"), F.lit(archive.is_filtered(query, *facets.values())).alias("filtered"))
 
 
 @query("SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, count(*) AS n, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders GROUP BY 1")
@@ -208,7 +213,7 @@ def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, lag(c_custkey) OVER w AS previous, lead(c_custkey) OVER w AS next, coalesce(lag(c_custkey) OVER w, c_custkey) AS back FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)""")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return archive.neighbours(c, "c_custkey", "c_custkey", "c_nationkey").select("c_custkey", "previous", "next", F.coalesce("previous", "c_custkey").alias("back"))
+    return scan.neighbours(c, "c_custkey", "c_custkey", "c_nationkey").select("c_custkey", "previous", "next", F.coalesce("previous", "c_custkey").alias("back"))
 
 
 _DAYS = "WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS value FROM events GROUP BY 1, 2) "

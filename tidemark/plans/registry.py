@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import archive, desk
+from tidemark.plans import archive, desk, scans
 
-QUERIES = archive.QUERIES | desk.QUERIES
-SQL = archive.SQL | desk.SQL
+QUERIES = archive.QUERIES | desk.QUERIES | scans.QUERIES
+SQL = archive.SQL | desk.SQL | scans.SQL
