@@ -50,8 +50,8 @@ SHARD_TOKENS, ROUNDS = 2_000_000, (0.25, 0.75)
 CHUNK = 1 << 19
 #: Shards at least, so that a small corpus trains side by side, too.
 LEAST_SHARDS = 4
-#: Contexts whose normalisers are made at once, and groups of tasks whose sums are added before all are.
-TILE, LANES = 256, 32
+#: Contexts whose normalisers are made at once, and tasks whose sums are added before all are.
+TILE, TOGETHER = 256, 32
 NOISE, MEMBER_NOISE, BATCH, RATE, FIRST_SQUARE = 32, 4, 4096, 0.2, 1e-3
 END = b""
 
@@ -178,10 +178,14 @@ class LogBilinear:
         rows[CLASS:BEFORE, WIDTH], rows[MEMBER:, WIDTH] = np.log(share), np.log(v.member_share)
         return LogBilinear(rows)
 
-    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """a[h1, c], b[h2, c] and the log normaliser z[h1, h2]: log P(c | h1, h2) = a + b - z."""
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """a[h1, c] and b[h2, c], which add up to the score of a class."""
         r, p, q = self.rows[CONTEXT:PLACE, :WIDTH], self.rows[PLACE:CLASS, :WIDTH], self.rows[CLASS:BEFORE]
-        a, b = (r * p[0]) @ q[:, :WIDTH].T + q[:, WIDTH], (r * p[1]) @ q[:, :WIDTH].T
+        return (r * p[0]) @ q[:, :WIDTH].T + q[:, WIDTH], (r * p[1]) @ q[:, :WIDTH].T
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The halves and the log normaliser z[h1, h2]: log P(c | h1, h2) = a + b - z."""
+        a, b = self.halves()
         top_a, top_b = a.max(axis=1, keepdims=True), b.max(axis=1, keepdims=True)
         z, right = np.empty((len(a), len(b)), np.float32), np.exp(b - top_b).T
         for at in range(0, len(a), TILE):
@@ -376,26 +380,27 @@ def trained(shards: DataFrame, v: Vocabulary, model: LogBilinear, part: tuple[fl
             if len(some):
                 uses = total[1][k + some]
                 moved = total[0][k + some]
-                yield piece_row(k, TaskContext.get().partitionId() % LANES, some, moved.astype(np.float32), uses)
+                yield piece_row(k, TaskContext.get().partitionId() // TOGETHER, some, moved.astype(np.float32), uses)
 
     def piece_row(at: int, lane: int, some: np.ndarray, moved: np.ndarray, uses: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([lane], pa.int32()), *(pa.array([x.tobytes()]) for x in (some.astype(np.uint16), moved, uses.astype(np.int64)))], names=names)
 
-    def summed(batches: Iterator[pa.RecordBatch], kind: type) -> tuple:
+    def summed(batches: Iterator[pa.RecordBatch]) -> tuple:
         at, lane, sums, uses = 0, 0, np.zeros((piece, WIDTH + 1)), np.zeros(piece, np.int64)
         for batch in batches:
             for at, lane, some, moved, used in zip(*(c.to_pylist() for c in batch.columns)):
                 some = np.frombuffer(some, np.uint16)
-                sums[some] += np.frombuffer(moved, kind).reshape(-1, WIDTH + 1)
+                sums[some] += np.frombuffer(moved, np.float32).reshape(-1, WIDTH + 1)
                 uses[some] += np.frombuffer(used, np.int64)
         some = np.flatnonzero(uses)
         return at, lane, some, sums[some], uses[some]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield piece_row(*summed(batches, np.float32))
+        at, lane, some, sums, uses = summed(batches)
+        yield piece_row(at, lane, some, sums.astype(np.float32), uses)
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, lane, some, sums, uses = summed(batches, np.float64)
+        at, lane, some, sums, uses = summed(batches)
         yield piece_row(at, lane, some, (sums / uses[:, None]).astype(np.float32), uses)
 
     shape, names = "at int, lane int, some binary, moved binary, uses binary", ["at", "lane", "some", "moved", "uses"]
@@ -432,13 +437,13 @@ def log_probabilities(v: Vocabulary, tables, model: LogBilinear, ids: np.ndarray
 
 def scored(rows: DataFrame, v: Vocabulary, model: LogBilinear, extra: list[str]) -> DataFrame:
     """The encoded rows with n_tokens, known, logs (of known words' counts) and lm, what the model gives but for the other words' counts."""
-    # The normalisers are made once; their size is that of classes and contexts, whatever the corpus.
-    shared = rows.sparkSession.sparkContext.broadcast((v, model, (model.classes(), model.members(v))))
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in [*extra, "row"]}
+    # The normalisers are made once; their size is that of classes and contexts, whatever the corpus.  The halves are made by each worker.
+    shared = rows.sparkSession.sparkContext.broadcast((v, model, model.classes()[2], model.members(v)))
+    kinds, key = {c: rows.schema[c].dataType.simpleString() for c in [*extra, "row"]}, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _Kept.held.clear()
-        v, model, tables = shared.value
+        v, model, z, zm = shared.value
+        tables = _Kept.of(key, lambda: ((*model.halves(), z), zm))
         counts = np.append(np.log10(v.counts + 1), 0.0)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
