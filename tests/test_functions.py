@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import seeded as S
 from tidemark.functions import text as X
-from tidemark.operators import adjudication, archive
+from tidemark.operators import adjudication, archive, scan
 from tidemark.sources import tables
 from tidemark.streaming import rollup
 
@@ -33,6 +33,44 @@ def test_fnv_of_long_and_odd_texts(spark):
         assert r.h == h, r.t[:10]
 
 
+def fnv(text):
+    h, raw = 0x811C9DC5, text.encode("utf-16-le")
+    for k in range(0, len(raw), 2):
+        h = ((h ^ int.from_bytes(raw[k : k + 2], "little")) * 0x01000193) & 0xFFFFFFFF
+    return h
+
+
+def test_fnv_in_bounded_memory(monkeypatch):
+    """One text of five million signs among short ones takes some tens of MB; texts cut anywhere give the same hashes."""
+    import tracemalloc
+
+    import numpy as np
+
+    units = lambda texts: [np.frombuffer(t.encode("utf-16-le"), "<u2") for t in texts]
+    long = units(["x" * 5_000_000, *("ab" * (k % 50) for k in range(1023))])
+    tracemalloc.start()
+    got = S._hashes(long)
+    assert tracemalloc.get_traced_memory()[1] < 120_000_000
+    tracemalloc.stop()
+    assert got[0] == fnv("x" * 5_000_000) and list(map(int, got[1:])) == [fnv("ab" * (k % 50)) for k in range(1023)]
+    texts = ["é😀" * (k * 7 % 90) for k in range(300)]
+    want = [fnv(t) for t in texts]
+    for side, cells, few in ((64, 100, 3), (1024, 1000, 0), (7, 10, 5)):
+        monkeypatch.setattr(S, "TEXTS", side)
+        monkeypatch.setattr(S, "CELLS", cells)
+        monkeypatch.setattr(S, "FEW", few)
+        assert list(map(int, S._hashes(units(texts)))) == want
+
+
+def test_white_space_of_unicode(spark):
+    """What a trim and a split take for white space: Unicode's separators and the byte order mark, too."""
+    wide = ["\u00a0", "\u3000", "\u2003", "\u2028", "\ufeff", "\u202f", "\x0b", " "]
+    text = "".join(wide) + "One\u00a0two\u3000three." + "\ufeff".join(wide)
+    r = one(spark, t=X.trimmed(F.lit(text)), n=X.word_count(F.lit(text)), s=X.sentences(F.lit("A first sentence of some length.\u2003\u00a0A second one of the same length!\u3000no")), z=X.trimmed(F.lit("a\u200bb\u200b")))
+    assert r.t == "One\u00a0two\u3000three." and r.n == 3 and len(r.t) == 14
+    assert r.s == ["A first sentence of some length.", "A second one of the same length!"] and r.z == "a\u200bb\u200b"
+
+
 def mulberry(seed):
     while True:
         seed = (seed + 0x6D2B79F5) & 0xFFFFFFFF
@@ -131,7 +169,9 @@ def test_order_of_results(spark, sf_dir):
     assert [r.first_seq for r in of("desk")] == sorted(r.first_seq for r in of("desk"))
     assert [r.value for r in of("determination")] == sorted(r.value for r in of("determination"))
     page = registry.QUERIES["archive_page"](spark, sf_dir).collect()
-    assert [r.place for r in page] == list(range(1, len(page) + 1)) and sum(r.n for r in page) == page[0].shown < page[0].total
+    assert [(r.place, r.page) for r in page] == sorted((r.place, r.page) for r in page) and {r.place for r in page} == set(range(1, page[-1].place + 1))
+    ids = [i for r in page for i in r.ids.split(",")]
+    assert len(ids) == len(set(ids)) == page[0].shown < page[0].total and max(r.page for r in page) > 1
 
 
 def test_facets_reach_the_scan(spark, sf_dir, capsys):
@@ -142,11 +182,11 @@ def test_facets_reach_the_scan(spark, sf_dir, capsys):
     assert "GreaterThanOrEqual(o_orderdate,1998" in pushed and "LessThan(o_orderdate,1999" in pushed and "EqualTo(o_orderpriority,2-HIGH)" in pushed
 
 
-@pytest.mark.parametrize("rows_each", [7, 1000])
-def test_neighbours_across_parts(spark, rows_each):
+@pytest.mark.parametrize("block", [7, 1000])
+def test_neighbours_across_blocks(spark, block):
     rows = [(i * 7 % 101, i % 3) for i in range(100)] + [(500, 9)]
     d = spark.createDataFrame(rows, "k bigint, g int")
-    got = {r.k: (r.previous, r.next) for r in archive.neighbours(d, "k", "k", "g", rows_each).collect()}
+    got = {r.k: (r.previous, r.next) for r in scan.neighbours(d, "k", "k", "g", block).collect()}
     for g in {x[1] for x in rows}:
         keys = sorted(k for k, h in rows if h == g)
         for a, k, b in zip([None, *keys], keys, [*keys[1:], None]):

@@ -1,5 +1,7 @@
 """Fixed values of the domain: they must be just these for right results."""
 
+# White space at the ends of texts and between words: ASCII's, and Unicode's with the byte order mark.
+WHITE = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Determinations in order of precedence: the first that any filing has is the ruling.
 PRECEDENCE = ["CONTRADICTED", "SYNTHETIC", "ANOMALOUS", "CONTESTED", "REQUIRES VERIFICATION", "INSUFFICIENT", "CONSISTENT", "SUPPORTED", "CLEAR"]
 # Tones: all determinations in neither set are adverse.
@@ -58,3 +60,25 @@ TRANSCRIPT = [("Speaker 01", None), ("Speaker 02", None), ("Speaker 01", 1), ("S
 SCENES = [(0.34, "CONSISTENT"), (0.22, "CONSISTENT"), (0.29, "ANOMALOUS"), (0.15, "CONSISTENT")]
 # Regions on a frame: ref, x, y, w, h in hundredths; channels of a frame: label, weight.
 REGIONS = [(1, 18, 22, 26, 30), (2, 58, 14, 22, 22), (3, 40, 62, 34, 24)]
+# Signals of a text besides those that are measured: label, reading, weight; channels of a frame likewise.
+TEXT_SIGNALS = [("Source attribution", "SPARSE", 0.28), ("Register consistency", "STABLE", 0.82)]
+SHIFT_WEIGHT = 0.45
+CHANNELS = [("Red residual", "0.41", 0.41), ("Green residual", "0.36", 0.36), ("Blue residual", "0.78", 0.78), ("Luminance noise", "UNEVEN", 0.66)]
+# Signals of a decision besides agreement and confidence.
+DECISION_SIGNALS = [("Evidence strength", "91%", 0.91), ("Signal consistency", "89%", 0.89)]
+# Exhibits on a claim: source, published, relevance, reliability, determination.
+EXHIBITS = [
+    ("Global Ledger DB", "12 May 2024", "HIGH", "VERIFIED", "CONTRADICTED"),
+    ("Primary Source Archives", "10 May 2024", "MEDIUM", "HIGH", "INSUFFICIENT"),
+    ("Historical Event Record", "20 Nov 2023", "HIGH", "VERIFIED", "CONTESTED"),
+    ("Verified Witness Statements", "14 May 2024", "LOW", "MEDIUM", "SUPPORTED"),
+    ("Official Register, Second Series", "03 Jun 2024", "MEDIUM", "VERIFIED", "CONTRADICTED"),
+]
+# The verdict of each desk: determination and headline.
+VERDICTS = {
+    "text": ("REQUIRES VERIFICATION", "Two claims cannot be sourced"),
+    "image": ("SYNTHETIC", "The frame was generated, not photographed"),
+    "audio": ("SYNTHETIC", "Two passages were not spoken in the room"),
+    "video": ("SYNTHETIC", "One scene carries a face substitution"),
+    "fact-check": ("CONTRADICTED", "The central figure is wrong by a factor of three"),
+}

@@ -14,37 +14,48 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fixed import DRIFT, FNV_OFFSET, FNV_PRIME, HIGH, LOW, MASK, MIDDLE, STEP, TAPER
 
-#: Texts hashed side by side.
-TEXTS = 256
+#: Texts hashed side by side, and the code units of theirs that are laid out at once; so few texts are hashed each on its own.
+TEXTS, CELLS, FEW = 1024, 1 << 21, 16
+
+
+def _hashes(units: list[np.ndarray]) -> np.ndarray:
+    """FNV-1a of each array of code units."""
+    sizes = np.array([len(u) for u in units], np.int64)
+    out, order = np.empty(len(units), np.uint32), np.argsort(-sizes, kind="stable")
+    for start in range(0, len(order), TEXTS):
+        # Texts of like length, the longest first: step k takes those that have a kth unit.
+        some = order[start : start + TEXTS]
+        h, left, at = np.full(len(some), FNV_OFFSET, np.uint32), sizes[some], 0
+        while (n := int(np.searchsorted(-left, -at, side="left"))) > FEW:
+            to = min(at + max(1, CELLS // n), int(left[0]))
+            table = np.zeros((to - at, n), np.uint32)
+            for column, i in enumerate(some[:n]):
+                part = units[i][at:to]
+                table[: len(part), column] = part
+            live = np.searchsorted(-left[:n], -np.arange(at, to), side="left")
+            for row, m in zip(table, live):
+                part = h[:m]
+                part ^= row[:m]
+                part *= np.uint32(FNV_PRIME)
+            at = to
+        for k in range(n):
+            x = int(h[k])
+            for a in range(at, int(left[k]), CELLS):
+                for u in units[some[k]][a : a + CELLS].tolist():
+                    x = (x ^ u) * FNV_PRIME & MASK
+            h[k] = x
+        out[some] = h
+    return out
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a over UTF-16 code units, as a long; null for null."""
-    offset, prime, side = FNV_OFFSET, FNV_PRIME, TEXTS
+    """FNV-1a over UTF-16 code units, as a long; null for null.  Beside the texts, memory is bounded, however long one of them is."""
+    hashes = _hashes
 
     @F.arrow_udf("bigint")
     def hashed(texts: pa.Array) -> pa.Array:
-        found = texts.drop_null().to_pylist()
-        units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") for t in found]
-        sizes = np.array([len(u) for u in units], np.int64)
-        out = np.empty(len(found), np.uint32)
-        order = np.argsort(-sizes, kind="stable")
-        for at in range(0, len(order), side):
-            # Texts of like length, the longest first: step k takes those that have a kth unit.
-            some = order[at : at + side]
-            h = np.full(len(some), offset, np.uint32)
-            table = np.zeros((int(sizes[some[0]]), len(some)), np.uint32)
-            for column, i in enumerate(some):
-                table[: sizes[i], column] = units[i]
-            live = np.searchsorted(-sizes[some], -np.arange(len(table)), side="left")
-            for row, n in zip(table, live):
-                part = h[:n]
-                part ^= row[:n]
-                part *= np.uint32(prime)
-            out[some] = h
-        whole = np.zeros(len(texts), np.int64)
-        there = texts.is_valid().to_numpy(zero_copy_only=False)
-        whole[there] = out
+        whole, there = np.zeros(len(texts), np.int64), texts.is_valid().to_numpy(zero_copy_only=False)
+        whole[there] = hashes([np.frombuffer(t.as_py().encode("utf-16-le", "surrogatepass"), "<u2") for t in texts.drop_null()])
         return pa.array(whole, pa.int64(), mask=~there)
 
     return hashed(text)

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.fixed import BADGES, CLEAR, COUNT_WORDS, OPEN
+from tidemark.functions.fixed import BADGES, CLEAR, COUNT_WORDS, OPEN, WHITE
+
+
+#: White space as a character class.
+_SPACE = f"[{WHITE}]+"
 
 
 def trimmed(text: Column) -> Column:
-    """Without white space (blank, tab, line feed, vertical tab, form feed, return) at either end."""
-    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    """Without white space, Unicode's too, at either end."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def sentences(text: Column, longer_than: int = 24) -> Column:
     """Pieces after ., ! or ? and white space, of more than so many characters; a trimmed text's pieces are trimmed."""
-    return F.filter(F.split(trimmed(text), r"(?<=[.!?])\s+"), lambda s: F.length(s) > longer_than)
+    return F.filter(F.split(trimmed(text), f"(?<=[.!?]){_SPACE}"), lambda s: F.length(s) > longer_than)
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(text, r"\s+"), ""))
+    return F.size(F.array_remove(F.split(text, _SPACE), ""))
 
 
 def padded(n: Column, width: int = 2) -> Column:

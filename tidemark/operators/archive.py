@@ -75,4 +75,4 @@ def group_pages(records: DataFrame, by: str, newest: list[str], key: str, size:
     counts = lists.groupBy(by).agg(F.sum(F.size("keys")).alias("n"), F.max("first").alias("newest"))
     # The groups are years or the like: few, so one window may put them in order.
     placed = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("newest")))).select(F.col(by).alias("of"), "place", "n")
-    return lists.join(placed, F.col(by).eqNullSafe(F.col("of"))).select(by, "place", "n", "page", "keys")
+    return lists.join(placed, F.col(by).eqNullSafe(F.col("of"))).select(by, "place", "n", "page", "keys").orderBy("place", "page")

@@ -20,8 +20,10 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 KIND_OF = {"en": "copy", "de": "frame", "fr": "recording", "es": "footage"}
 
-_TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
-_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace({_TRIM}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) > 24)"
+#: White space for the other engine: Unicode's separators, the ASCII ones and the byte order mark.
+_WS = r"[\t\n\x0B\f\r\p{Z}\x{FEFF}]"
+_TRIM = rf"regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')"
+_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace({_TRIM}, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g')), lambda s: length(s) > 24)"
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({x}, ''), lambda c: unicode(c)::BIGINT)), lambda h, k: (xor(h, k) * 16777619) & 4294967295)"
 
 
@@ -68,7 +70,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("at", "sentence")).select("doc_id", (F.col("at") + 1).alias("ref"), "sentence")
 
 
-@query(rf"SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS words, length({_TRIM}) >= 80 AS long_enough FROM documents")
+@query(rf"SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '{_WS}+'), lambda w: w <> '')) AS INTEGER) AS words, length({_TRIM}) >= 80 AS long_enough FROM documents")
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("words"), (F.length(X.trimmed(F.col("text"))) >= 80).alias("long_enough"))
 
@@ -105,9 +107,13 @@ def galley_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEED = _FNV.format(x="(CASE WHEN b = '' THEN 'empty' ELSE b END)")
 
 
-@query(rf"""WITH e AS (SELECT doc_id, {_TRIM} AS b, {_SENTENCES}[1:4] AS s, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS words FROM documents),
+#: SQL tables up to q: what the text desk measures in every document.
+_DOCUMENTS_EXAMINED = rf"""e AS (SELECT doc_id, {_TRIM} AS b, {_SENTENCES}[1:4] AS s, CAST(len(list_filter(string_split_regex(text, '{_WS}+'), lambda w: w <> '')) AS INTEGER) AS words FROM documents),
  z AS (SELECT *, {_SEED} AS seed FROM e), d1 AS ({_draws("SELECT * FROM z")}), d2 AS ({_draws("SELECT doc_id AS id2, seed FROM z", "2")}),
- q AS (SELECT doc_id, words, CAST(len(s) AS INTEGER) AS claims, 0.35 + d1.u * 0.5 AS emotive, CAST(greatest(1, floor(d2.u * 3 + 0.5)) AS BIGINT) AS shift FROM d1 JOIN d2 ON doc_id = id2)
+ q AS (SELECT doc_id, s, words, CAST(len(s) AS INTEGER) AS claims, 0.35 + d1.u * 0.5 AS emotive, CAST(greatest(1, floor(d2.u * 3 + 0.5)) AS BIGINT) AS shift FROM d1 JOIN d2 ON doc_id = id2)"""
+
+
+@query(rf"""WITH {_DOCUMENTS_EXAMINED}
  SELECT doc_id, words, claims, round(emotive, 9) AS emotive, CASE WHEN emotive > 0.65 THEN 'HIGH' WHEN emotive > 0.45 THEN 'ELEVATED' ELSE 'LOW' END AS reading,
  printf('%02d', claims - CASE WHEN claims >= 2 THEN 1 ELSE 0 END) AS unsourced, least(1.0, claims / 4.0) AS unsourced_weight, printf('%02d', shift) AS shift,
  'Language: English; Words: ' || words || '; Claims: ' || printf('%02d', claims) || '; Entities: 12; Signals: 05; Confidence: 92%' AS ledger, 'REQUIRES VERIFICATION' AS determination FROM q""")
@@ -115,11 +121,13 @@ def text_examination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text desk's record of every document, seeded by its whole text."""
     body = _docs(spark, sf_dir).select("doc_id", X.trimmed(F.coalesce("text", F.lit(""))).alias("body"))
     d = body.select("doc_id", X.word_count(F.col("body")).alias("words"), _annotations(F.col("body")).alias("notes"), S.text_seed(F.col("body")).alias("seed"))
-    emotive, claims = F.lit(0.35) + S.draw(F.col("seed"), 1) * 0.5, F.size("notes")
+    # The draws are columns of their own, so that each is made once.
+    d = d.select("doc_id", "words", "notes", (F.lit(0.35) + S.draw(F.col("seed"), 1) * 0.5).alias("emotive"), F.greatest(F.lit(1), F.floor(S.draw(F.col("seed"), 2) * 3 + 0.5)).cast("bigint").alias("shift"))
+    emotive, claims = F.col("emotive"), F.size("notes")
     return d.select(
         "doc_id", "words", claims.alias("claims"), F.round(emotive, 9).alias("emotive"), F.when(emotive > 0.65, "HIGH").when(emotive > 0.45, "ELEVATED").otherwise("LOW").alias("reading"),
         X.padded(F.size(F.filter("notes", lambda n: n["determination"] != "SUPPORTED"))).alias("unsourced"), F.least(F.lit(1.0), claims / 4.0).alias("unsourced_weight"),
-        X.padded(F.greatest(F.lit(1), F.floor(S.draw(F.col("seed"), 2) * 3 + 0.5)).cast("bigint")).alias("shift"),
+        X.padded(F.col("shift")).alias("shift"),
         printed_ledger(entries(language=F.lit("English"), words=F.col("words"), claims=X.padded(claims), entities=F.lit("12"), signals=F.lit("05"), confidence=F.lit(CONFIDENCE["text"]))).alias("ledger"),
         F.lit("REQUIRES VERIFICATION").alias("determination"),
     )
@@ -237,7 +245,7 @@ def video_examination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", "file", X.timecode(F.lit(FOOTAGE_SECONDS)).alias("runtime"), "index", X.padded(F.col("index") + 1).alias("number"), code.alias("timecode"), F.try_element_at(flags, F.col("index")).alias("ref"))
 
 
-@query(r"""SELECT * FROM (SELECT conv_id, regexp_replace(arg_min(text, row(turn, text)), '^\s+|\s+$', '', 'g') AS claim, printf('%02d', count(*)) AS exhibits, printf('%02d', count(*) FILTER (WHERE role = 'system')) AS supporting,
+@query(rf"""SELECT * FROM (SELECT conv_id, regexp_replace(arg_min(text, row(turn, text)), '^{_WS}+|{_WS}+$', '', 'g') AS claim, printf('%02d', count(*)) AS exhibits, printf('%02d', count(*) FILTER (WHERE role = 'system')) AS supporting,
  printf('%02d', count(*) FILTER (WHERE role = 'user')) AS contradicting,
  'Sources searched: 17; Exhibits returned: ' || printf('%02d', count(*)) || '; Supporting: ' || printf('%02d', count(*) FILTER (WHERE role = 'system')) || '; Contradicting: ' || printf('%02d', count(*) FILTER (WHERE role = 'user')) || '; Strongest reliability: Verified; Evidence strength: 94%' AS ledger
  FROM conversations GROUP BY conv_id) WHERE length(claim) >= 24""")
@@ -311,7 +319,7 @@ def roster_desks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "pos", "number", "name", F.concat("name", F.lit(" desk is reading it")).alias("stage"), value("Reads").alias("reads"), F.get("method", F.lit(1))["value"].alias("second"), value("Nothing").alias("absent"), F.size("stages").alias("stages"))
 
 
-_COMMISSION = f"""c AS (SELECT doc_id, source, kind, {_ROSTERS} AS r, CAST(least(4, len(s)) AS INTEGER) AS marks FROM (SELECT doc_id, source, {_KIND} AS kind, {_SENTENCES} AS s FROM documents)),
+_COMMISSION = f"""c AS (SELECT doc_id, source, kind, {_ROSTERS} AS r, CAST(least(4, len(s)) AS INTEGER) AS marks FROM (SELECT doc_id, source, {_KIND} AS kind, {_SENTENCES} AS s FROM documents WHERE lang <> 'en' OR {_TRIM} <> '')),
  one AS (SELECT doc_id, pos, desk, CASE desk WHEN 'text' THEN marks ELSE 3 END AS findings, CASE desk WHEN 'text' THEN CASE WHEN marks >= 4 THEN 2 WHEN marks >= 3 THEN 1 ELSE 0 END WHEN 'image' THEN 3 ELSE 2 END AS adverse,
   CASE desk WHEN 'text' THEN 'REQUIRES VERIFICATION' WHEN 'fact-check' THEN 'CONTRADICTED' ELSE 'SYNTHETIC' END AS det FROM (SELECT doc_id, marks, unnest(range(0, len(r))) AS pos, unnest(r) AS desk FROM c)),
  read AS (SELECT doc_id, string_agg(desk || ' ' || findings || '/' || adverse || ' ' || det, '; ' ORDER BY pos) AS filings, CAST(sum(findings) AS INTEGER) AS findings, CAST(sum(adverse) AS INTEGER) AS adverse FROM one GROUP BY doc_id),
@@ -320,7 +328,8 @@ _COMMISSION = f"""c AS (SELECT doc_id, source, kind, {_ROSTERS} AS r, CAST(least
 
 def _commission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document on the bench: its kind opens desks, each desk's reading goes with the desk by place, the core decides on that roster."""
-    d = _docs(spark, sf_dir).select("doc_id", "source", _kind().alias("kind"), _annotations(F.coalesce("text", F.lit(""))).alias("notes")).withColumn("roster", _roster(F.col("kind")))
+    ready = F.length(X.trimmed(F.coalesce("text", F.lit("")))) > 0  # the bench doesn't open on blank copy
+    d = _docs(spark, sf_dir).where((_kind() != "copy") | ready).select("doc_id", "source", _kind().alias("kind"), _annotations(F.coalesce("text", F.lit(""))).alias("notes")).withColumn("roster", _roster(F.col("kind")))
     of = lambda det, marks: F.struct(F.size(marks).alias("findings"), F.size(F.filter(marks, lambda n: X.tone(n["determination"]) == "adverse")).alias("adverse"), F.lit(det).alias("determination"))
     readings = {"text": of("REQUIRES VERIFICATION", F.col("notes")), "fact-check": of("CONTRADICTED", _marks("fact-check"))} | {k: of("SYNTHETIC", _marks(k)) for k in ("image", "audio", "video")}
     read = F.create_map(*(x for k, r in readings.items() for x in (F.lit(k), r)))

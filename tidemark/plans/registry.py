@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import archive, desk, scans
+from tidemark.plans import archive, desk, records, scans
 
-QUERIES = archive.QUERIES | desk.QUERIES | scans.QUERIES
-SQL = archive.SQL | desk.SQL | scans.SQL
+QUERIES = archive.QUERIES | desk.QUERIES | scans.QUERIES | records.QUERIES
+SQL = archive.SQL | desk.SQL | scans.SQL | records.SQL

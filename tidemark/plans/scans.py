@@ -9,6 +9,7 @@ from tidemark.functions import text as X
 from tidemark.functions.fixed import DESKS
 from tidemark.operators import gates, intervals, pages, scan, substrings
 from tidemark.plans.archive import R, _signed
+from tidemark.plans.desk import _WS
 from tidemark.sources.tables import records, table
 from tidemark.streaming import desk_state
 
@@ -99,7 +100,7 @@ def archive_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.lookup(index, needles).groupBy("needle").agg(F.count("*").alias("n"), F.min("key").alias("first_id"), F.max("key").alias("last_id"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, lang, coalesce(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') AS copy FROM documents),
+@query(rf"""WITH t AS (SELECT doc_id, lang, coalesce(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g'), '') AS copy FROM documents),
  g AS (SELECT doc_id, CASE WHEN copy = '' THEN 'blank' WHEN length(copy) < 80 THEN 'short' WHEN lang NOT IN ('en', 'de') THEN 'language' END AS reason FROM t)
  SELECT doc_id, reason, reason IS NULL AS accepted, (SELECT count(*) FROM g WHERE reason IS NULL) AS passed, (SELECT count(*) FROM g) AS total FROM g""")
 def gated_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
