@@ -27,11 +27,13 @@ tokens at all, every token counts as unseen.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import copy
 import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +127,12 @@ class Vocabulary:
         weight[self.member[own]] = self.counts[own]
         self.member_share = weight / np.add.reduceat(weight, self.first)[self.member_class]
 
+    def lean(self) -> Vocabulary:
+        """The same without the words themselves, which only encoding needs."""
+        out = copy.copy(self)
+        out.words = range(len(self.words))
+        return out
+
     def places_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and member (-1 for the commonest) of encoded tokens."""
         if not len(self.words):
@@ -221,46 +229,70 @@ class Trainer:
         self.scale = np.float32(1 / BATCH)
         self.ends = np.append(v.first[1:], v.members) - 1
 
-    def _move(self, base: int, ids: np.ndarray, vectors: np.ndarray, bias: np.ndarray | None = None) -> None:
+    def _move(self, base: int, ids: np.ndarray, moves: np.ndarray) -> None:
         """Adagrad on the rows of ids, counted from a base; where ids are few, they are short integers, which sort by radix."""
         by = np.argsort(ids, kind="stable" if ids.dtype.itemsize == 2 else None)
         s = ids[by]
         start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         u = base + s[start].astype(np.int64)
         self.uses[u] += np.diff(np.append(start, len(s)))
-        for g, at in ((vectors, slice(0, WIDTH)), (bias, slice(WIDTH, WIDTH + 1))):
-            if g is not None:
-                g = np.add.reduceat(g.reshape(len(ids), -1)[by], start) * self.scale
-                squares = self.squares[u, at] + g * g
-                self.squares[u, at] = squares
-                self.x[u, at] += self.rate * g / np.sqrt(squares)
+        g = np.add.reduceat(np.take(moves, by, axis=0), start)
+        g *= self.scale
+        squares = np.take(self.squares, u, axis=0)
+        squares += g * g
+        self.squares[u] = squares
+        g *= np.float32(self.rate)
+        g /= np.sqrt(squares, out=squares)
+        g += np.take(self.x, u, axis=0)
+        self.x[u] = g
 
     def step(self, h1: np.ndarray, h2: np.ndarray, c: np.ndarray, m: np.ndarray) -> None:
-        x, p, short = self.x, self.x[PLACE:CLASS, :WIDTH], np.uint16
-        r1, r2, q, qb = x[CONTEXT + h1, :WIDTH], x[CONTEXT + h2, :WIDTH], x[CLASS + c, :WIDTH], x[CLASS + c, WIDTH]
-        h = r1 * p[0] + r2 * p[1]
+        x, p, short, wide = self.x, self.x[PLACE:CLASS, :WIDTH].copy(), np.uint16, WIDTH + 1
+        n = len(c)
+        rows = lambda base, ids: np.take(x, base + ids, axis=0)
+        r1, r2, q = rows(CONTEXT, h1)[:, :WIDTH], rows(CONTEXT, h2)[:, :WIDTH], rows(CLASS, c)
+        h = r1 * p[0]
+        h += r2 * p[1]
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), CLASSES - 1)
-        qn, qnb = x[CLASS + noise, :WIDTH], x[CLASS + noise, WIDTH]
-        up = 1 / (1 + np.exp((h * q).sum(axis=1) + qb - self.log_noise[c]))
-        down = 1 / (1 + np.exp(-(h @ qn.T + qnb - self.log_noise[noise])))
-        dh = up[:, None] * q - down @ qn
+        qn = rows(CLASS, noise)
+        up = 1 / (1 + np.exp(np.einsum("nd,nd->n", h, q[:, :WIDTH]) + q[:, WIDTH] - self.log_noise[c]))
+        down = h @ qn[:, :WIDTH].T
+        down += qn[:, WIDTH] - self.log_noise[noise]
+        down = 1 / (1 + np.exp(-down))
+        dh = up[:, None] * q[:, :WIDTH]
+        dh -= down @ qn[:, :WIDTH]
         some = np.flatnonzero(m >= 0)
         if len(some):
             g1, own = h1[some], m[some]
-            u, v = x[BEFORE + g1, :WIDTH], x[MEMBER + own]
+            u, v = rows(BEFORE, g1)[:, :WIDTH], rows(MEMBER, own)
             low = self.v.member_class[own]
             other = np.searchsorted(self.member_cum, low[:, None] + self.rng.random((len(some), MEMBER_NOISE)))
             other = np.clip(other, self.v.first[low][:, None], self.ends[low][:, None])
-            vn = x[MEMBER + other]
-            lift = 1 / (1 + np.exp((u * v[:, :WIDTH]).sum(axis=1) + v[:, WIDTH] - self.log_member[own]))
+            vn = rows(MEMBER, other)
+            lift = 1 / (1 + np.exp(np.einsum("nd,nd->n", u, v[:, :WIDTH]) + v[:, WIDTH] - self.log_member[own]))
             sink = 1 / (1 + np.exp(-(np.einsum("nd,nkd->nk", u, vn[:, :, :WIDTH]) + vn[:, :, WIDTH] - self.log_member[other])))
-            du = lift[:, None] * v[:, :WIDTH] - np.einsum("nk,nkd->nd", sink, vn[:, :, :WIDTH])
+            du = np.zeros((len(some), wide), np.float32)
+            np.einsum("nk,nkd->nd", sink, vn[:, :, :WIDTH], out=du[:, :WIDTH])
+            np.subtract(lift[:, None] * v[:, :WIDTH], du[:, :WIDTH], out=du[:, :WIDTH])
+            # The token's own member goes up and the noise down, along the context and, for the bias, one.
+            signs = np.concatenate([lift[:, None], -sink], axis=1)
+            moves = np.empty((len(some), 1 + MEMBER_NOISE, wide), np.float32)
+            np.multiply(signs[:, :, None], u[:, None], out=moves[:, :, :WIDTH])
+            moves[:, :, WIDTH] = signs
             self._move(BEFORE, g1.astype(short), du)
-            self._move(MEMBER, np.concatenate([own, other.ravel()]).astype(np.int32), np.concatenate([lift[:, None] * u, -(sink[:, :, None] * u[:, None]).reshape(-1, WIDTH)]), np.concatenate([lift, -sink.ravel()]))
-        places = np.stack([(dh * r1).sum(axis=0), (dh * r2).sum(axis=0)])
-        first, second = dh * p[0], dh * p[1]
-        self._move(CLASS, np.concatenate([c, noise]).astype(short), np.concatenate([up[:, None] * h, -(down.T @ h)]), np.concatenate([up, -down.sum(axis=0)]))
-        self._move(CONTEXT, np.concatenate([h1, h2]).astype(short), np.concatenate([first, second]))
+            self._move(MEMBER, np.concatenate([own[:, None], other], axis=1).ravel().astype(np.int32), moves.reshape(-1, wide))
+        places = np.zeros((2, wide), np.float32)
+        places[:, :WIDTH] = np.einsum("nd,nd->d", dh, r1), np.einsum("nd,nd->d", dh, r2)
+        classes = np.empty((n + NOISE, wide), np.float32)
+        np.multiply(up[:, None], h, out=classes[:n, :WIDTH])
+        classes[:n, WIDTH] = up
+        np.negative(down.T @ h, out=classes[n:, :WIDTH])
+        classes[n:, WIDTH] = -down.sum(axis=0)
+        contexts_ = np.zeros((2 * n, wide), np.float32)
+        np.multiply(dh, p[0], out=contexts_[:n, :WIDTH])
+        np.multiply(dh, p[1], out=contexts_[n:, :WIDTH])
+        self._move(CLASS, np.concatenate([c, noise]).astype(short), classes)
+        self._move(CONTEXT, np.concatenate([h1, h2]).astype(short), contexts_)
         self._move(PLACE, np.array([0, 1], short), places)
 
     def run(self, ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -317,7 +349,7 @@ def encoded(docs: DataFrame, v: Vocabulary, extra: list[str]) -> DataFrame:
                 part, out = texts.slice(at, 1000), []
                 for text in part:
                     split = tokens(text.as_py())
-                    ids = np.array([get(w, -1) for w in split], np.int32)
+                    ids = np.fromiter(map(get, split, repeat(-1)), np.int32, len(split))
                     tail = Counter([split[i] for i in np.flatnonzero(ids < 0).tolist()])
                     if tail:
                         cls = {w: -1 - shared_class(w) for w in tail}
@@ -354,7 +386,7 @@ def trained(shards: DataFrame, v: Vocabulary, model: LogBilinear, part: tuple[fl
     A task adds up its shards before anything is shuffled; rows travel in pieces, which are summed apart, first those of
     some of the tasks and then all.
     """
-    shared, piece = shards.sparkSession.sparkContext.broadcast((v, model)), 4096
+    shared, piece = shards.sparkSession.sparkContext.broadcast((v.lean(), model)), 4096
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _Kept.held.clear()
@@ -371,9 +403,14 @@ def trained(shards: DataFrame, v: Vocabulary, model: LogBilinear, part: tuple[fl
                     continue
                 trainer = Trainer(model, v, seed * 1_000_003 + shard)
                 trainer.run(ids[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b])
-                trainer.squares = None
-                moved = (trainer.x - model.rows) * trainer.uses[:, None]
-                total = (moved, trainer.uses) if total is None else (total[0] + moved, total[1] + trainer.uses)
+                trainer.squares, moved = None, trainer.x
+                moved -= model.rows
+                moved *= trainer.uses.astype(np.float32)[:, None]
+                if total is None:
+                    total = moved, trainer.uses
+                else:
+                    np.add(total[0], moved, out=total[0])
+                    np.add(total[1], trainer.uses, out=total[1])
         for k in range(0, len(model.rows), piece) if total is not None else ():
             # How far the used rows moved, times their uses: floats will do for that.
             some = np.flatnonzero(total[1][k : k + piece])
@@ -438,7 +475,7 @@ def log_probabilities(v: Vocabulary, tables, model: LogBilinear, ids: np.ndarray
 def scored(rows: DataFrame, v: Vocabulary, model: LogBilinear, extra: list[str]) -> DataFrame:
     """The encoded rows with n_tokens, known, logs (of known words' counts) and lm, what the model gives but for the other words' counts."""
     # The normalisers are made once; their size is that of classes and contexts, whatever the corpus.  The halves are made by each worker.
-    shared = rows.sparkSession.sparkContext.broadcast((v, model, model.classes()[2], model.members(v)))
+    shared = rows.sparkSession.sparkContext.broadcast((v.lean(), model, model.classes()[2], model.members(v)))
     kinds, key = {c: rows.schema[c].dataType.simpleString() for c in [*extra, "row"]}, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
