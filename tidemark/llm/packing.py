@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -58,6 +59,11 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+#: Signs of white space in a row that the pattern is given, at most.
+LONGEST_SPACE = 50_000
+LONG_SPACE = re.compile(f"[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONGEST_SPACE + 1},}}")
+
+
 class TextTokenizer:
     """Ids as little-endian uint32 bytes, the same as ``tokenizers`` gives without special tokens added.
 
@@ -77,8 +83,23 @@ class TextTokenizer:
         ranks = {bytes(map(signs.__getitem__, word)): i for word, i in file["model"]["vocab"].items() if word not in added}
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
+        self.added = tuple(added)
+
     def encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes() if text else b""
+        if not text:
+            return b""
+        ids, at = [], 0
+        # The pattern fails on very long white space.  Such a stretch is one word of it, but for its last sign where another follows in
+        # the same segment, as added tokens end one; so texts are cut there.
+        for run in LONG_SPACE.finditer(text) if len(text) > LONGEST_SPACE else ():
+            end = run.end()
+            if end < len(text) and not text.startswith(self.added, end):
+                end -= 1
+            ids += self.encoding.encode(text[at : run.start()], allowed_special="all")
+            ids += self.encoding._encode_single_piece(text[run.start() : end].encode())
+            at = end
+        ids += self.encoding.encode(text[at:], allowed_special="all")
+        return np.array(ids, "<u4").tobytes()
 
 
 _TOKENIZERS: dict[str, TextTokenizer] = {}
