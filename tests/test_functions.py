@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import quotes
 from tidemark.functions import seeded as S
 from tidemark.functions import text as X
 from tidemark.operators import adjudication, archive, scan
@@ -194,11 +195,36 @@ def test_neighbours_across_blocks(spark, block):
 
 
 def test_media_files(spark, tmp_path):
-    for name, size in (("a.jpg", 10), ("b.PDF", 5), ("deep/c.webp", 7), ("d.mp3", 3)):
+    for name, size in (("a.jpg", 10), ("b.PDF", 5), ("deep/c.webp", 7), ("d.mp3", 3), ("E.JPeG", 2)):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(b"x" * size)
     got = {m: {(r.file_name, r.bytes) for r in tables.media_files(spark, str(tmp_path), m).collect()} for m in ("image", "audio")}
-    assert got == {"image": {("a.jpg", 10), ("c.webp", 7)}, "audio": {("d.mp3", 3)}}
+    assert got == {"image": {("a.jpg", 10), ("c.webp", 7), ("E.JPeG", 2)}, "audio": {("d.mp3", 3)}}
+    picked = tables.picked_file(tables.media_files(spark, str(tmp_path), "image").withColumn("drop", F.length("file_name") > 5).withColumn("modified", F.lit(None).cast("timestamp")), ["drop"]).collect()
+    assert {(r["drop"], r["file_name"]) for r in picked} == {(True, "E.JPeG"), (False, "a.jpg")}
+
+
+def test_names_as_people_order_them(spark):
+    names = ["Zürich", "zebra", "Öl", "Eclair", "éclair", "apfel", "Ärger", "Apfel", "Azur"]
+    d = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r.n for r in d.orderBy(X.by_name(F.col("n"))).collect()] == ["apfel", "Apfel", "Ärger", "Azur", "Eclair", "éclair", "Öl", "zebra", "Zürich"]
+    assert d.where(X.by_name(F.col("n"), True) == "APFEL").count() == 2 and d.where(X.by_name(F.col("n"), True) == "arger").count() == 0
+
+
+def test_many_quotes_are_the_few(spark):
+    import random
+    import time
+
+    rnd = random.Random(9)
+    rows = [("".join(rnd.choice("ab .é😀") for _ in range(rnd.randint(0, 60))), [rnd.choice([None, "", "a", "b ", "ab", "é", "😀a", "zz", "a", "aab"]) for _ in range(rnd.randint(0, 6))]) for _ in range(150)] + [(None, ["a"]), ("a", None)]
+    d = spark.createDataFrame([(t, None if q is None else [x for x in q if x is not None]) for t, q in rows], "t string, q array<string>")
+    r = d.select(X.marked_pieces(F.col("t"), F.col("q")).alias("few"), quotes.marked_pieces_of(F.col("t"), F.col("q")).alias("many")).collect()
+    assert [x.many for x in r[:150]] == [x.few for x in r[:150]] and [x.many for x in r[150:]] == [None, None]
+    assert quotes.pieces("abc", ["b", None, "c"]) == [("a", None), ("b", 0), ("c", 2)]
+    words = [f"word{k:05d}." for k in range(10_000)]
+    began = time.time()
+    cut = quotes.pieces(" ".join(words), words)
+    assert [n for _, n in cut if n is not None] == list(range(10_000)) and "".join(p for p, _ in cut) == " ".join(words) and time.time() - began < 5
 
 
 def test_search_is_literal(spark):

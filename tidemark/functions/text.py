@@ -53,6 +53,11 @@ def tone(determination: Column) -> Column:
     return F.when(determination.isin(CLEAR), "clear").when(determination.isin(OPEN), "open").otherwise("adverse")
 
 
+def by_name(name: Column, ignore_case: bool = False) -> Column:
+    """The name to order or compare by as people do: accents and case tell apart only what is alike without them; or not case at all."""
+    return F.collate(name, "UNICODE_CI" if ignore_case else "UNICODE")
+
+
 def badge(status: Column, other: str = "unsettled") -> Column:
     pairs = F.create_map(*(F.lit(x) for kv in BADGES.items() for x in kv))
     return F.coalesce(F.try_element_at(pairs, F.upper(status)), F.lit(other))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.functions.fixed import DESKS
+from tidemark.functions.fixed import BADGES, DESKS
+from tidemark.functions.quotes import marked_pieces_of
 from tidemark.operators import gates, intervals, pages, scan, substrings
 from tidemark.plans.archive import R, _signed
-from tidemark.plans.desk import _WS
+from tidemark.plans.desk import _ROSTERS, _KIND, _SENTENCES, _TRIM, _WS, _kind, _roster
 from tidemark.sources.tables import records, table
 from tidemark.streaming import desk_state
 
@@ -109,3 +110,44 @@ def gated_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = gates.route(docs, {"blank": F.col("copy") != "", "short": F.length("copy") >= 80, "language": F.col("lang").isin("en", "de")})
     both = routed.accepted.select("doc_id", F.lit(None).cast("string").alias("reason")).unionByName(routed.rejected.select("doc_id", "reason"))
     return both.select("doc_id", "reason", F.col("reason").isNull().alias("accepted"), F.lit(routed.passed).cast("bigint").alias("passed"), F.lit(routed.total).cast("bigint").alias("total"))
+
+
+@query(f"""WITH b AS (SELECT doc_id, {_TRIM} AS body, {_SENTENCES} AS q FROM documents),
+ s AS (SELECT doc_id, body, q, list_sort(list_transform(q, lambda x, i: struct_pack(pos := strpos(body, x) - 1, nth := i, size := length(x), cursor := 0::BIGINT, kept := 0::BIGINT, gaps := 0::BIGINT))) AS spots FROM b),
+ f AS (SELECT doc_id, body, q, list_reduce(list_prepend(struct_pack(pos := 0::BIGINT, nth := 0::BIGINT, size := 0::BIGINT, cursor := 0::BIGINT, kept := 0::BIGINT, gaps := 0::BIGINT), spots),
+  lambda a, x: CASE WHEN x.pos < a.cursor THEN a ELSE struct_pack(pos := x.pos, nth := x.nth, size := x.size, cursor := x.pos + x.size, kept := a.kept + 1, gaps := a.gaps + CASE WHEN x.pos > a.cursor THEN 1 ELSE 0 END) END) AS z FROM s)
+ SELECT doc_id, CAST(len(q) AS INTEGER) AS quotes, CAST(z.kept AS INTEGER) AS marked, CAST(z.kept + z.gaps + CASE WHEN length(body) > z.cursor THEN 1 ELSE 0 END AS INTEGER) AS pieces, true AS whole FROM f""")
+def galley_all_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document marked at all its sentences; the pieces joined are the text."""
+    body = table(spark, sf_dir, "documents").select("doc_id", X.trimmed(F.col("text")).alias("body"), X.sentences(F.col("text")).alias("quotes"))
+    cut = body.withColumn("cut", marked_pieces_of(F.col("body"), F.col("quotes")))
+    joined = F.array_join(F.transform("cut", lambda p: p["piece"]), "") == F.col("body")
+    return cut.select("doc_id", F.size("quotes").alias("quotes"), F.size(F.filter("cut", lambda p: p["nth"].isNotNull())).alias("marked"), F.size("cut").alias("pieces"), joined.alias("whole"))
+
+
+@query(R + ", n AS (SELECT nation, count(*) AS n FROM r GROUP BY 1) SELECT nation, n, CAST(row_number() OVER (ORDER BY n DESC, lower(nation)) AS INTEGER) AS place FROM n")
+def nations_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations by the number of their records, then by name as people order names; nations are few, so one task may number them."""
+    counted = records(spark, sf_dir).groupBy("nation").agg(F.count("*").alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), X.by_name(F.col("nation")))))
+
+
+@query("""WITH s AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Verified' WHEN 'O' THEN 'under Review' WHEN 'P' THEN 'CONTESTED' ELSE 'none' END AS status FROM orders)
+ SELECT o_orderkey, status, coalesce(badge, 'unsettled') AS badge FROM s LEFT JOIN (VALUES ('verified', 'verified'), ('under review', 'review'), ('contested', 'contested'), ('error', 'error')) b(k, badge) ON lower(status) = k""")
+def badges_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The badge of a status written in any case: the keys join by a collation, without functions of the status."""
+    badges = spark.createDataFrame(list(BADGES.items()), "k string, badge string")
+    status = F.when(F.col("o_orderstatus") == "F", "Verified").when(F.col("o_orderstatus") == "O", "under Review").when(F.col("o_orderstatus") == "P", "CONTESTED").otherwise("none")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"))
+    met = orders.join(F.broadcast(badges), X.by_name(F.col("status"), True) == X.by_name(F.col("k"), True), "left")
+    return met.select("o_orderkey", "status", F.coalesce("badge", F.lit("unsettled")).alias("badge"))
+
+
+@query(f"""SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS pos, unnest(s) AS stage FROM (SELECT doc_id, list_concat(['Typing the artifact'], list_transform({_ROSTERS}, lambda d: upper(left(d, 1)) || substring(d, 2) || ' desk is reading it'),
+ ['Collecting the filed records', 'Weighting each desk by what it could read', 'Signing one determination']) AS s FROM (SELECT doc_id, {_KIND} AS kind FROM documents))""")
+def commission_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages that a commission passes, in order, for every document: before, the desks of its roster, and after."""
+    names = F.create_map(*(F.lit(x) for i, name, _ in DESKS for x in (i, f"{name} desk is reading it")))
+    after = ["Collecting the filed records", "Weighting each desk by what it could read", "Signing one determination"]
+    stages = F.concat(F.array(F.lit("Typing the artifact")), F.transform(_roster(_kind()), lambda d: F.try_element_at(names, d)), F.array(*map(F.lit, after)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(stages).alias("pos", "stage"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEDIA = {"image": "{jpg,jpeg,png,webp,avif}", "audio": "{mp3,wav,m4a,ogg}", "video": "{mp4,mov,mkv,webm}"}
+MEDIA = {"image": ["jpg", "jpeg", "png", "webp", "avif"], "audio": ["mp3", "wav", "m4a", "ogg"], "video": ["mp4", "mov", "mkv", "webm"]}
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -41,10 +41,21 @@ def desks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*r, i) for i, r in enumerate(DESK_ROWS)], f"{DESK}, desk_seq int")
 
 
+def _any_case(extension: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
+
+
 def media_files(spark: SparkSession, folder: str, medium: str) -> DataFrame:
-    """file_name and bytes of a medium's files; contents are never read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{MEDIA[medium]}").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"))
+    """file_name, bytes, path and modified of a medium's files, whatever the case of their extensions; contents are never read."""
+    wanted = "*.{" + ",".join(map(_any_case, MEDIA[medium])) + "}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", wanted).option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"), "path", F.col("modificationTime").alias("modified"))
+
+
+def picked_file(files: DataFrame, by: list[str]) -> DataFrame:
+    """The one file that is taken of those dropped together, a row for each drop: the first by time and then path."""
+    first = F.min_by(F.struct("file_name", "bytes", "path", "modified"), F.struct("modified", "path")).alias("f")
+    return files.groupBy(*by).agg(first).select(*by, "f.*")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
