@@ -334,12 +334,25 @@ def test_line_stage(spark, odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
-def test_runs_are_merged_without_a_shuffle(spark, docs, capsys):
+def test_runs_are_merged_as_they_lie(spark, docs, capsys):
+    """Buckets meet buckets in order: neither an exchange nor a sort, for the anti-join of a batch and for compaction."""
     work = Workspace(spark, "test-runs")
-    a, b = (work.bucketed(docs.select(F.xxhash64("doc_id", F.lit(k)).alias("line_hash"), "doc_id"), "t", "line_hash") for k in (1, 2))
-    a.join(b.select("line_hash"), "line_hash", "left_anti").explain()
-    assert "SortMergeJoin" in (plan := capsys.readouterr().out) and "Exchange" not in plan or "Broadcast" in plan
-    work.drop(a, b)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b, c = (work.bucketed(docs.groupBy(F.md5(F.concat("doc_id", F.lit(f"/{k}"))).cast("binary").alias("line_hash")).agg(F.min("doc_id").alias("first_doc")), "t", "line_hash") for k in (1, 2, 3))
+        with line_dedup.sorted_buckets(spark):
+            for joined in (a.join(b.select("line_hash", F.col("first_doc").alias("known")), "line_hash", "left"), line_dedup.merged_runs([a, b])):
+                joined.explain()
+                plan = capsys.readouterr().out
+                assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort " not in plan and "Bucketed: true" in plan
+        a.join(b.select("line_hash", F.col("first_doc").alias("known")), "line_hash", "left").explain()
+        assert "Sort " in capsys.readouterr().out  # so the test can fail
+        merged = line_dedup.merged_runs([a, b, c])
+        assert Counter(merged.collect()) == Counter(a.unionByName(b).unionByName(c).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        work.drop(a, b, c)
 
 
 # --- vectors ---

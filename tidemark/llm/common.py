@@ -83,8 +83,10 @@ class Workspace:
         """``stage`` as a table bucketed and sorted by a key: tables that meet by the key need no shuffle.
 
         What is grouped or joined by the key already is written as it lies, one file a bucket; ``repartition`` the rest by it.
+        The table's name is in the database ``tidemark_work``, so what a job that dies leaves behind is found there.
         """
-        path, n, name = self.path(name), int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"tidemark_{uuid.uuid4().hex}"
+        self.spark.sql("CREATE DATABASE IF NOT EXISTS tidemark_work")
+        path, n, name = self.path(name), int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"tidemark_work.t_{uuid.uuid4().hex}"
         df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
         out = self.spark.table(name)
         out._tidemark_path, out._tidemark_table = path, name

@@ -4,7 +4,9 @@ The index is a set of *runs*: tables of (line hash, first document), bucketed an
 no hash in two of them.  Documents come in batches of ascending doc_id.  A batch first
 groups its own hashes, in the runs' buckets, and merge-joins every run: what none of them has (the anti-join) becomes a run of
 level 0.  When a level holds ``fanout`` runs they are merged into one of the next level, so
-there are O(log batches) runs to join at any time.  As buckets meet buckets, no run is ever shuffled again.
+there are O(log batches) runs to join at any time.  As a bucket is one sorted file, buckets are merged with buckets as they
+are read: no run is ever shuffled or sorted again, be it to be joined or to be compacted (only the compacted rows, which
+come merged, pass the sort of the table's writer).
 Hashes that two documents have, in a batch or across runs, become *repeats* with their first document; only they are
 joined with all occurrences, and a line goes if its document comes after the first.
 Only 16-byte hashes and ids are shuffled for this; each text
@@ -14,7 +16,7 @@ One hash may stand in a third of all documents.  First documents are found by a
 aggregate, one row for each task and hash; the join of all occurrences with the repeats is a
 join of two scans, which Spark splits where a key is heavy.
 
-Defined results: null and empty texts are one empty line.  Rows of the same doc_id count as
+Defined results: doc_id is a number.  Null and empty texts are one empty line.  Rows of the same doc_id count as
 one document, and keep or lose a line together.  Rows with a null doc_id neither give nor
 lose lines.  Lines with keys under ``min_points`` code points stay.  An empty table gives
 no rows.  Columns of the documents keep their names and values, whatever they are called; ours get
@@ -25,16 +27,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, fresh, ship
 
 MIN_POINTS = 10
-BATCHES = 4
+#: Batches at least, and documents of a batch beyond that.
+BATCHES, BATCH_DOCS = 4, 50_000_000
 FANOUT = 2
+#: Whether the order of a bucketed table's files is used, if each bucket is one file; Spark asks for it by this name only.
+SORTED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -71,6 +77,30 @@ def line_hashes(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(hashes, f"doc_id {kind}, line_hash binary")
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """What is planned herein reads buckets as sorted files."""
+    before = spark.conf.get(SORTED_BUCKETS, None)
+    spark.conf.set(SORTED_BUCKETS, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SORTED_BUCKETS)
+        else:
+            spark.conf.set(SORTED_BUCKETS, before)
+
+
+def merged_runs(runs: list[DataFrame]) -> DataFrame:
+    """Runs, which share no hash, as one: bucket by bucket, both sides read in order."""
+    out = runs[0]
+    for other in runs[1:]:
+        other = other.select(F.col("line_hash").alias("other_hash"), F.col("first_doc").alias("other_doc"))
+        out = out.hint("merge").join(other, F.col("line_hash") == F.col("other_hash"), "full")
+        out = out.select(F.coalesce("line_hash", "other_hash").alias("line_hash"), F.coalesce("first_doc", "other_doc").alias("first_doc"))
+    return out
+
+
 class LineRuns:
     """The levelled runs; ``add`` takes the next batch, whose doc_ids follow all earlier ones, and returns its repeats."""
 
@@ -83,7 +113,8 @@ class LineRuns:
         return [run for level in self.levels for run in level]
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
-        self.tables.append(self.work.bucketed(df, name, "line_hash"))
+        with sorted_buckets(self.work.spark):
+            self.tables.append(self.work.bucketed(df, name, "line_hash"))
         return self.tables[-1]
 
     def add(self, pairs: DataFrame) -> DataFrame:
@@ -91,7 +122,7 @@ class LineRuns:
         own = pairs.groupBy("line_hash").agg(F.min("doc_id").alias("first_doc"), (F.min("doc_id") < F.max("doc_id")).alias("again"))
         known = [F.lit(None)]
         for k, run in enumerate(self.runs()):
-            own = own.join(run.select("line_hash", F.col("first_doc").alias(f"known_{k}")), "line_hash", "left")
+            own = own.hint("merge").join(run.select("line_hash", F.col("first_doc").alias(f"known_{k}")), "line_hash", "left")
             known.append(F.col(f"known_{k}"))
         batch = self._write(own.select("line_hash", "first_doc", "again", F.coalesce(*known).cast(pairs.schema["doc_id"].dataType).alias("known")), "batch")
         self._put(0, batch.where("known IS NULL").select("line_hash", "first_doc"))
@@ -103,15 +134,14 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             full, self.levels[level] = self.levels[level], []
-            merged = full[0]
-            for other in full[1:]:
-                merged = merged.unionByName(other)
-            self._put(level + 1, self._write(merged.repartition("line_hash"), f"run-{level + 1}"))
+            self._put(level + 1, self._write(merged_runs(full), f"run-{level + 1}"))
 
 
-def dropped_lines(docs: DataFrame, work: Workspace, min_points: int = MIN_POINTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dropped_lines(docs: DataFrame, work: Workspace, min_points: int = MIN_POINTS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """(doc_id, lines): the hashes that each document loses; documents that lose none have no row."""
     pairs = line_hashes(docs, min_points)
+    if batches is None:
+        batches = max(BATCHES, docs.count() // BATCH_DOCS)
     edges = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = sorted(set(edges))
     nth = F.lit(0)
@@ -135,7 +165,7 @@ def _lines_kept(text: bytes | None, gone: set[bytes], min_points: int) -> tuple[
     return len(lines), [x for x in lines if line_hash(x, min_points) not in gone] if gone else lines
 
 
-def _with_kept(docs: DataFrame, name: str, min_points: int, batches: int, fanout: int) -> DataFrame:
+def _with_kept(docs: DataFrame, name: str, min_points: int, batches: int | None, fanout: int) -> DataFrame:
     """The docs with a column of (text, n_lines, n_dropped, kept_sha256)."""
     spark = docs.sparkSession
     ship(spark)
@@ -156,7 +186,7 @@ def _with_kept(docs: DataFrame, name: str, min_points: int, batches: int, fanout
     return joined.withColumn(name, keep(F.col("text"), F.col(lines))).drop(key, lines)
 
 
-def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """All columns of ``docs`` with the kept lines as text, plus n_lines, n_dropped and kept_sha256."""
     (new,) = fresh(docs, "kept")
     done = _with_kept(docs, new, min_points, batches, fanout)
@@ -164,7 +194,7 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, batches: int = BA
     return done.select(*[F.col(f"{new}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *(F.col(f"{new}.{c}").alias(a) for c, a in zip(stats, fresh(docs, *stats))))
 
 
-def line_dedup_stage(docs: DataFrame, min_points: int = MIN_POINTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def line_dedup_stage(docs: DataFrame, min_points: int = MIN_POINTS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """The columns of ``docs``, with duplicate lines gone from text and n_chars brought up to date."""
     (new,) = fresh(docs, "kept")
     done = _with_kept(docs, new, min_points, batches, fanout)
