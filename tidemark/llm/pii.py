@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship
@@ -408,7 +408,10 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> Field:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["l", "s", "r", "kind"])
 
-    found = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(contexts, "l string, s string, r string, kind string").toArrow()
+    # Of rows that share an id, one: the sample is bounded whatever the ids are.
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    found = known.select("text").mapInArrow(contexts, "l string, s string, r string, kind string").toArrow()
     rows = sorted(zip(*(found[c].to_pylist() for c in ("l", "s", "r", "kind"))))
     field = Field()
     field.learn(examples(random.Random(4).sample(rows, min(len(rows), 600))))

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_remainder, fresh, ship
@@ -178,6 +178,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, me
     chosen = chosen.select(F.col("doc_id").alias("label_id"), F.col("label").cast("double").alias("label"))
     take = [c for c in metadata if c in docs.columns]
     found = docs.select("doc_id", "text", *(F.col(c).cast("double").alias(f"meta_{c}") for c in take)).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    # Of rows that share an id, one: the sample is bounded whatever the ids are.
+    one = Window.partitionBy("label_id").orderBy(F.xxhash64("text"), "text")
+    found = found.withColumn("label_nth", F.row_number().over(one)).where("label_nth = 1")
 
     def inputs(batches):
         for b in batches:
