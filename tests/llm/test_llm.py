@@ -744,6 +744,22 @@ def test_license_headers_as_they_are_written(spark):
     assert got == {i: want for i, (want, _) in enumerate(files)}
 
 
+#: What the versions, clauses and expressions of a declaration ask for.
+SAID = [
+    ("Licensed under CC BY 3.0.", None), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", None),
+    ("Licensed under the BSD 4-Clause License.", None), ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"), ("Licensed under the Apache License, Version 1.1.", None), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Licensed under CC BY-NC-ND 4.0.", None), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("SPDX-License-Identifier: CC-BY-3.0", None), ("// SPDX-License-Identifier: MPL-1.1", None), ("SPDX-License-Identifier: BSD-4-Clause", None), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+    ("SPDX-License-Identifier: MIT-0", None), ("SPDX-License-Identifier:  MIT OR  Apache-2.0 */", "MIT OR Apache-2.0"), ("spdx-license-identifier: Apache-2.0 WITH LLVM-exception.", "Apache-2.0 WITH LLVM-exception"), ("SPDX-License-Identifier: (MIT AND ISC) OR GPL-2.0+", "(MIT AND ISC) OR GPL-2.0+"),
+    ("This program is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"), ("This program is licensed under the GNU General Public License, version 1.", None),
+]
+
+
+def test_license_declarations(spark):
+    df = spark.createDataFrame([(k, f"first line\n{said}\nlast line") for k, (said, _) in enumerate(SAID)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df, F.concat(F.lit("src/"), F.col("doc_id"))).collect()}
+    assert [got[k] for k in range(len(SAID))] == [want for _, want in SAID]
+
+
 # --- mixing ---
 
 

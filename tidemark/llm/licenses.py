@@ -5,13 +5,16 @@ Native: DataFrame functions only.
 Every line of a file that holds a marker is a header candidate, and so is every run of up to ``WINDOW``
 adjacent lines that holds one, as headers are wrapped (lines without letters or digits don't count).  The whole
 of a licence file (named LICENSE, COPYING, NOTICE and the like) is one more.  All are compared
-with templates (SPDX lines, declarations, the headers as they are commonly written, titles of the long licences and
+with templates (declarations, the headers as they are commonly written, titles of the long licences and
 the text of short ones) as sparse TF-IDF vectors: document frequencies of all terms are counted over the templates and
 all candidates of the corpus but runs of several lines, which would count a line more than once.  A term that no
 template has weighs by its own frequency too, but at most as a
 term that none of the templates has among the templates alone (``UNKNOWN``): names and years are
 rarer the larger the corpus is, and must not lose a header for that.  A file takes the template
-with the highest cosine, if that is at least ``THRESHOLD``; a template that others may stand beside (``WEAK``: a reservation of
+with the highest cosine, if that is at least ``THRESHOLD`` and what tells licences apart agrees, which a cosine hardly sees:
+the template's versions and clause counts are in the candidate, and both have the same of the words that make another
+licence of one (``APART``).  A line ``SPDX-License-Identifier`` is read as an expression of known ids with AND, OR and WITH, and goes before
+all else.  A template that others may stand beside (``WEAK``: a reservation of
 rights, the opening that two licences share) only where none but such is found.  A file without one inherits from the nearest
 directory above it that holds a licence file: directories and their ancestors are joined by path.
 
@@ -41,13 +44,17 @@ GRANTS = r"permission\W+is\W+hereby\W+granted|free\W+of\W+charge\W+to\W+any\W+pe
 WRAPPED = rf"{MARKERS}|{GRANTS}|all\W+rights\W+reserved|public\W+domain"
 #: Lines in a run at most: the longest header among the templates, as it is mostly wrapped.
 WINDOW = 4
+#: Where versions and clause counts stand, in lower case, and words that tell licences of a family apart, alike ones side by side.
+VERSIONS = r"(?:version|\bv\.?|gpl|mpl|apache|licen[sc]e|\bby|\bnc|\bsa|\bnd|\bcc0|attribution|sharealike|noncommercial|noderivatives|noderivs)[^a-z0-9]{0,3}([0-9]+(?:\.[0-9]+)?)"
+CLAUSES = r"([0-9])[^a-z0-9]?clause"
+APART = [["nc", "noncommercial"], ["sa", "sharealike"], ["nd", "noderivatives", "noderivs"], ["affero", "agpl"], ["lesser", "lgpl"], ["library"]]
+SPDX_LINE = r"(?i:SPDX-License-Identifier:)[ \t]*([A-Za-z0-9.+()-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+()-]+)*)"
 FILE_NAMES = "(?i)(^|/)(licen[sc]e|copying|copyright|notice|unlicense)([.-][a-z0-9]+)*$"
 #: License ids by which SPDX lines name them.
 SPDX = ["AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
 _FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 #: License ids and the texts by which files declare them.
 TEMPLATES = [
-    *((i, f"SPDX-License-Identifier: {i}") for i in SPDX),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("AGPL-3.0", _FREE.format("Affero General Public License", 3)),
     ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
@@ -98,6 +105,25 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:\.[0-9]+)*"), F.lit(0))
 
 
+def told_apart(text: Column) -> Column:
+    """(numbers, words): versions without a last .0, clause counts, and which of the words of ``APART`` there are."""
+    low = F.lower(text)
+    versions = F.transform(F.regexp_extract_all(low, F.lit(VERSIONS), F.lit(1)), lambda x: F.regexp_replace(x, r"\.0$", ""))
+    clauses = F.transform(F.regexp_extract_all(low, F.lit(CLAUSES), F.lit(1)), lambda x: F.concat(x, F.lit("c")))
+    own = terms(text)
+    words = F.filter(F.array(*(F.when(F.arrays_overlap(own, F.array(*map(F.lit, alike))), alike[0]) for alike in APART)), lambda x: x.isNotNull())
+    return F.struct(F.array_distinct(F.concat(versions, clauses)).alias("numbers"), words.alias("words"))
+
+
+def spdx_expression(text: Column) -> Column:
+    """What the first SPDX line says, if all its ids are known: single blanks between its parts, ids without -only and -or-later; else null."""
+    said = F.regexp_extract(text, SPDX_LINE, 1)
+    for pattern, instead in ((r"[ \t]+", " "), (r"\.+$", ""), (r"-(only|or-later)\b", "")):
+        said = F.regexp_replace(said, pattern, instead)
+    ids = F.split(F.regexp_replace(said, r" WITH [^ ]+|[()+]", ""), " (AND|OR) ")
+    return F.when(F.forall(ids, lambda i: i.isin(SPDX)), said)
+
+
 def _parents(path: Column) -> Column:
     """All directories above a path, the nearest first; the top is the empty path."""
     parts = F.split(path, "/")
@@ -137,6 +163,7 @@ def scan(files: DataFrame, path: Column, threshold: float = THRESHOLD) -> DataFr
             "nr", "path", "is_file", "own",
             F.when(has, F.concat(lines, F.transform(_runs(F.col("text")), lambda x: passage(False, x)))).otherwise(none).alias("lines"),
             F.when(F.col("is_file") & F.col("text").isNotNull(), F.array(passage(True, F.col("text")))).otherwise(none).alias("whole"),
+            F.when(has, spdx_expression(F.col("text"))).alias("spdx"),
         ),
         "files",
     )
@@ -161,9 +188,14 @@ def scan(files: DataFrame, path: Column, threshold: float = THRESHOLD) -> DataFr
     mine = counts.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(UNKNOWN)))
     lengths = mine.groupBy("nr", "nth").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = mine.join(F.broadcast(weighted), "term").groupBy("nr", "nth", "template", "license", "level").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
-    scored = dots.join(lengths, ["nr", "nth"]).select("nr", "license", "level", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("nr").agg(F.max_by(F.struct("license", "similarity"), F.struct(-F.col("level"), "similarity", -F.col("template"))).alias("best"))
-    named = work.stage(found.drop("lines", "whole").join(best, "nr", "left"), "named")
+    scored = dots.join(lengths, ["nr", "nth"]).select("nr", "nth", "license", "level", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity")).where(F.col("similarity") >= threshold)
+    # The few that are near enough meet what tells their passages and templates apart.
+    apart = templates.select("template", told_apart(F.col("body")).alias("theirs"))
+    met = scored.join(passages.select("nr", "nth", told_apart(F.col("passage")).alias("ours")), ["nr", "nth"]).join(F.broadcast(apart), "template")
+    agree = (F.size(F.array_except("theirs.numbers", "ours.numbers")) == 0) & (F.col("theirs.words") == F.col("ours.words"))
+    best = met.where(agree).groupBy("nr").agg(F.max_by(F.struct("license", "similarity"), F.struct(-F.col("level"), "similarity", -F.col("template"))).alias("near"))
+    said = F.when(F.col("spdx").isNotNull(), F.struct(F.col("spdx").alias("license"), F.lit(1.0).alias("similarity")))
+    named = work.stage(found.drop("lines", "whole").join(best, "nr", "left").withColumn("best", F.coalesce(said, "near")).drop("spdx", "near"), "named")
 
     # Licence files give their directory a license; directories look upwards for the nearest that has one.
     folder = F.get(_parents(F.col("path")), F.lit(0))

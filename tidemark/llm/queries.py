@@ -168,6 +168,11 @@ def _license_sql() -> str:
     rows = ", ".join(f"({i}, {quoted(a)}, {level}, {quoted(b)})" for i, ((a, b), level) in enumerate(zip(licenses.TEMPLATES, licenses.LEVELS)))
     terms = r"unnest(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+(?:\.[0-9]+)*'))"
     wrapped = quoted(licenses.WRAPPED)
+    parts = lambda x, pattern, n: f"regexp_extract_all(lower({x}), {quoted(pattern)}, {n})"
+    numbers = lambda x: f"list_distinct(list_concat(list_transform({parts(x, licenses.VERSIONS, 1)}, lambda v: regexp_replace(v, '[.]0$', '')), list_transform({parts(x, licenses.CLAUSES, 1)}, lambda c: c || 'c')))"
+    some = lambda x, alike: f"CASE WHEN list_has_any({parts(x, r'[\p{L}\p{N}]+(?:\.[0-9]+)*', 0)}, [{', '.join(map(quoted, alike))}]) THEN {quoted(alike[0])} END"
+    words = lambda x: f"concat_ws(' ', {', '.join(some(x, alike) for alike in licenses.APART)})"
+    known = ", ".join(map(quoted, licenses.SPDX))
     return rf"""
 WITH templates(template, license, level, body) AS (VALUES {rows}), files AS (
     SELECT row_number() OVER () AS nr, doc_id, text, concat_ws('/', source, lang, CASE WHEN length(text) <= {NOTICE} AND regexp_matches(string_split(text, chr(10))[-1], {quoted(licenses.MARKERS)})
@@ -206,11 +211,13 @@ WITH templates(template, license, level, body) AS (VALUES {rows}), files AS (
 ), dots AS (
     SELECT nr, p, template, license, level, sum(m.w * t.w / t.norm) AS dot FROM mine m JOIN weights t USING (term) GROUP BY ALL
 ), scored AS (
-    SELECT nr, template, license, level, round(dot / norm, 9) AS similarity FROM dots JOIN lengths USING (p)
+    SELECT nr, template, d.license, d.level, round(dot / norm, 9) AS similarity FROM dots d JOIN lengths USING (p) JOIN passages USING (p, nr) JOIN templates USING (template)
+    WHERE dot / norm >= {licenses.THRESHOLD} - 1e-6 AND list_has_all({numbers("passage")}, {numbers("body")}) AND {words("passage")} = {words("body")}
 ), best AS (
     SELECT nr, license, similarity FROM (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY level, similarity DESC, template) AS place FROM scored WHERE similarity >= {licenses.THRESHOLD}) WHERE place = 1
 ), found AS (
-    SELECT named.*, license, similarity FROM named LEFT JOIN best USING (nr)
+    SELECT named.* EXCLUDE spdx, coalesce(spdx, license) AS license, CASE WHEN spdx IS NOT NULL THEN 1.0 ELSE similarity END AS similarity FROM (SELECT *, CASE WHEN len(list_filter(string_split_regex(regexp_replace(said, ' WITH [^ ]+|[()+]', '', 'g'), ' (AND|OR) '), lambda i: i NOT IN ({known}))) = 0 THEN said END AS spdx
+        FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(text, {quoted(licenses.SPDX_LINE)}, 1), '[ \t]+', ' ', 'g'), '[.]+$', ''), '-(only|or-later)\b', '', 'g') AS said FROM named)) named LEFT JOIN best USING (nr)
 ), ups AS (
     SELECT nr, far, array_to_string(parts[1:len(parts) - far], '/') AS up FROM (SELECT nr, parts, unnest(range(1, len(parts) + 1)) AS far FROM (SELECT nr, string_split(path, '/') AS parts FROM found))
 ), given AS (
