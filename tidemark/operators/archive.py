@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import contains_any_case
+from tidemark.functions.text import by_name, contains_any_case
 from tidemark.operators.pages import with_page
 
 ALL = "all"
@@ -59,10 +59,10 @@ def ordered_facets(facets: DataFrame, orders: dict[str, tuple[str, str]]) -> Dat
 
 
 def rollup_latest(records: DataFrame, by: str, newest: list[str], keep: list[str]) -> DataFrame:
-    """Count and the newest record of each group in one aggregate with map-side parts, the largest groups first; no window."""
+    """Count and the newest record of each group in one aggregate with map-side parts, the largest groups first, then by name; no window."""
     latest = F.max_by(F.struct(*keep), F.struct(*newest)).alias("latest")
     counted = records.groupBy(by).agg(F.count("*").alias("n"), latest)
-    return counted.select(by, "n", *(F.col(f"latest.{k}").alias(f"latest_{k}") for k in keep)).orderBy(F.desc("n"), by)
+    return counted.select(by, "n", *(F.col(f"latest.{k}").alias(f"latest_{k}") for k in keep)).orderBy(F.desc("n"), by_name(F.col(by)) if records.schema[by].dataType.simpleString() == "string" else by)
 
 
 def group_pages(records: DataFrame, by: str, newest: list[str], key: str, size: int) -> DataFrame:
