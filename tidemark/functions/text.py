@@ -23,7 +23,9 @@ def sentences(text: Column, longer_than: int = 24) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(text, _SPACE), ""))
+    """Wide white space becomes blanks first: a class of all of it takes five times as long to split by."""
+    wide = "".join(c for c in WHITE if not c.isascii())
+    return F.size(F.array_remove(F.split(F.translate(text, wide, " " * len(wide)), r"\s+"), ""))
 
 
 def padded(n: Column, width: int = 2) -> Column:

@@ -14,7 +14,7 @@ from tidemark.functions.fixed import (
 from tidemark.operators import adjudication
 from tidemark.operators.adjudication import entries, printed_ledger
 from tidemark.plans.archive import adjudicated
-from tidemark.sources.tables import desks, table
+from tidemark.sources.tables import desks, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,6 +51,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work that takes long for each text."""
+    return spread(_docs(spark, sf_dir))
+
+
 def _toned(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     det = F.when(F.col("toxic") == 1, "CONTRADICTED").when(F.col("quality") == 1, "SUPPORTED").otherwise("REQUIRES VERIFICATION")
@@ -67,12 +72,12 @@ def timecode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(unnest(range(1, len(s) + 1)) AS INTEGER) AS ref, unnest(s) AS sentence FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("at", "sentence")).select("doc_id", (F.col("at") + 1).alias("ref"), "sentence")
+    return _texts(spark, sf_dir).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("at", "sentence")).select("doc_id", (F.col("at") + 1).alias("ref"), "sentence")
 
 
 @query(rf"SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '{_WS}+'), lambda w: w <> '')) AS INTEGER) AS words, length({_TRIM}) >= 80 AS long_enough FROM documents")
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("words"), (F.length(X.trimmed(F.col("text"))) >= 80).alias("long_enough"))
+    return _texts(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("words"), (F.length(X.trimmed(F.col("text"))) >= 80).alias("long_enough"))
 
 
 _NOTES = "list_value('REQUIRES VERIFICATION','SUPPORTED','CONTESTED','CONTRADICTED')"
@@ -85,7 +90,7 @@ def _annotations(text: Column) -> Column:
 
 @query(f"SELECT doc_id, ref, quote, {_NOTES}[(ref - 1) % 4 + 1] AS determination FROM (SELECT doc_id, CAST(unnest(range(1, len(s) + 1)) AS INTEGER) AS ref, unnest(s) AS quote FROM (SELECT doc_id, {_SENTENCES}[1:4] AS s FROM documents))")
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.inline(_annotations(F.col("text"))))
+    return _texts(spark, sf_dir).select("doc_id", F.inline(_annotations(F.col("text"))))
 
 
 _LOCATED = rf"""SELECT doc_id, {_TRIM} AS body, list_sort(list_filter(list_transform({_SENTENCES}[1:4], lambda q, i: struct_pack(pos := strpos({_TRIM}, q) - 1, nth := i - 1, quote := q)), lambda s: s.pos >= 0)) AS spots FROM documents"""
@@ -98,7 +103,7 @@ _LOCATED = rf"""SELECT doc_id, {_TRIM} AS body, list_sort(list_filter(list_trans
  + (CASE WHEN length(body) > coalesce(kept[len(kept)].pos + length(kept[len(kept)].quote), 0) THEN 1 ELSE 0 END) AS INTEGER) AS pieces, true AS whole FROM m""")
 def galley_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text cut at its first four sentences, greedily; the pieces joined are the text."""
-    body = _docs(spark, sf_dir).select("doc_id", X.trimmed(F.col("text")).alias("body"), F.slice(X.sentences(F.col("text")), 1, 4).alias("quotes"))
+    body = _texts(spark, sf_dir).select("doc_id", X.trimmed(F.col("text")).alias("body"), F.slice(X.sentences(F.col("text")), 1, 4).alias("quotes"))
     cut = body.withColumn("cut", X.marked_pieces(F.col("body"), F.col("quotes")))
     joined = F.array_join(F.transform("cut", lambda p: p["piece"]), "") == F.col("body")
     return cut.select("doc_id", F.size(F.filter("cut", lambda p: p["nth"].isNotNull())).alias("marked"), F.size("cut").alias("pieces"), joined.alias("whole"))
@@ -119,7 +124,7 @@ _DOCUMENTS_EXAMINED = rf"""e AS (SELECT doc_id, {_TRIM} AS b, {_SENTENCES}[1:4]
  'Language: English; Words: ' || words || '; Claims: ' || printf('%02d', claims) || '; Entities: 12; Signals: 05; Confidence: 92%' AS ledger, 'REQUIRES VERIFICATION' AS determination FROM q""")
 def text_examination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text desk's record of every document, seeded by its whole text."""
-    body = _docs(spark, sf_dir).select("doc_id", X.trimmed(F.coalesce("text", F.lit(""))).alias("body"))
+    body = _texts(spark, sf_dir).select("doc_id", X.trimmed(F.coalesce("text", F.lit(""))).alias("body"))
     d = body.select("doc_id", X.word_count(F.col("body")).alias("words"), _annotations(F.col("body")).alias("notes"), S.text_seed(F.col("body")).alias("seed"))
     # The draws are columns of their own, so that each is made once.
     d = d.select("doc_id", "words", "notes", (F.lit(0.35) + S.draw(F.col("seed"), 1) * 0.5).alias("emotive"), F.greatest(F.lit(1), F.floor(S.draw(F.col("seed"), 2) * 3 + 0.5)).cast("bigint").alias("shift"))
@@ -329,7 +334,7 @@ _COMMISSION = f"""c AS (SELECT doc_id, source, kind, {_ROSTERS} AS r, CAST(least
 def _commission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document on the bench: its kind opens desks, each desk's reading goes with the desk by place, the core decides on that roster."""
     ready = F.length(X.trimmed(F.coalesce("text", F.lit("")))) > 0  # the bench doesn't open on blank copy
-    d = _docs(spark, sf_dir).where((_kind() != "copy") | ready).select("doc_id", "source", _kind().alias("kind"), _annotations(F.coalesce("text", F.lit(""))).alias("notes")).withColumn("roster", _roster(F.col("kind")))
+    d = _texts(spark, sf_dir).where((_kind() != "copy") | ready).select("doc_id", "source", _kind().alias("kind"), _annotations(F.coalesce("text", F.lit(""))).alias("notes")).withColumn("roster", _roster(F.col("kind")))
     of = lambda det, marks: F.struct(F.size(marks).alias("findings"), F.size(F.filter(marks, lambda n: X.tone(n["determination"]) == "adverse")).alias("adverse"), F.lit(det).alias("determination"))
     readings = {"text": of("REQUIRES VERIFICATION", F.col("notes")), "fact-check": of("CONTRADICTED", _marks("fact-check"))} | {k: of("SYNTHETIC", _marks(k)) for k in ("image", "audio", "video")}
     read = F.create_map(*(x for k, r in readings.items() for x in (F.lit(k), r)))

@@ -10,7 +10,7 @@ from tidemark.operators import records as K
 from tidemark.operators.adjudication import printed_contributions, printed_ledger
 from tidemark.plans.archive import adjudicated
 from tidemark.plans.desk import _CODE, _DOCUMENTS_EXAMINED, _FILE, _FNV, _KIND, _ROSTERS, _WS, _draws, _kind, _roster
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,11 +26,11 @@ def query(sql: str):
 
 
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.text_records(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return K.text_records(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url")
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.decision_records(table(spark, sf_dir, "documents").select("doc_id", _roster(_kind()).alias("roster")), "roster")
+    return K.decision_records(spread(table(spark, sf_dir, "documents").select("doc_id", _roster(_kind()).alias("roster"))), "roster")
 
 
 def _printed(records: DataFrame) -> DataFrame:

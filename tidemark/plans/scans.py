@@ -11,7 +11,7 @@ from tidemark.functions.quotes import marked_pieces_of
 from tidemark.operators import gates, intervals, pages, scan, substrings
 from tidemark.plans.archive import R, _signed
 from tidemark.plans.desk import _ROSTERS, _KIND, _SENTENCES, _TRIM, _WS, _kind, _roster
-from tidemark.sources.tables import records, table
+from tidemark.sources.tables import records, spread, table
 from tidemark.streaming import desk_state
 
 QUERIES: dict = {}
@@ -119,7 +119,7 @@ def gated_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id, CAST(len(q) AS INTEGER) AS quotes, CAST(z.kept AS INTEGER) AS marked, CAST(z.kept + z.gaps + CASE WHEN length(body) > z.cursor THEN 1 ELSE 0 END AS INTEGER) AS pieces, true AS whole FROM f""")
 def galley_all_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document marked at all its sentences; the pieces joined are the text."""
-    body = table(spark, sf_dir, "documents").select("doc_id", X.trimmed(F.col("text")).alias("body"), X.sentences(F.col("text")).alias("quotes"))
+    body = spread(table(spark, sf_dir, "documents")).select("doc_id", X.trimmed(F.col("text")).alias("body"), X.sentences(F.col("text")).alias("quotes"))
     cut = body.withColumn("cut", marked_pieces_of(F.col("body"), F.col("quotes")))
     joined = F.array_join(F.transform("cut", lambda p: p["piece"]), "") == F.col("body")
     return cut.select("doc_id", F.size("quotes").alias("quotes"), F.size(F.filter("cut", lambda p: p["nth"].isNotNull())).alias("marked"), F.size("cut").alias("pieces"), joined.alias("whole"))

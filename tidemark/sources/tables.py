@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has fewer splits than there are: small files of long texts; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def desks(spark: SparkSession) -> DataFrame:
     """The dimension of desks, with their order as ``desk_seq`` from 0: six rows, which Spark broadcasts."""
     return spark.createDataFrame([(*r, i) for i, r in enumerate(DESK_ROWS)], f"{DESK}, desk_seq int")
