@@ -407,6 +407,31 @@ def test_topk_of_large_and_common_vectors(spark):
         assert sorted(got[i]) == want, i
 
 
+def test_topk_where_half_the_rows_share_an_id(spark):
+    """The query's own rows take no places: alone with a vector, among others that hold it, and as the most of its copies."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(240, 5)).round(1)
+    ids = np.array([0] * 120 + list(range(1, 121)))
+    x[30:60] = x[150]  # rows of id 0 with a vector that id 31 holds, too
+    x[60:70] = x[160:170] = x[200]
+    ids[170:175] = 50
+    v = spark.createDataFrame([(int(i), [float(y) for y in r]) for i, r in zip(ids, x)], "vec_id bigint, embedding array<double>")
+    w = np.floor(256 * x).astype(int)
+    got = defaultdict(list)
+    for r in rows(topk.search(v, v.where("vec_id IN (0, 31, 50, 77)").dropDuplicates(["vec_id"]), 5)):
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    asked = {r["vec_id"]: np.floor(256 * np.array(r["embedding"])).astype(int) for r in rows(v.where("vec_id IN (31, 77)"))}
+    assert set(got) == {0, 31, 50, 77} and all(len(p) == 5 for p in got.values())
+    for i, q in asked.items():
+        other = [j for j in range(240) if ids[j] != i]
+        assert sorted(got[i]) == brute_top([int(ids[j]) for j in other], [int(q @ w[j]) for j in other], 5), i
+    every = defaultdict(list)
+    for r in rows(topk.search(v, v.where("vec_id = 0"), 5)):
+        every[r["rank"]].append((r["vec_id"], r["score"]))
+    want = [brute_top([int(ids[j]) for j in range(120, 240)], [int(w[a] @ w[j]) for j in range(120, 240)], 5) for a in range(120)]
+    assert {r: Counter(p) for r, p in every.items()} == {k + 1: Counter((t[k][1], t[k][2]) for t in want) for k in range(5)}
+
+
 def near_of(x, i, measure):
     s = x @ x[i] if measure == "ip" else -((x - x[i]) ** 2).sum(axis=1) if measure == "l2" else x @ x[i] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[i])
     s[i] = -np.inf

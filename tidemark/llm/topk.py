@@ -12,8 +12,8 @@ further into blocks of candidates).
    on their vectors.  The k highest are exact.
 
 Candidates are the distinct vectors, so that copies of one vector are compared once; a vector found brings in the
-rows with the smallest ids that hold it.  A query's own id leaves at the end, so k above is the number of places asked
-for and as many more as rows share an id (mostly one).
+rows with the smallest ids that hold it.  A vector that only rows of the query's own id hold is no candidate for it, in any
+list; one that others hold too counts by the smallest id of theirs.  So k lists k, however many rows share an id.
 
 Scores are integer inner products of floor(256 x), whatever the components: in doubles where these are exact, else in
 Python's integers.  Scores beyond 62 bits are given as the nearest long that is not (both ways).
@@ -92,19 +92,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, column: str = "em
     kind = "array<smallint>" if most < 100 else "array<int>" if most < 2**22 else "array<double>"
     ready = lambda df: df.select("vec_id", whole_numbers().cast(kind).alias("vec")).withColumn("row", F.monotonically_increasing_id())
     base, asked = work.stage(ready(clean.where(F.size("vec") == d)), "base"), work.stage(ready(own), "asked")
-    # A query's own id can hold so many of the places, and no more.
-    same = base.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0
-    places = k + same
-    copies = Window.partitionBy("vec").orderBy("vec_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = base.select("vec", "vec_id", "row", F.row_number().over(copies).alias("nth"), F.first("row").over(copies).alias("class")).where(F.col("nth") <= places)
-    members = work.stage(members, "members")
-    index = members.where("nth = 1").drop("nth", "class")
+    # Of each vector the first ids, one more than places, with as many copies as any query can need: the k first rows without
+    # those of one id, which is the query's own.
+    ids = base.groupBy("vec", "vec_id").agg(F.count("*").alias("copies"), F.min("row").alias("row"))
+    in_order = Window.partitionBy("vec").orderBy("vec_id")
+    ids = ids.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= k + 1)
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    spare = F.coalesce(F.max("copies").over(before) - F.sum("copies").over(before), F.lit(0)) + k
+    first = F.first("row").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    members = work.stage(ids.select("vec", "vec_id", "row", "nth", first.alias("class"), F.lead("vec_id").over(in_order).alias("second"), F.least("copies", spare).alias("copies")), "members")
+    index = members.where("nth = 1").select("vec", "vec_id", "row", "second")
     blocks, asks = blocks_for(index.count(), BLOCK_ROWS, BLOCKS), blocks_for(asked.count(), QUERY_ROWS, 1)
     edges = [round(d * i / parts) for i in range(parts + 1)]
     split = F.array(*(F.struct(F.lit(i).alias("part"), F.slice("vec", a + 1, b - a).alias("vec")) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
     cut = lambda df: df.withColumn("x", F.explode(split)).withColumn("part", F.col("x.part")).withColumn("vec", F.col("x.vec")).drop("x")
     nodes = cut(index.withColumn("cb", block_of(blocks, 2)).withColumn("qb", every(asks)))
-    asking = asked.drop("vec_id").withColumn("qb", block_of(asks, 1)).withColumn("cb", every(blocks))
+    asking = asked.withColumnRenamed("vec_id", "own").withColumn("qb", block_of(asks, 1)).withColumn("cb", every(blocks))
     names, shape = ["query_row", "row", "vec_id", "share"], "query_row bigint, row bigint, vec_id bigint, share bigint"
 
     def shares(ask: bool):
@@ -113,16 +116,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, column: str = "em
             if q.num_rows and c.num_rows:
                 order = np.lexsort((c["row"].to_numpy(), c["vec_id"].to_numpy()))
                 cid, crow, cv = c["vec_id"].to_numpy()[order], c["row"].to_numpy()[order], matrix(c["vec"])[order]
-                qrow, qv = q["row"].to_numpy(), matrix(q["vec"])
+                others, second = c["second"].is_valid().to_numpy()[order], c["second"].fill_null(0).to_numpy()[order]
+                qrow, qid, qv = q["row"].to_numpy(), q["own"].to_numpy(), matrix(q["vec"])
                 step = max(8, PAIRS // len(cid))
                 for at in range(0, len(qrow), step):
-                    s = inner(qv[at : at + step], cv)
+                    s, mine = inner(qv[at : at + step], cv), qid[at : at + step, None] == cid
+                    closed = mine & ~others
                     if ask:
                         low = q["cutoff"].slice(at, step).fill_null(-(2**63)).to_numpy()
-                        a, b = np.nonzero(s >= (low // parts + (low % parts > 0))[:, None])
+                        a, b = np.nonzero((s >= (low // parts + (low % parts > 0))[:, None]) & ~closed)
                     else:
-                        a, b = best_pairs(s.astype(float), places)
-                    found.append((qrow[at + a], crow[b], cid[b], s[a, b]))
+                        a, b = best_pairs(np.where(closed, -np.inf, s.astype(float)), k)
+                    found.append((qrow[at + a], crow[b], np.where(mine[a, b], second[b], cid[b]), s[a, b]))
             cols = [np.concatenate(x) for x in zip(*found)] or [[]] * 4
             # A share at the end of the range may be cut off there: no addition is right with it.
             share = pa.array(cols[3], pa.int64(), mask=np.abs(np.asarray(cols[3], np.int64)) >= MOST)
@@ -139,7 +144,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, column: str = "em
     first = cut(asking).groupBy(*keys).cogroup(nodes.groupBy(*keys)).applyInArrow(shares(False), shape)
     known = exactly(first.select("query_row", "row", "vec_id").distinct())
     nth = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "row"))
-    cutoffs = work.stage(known.withColumn("nth", nth).where(F.col("nth") == places).select(F.col("query_row").alias("row"), F.col("score").alias("cutoff")), "cutoffs")
+    cutoffs = work.stage(known.withColumn("nth", nth).where(F.col("nth") == k).select(F.col("query_row").alias("row"), F.col("score").alias("cutoff")), "cutoffs")
     told = cut(asking.join(cutoffs, "row", "left"))
     given = told.groupBy(*keys).cogroup(nodes.groupBy(*keys)).applyInArrow(shares(True), shape)
     seen = given.groupBy("query_row", "row", "vec_id").agg(F.sum("share").alias("score"), F.count("share").alias("n"))
@@ -147,7 +152,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, column: str = "em
     pair = ["query_row", "row", "vec_id"]
     scored = seen.where(F.col("n") == parts).select(*pair, "score").unionByName(exactly(seen.where(F.col("n") < parts).select(*pair)))
     high = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
-    found = scored.withColumn("nth", F.row_number().over(high)).where(F.col("nth") <= places).select("query_row", F.col("row").alias("class"), "score")
+    found = scored.withColumn("nth", F.row_number().over(high)).where(F.col("nth") <= k).select("query_row", F.col("row").alias("class"), "score")
     whose = asked.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
-    rows = found.join(members.select("class", "vec_id", "row"), "class").join(whose, "query_row").where("vec_id <> query_id")
-    return rows.withColumn("rank", F.row_number().over(high)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = found.join(members.where("copies > 0").select("class", "vec_id", "copies"), "class").join(whose, "query_row").where("vec_id <> query_id")
+    rows = rows.select("query_row", "query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
