@@ -236,6 +236,12 @@ def test_lm_is_the_same_on_any_tasks(spark, docs):
     assert one.keys() == many.keys() and all(many[i] == pytest.approx(s, rel=1e-6) for i, s in one.items())
 
 
+def test_lm_classes_of_words(spark):
+    words = ["", "a", "ab", "abé", "éab", "漢字", "x漢", "😀", "a😀", "été", "naïve", "ß"]
+    df = spark.createDataFrame([(" ".join(words),)], "text string")
+    assert {bytes(r["word"]): r["cls"] for r in rows(lm.word_counts(df))} == {w: lm.shared_class(w) for w in lm.tokens(" ".join(words).encode())}
+
+
 def test_lm_odd(spark, odd):
     got = rows(lm.score(odd))
     assert len(got) == 12 and all(np.isfinite(r["score"]) and r["n_tokens"] >= 1 for r in got)

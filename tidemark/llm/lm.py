@@ -73,10 +73,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: Counter) -> pa.RecordBatch:
-            words = list(c)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(map(shared_class, words)), pa.int32()), pa.array(c.values(), pa.int64())], names=["word", "cls", "n"])
-
+        out = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(c.values(), pa.int64())], names=["word", "n"])
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
@@ -87,7 +84,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if seen:
             yield out(seen)
 
-    return docs.select("text").mapInArrow(count, "word binary, cls int, n bigint").groupBy("word").agg(F.first("cls").alias("cls"), F.sum("n").alias("n"))
+    # The class of each distinct word once, as ``shared_class`` has it.
+    cls = F.lit(TOP) + F.crc32(F.right(F.col("word").cast("string"), F.lit(2)).cast("binary")) % SHARED
+    return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).select("word", cls.cast("int").alias("cls"), "n")
 
 
 @dataclass
