@@ -257,3 +257,29 @@ def test_stream(spark, sf_dir, tmp_path):
         q.processAllAvailable()
     q.stop()
     assert before > 0 and spark.table("late").where("event_type = 'too late'").count() == 0
+
+
+def test_cases_without_an_id(spark):
+    """A null case is a case of its own for shares; for rosters it names nobody, so its filings stay."""
+    filings = spark.createDataFrame([(None, 1, 24), (None, 2, 16), (7, 1, 24), (7, 2, 16)], "c int, d int, w int")
+    got = {(r.c, r.d): r.share for r in adjudication.shares(filings, "c", "w", "d").collect()}
+    assert got == {(None, 1): 0.6, (None, 2): 0.4, (7, 1): 0.6, (7, 2): 0.4}
+    rosters = spark.createDataFrame([(None, 1), (7, 2)], "c int, d int")
+    kept = sorted(((r.c, r.d) for r in adjudication.reporting(filings, rosters, "c", "d").collect()), key=repr)
+    assert kept == [(7, 2), (None, 1), (None, 2)]
+
+
+def test_archive_page_reads_its_records_once(spark, sf_dir):
+    """One scan of orders gives hits, shown and total; what pages are made of is written in that pass."""
+    from tidemark.operators import gates
+    from tidemark.plans import archive as plans
+
+    read = []
+    route = gates.route
+    gates.route = lambda rows, *a: read.append(rows) or route(rows, *a)
+    try:
+        page = plans.archive_page(spark, sf_dir)
+    finally:
+        gates.route = route
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    assert len(read) == 1 and "o_orderkey" not in plan and page.count() > 0
