@@ -143,6 +143,15 @@ def test_points_in_spans(spark):
     assert not intervals.interval_join(s.limit(0), p, ["g"], "lo", "hi", "at").collect() and not intervals.interval_join(s, p.limit(0), ["g"], "lo", "hi", "at").collect()
 
 
+def test_points_of_many_widths_are_not_broadcast(spark):
+    """Points stand in a bin of every width, which no estimate of their size knows; widths are every second power of two."""
+    s = spark.range(40).selectExpr("id AS span", "id % 2 AS g", "id AS lo", "id + (bigint(1) << id) AS hi")
+    p = spark.range(1000).selectExpr("id AS point", "id % 2 AS g", "id * 7 AS at")
+    got = intervals.interval_join(s, p, ["g"], "lo", "hi", "at", 4)
+    want = sum(k % 2 == j % 2 and k <= 7 * j <= k + (1 << k) for k in range(40) for j in range(1000))
+    assert got.count() == want and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pages_reach_every_record(spark, tasks):
     rows = [(i, g, o or 0, m) for i, g, o, m in given(7, 230)]
     df = spark.createDataFrame(rows, SCHEMA)
