@@ -478,6 +478,20 @@ def test_ann_of_a_small_table_is_brute_force(spark):
         assert [(n, j) for n, j, _ in sorted(got[i])] == [(n, j) for n, j, _ in want]
 
 
+def test_ann_finds_the_nearest_in_crowds(spark):
+    """Most rows stand nearer to each other than codes made for the rest can tell; queries in the crowd and outside, rows of all lengths."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 64))
+    x[:1000] = 3 * rng.normal(size=(1, 64)) + 1e-3 * rng.normal(size=(1000, 64))
+    x[5900:] *= np.exp(rng.normal(size=(100, 1)))
+    x = rng.permutation(x)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(set)
+    for r in rows(ann.search(v, v.where("vec_id % 20 = 0"), 20)):
+        got[r["query_id"]].add(r["vec_id"])
+    assert len(got) == 300 and np.mean([len(set(np.argsort(-near_of(x, i, "ip"), kind="stable")[:20].tolist()) & l) / 20 for i, l in got.items()]) >= 0.99
+
+
 def lists_of(x, asked, k=20):
     """The lists as the query makes them, in one block, and their length."""
     model = ann.Codebooks.fitted(x[np.random.default_rng(5).choice(len(x), min(len(x), ann.SAMPLE), replace=False)])
