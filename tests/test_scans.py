@@ -182,6 +182,20 @@ def test_needles_are_the_scan(spark):
     assert 0 < substrings.candidates(index, asked.where("needle = 'abc'")).count() < values / 3
 
 
+def test_needles_in_values_of_many_rows(spark, monkeypatch):
+    """Common values go to all tasks and others are dealt; long needles are verified, records of one key stay records, and nothing is made distinct before it is dealt."""
+    monkeypatch.setattr(substrings, "COMMON", 3)
+    rows = [(k // 2, "north" if k % 3 else f"north {k}", f"a long name that ends in {k % 7}") for k in range(60)]
+    asked = ["nor", "1", "a long name that ends in 3", "a long name that ends on 3", "north 27", "12"]
+    index = substrings.build(spark.createDataFrame(rows, "id bigint, row string, two string"), "id", ["row", "two"])
+    found = substrings.met(index, spark.createDataFrame([(n,) for n in asked], "needle string"))
+    want = {n: [i for i, *fields in rows if any(n in f for f in fields)] for n in asked}
+    got = {r["needle"]: sorted(r["keys"]) for r in found.groupBy("needle").agg(F.collect_list("key").alias("keys")).collect()}
+    assert got == {n: ids for n, ids in want.items() if ids}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Aggregate") and "Aggregate" not in plan[plan.index("REPARTITION_BY_COL") :]
+
+
 def test_gates_count_what_they_write(spark):
     rows = [(k, None if k % 7 == 0 else k % 5) for k in range(100)]
     df = spark.createDataFrame(rows, "id int, x int").withColumn("gate", F.lit("own")).repartition(3)

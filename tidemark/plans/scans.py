@@ -98,7 +98,7 @@ def archive_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region, customer = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
     needles = nation.select(F.left("n_name", F.lit(5)).alias("needle")).unionByName(region.select(F.substring("r_name", 2, 2).alias("needle")))
     needles = needles.unionByName(customer.where("c_acctbal > 9800").select(F.col("c_custkey").cast("string").alias("needle"))).unionByName(nation.select(F.col("n_nationkey").cast("string").alias("needle")))
-    return substrings.lookup(index, needles).groupBy("needle").agg(F.count("*").alias("n"), F.min("key").alias("first_id"), F.max("key").alias("last_id"))
+    return substrings.met(index, needles).groupBy("needle").agg(F.count("*").alias("n"), F.min("key").alias("first_id"), F.max("key").alias("last_id"))
 
 
 @query(rf"""WITH t AS (SELECT doc_id, lang, coalesce(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g'), '') AS copy FROM documents),
