@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -236,6 +237,36 @@ def test_lm_is_the_same_on_any_tasks(spark, docs):
     assert one.keys() == many.keys() and all(many[i] == pytest.approx(s, rel=1e-6) for i, s in one.items())
 
 
+def test_lm_trains_on_texts_as_they_come(spark, monkeypatch):
+    """A row that reaches training is a text, not a shard; a lane is in one task, and every text has its turn once."""
+    rng = random.Random(4)
+    texts = [(rng.randrange(-(1 << 62), 1 << 62), [rng.randrange(99) for _ in range(rng.randint(1, 30))]) for _ in range(400)]
+    df = spark.createDataFrame(texts, "key bigint, ids array<int>").repartition(7)
+    monkeypatch.setattr(lm, "CHUNK", 50)
+    seen = []
+    for part in ((0.0, 0.25), (0.25, 1.0)):
+        got = lm.dealt(df, 9, part).withColumn("task", F.spark_partition_id()).collect()
+        at = {}
+        assert all(at.setdefault(r["lane"], r["task"]) == r["task"] for r in got) and len(at) == lm.LEAST_SHARDS
+        assert all({r["lane"] for r in got if r["shard"] == s} <= {s % lm.LEAST_SHARDS} for s in range(9))
+        seen += [tuple(r["ids"]) for r in got]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in got[i : i + 60]], t) for c, t in (("lane", pa.int32()), ("shard", pa.int32()), ("ids", pa.list_(pa.int32())))], names=["lane", "shard", "ids"]) for i in range(0, len(got), 60)]
+        parts = list(lm.chunks(iter(batches)))
+        assert [t for _, _, ids, _ in parts for t in ids.tolist()] == [t for r in got for t in r["ids"]]
+        assert [(a, b) for a, b, _, sizes in parts for _ in sizes] == [(r["lane"], r["shard"]) for r in got]
+        assert all(len(ids) == sum(sizes) < 50 + 30 for _, _, ids, sizes in parts)
+    assert Counter(seen) == Counter(tuple(t) for _, t in texts)
+
+
+@pytest.mark.parametrize("most", [3, 400])
+def test_lm_sums_of_stretches(most):
+    rng = np.random.default_rng(most)
+    ids, rows = np.sort(rng.integers(0, most, 300)), rng.normal(size=(300, 5))
+    start = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    want = [rows[ids == i].sum(axis=0) for i in np.unique(ids)]
+    assert np.allclose(lm.stretch_sums(rows, start), want)
+
+
 def test_lm_classes_of_words(spark):
     words = ["", "a", "ab", "abé", "éab", "漢字", "x漢", "😀", "a😀", "été", "naïve", "ß"]
     df = spark.createDataFrame([(" ".join(words),)], "text string")

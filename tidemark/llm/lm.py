@@ -14,9 +14,10 @@ A rare word has its add-one share of the rare words' tokens, with one place for
 document's continuations add up to one.  Normalisers come from matrix products over all contexts at once, as exp(s) of a class
 is a product of a row that depends on h1 and one that depends on h2.
 
-Texts become ids once.  The training documents' ids are dealt by hash to shards of about ``SHARD_TOKENS``, sorted within; a shard
-is one row.  In each of ``ROUNDS`` every shard trains on its own next part from the parameters all begin with, and Spark averages
-the shards' parameters, each row by its uses.  So scores depend on the documents alone, not on tasks.
+Texts become ids once.  The training documents are dealt by hash to ``ROUNDS``, and in each to shards of about ``SHARD_TOKENS``
+over all rounds, some shards a lane.  A lane's texts reach one task in order, a row each, and are trained on as they come, so no task
+holds a shard.  Every shard trains from the parameters all begin with, a lane adds up its shards, and Spark averages the lanes'
+parameters, each row by its uses.  So scores depend on the documents alone, not on tasks.
 Counts of words beyond the ``HEAD`` commonest never leave the executors: scoring keeps them as
 (document, word, times) and joins them with the count table.
 
@@ -33,7 +34,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +48,14 @@ TOP, SHARED, WIDTH = 1024, 1024, 16
 CLASSES = TOP + SHARED
 #: Words whose counts executors hold in memory, at most; of them, those seen so often have vectors of their own.
 HEAD, OWN = 1 << 18, 8
-#: Tokens of a shard, about, and the parts of a shard's tokens that the rounds train on.
-SHARD_TOKENS, ROUNDS = 2_000_000, (0.25, 0.75)
+#: Tokens of a shard, about, the shares of the texts that the rounds train on, and the shards of a lane.
+SHARD_TOKENS, ROUNDS, LANE = 2_000_000, (0.25, 0.75), 4
+#: Tokens in memory and shuffled at once, about.
 CHUNK = 1 << 19
 #: Shards at least, so that a small corpus trains side by side, too.
 LEAST_SHARDS = 4
-#: Contexts whose normalisers are made at once, and tasks whose sums are added before all are.
-TILE, TOGETHER = 256, 32
+#: Contexts whose normalisers are made at once, lanes whose sums are added before all are, and parameter rows that travel as one.
+TILE, TOGETHER, PIECE = 256, 32, 2048
 NOISE, MEMBER_NOISE, BATCH, RATE, FIRST_SQUARE = 32, 4, 4096, 0.2, 1e-3
 END = b""
 
@@ -153,16 +155,17 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
             break
         held, least = held + v, s
     rows = counts.where(step >= least).select("word", "n").toArrow() if least is not None else pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
-    pairs = sorted(zip(map(bytes, rows["word"].to_pylist()), rows["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    rows = rows.sort_by([("n", "descending"), ("word", "ascending")])
+    words, of_words = rows["word"].to_pylist(), rows["n"].to_numpy().astype(float)
     in_class = {r["cls"]: (r["n"], r["v"]) for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     t, v = np.zeros(CLASSES), np.zeros(CLASSES)
     for c, (a, b) in in_class.items():
         t[c], v[c] = a, b
-    for i, (w, n) in enumerate(pairs[:TOP]):
+    for i, (w, n) in enumerate(zip(words[:TOP], of_words.tolist())):
         t[i] = n
         t[shared_class(w)] -= n
         v[shared_class(w)] -= 1
-    return Vocabulary([w for w, _ in pairs], np.array([n for _, n in pairs], float), total["n"] or 0, total["v"] or 0, t, v)
+    return Vocabulary(words, of_words, total["n"] or 0, total["v"] or 0, t, v)
 
 
 #: Parameter rows: contexts (the last is the text's start), positions, classes, contexts of the second level, members.
@@ -190,16 +193,26 @@ class LogBilinear:
         r, p, q = self.rows[CONTEXT:PLACE, :WIDTH], self.rows[PLACE:CLASS, :WIDTH], self.rows[CLASS:BEFORE]
         return (r * p[0]) @ q[:, :WIDTH].T + q[:, WIDTH], (r * p[1]) @ q[:, :WIDTH].T
 
-    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The halves and the log normaliser z[h1, h2]: log P(c | h1, h2) = a + b - z."""
-        a, b = self.halves()
-        top_a, top_b = a.max(axis=1, keepdims=True), b.max(axis=1, keepdims=True)
-        z, right = np.empty((len(a), len(b)), np.float32), np.exp(b - top_b).T
-        for at in range(0, len(a), TILE):
-            z[at : at + TILE] = np.log(np.exp(a[at : at + TILE] - top_a[at : at + TILE]) @ right)
-        z += top_a
+    def normaliser(self) -> np.ndarray:
+        """z[h1, h2] of log P(c | h1, h2) = a + b - z; of the first half, only a tile of contexts is there at once."""
+        r, p, q = self.rows[CONTEXT:PLACE, :WIDTH], self.rows[PLACE:CLASS, :WIDTH], self.rows[CLASS:BEFORE]
+        b = (r * p[1]) @ q[:, :WIDTH].T
+        top_b = b.max(axis=1, keepdims=True)
+        b -= top_b
+        right, z = np.exp(b, out=b).T, np.empty((len(r), len(r)), np.float32)
+        for at in range(0, len(r), TILE):
+            a = (r[at : at + TILE] * p[0]) @ q[:, :WIDTH].T
+            a += q[:, WIDTH]
+            top_a = a.max(axis=1, keepdims=True)
+            a -= top_a
+            z[at : at + TILE] = np.log(np.exp(a, out=a) @ right)
+            z[at : at + TILE] += top_a
         z += top_b.T
-        return a, b, z
+        return z
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The halves and their log normaliser."""
+        return *self.halves(), self.normaliser()
 
     def members(self, v: Vocabulary) -> np.ndarray:
         """The log normaliser of the members of each shared class in each context, a tile of contexts and a few classes at a time."""
@@ -235,7 +248,7 @@ class Trainer:
         start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         u = base + s[start].astype(np.int64)
         self.uses[u] += np.diff(np.append(start, len(s)))
-        g = np.add.reduceat(np.take(moves, by, axis=0), start)
+        g = stretch_sums(np.take(moves, by, axis=0), start)
         g *= self.scale
         squares = np.take(self.squares, u, axis=0)
         squares += g * g
@@ -295,21 +308,29 @@ class Trainer:
         self._move(PLACE, np.array([0, 1], short), places)
 
     def run(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Over texts of so many tokens each, side by side in ids; ``CHUNK`` tokens of them are in memory and shuffled at once, about."""
-        ends = np.cumsum(sizes, dtype=np.int64)
-        cuts = np.unique(np.searchsorted(ends, np.arange(0, len(ids), CHUNK), side="left")).tolist()
-        for a, b in zip(cuts, [*cuts[1:], len(sizes)]):
-            self._chunk(ids[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b])
-
-    def _chunk(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Over texts of so many tokens each, side by side in ids, in batches from all of them; a batch is in order of members, which lie side by side in memory."""
         cls, member = self.v.places_of(ids)
         h1, h2 = contexts(cls, sizes)
         order = self.rng.permutation(len(ids))
         for at in range(0, len(ids), BATCH):
             some = order[at : at + BATCH]
+            some = some[np.argsort(member[some], kind="stable")]
             self.step(h1[some], h2[some], cls[some], member[some])
 
 
+def stretch_sums(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The sum of the rows from each start to the next; where most are single rows, only the others are added up."""
+    if 2 * len(start) < len(rows):
+        return np.add.reduceat(rows, start)
+    out, size = np.take(rows, start, axis=0), np.diff(np.append(start, len(rows)))
+    two, more = np.flatnonzero(size == 2), np.flatnonzero(size > 2)
+    out[two] += np.take(rows, start[two] + 1, axis=0)
+    if len(more):
+        edges = np.column_stack([start[more], start[more] + size[more]]).ravel()
+        out[more] = np.add.reduceat(rows, edges[:-1] if edges[-1] == len(rows) else edges)[::2]
+    return out
+
+
 def contexts(cls: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The classes one and two before each token; the start's where a text has none."""
     first = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
@@ -363,66 +384,69 @@ def encoded(docs: DataFrame, v: Vocabulary, extra: list[str]) -> DataFrame:
     return docs.select(*extra, "text").mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "row bigint, ids array<int>, words array<binary>, times array<int>"]))
 
 
-def shards_of(rows: DataFrame, shards: int) -> DataFrame:
-    """(shard, ids, sizes): the tokens of the rows (key, ids) dealt by key, texts in order of key and ids."""
-
-    def pack(t: pa.Table) -> pa.Table:
-        ids = t["ids"].combine_chunks()
-        values, edges = ids.flatten().to_numpy(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))))
-        keys = t["key"].to_numpy()
-        order = sorted(range(len(ids)), key=lambda i: (keys[i], values[edges[i] : edges[i + 1]].tobytes()))
-        sizes = np.array([edges[i + 1] - edges[i] for i in order], np.int32)
-        whole = np.concatenate([values[edges[i] : edges[i + 1]] for i in order]).astype(np.int32)
-        return pa.table({"shard": pa.array([t["shard"][0].as_py()], pa.int32()), "ids": pa.array([whole.tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary())})
-
-    dealt = rows.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(pack, "shard int, ids binary, sizes binary")
-
-
-def trained(shards: DataFrame, v: Vocabulary, model: LogBilinear, part: tuple[float, float], seed: int) -> LogBilinear:
-    """The mean of the parameters that the shards come to over a part of their texts, each row by its uses.
-
-    A task adds up its shards before anything is shuffled; rows travel in pieces, which are summed apart, first those of
-    some of the tasks and then all.
+def dealt(rows: DataFrame, shards: int, part: tuple[float, float]) -> DataFrame:
+    """(lane, shard, ids): the rows (key, ids) of a part of the keys, dealt by key; a lane's in one task, in order of shard, key and ids."""
+    lanes, turns = max(LEAST_SHARDS, -(-shards // LANE)), 1 << 20
+    turn, shard = F.pmod(F.xxhash64("key"), F.lit(turns)), F.pmod("key", F.lit(shards)).cast("int")
+    own = rows.where((turn >= round(part[0] * turns)) & (turn < round(part[1] * turns)))
+    own = own.select((shard % lanes).alias("lane"), shard.alias("shard"), "key", "ids")
+    return own.repartition("lane").sortWithinPartitions("lane", "shard", "key", "ids").select("lane", "shard", "ids")
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lane, shard, ids, sizes): consecutive texts of a shard, as many as reach ``CHUNK`` tokens."""
+    at, held, size = None, [], 0
+    whole = lambda: (*at, np.concatenate(held), np.array([len(x) for x in held]))
+    for batch in batches:
+        ids = batch.column(2)
+        flat, sizes = ids.flatten().to_numpy(), ids.value_lengths().to_numpy(zero_copy_only=False)
+        for lane, shard, n, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes.tolist(), np.cumsum(sizes, dtype=np.int64).tolist()):
+            if held and ((lane, shard) != at or size >= CHUNK):
+                yield whole()
+                held, size = [], 0
+            at, size = (lane, shard), size + n
+            held.append(flat[end - n : end].copy())
+    if held:
+        yield whole()
+
+
+def trained(rows: DataFrame, shards: int, v: Vocabulary, model: LogBilinear, part: tuple[float, float], seed: int) -> LogBilinear:
+    """The mean of the parameters that the shards come to over a part of the texts, each row by its uses.
+
+    A lane adds up its shards before anything is shuffled; parameters travel in pieces, which are summed apart, first those of
+    some of the lanes and then all.
     """
-    shared, piece = shards.sparkSession.sparkContext.broadcast((v.lean(), model)), 4096
+    shared = rows.sparkSession.sparkContext.broadcast((v.lean(), model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _Kept.held.clear()
         v, model = shared.value
-        total = None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard = batch.column(0)[i].as_py()
-                ids, sizes = (np.frombuffer(batch.column(k)[i].as_buffer(), np.int32) for k in (1, 2))
-                # Every text is in the part that its last token falls in.
-                ends = np.cumsum(sizes)
-                a, b = (np.searchsorted(ends, p * ends[-1], side="right") if p < 1 else len(sizes) for p in part)
-                if a == b:
-                    continue
+        for lane, of_lane in groupby(chunks(batches), lambda x: x[0]):
+            moved = uses = None
+            for shard, of_shard in groupby(of_lane, lambda x: x[1]):
                 trainer = Trainer(model, v, seed * 1_000_003 + shard)
-                trainer.run(ids[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b])
-                trainer.squares, moved = None, trainer.x
-                moved -= model.rows
-                moved *= trainer.uses.astype(np.float32)[:, None]
-                if total is None:
-                    total = moved, trainer.uses
+                for _, _, ids, sizes in of_shard:
+                    trainer.run(ids, sizes)
+                trainer.squares, x = None, trainer.x
+                x -= model.rows
+                x *= trainer.uses.astype(np.float32)[:, None]
+                if uses is None:
+                    moved, uses = x, trainer.uses
                 else:
-                    np.add(total[0], moved, out=total[0])
-                    np.add(total[1], trainer.uses, out=total[1])
-        for k in range(0, len(model.rows), piece) if total is not None else ():
+                    moved += x
+                    uses += trainer.uses
+                del trainer, x
             # How far the used rows moved, times their uses: floats will do for that.
-            some = np.flatnonzero(total[1][k : k + piece])
-            if len(some):
-                uses = total[1][k + some]
-                moved = total[0][k + some]
-                yield piece_row(k, TaskContext.get().partitionId() // TOGETHER, some, moved.astype(np.float32), uses)
+            for at in range(0, len(uses), PIECE):
+                some = np.flatnonzero(uses[at : at + PIECE])
+                if len(some):
+                    yield piece_row(at, lane // TOGETHER, some, moved[at + some], uses[at + some])
 
     def piece_row(at: int, lane: int, some: np.ndarray, moved: np.ndarray, uses: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([lane], pa.int32()), *(pa.array([x.tobytes()]) for x in (some.astype(np.uint16), moved, uses.astype(np.int64)))], names=names)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> tuple:
-        at, lane, sums, uses = 0, 0, np.zeros((piece, WIDTH + 1)), np.zeros(piece, np.int64)
+        at, lane, sums, uses = 0, 0, np.zeros((PIECE, WIDTH + 1)), np.zeros(PIECE, np.int64)
         for batch in batches:
             for at, lane, some, moved, used in zip(*(c.to_pylist() for c in batch.columns)):
                 some = np.frombuffer(some, np.uint16)
@@ -440,18 +464,19 @@ def trained(shards: DataFrame, v: Vocabulary, model: LogBilinear, part: tuple[fl
         yield piece_row(at, lane, some, (sums / uses[:, None]).astype(np.float32), uses)
 
     shape, names = "at int, lane int, some binary, moved binary, uses binary", ["at", "lane", "some", "moved", "uses"]
-    parts = shards.select("shard", "ids", "sizes").mapInArrow(run, shape)
-    rows = model.rows.copy()
+    parts = dealt(rows, shards, part).mapInArrow(run, shape)
+    out = model.rows  # in place, as what trained has a copy
     for r in parts.groupBy("at", "lane").applyInArrow(add, shape).groupBy("at").applyInArrow(mean, shape).select("at", "some", "moved").collect():
-        rows[r["at"] + np.frombuffer(r["some"], np.uint16).astype(int)] += np.frombuffer(r["moved"], np.float32).reshape(-1, WIDTH + 1)
-    return LogBilinear(rows)
+        out[r["at"] + np.frombuffer(r["some"], np.uint16).astype(int)] += np.frombuffer(r["moved"], np.float32).reshape(-1, WIDTH + 1)
+    shared.destroy()
+    return LogBilinear(out)
 
 
-def fit(shards: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS) -> LogBilinear:
-    """Train on all texts of the shards, once."""
-    model, at = LogBilinear.start(v), 0.0
+def fit(rows: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS) -> LogBilinear:
+    """Train on all rows (key, ids), once."""
+    model, at, shards = LogBilinear.start(v), 0.0, max(LEAST_SHARDS, round(v.total / SHARD_TOKENS))
     for k, share in enumerate(rounds):
-        model = trained(shards, v, model, (at, at + share), 11 + k)
+        model = trained(rows, shards, v, model, (at, at + share), 11 + k)
         at += share
     return model
 
@@ -474,7 +499,7 @@ def log_probabilities(v: Vocabulary, tables, model: LogBilinear, ids: np.ndarray
 def scored(rows: DataFrame, v: Vocabulary, model: LogBilinear, extra: list[str]) -> DataFrame:
     """The encoded rows with n_tokens, known, logs (of known words' counts) and lm, what the model gives but for the other words' counts."""
     # The normalisers are made once; their size is that of classes and contexts, whatever the corpus.  The halves are made by each worker.
-    shared = rows.sparkSession.sparkContext.broadcast((v.lean(), model, model.classes()[2], model.members(v)))
+    shared = rows.sparkSession.sparkContext.broadcast((v.lean(), model, model.normaliser(), model.members(v)))
     kinds, key = {c: rows.schema[c].dataType.simpleString() for c in [*extra, "row"]}, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,9 +528,8 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     counts = work.stage(word_counts(own.where(~F.col("held_out"))), "counts")
     v = vocabulary(counts, head)
     rows = work.stage(encoded(own, v, ["doc_id", "held_out", "key"]), "encoded")
-    shards = work.stage(shards_of(rows.where(~F.col("held_out")).select("key", "ids"), max(LEAST_SHARDS, round(v.total / SHARD_TOKENS))), "shards")
-    model = fit(shards, v)
-    work.drop(shards)
+    v = v.lean()
+    model = fit(rows.where(~F.col("held_out")).select("key", "ids"), v)
     found = scored(rows, v, model, ["doc_id", "held_out"])
     # Words beyond the head: all occurrences meet the count table by a shuffle.
     pairs = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
