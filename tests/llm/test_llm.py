@@ -238,7 +238,7 @@ def test_lm_is_the_same_on_any_tasks(spark, docs):
 
 
 def test_lm_trains_on_texts_as_they_come(spark, monkeypatch):
-    """A row that reaches training is a text, not a shard; a lane is in one task, and every text has its turn once."""
+    """A row that reaches training is a text, not a shard; each lane is a task of its own, and every text has its turn once."""
     rng = random.Random(4)
     texts = [(rng.randrange(-(1 << 62), 1 << 62), [rng.randrange(99) for _ in range(rng.randint(1, 30))]) for _ in range(400)]
     df = spark.createDataFrame(texts, "key bigint, ids array<int>").repartition(7)
@@ -247,7 +247,7 @@ def test_lm_trains_on_texts_as_they_come(spark, monkeypatch):
     for part in ((0.0, 0.25), (0.25, 1.0)):
         got = lm.dealt(df, 9, part).withColumn("task", F.spark_partition_id()).collect()
         at = {}
-        assert all(at.setdefault(r["lane"], r["task"]) == r["task"] for r in got) and len(at) == lm.LEAST_SHARDS
+        assert all(at.setdefault(r["lane"], r["task"]) == r["task"] for r in got) and len(set(at.values())) == len(at) == lm.LEAST_SHARDS
         assert all({r["lane"] for r in got if r["shard"] == s} <= {s % lm.LEAST_SHARDS} for s in range(9))
         seen += [tuple(r["ids"]) for r in got]
         batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in got[i : i + 60]], t) for c, t in (("lane", pa.int32()), ("shard", pa.int32()), ("ids", pa.list_(pa.int32())))], names=["lane", "shard", "ids"]) for i in range(0, len(got), 60)]

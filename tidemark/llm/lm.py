@@ -385,12 +385,12 @@ def encoded(docs: DataFrame, v: Vocabulary, extra: list[str]) -> DataFrame:
 
 
 def dealt(rows: DataFrame, shards: int, part: tuple[float, float]) -> DataFrame:
-    """(lane, shard, ids): the rows (key, ids) of a part of the keys, dealt by key; a lane's in one task, in order of shard, key and ids."""
+    """(lane, shard, ids): the rows (key, ids) of a part of the keys, dealt by key; each lane is a task, in order of shard, key and ids."""
     lanes, turns = max(LEAST_SHARDS, -(-shards // LANE)), 1 << 20
     turn, shard = F.pmod(F.xxhash64("key"), F.lit(turns)), F.pmod("key", F.lit(shards)).cast("int")
     own = rows.where((turn >= round(part[0] * turns)) & (turn < round(part[1] * turns)))
     own = own.select((shard % lanes).alias("lane"), shard.alias("shard"), "key", "ids")
-    return own.repartition("lane").sortWithinPartitions("lane", "shard", "key", "ids").select("lane", "shard", "ids")
+    return own.repartitionById(lanes, "lane").sortWithinPartitions("lane", "shard", "key", "ids").select("lane", "shard", "ids")
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
